@@ -215,13 +215,14 @@ def clamped_chunks(hub: DataFrame, order: Ordering, context: int = CONTEXT_ROWS)
         before=1,
         after=1,
     ).filter(F.col("either_start").isNotNull())
+    gap_start, gap_end = F.col("_gap_start"), F.col("_gap_end")
     opening = F.when(
         F.col("either_start") == pos,
-        F.coalesce(F.greatest(F.col("_gap_start"), pos - context), pos),
+        F.when(gap_start.isNull(), pos).otherwise(F.greatest(gap_start, pos - context)),
     )
     closing = F.when(
         F.col("either_end") == pos,
-        F.coalesce(F.least(F.col("_gap_end"), pos + context), pos),
+        F.when(gap_end.isNull(), pos).otherwise(F.least(gap_end, pos + context)),
     )
     return edges.groupBy("source_file", F.col("either_start").alias("block_start")).agg(
         F.max("either_end").alias("block_end"),

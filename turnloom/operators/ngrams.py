@@ -166,3 +166,29 @@ def heaviest(freq: DataFrame, family: Sequence[str], top: int) -> DataFrame:
     sums = freq.groupBy(*family, "ngram").agg(F.sum("freq").alias("row_sum"))
     w = Window.partitionBy(*family).orderBy(F.round("row_sum", 9).desc(), "ngram")
     return sums.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def differences(wide: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Pairwise differences and dispersion of the `<group>_freq` columns of a wide table.
+
+    The first group with the largest frequency is the dominant one.
+    """
+    freq = {g: F.col(f"{g}_freq") for g in groups}
+    columns: dict[str, Column] = {}
+    for i, a in enumerate(groups):
+        for b in groups[i + 1:]:
+            name = f"{a.split('_')[0]}_vs_{b.split('_')[0]}"
+            columns[f"diff_{name}"] = freq[a] - freq[b]
+            columns[f"absdiff_{name}"] = F.abs(freq[a] - freq[b])
+    largest, smallest = F.greatest(*freq.values()), F.least(*freq.values())
+    mean = sum(freq.values(), F.lit(0.0)) / len(groups)
+    variance = sum(((f - mean) * (f - mean) for f in freq.values()), F.lit(0.0)) / len(groups)
+    dominant_group = F.coalesce(*[F.when(freq[g] == largest, g) for g in groups])
+    return wide.withColumns({
+        **columns,
+        "freq_max": largest,
+        "freq_min": smallest,
+        "freq_range": largest - smallest,
+        "freq_std": F.sqrt(variance),
+        "dominant_group": dominant_group,
+    })
