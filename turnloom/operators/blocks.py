@@ -175,9 +175,20 @@ def block_table(hub: DataFrame, target: str, skip_null: bool = False) -> DataFra
 def context_rows(hub: DataFrame, order: Ordering, target: str,
                  context: int = CONTEXT_ROWS) -> DataFrame:
     """One row per (block, row) in the block (`core`) or up to `context` rows before (`pre`)
-    or after (`post`) it. Contexts stop at transcript ends and may reach into other blocks."""
+    or after (`post`) it. Contexts stop at transcript ends and may reach into other blocks.
+
+    `region_start` is the first position of the region the row lies in.
+    """
     pos, start, end = F.col("pos"), F.col(f"{target}_start"), F.col(f"{target}_end")
-    marked = hub.withColumns({"_opens": F.when(start == pos, pos), "_closes": F.when(end == pos, start)})
+
+    def entry(region: str, block: Column, first: Column) -> Column:
+        return F.struct(F.lit(region).alias("region"), block.alias("block_start"),
+                        first.cast("long").alias("region_start"))
+
+    marked = hub.withColumns({
+        "_opens": F.when(start == pos, entry("pre", pos, F.greatest(pos - context, F.lit(0)))),
+        "_closes": F.when(end == pos, entry("post", start, pos + 1)),
+    })
     columns = {}
     if context > 0:
         columns = {
@@ -185,19 +196,10 @@ def context_rows(hub: DataFrame, order: Ordering, target: str,
             "_post": lambda w: F.collect_list("_closes").over(w.rowsBetween(-context, -1)),
         }
         marked = nearby(marked, order, columns, before=context, after=context)
-
-    def tagged(blocks_of_row: Column, region: str) -> Column:
-        return F.transform(
-            blocks_of_row, lambda s: F.struct(F.lit(region).alias("region"), s.alias("block_start"))
-        )
-
-    core = F.when(start.isNotNull(), F.array(start)).otherwise(F.array().cast("array<long>"))
-    regions = [tagged(core, "core")]
-    if context > 0:
-        regions += [tagged(F.col("_pre"), "pre"), tagged(F.col("_post"), "post")]
+    core = F.array_compact(F.array(F.when(start.isNotNull(), entry("core", start, start))))
     return (
-        marked.withColumn("_in", F.explode(F.concat(*regions)))
-        .withColumns({"region": F.col("_in.region"), "block_start": F.col("_in.block_start")})
+        marked.withColumn("_in", F.explode(F.concat(core, *columns)))
+        .select("*", "_in.*")
         .drop("_in", "_opens", "_closes", *columns)
     )
 

@@ -5,12 +5,11 @@ pair have meet in a join; what just one side has enters through per-group totals
 zero-filled matrix is built and chi-square and divergence still cover the whole vocabulary.
 Results have one row per pair by definition, so callers pass groups that are a set of names
 (codes, therapists, classes) or, where the question is about sessions, accept one row per
-pair of sessions within their key.
+pair of sessions within their key. `keys` is never empty: pairs meet on it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -45,9 +44,7 @@ def all_pairs(groups: DataFrame, keys: Sequence[str], group: str, *measures: str
         return groups.select(
             *keys, F.col(group).alias(name), *[F.col(m).alias(f"{m}_{name}") for m in measures])
 
-    if keys:
-        return side("a").join(side("b"), list(keys)).filter(F.col("a") < F.col("b"))
-    return side("a").join(side("b"), F.col("a") < F.col("b"))
+    return side("a").join(side("b"), list(keys)).filter(F.col("a") < F.col("b"))
 
 
 def cosine(freq: DataFrame, keys: Sequence[str], group: str, feature: str,
@@ -79,7 +76,7 @@ def _js_term(p: Column, q: Column, base2: bool) -> Column:
 def _divergence(smoothed: DataFrame, keys: Sequence[str], group: str, feature: str,
                 base2: bool) -> DataFrame:
     """Jensen-Shannon divergence from `_p` (smoothed share) and `_absent` (the share a group
-    gives to a feature it lacks), one value of `_absent` per key."""
+    gives to a feature it lacks)."""
     smoothed = smoothed.withColumn("_alone", _js_term(F.col("_p"), F.col("_absent"), base2))
     alone = smoothed.groupBy(*keys, group).agg(F.sum("_alone").alias("alone"))
     met = (
@@ -106,8 +103,7 @@ def frequency_divergence(counts: DataFrame, keys: Sequence[str], group: str, fea
     totals = counts.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
     vocabulary = counts.groupBy(*keys).agg(F.countDistinct(feature).alias("_vocabulary"))
     scale = 1.0 + F.col("_vocabulary") * smoothing
-    joined = counts.join(totals, [*keys, group])
-    joined = joined.join(vocabulary, list(keys)) if keys else joined.crossJoin(F.broadcast(vocabulary))
+    joined = counts.join(totals, [*keys, group]).join(vocabulary, list(keys))
     smoothed = joined.withColumns({
         "_p": (F.col(value) / F.col("_total") + smoothing) / scale,
         "_absent": smoothing / scale,
@@ -119,14 +115,15 @@ def count_divergence(counts: DataFrame, keys: Sequence[str], group: str, feature
                      value: str, base2: bool = False) -> DataFrame:
     """Jensen-Shannon divergence of raw counts with a tiny constant added to every count.
 
-    The constant's weight in the totals is below 1e-9 and left out of them.
+    The constant's weight in the totals, and whose total scales it for an absent feature,
+    change the result by less than 1e-9 and are left out.
     """
     totals = counts.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
     eps = COUNT_SMOOTHING
-    smoothed = counts.join(totals, [*keys, group]).withColumn(
-        "_p", (F.col(value) + eps) / F.col("_total"))
-    alone_scale = F.col("_total")
-    smoothed = smoothed.withColumn("_absent", eps / alone_scale)
+    smoothed = counts.join(totals, [*keys, group]).withColumns({
+        "_p": (F.col(value) + eps) / F.col("_total"),
+        "_absent": eps / F.col("_total"),
+    })
     return _divergence(smoothed, keys, group, feature, base2)
 
 
@@ -170,6 +167,3 @@ def chi_square(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
         *keys, "a", "b", "n_a", "n_b", chi2.alias("chi2"),
         F.when(columns >= 2, columns - 1).alias("dof"),
     )
-
-
-LN2 = math.log(2.0)

@@ -49,13 +49,17 @@ def plain_ngrams(spark, sf_dir):
 def _coded(spark, sf_dir, target="patient", sizes=(2, 3)):
     """Counts of compressed block n-grams per code, NA included."""
     t = tables(spark, sf_dir)
-    rows = B.compress_runs(B.sequence_rows(t.hub(), target), "groups").withColumn(
-        "label", L.abbreviate(F.col("da_group"), "groups"))
-    per_block = N.count_ngrams(N.ngrams(rows, t.order, sizes), "source_file", "seq")
-    return (
-        N.spread_over_codes(per_block, t.block_codes(target))
-        .groupBy("code", "n", "ngram").agg(F.sum("cnt").alias("cnt"))
-    )
+
+    def build():
+        rows = B.compress_runs(B.sequence_rows(t.hub(), target), "groups").withColumn(
+            "label", L.abbreviate(F.col("da_group"), "groups"))
+        per_block = N.count_ngrams(N.ngrams(rows, t.order, sizes), "source_file", "seq")
+        return (
+            N.spread_over_codes(per_block, t.block_codes(target))
+            .groupBy("code", "n", "ngram").agg(F.sum("cnt").alias("cnt"))
+        )
+
+    return t.once(f"{target}_code_ngrams_{'_'.join(map(str, sizes))}", build)
 
 
 oracle.add_view("coded_grams", """
@@ -116,17 +120,8 @@ oracle.add_view("region_grams", oracle._grams(
 def context_profile(spark, sf_dir):
     """Bigrams before, in and after blocks per code, over the ten top block patterns."""
     t = tables(spark, sf_dir)
-    rows = B.context_rows(t.hub(), t.order, "patient")
-    block = F.col("block_start")
-    first = (
-        F.when(F.col("region") == "pre", F.greatest(block - B.CONTEXT_ROWS, F.lit(0)))
-        .when(F.col("region") == "core", block)
-        .otherwise(F.col("_block_end") + 1)
-    )
-    ends = B.blocks(t.hub(), "patient").select(
-        "source_file", "block_start", F.col("block_end").alias("_block_end"))
-    rows = rows.join(ends, ["source_file", "block_start"]).withColumns(
-        {"seq": first, "seq_end": F.lit(None).cast("long"),
+    rows = B.context_rows(t.hub(), t.order, "patient").withColumns(
+        {"seq": F.col("region_start"), "seq_end": F.lit(None).cast("long"),
          "label": L.abbreviate(F.col("da_group"), "groups")})
     per_block = N.count_ngrams(
         N.ngrams(B.compress_runs(rows, "groups"),

@@ -203,3 +203,27 @@ def complete(sql: str) -> str:
     if re.match(r"WITH\b", body, re.IGNORECASE):
         return f"WITH {views},\n{body[4:].lstrip()}"
     return f"WITH {views}\n{body}"
+
+
+def chi2_tail(x: str, dof: str) -> str:
+    """P(X >= x) through the power series of the lower incomplete gamma function."""
+    h = f"(({x}) / 2.0)"
+    a = f"(({dof}) / 2.0)"
+    series = (
+        f"list_sum(list_transform(range(0, 1500), lambda i: "
+        f"exp((i + {a}) * ln({h}) - {h} - lgamma({a} + i + 1))))"
+    )
+    return (
+        f"CASE WHEN ({x}) IS NULL OR ({dof}) IS NULL THEN NULL WHEN {h} <= 0 THEN 1.0 "
+        f"WHEN {h} > 500 + {a} THEN 0.0 ELSE least(1.0, greatest(0.0, 1.0 - {series})) END"
+    )
+
+
+def corrected(source: str, family: str) -> str:
+    """Benjamini-Hochberg over `p_value` of a source relation."""
+    return f"""
+      SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1.0, min(p_value * m / rank) OVER (
+               PARTITION BY {family}, p_value IS NULL ORDER BY p_value DESC RANGE UNBOUNDED PRECEDING)) END AS p_fdr
+      FROM (SELECT *, count(p_value) OVER (PARTITION BY {family}) AS m,
+                   count(p_value) OVER (PARTITION BY {family}, p_value IS NULL ORDER BY p_value
+                     RANGE UNBOUNDED PRECEDING) AS rank FROM {source})"""

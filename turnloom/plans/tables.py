@@ -30,7 +30,7 @@ class Tables:
         self._written: dict[str, DataFrame] = {}
         self._order: Ordering | None = None
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
             self._written[name] = write_table(self.spark, name, build())
         return self._written[name]
@@ -61,10 +61,10 @@ class Tables:
 
     def hub(self) -> DataFrame:
         """Dialogue-act rows with island bounds."""
-        return self._once("hub", lambda: B.index_islands(self.dialogue_acts(), self.order))
+        return self.once("hub", lambda: B.index_islands(self.dialogue_acts(), self.order))
 
     def block_codes(self, target: str) -> DataFrame:
-        return self._once(f"{target}_block_codes", lambda: B.block_codes(self.hub(), target))
+        return self.once(f"{target}_block_codes", lambda: B.block_codes(self.hub(), target))
 
     def classes(self, granularity: str = "groups") -> DataFrame:
         """Compressed rows of the four sequence classes the bag of words compares."""
@@ -78,7 +78,7 @@ class Tables:
 
     def ngram_counts(self) -> DataFrame:
         """level, group, n, ngram, cnt for the five comparison levels."""
-        return self._once("ngram_counts", self._ngram_counts)
+        return self.once("ngram_counts", self._ngram_counts)
 
     def _ngram_counts(self) -> DataFrame:
         found = N.ngrams(self.classes(), self.order.keyed("source_file", "cls"), SIZES)
