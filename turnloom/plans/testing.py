@@ -25,17 +25,17 @@ def _pattern_sql(counts: str, family: str, groups: str, min_total: int) -> str:
     on = " AND ".join(f"x.{k} = y.{k}" for k in family.split(", "))
     cell = "(abs({o} - {e}) - least({y}, abs({o} - {e}))) ** 2 / {e}"
     yates = "CASE WHEN k = 2 THEN 0.5 ELSE 0 END"
-    first = cell.format(o="c", e="(T * n / G)", y=yates)
-    second = cell.format(o="(n - c)", e="((G - T) * n / G)", y=yates)
+    first = cell.format(o="c", e="(tot * gn / allc)", y=yates)
+    second = cell.format(o="(gn - c)", e="((allc - tot) * gn / allc)", y=yates)
     return f"""
-      SELECT {family}, ngram, max(T) AS total, sum({first} + {second}) AS chi2, max(k) - 1 AS dof FROM (
-        SELECT z.*, sum(c) OVER (PARTITION BY {family}, ngram) AS T, sum(c) OVER (PARTITION BY {family}, grp) AS n,
-               sum(c) OVER (PARTITION BY {family}) AS G, count(*) OVER (PARTITION BY {family}, ngram) AS k
+      SELECT {family}, ngram, max(tot) AS total, sum({first} + {second}) AS chi2, max(k) - 1 AS dof FROM (
+        SELECT z.*, sum(c) OVER (PARTITION BY {family}, ngram) AS tot, sum(c) OVER (PARTITION BY {family}, grp) AS gn,
+               sum(c) OVER (PARTITION BY {family}) AS allc, count(*) OVER (PARTITION BY {family}, ngram) AS k
         FROM (SELECT {", ".join("x." + f for f in family.split(", "))}, x.ngram, y.grp, coalesce(c.cnt, 0) AS c
               FROM (SELECT DISTINCT {family}, ngram FROM {counts}) x JOIN {groups} y ON {on}
               LEFT JOIN {counts} c ON {" AND ".join(f"c.{f} = x.{f}" for f in family.split(", "))}
                AND c.ngram = x.ngram AND c.grp = y.grp) z)
-      GROUP BY {family}, ngram HAVING min(n) > 0 AND max(T) >= {min_total} AND max(T) < max(G)"""
+      GROUP BY {family}, ngram HAVING min(gn) > 0 AND max(tot) >= {min_total} AND max(tot) < max(allc)"""
 
 
 oracle.add_view("code_counts", "SELECT code AS grp, n, ngram, cnt FROM coded_grams")
