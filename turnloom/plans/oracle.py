@@ -200,8 +200,9 @@ def complete(sql: str) -> str:
         return sql
     views = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in ordered)
     body = sql.strip()
-    if re.match(r"WITH\b", body, re.IGNORECASE):
-        return f"WITH {views},\n{body[4:].lstrip()}"
+    own = re.match(r"WITH( RECURSIVE)?\b", body, re.IGNORECASE)
+    if own:
+        return f"WITH{own.group(1) or ''} {views},\n{body[own.end():].lstrip()}"
     return f"WITH {views}\n{body}"
 
 
