@@ -10,6 +10,7 @@ pair of sessions within their key. `keys` is never empty: pairs meet on it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -73,11 +74,24 @@ def _js_term(p: Column, q: Column, base2: bool) -> Column:
     return 0.5 * p * _log(2.0 * p / m, base2) + 0.5 * q * _log(2.0 * q / m, base2)
 
 
-def _divergence(smoothed: DataFrame, keys: Sequence[str], group: str, feature: str,
-                base2: bool) -> DataFrame:
-    """Jensen-Shannon divergence from `_p` (smoothed share) and `_absent` (the share a group
-    gives to a feature it lacks)."""
-    smoothed = smoothed.withColumn("_alone", _js_term(F.col("_p"), F.col("_absent"), base2))
+def frequency_divergence(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
+                         value: str, base2: bool = True,
+                         smoothing: float = FREQUENCY_SMOOTHING) -> DataFrame:
+    """Jensen-Shannon divergence of shares, with `smoothing` added to every share over the
+    vocabulary all groups of a key have in union.
+
+    A feature a group lacks has the same smoothed share in every group of the key, so the
+    term of a one-sided feature depends on its own group alone and is summed per group.
+    """
+    totals = counts.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
+    vocabulary = counts.groupBy(*keys).agg(F.countDistinct(feature).alias("_vocabulary"))
+    scale = 1.0 + F.col("_vocabulary") * smoothing
+    share = F.col(value) / F.col("_total") + smoothing
+    smoothed = (
+        counts.join(totals, [*keys, group]).join(vocabulary, list(keys))
+        .withColumn("_p", share / scale)
+        .withColumn("_alone", _js_term(F.col("_p"), smoothing / scale, base2))
+    )
     alone = smoothed.groupBy(*keys, group).agg(F.sum("_alone").alias("alone"))
     met = (
         shared_features(smoothed, keys, group, feature, ["_p", "_alone"])
@@ -95,36 +109,45 @@ def _divergence(smoothed: DataFrame, keys: Sequence[str], group: str, feature: s
     )
 
 
-def frequency_divergence(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
-                         value: str, base2: bool = True,
-                         smoothing: float = FREQUENCY_SMOOTHING) -> DataFrame:
-    """Jensen-Shannon divergence of shares, with `smoothing` added to every share over the
-    vocabulary all groups of a key have in union."""
-    totals = counts.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
-    vocabulary = counts.groupBy(*keys).agg(F.countDistinct(feature).alias("_vocabulary"))
-    scale = 1.0 + F.col("_vocabulary") * smoothing
-    joined = counts.join(totals, [*keys, group]).join(vocabulary, list(keys))
-    smoothed = joined.withColumns({
-        "_p": (F.col(value) / F.col("_total") + smoothing) / scale,
-        "_absent": smoothing / scale,
-    })
-    return _divergence(smoothed, keys, group, feature, base2)
-
-
 def count_divergence(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
                      value: str, base2: bool = False) -> DataFrame:
     """Jensen-Shannon divergence of raw counts with a tiny constant added to every count.
 
-    The constant's weight in the totals, and whose total scales it for an absent feature,
-    change the result by less than 1e-9 and are left out.
+    A one-sided feature has share q = constant / total on the other side. To first order in
+    q, which is exact here, its terms add up to
+    (ln 2 * p + q * (ln 2 + ln q - 1 - ln p)) / 2, so share, count and log sums per group
+    are enough. The constant's own weight in the totals is below 1e-9 and left out.
     """
     totals = counts.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
-    eps = COUNT_SMOOTHING
-    smoothed = counts.join(totals, [*keys, group]).withColumns({
-        "_p": (F.col(value) + eps) / F.col("_total"),
-        "_absent": eps / F.col("_total"),
-    })
-    return _divergence(smoothed, keys, group, feature, base2)
+    p = (F.col(value) + COUNT_SMOOTHING) / F.col("_total")
+    shares = counts.join(totals, [*keys, group]).withColumn("_p", p).withColumn("_ln", F.log("_p"))
+    groups = shares.groupBy(*keys, group).agg(
+        F.first("_total").alias("total"), F.sum("_p").alias("mass"), F.sum("_ln").alias("logs"),
+        F.count("*").alias("features"))
+    met = (
+        shared_features(shares, keys, group, feature, ["_p", "_ln"])
+        .groupBy(*keys, "a", "b")
+        .agg(
+            F.sum(_js_term(F.col("_p_a"), F.col("_p_b"), False)).alias("met"),
+            F.count("*").alias("met_features"),
+            *[F.sum(f"_p_{s}").alias(f"met_mass_{s}") for s in "ab"],
+            *[F.sum(f"_ln_{s}").alias(f"met_logs_{s}") for s in "ab"],
+        )
+    )
+    pairs = all_pairs(groups, keys, group, "total", "mass", "logs", "features").join(
+        met, [*keys, "a", "b"], "left")
+    zero = F.lit(0.0)
+    ln2 = math.log(2.0)
+
+    def alone(side: str, other: str) -> Column:
+        mass = F.col(f"mass_{side}") - F.coalesce(F.col(f"met_mass_{side}"), zero)
+        logs = F.col(f"logs_{side}") - F.coalesce(F.col(f"met_logs_{side}"), zero)
+        k = F.col(f"features_{side}") - F.coalesce(F.col("met_features"), zero)
+        q = COUNT_SMOOTHING / F.col(f"total_{other}")
+        return F.when(k > 0, 0.5 * (ln2 * mass + q * (k * (ln2 + F.log(q) - 1.0) - logs))).otherwise(zero)
+
+    js = F.coalesce(F.col("met"), zero) + alone("a", "b") + alone("b", "a")
+    return pairs.select(*keys, "a", "b", F.greatest(js / (ln2 if base2 else 1.0), zero).alias("js"))
 
 
 def chi_square(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
