@@ -36,7 +36,7 @@ def clean_turns(turns: DataFrame, text: str = "spoken_text",
                 content: list[str] | None = None) -> DataFrame:
     """Drop empty rows, rows without text and sentinel rows; dashes become spaces."""
     return (
-        turns.na.drop("all", content or [text])
+        turns.na.drop("all", subset=content or [text])
         .filter(has_text(F.col(text)) & (F.col(text) != SENTINEL))
         .withColumn(text, F.regexp_replace(text, "[—–-]", " "))
     )

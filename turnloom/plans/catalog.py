@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from turnloom.plans import bags, consistency, distributions, networks, sequences, testing  # noqa: F401
-from turnloom.plans.registry import ORACLES, QUERIES  # noqa: F401
+from turnloom.plans import annotation, bags, consistency, distributions, networks, sequences, testing  # noqa: F401
+from turnloom.plans.registry import QUERIES, oracles  # noqa: F401

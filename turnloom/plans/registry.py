@@ -11,7 +11,7 @@ from turnloom.plans import oracle
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 
 
 def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -22,7 +22,12 @@ def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = query
         if sql is not None:
-            ORACLES[name] = oracle.complete(sql)
+            _SQL[name] = sql
         return query
 
     return keep
+
+
+def oracles() -> dict[str, str]:
+    """Every query's SQL with the views it uses, once all modules have added theirs."""
+    return {name: oracle.complete(sql) for name, sql in _SQL.items()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import labels as L
 from turnloom.operators import blocks as B
 from turnloom.operators import ngrams as N
+from turnloom.operators import words as W
 from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, number_by_time
 from turnloom.plans import bridge
 from turnloom.session import write_table
@@ -29,6 +30,7 @@ class Tables:
         self.spark, self.sf_dir, self._limit = spark, sf_dir, segment_rows
         self._written: dict[str, DataFrame] = {}
         self._order: Ordering | None = None
+        self._word_order: Ordering | None = None
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
@@ -46,6 +48,25 @@ class Tables:
             self._order = Ordering(segment_rows=None if fits else self._limit)
         return self._order
 
+    def measured(self, rows: DataFrame, pos: str) -> Ordering:
+        """Plain windows if the longest sequence of `rows` fits one segment."""
+        longest = rows.groupBy("source_file").count().agg(F.max("count")).first()[0]
+        fits = (longest or 0) <= self._limit
+        return Ordering(pos=pos, segment_rows=None if fits else self._limit)
+
+    def words(self) -> DataFrame:
+        """Words of the cleaned conversation turns."""
+        def build():
+            turns = W.clean_turns(bridge.turns(self.spark, self.sf_dir))
+            return W.turn_words(turns, self.measured(turns, "turn"))
+
+        return self.once("words", build)
+
+    def word_order(self) -> Ordering:
+        if self._word_order is None:
+            self._word_order = self.measured(self.words(), "pos")
+        return self._word_order
+
     def numbered_events(self) -> DataFrame:
         """All rows in transcript order, inside labels included."""
         return number_by_time(
