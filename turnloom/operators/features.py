@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions import labels as L
+from turnloom.operators.blocks import is_important
+from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, nearby
+
+# Token ids, transcript edge markers and prompt wording.
+PAD, UNKNOWN = 0, 1
+START_LINE = "[START OF TRANSCRIPT]"
+END_LINE = "[END OF TRANSCRIPT]"
+PRECEDING = "[Preceding context]"
+TARGET_LINE = "[TARGET DA — classify this one]"
+FOLLOWING = "[Following context]"
+EXAMPLES_INTRO = "Below are examples of dialogue act sequences where the TARGET DA is important:\n"
+TASK = (
+    "Now classify the TARGET DA in the following sequence as either 'important' or 'not important'.\n"
+    "Only classify the TARGET DA and text marked with >>>. "
+    "Answer with exactly one of: 'important' or 'not important'.\n"
+)
+MAX_VOCABULARY = 100_000
+
 
 def normalise_time(df: DataFrame, seconds: str, key: str = "source_file") -> DataFrame:
     """Min-max time per transcript as `ts_norm`: constant or missing times give 0.5, a
@@ -17,3 +38,220 @@ def normalise_time(df: DataFrame, seconds: str, key: str = "source_file") -> Dat
         .withColumn("ts_norm", F.when(low.isNotNull(), F.coalesce(scaled, F.lit(0.5))))
         .drop("_low", "_high")
     )
+
+
+def token(granularity: str, with_speaker: bool = True) -> Column:
+    """`speaker::label`, or the label alone where the speaker is a channel of its own."""
+    label = L.pick_label(granularity)
+    return F.concat_ws("::", L.normalise_speaker(F.col("speaker")), label) if with_speaker else label
+
+
+def vocabulary(rows: DataFrame, tokens: Column) -> DataFrame:
+    """token, idx in order of first appearance over sorted transcripts; 0 and 1 are reserved.
+
+    One row per distinct token is numbered, and their number is checked where it is used.
+    """
+    seen = rows.groupBy(tokens.alias("token")).agg(F.min(F.struct("source_file", "pos")).alias("_first"))
+    return seen.select(
+        "token", (F.row_number().over(Window.orderBy("_first")) + UNKNOWN).cast("long").alias("idx"))
+
+
+def encode(rows: DataFrame, tokens: Column, vocab: DataFrame, target: str) -> DataFrame:
+    """Token ids (unknown tokens get 1), speaker channel, time (0 where absent) and label."""
+    size = vocab.limit(MAX_VOCABULARY + 1).count()
+    if size > MAX_VOCABULARY:
+        raise ValueError(f"vocabulary has more than {MAX_VOCABULARY} tokens")
+    spoken_by_other = L.normalise_speaker(F.col("speaker")) != "therapist"
+    return (
+        rows.withColumn("token", tokens)
+        .join(F.broadcast(vocab), "token", "left")
+        .select(
+            "source_file", "pos",
+            F.coalesce("idx", F.lit(UNKNOWN).cast("long")).alias("token_id"),
+            spoken_by_other.cast("double").alias("speaker_channel"),
+            F.coalesce("ts_norm", F.lit(0.0)).alias("ts"),
+            F.when(is_important(target), 1).otherwise(0).alias("label"),
+        )
+    )
+
+
+def expand_labels(rows: DataFrame, order: Ordering, label: str, before: int, after: int) -> DataFrame:
+    """Training labels widened to `before` rows ahead of each positive and `after` behind."""
+    return nearby(
+        rows, order,
+        {"expanded": lambda w: F.max(label).over(w.rowsBetween(-after, before))},
+        before=after, after=before,
+    )
+
+
+def hash_order(seed: int, *parts: str) -> Column:
+    """A reproducible random order: the digest of seed and key."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
+
+
+def loss_mask(rows: DataFrame, label: str, rate: float, seed: int = 42,
+              segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Keep every positive and, per transcript, max(1, floor(negatives * rate)) negatives.
+
+    Negatives rank by hash. A transcript with many is ranked in hash ranges with prefix
+    sums, so no task orders all of them.
+    """
+    if rate >= 1.0:
+        return rows.withColumn("in_loss", F.lit(True))
+    negatives = rows.filter(F.col(label) == 0).select(
+        "source_file", "pos", hash_order(seed, "source_file", "pos").alias("_h"))
+    sizes = negatives.groupBy("source_file").agg(F.count("*").alias("_n"))
+    fraction = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    ranged = negatives.join(sizes, "source_file").withColumn(
+        "_range", F.floor(fraction * F.ceil(F.col("_n") / segment_rows)))
+    counts = ranged.groupBy("source_file", "_range").agg(F.count("*").alias("_k"))
+    earlier = (
+        Window.partitionBy("source_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = counts.select(
+        "source_file", "_range", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_before"))
+    local = Window.partitionBy("source_file", "_range").orderBy("_h")
+    quota = F.greatest(F.lit(1), F.floor(F.col("_n") * rate))
+    kept = (
+        ranged.join(offsets, ["source_file", "_range"])
+        .withColumn("_rank", F.row_number().over(local) + F.col("_before"))
+        .filter(F.col("_rank") <= quota)
+        .select("source_file", "pos", F.lit(True).alias("_kept"))
+    )
+    return rows.join(kept, ["source_file", "pos"], "left").withColumn(
+        "in_loss", (F.col(label) == 1) | F.coalesce(F.col("_kept"), F.lit(False))).drop("_kept")
+
+
+def fold_table(rows: DataFrame, label: str, scale: float = 1.0) -> DataFrame:
+    """Leave-one-transcript-out folds: sizes of the training side and its positive weight.
+
+    Training counts are the total minus the fold's own, so no fold copies the data.
+    """
+    own = rows.groupBy(F.col("source_file").alias("fold")).agg(
+        F.count("*").alias("n_test"), F.sum(label).alias("n_test_pos"))
+    total = own.agg(F.sum("n_test").alias("_n"), F.sum("n_test_pos").alias("_p"))
+    everything = own.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
+    n_train, n_pos = F.col("_n") - F.col("n_test"), F.col("_p") - F.col("n_test_pos")
+    return everything.select(
+        "fold", "n_test", "n_test_pos", n_train.alias("n_train"), n_pos.alias("n_train_pos"),
+        ((n_train - n_pos) / F.greatest(n_pos, F.lit(1)) * scale).alias("pos_weight"))
+
+
+def grouped_folds(k: int, seed: int = 42) -> Column:
+    """Fold of a row when transcripts are spread over k folds."""
+    digest = F.conv(F.substring(hash_order(seed, "source_file"), 1, 8), 16, 10).cast("long")
+    return (digest % k).cast("int")
+
+
+def class_balance(rows: DataFrame, label: str) -> DataFrame:
+    return rows.groupBy("source_file").agg(
+        F.count("*").alias("n_das"), F.sum(label).alias("n_important")
+    ).withColumn("pct_important", F.round(100.0 * F.col("n_important") / F.greatest(F.col("n_das"), F.lit(1)), 1))
+
+
+def grid(spark: SparkSession, **values: Sequence) -> DataFrame:
+    """Every combination of the given parameter lists, one column per parameter."""
+    out = spark.range(1).drop("id").withColumn("_one", F.lit(1))
+    for name, choices in values.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(c) for c in choices])))
+    return out.drop("_one")
+
+
+def receptive_field(layers: int, kernel: int) -> int:
+    return layers * (kernel - 1) + 1
+
+
+def window_features(rows: DataFrame, order: Ordering, tokens: Column, reach: int) -> DataFrame:
+    """Tokens of the `reach` rows before and after each row as `tokens`, position-tagged."""
+    tagged = rows.withColumn("_token", tokens)
+    names = [(k, f"_t{k + reach}") for k in range(-reach, reach + 1)]
+    columns = {
+        name: (lambda w, k=k: F.concat(F.lit(f"{k}="), F.lag("_token", -k, "pad").over(w)))
+        for k, name in names
+    }
+    wide = nearby(tagged, order, columns, before=reach, after=reach)
+    return wide.withColumn("tokens", F.array(*[name for _, name in names])).drop(
+        "_token", *[name for _, name in names])
+
+
+def fit_predict(features: DataFrame, label: str, k: int = 3, seed: int = 42,
+                scale: float = 1.0, buckets: int = 1 << 14) -> DataFrame:
+    """Importance probability of every row from a model that has not seen its transcript.
+
+    Position-tagged tokens are hashed to a sparse vector; positives weigh
+    negatives / positives * scale. Transcripts form k folds.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=buckets, binary=True)
+    data = hashed.transform(
+        features.withColumns({"_label": F.col(label).cast("double"), "fold": grouped_folds(k, seed)}))
+    # a row here is one fold, so k rows reach the driver
+    per_fold = {r.fold: r for r in data.groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum("_label").alias("pos")).collect()}
+    n, pos = sum(r.n for r in per_fold.values()), sum(r.pos for r in per_fold.values())
+    parts = []
+    for fold, own in per_fold.items():
+        train_n, train_pos = n - own.n, pos - own.pos
+        weight = (train_n - train_pos) / max(train_pos, 1.0) * scale
+        train = data.filter(F.col("fold") != fold).withColumn(
+            "_weight", F.when(F.col("_label") == 1, weight).otherwise(1.0))
+        model = LogisticRegression(
+            featuresCol="features", labelCol="_label", weightCol="_weight", maxIter=20, regParam=0.01,
+        ).fit(train)
+        scored = model.transform(data.filter(F.col("fold") == fold))
+        parts.append(scored.select(
+            "source_file", "pos", label, "fold",
+            F.element_at(vector_to_array("probability"), 2).alias("prob")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def split_by_patient(rows: DataFrame, n_train: int = 5, seed: int = 42) -> DataFrame:
+    """`part` of each patient: `n_train` patients drawn by hash for training, others test."""
+    patients = rows.select(L.patient_in_name(F.col("source_file")).alias("patient_id")).filter(
+        F.col("patient_id").isNotNull()).distinct()
+    train = patients.orderBy(hash_order(seed, "patient_id"), "patient_id").limit(n_train).select(
+        "patient_id", F.lit("train").alias("part"))
+    test = patients.join(train, "patient_id", "left_anti").select("patient_id", F.lit("test").alias("part"))
+    return train.unionByName(test)
+
+
+def act_line(granularity: str) -> Column:
+    return F.concat(
+        F.initcap(L.normalise_speaker(F.col("speaker"))), F.lit(": ["), L.pick_label(granularity),
+        F.lit('] "'), F.trim(F.coalesce(F.col("spoken_text"), F.lit(""))), F.lit('"'))
+
+
+def context_window(rows: DataFrame, order: Ordering, granularity: str, reach: int) -> DataFrame:
+    """`context`: the lines around each row, padded past the transcript's ends, with the row
+    itself marked as the target."""
+    lines = rows.withColumn("_line", act_line(granularity))
+    before = {f"_b{k}": (lambda w, k=k: F.lag("_line", k, START_LINE).over(w)) for k in range(reach, 0, -1)}
+    after = {f"_a{k}": (lambda w, k=k: F.lead("_line", k, END_LINE).over(w)) for k in range(1, reach + 1)}
+    wide = nearby(lines, order, {**before, **after}, before=reach, after=reach)
+    return wide.withColumn("context", F.concat_ws(
+        "\n", F.lit(PRECEDING), *before, F.lit(TARGET_LINE), F.concat(F.lit(">>> "), F.col("_line")),
+        F.lit(FOLLOWING), *after,
+    )).drop("_line", *before, *after)
+
+
+def positive_examples(train: DataFrame, n_examples: int, seed: int = 42) -> DataFrame:
+    """Contexts of positive training rows in a reproducible random order; a top-k."""
+    order = hash_order(seed, "source_file", "pos")
+    return train.filter(F.col("label") == 1).orderBy(order, "source_file", "pos").limit(n_examples)
+
+
+def prompts(rows: DataFrame, examples: Sequence[str]) -> DataFrame:
+    """Few-shot prompt of each row around its `context`. Examples are a handful of texts."""
+    shown = []
+    if examples:
+        shown.append(EXAMPLES_INTRO)
+        for i, text in enumerate(examples, 1):
+            shown += [f"Example {i}:", text, "Classification: important\n"]
+    return rows.withColumn("prompt", F.concat_ws(
+        "\n", *[F.lit(s) for s in shown], F.lit(TASK), F.col("context"), F.lit("\nClassification:")))
