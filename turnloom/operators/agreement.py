@@ -155,6 +155,48 @@ def compare(counts: DataFrame, keys: Sequence[str], group: str, feature: str = "
     })
 
 
+OTHER_SESSIONS = "(other sessions)"
+
+
+def against_rest(counts: DataFrame, keys: Sequence[str], group: str, feature: str = "ngram") -> DataFrame:
+    """Each group of a key against all other groups of that key pooled, one row per group.
+
+    The others are the key's total minus the group's own counts, so the work grows with the
+    number of groups, not with their pairs.
+    """
+    keys = list(keys)
+    total = pooled_over(counts, *keys, feature).withColumnRenamed("cnt", "_total")
+    groups = counts.select(*keys, group).distinct()
+    sides = (
+        total.join(groups, keys)
+        .join(counts.select(*keys, group, feature, "cnt"), [*keys, group, feature], "left")
+        .withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        .select(*keys, group, feature, F.inline(F.array(
+            F.struct(F.lit(0).alias("_side"), F.col("cnt").alias("cnt")),
+            F.struct(F.lit(1).alias("_side"), (F.col("_total") - F.col("cnt")).alias("cnt")),
+        )))
+        .filter(F.col("cnt") > 0)
+    )
+    return compare(sides, [*keys, group], "_side", feature).withColumns(
+        {"a": F.col(group), "b": F.lit(OTHER_SESSIONS)}).drop(group)
+
+
+def within_raters(labels: DataFrame, max_sessions: int = 30) -> DataFrame:
+    """Sessions of one rater compared per code.
+
+    Up to `max_sessions` sessions are compared pair by pair. A rater with more gets one row
+    per session against the rater's other sessions, which covers every session without a
+    number of rows quadratic in them.
+    """
+    keys = ["slice", "code", "rater"]
+    sizes = labels.groupBy(*keys).agg(F.countDistinct("source_file").alias("_sessions"))
+    few = sizes.filter(F.col("_sessions") <= max_sessions).select(*keys)
+    many = sizes.filter(F.col("_sessions") > max_sessions).select(*keys)
+    pairs = compare(labels.join(few, keys, "left_semi"), keys, "source_file")
+    rest = against_rest(labels.join(many, keys, "left_semi"), keys, "source_file")
+    return pairs.unionByName(rest)
+
+
 def kappa_of(js: Column) -> Column:
     """Agreement read off a divergence: 1 where equal, never below 0."""
     return F.greatest(F.lit(0.0), 1.0 - js)

@@ -24,7 +24,7 @@ def islands(df: DataFrame, order: Ordering, names: dict[str, Column]) -> DataFra
     for n in names:
         edges[f"_p_{n}"] = lambda w, n=n: F.lag(f"_k_{n}").over(w)
         edges[f"_n_{n}"] = lambda w, n=n: F.lead(f"_k_{n}").over(w)
-    df = nearby(df, order, edges, before=1, after=1)
+    df = nearby(df, order, edges, before=1, after=1, keep_segment=True)
     pos = F.col(order.pos)
 
     def edge(n: str, side: str) -> Column:

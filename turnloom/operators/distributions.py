@@ -70,7 +70,7 @@ def distribution(rows: DataFrame, label: str = "proc_da") -> DataFrame:
     ranks = pooled.select("comparison", "label", F.row_number().over(w).alias("pooled_rank"))
     return (
         counts.join(totals, ["comparison", "split"])
-        .join(F.broadcast(ranks), ["comparison", "label"])
+        .join(ranks, ["comparison", "label"])
         .withColumn("share", F.col("cnt") / F.col("total"))
     )
 

@@ -51,11 +51,13 @@ def nearby(
     columns: dict[str, WindowExpression],
     before: int = 0,
     after: int = 0,
+    keep_segment: bool = False,
 ) -> DataFrame:
     """Window expressions that look at most `before` positions back and `after` ahead.
 
     Positions must be dense. Edge rows are copied into the neighbouring segments they are
-    visible from, and dropped again after the window ran.
+    visible from, and dropped again after the window ran. With `keep_segment` a following
+    `carry` finds its rows partitioned already.
     """
     if order.segment_rows is None:
         return df.withColumns({name: make(order.window()) for name, make in columns.items()})
@@ -64,11 +66,9 @@ def nearby(
     last = F.floor((F.col(order.pos) + before) / size)
     wide = df.withColumn("_segment", F.explode(F.sequence(first, last)))
     w = order.segment_window()
-    return (
-        wide.withColumns({name: make(w) for name, make in columns.items()})
-        .filter(F.col("_segment") == order.segment())
-        .drop("_segment")
-    )
+    own = wide.withColumns({name: make(w) for name, make in columns.items()}).filter(
+        F.col("_segment") == order.segment())
+    return own if keep_segment else own.drop("_segment")
 
 
 def carry(
@@ -88,7 +88,8 @@ def carry(
     df = df.withColumns(inputs)
     segmented = order.segment_rows is not None
     if segmented:
-        df = df.withColumn("_segment", order.segment())
+        if "_segment" not in df.columns:
+            df = df.withColumn("_segment", order.segment())
         position = F.col(order.pos)
 
         def value(name: str) -> Column:

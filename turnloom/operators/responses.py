@@ -20,7 +20,7 @@ def label_patterns(hub: DataFrame, order: Ordering) -> DataFrame:
         "_response": group.isin(*L.RESPONSE_GROUPS),
     })
     rows = nearby(
-        rows, order, {"_next": lambda w: F.lead("_response").over(w)}, after=1
+        rows, order, {"_next": lambda w: F.lead("_response").over(w)}, after=1, keep_segment=True
     ).withColumn("is_pattern_question", F.col("_question") & F.coalesce(F.col("_next"), F.lit(False)))
     rows = carry(
         rows,

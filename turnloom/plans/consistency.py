@@ -154,19 +154,43 @@ def between_raters(spark, sf_dir):
 
 oracle.add_view("coded_by_session", """
     SELECT slice, code, rater, source_file, ngram, cnt FROM rated WHERE kind = 'code' AND n = 1""")
-oracle.add_view("within_tests", _tests_sql("coded_by_session", "slice, code, rater", "source_file"))
+oracle.add_view("session_sides", f"""
+    SELECT o.slice, o.code, o.rater, g.source_file, side, ngram, CASE side WHEN 'a' THEN own ELSE total - own END AS cnt FROM (
+      SELECT t.*, g.source_file, coalesce(c.cnt, 0) AS own FROM (
+        SELECT slice, code, rater, ngram, sum(cnt) AS total FROM coded_by_session GROUP BY ALL) t
+      JOIN (SELECT DISTINCT slice, code, rater, source_file FROM coded_by_session) g USING (slice, code, rater)
+      LEFT JOIN coded_by_session c USING (slice, code, rater, source_file, ngram)) o
+    JOIN (SELECT DISTINCT slice, code, rater, source_file FROM coded_by_session) g USING (slice, code, rater, source_file),
+    (VALUES ('a'), ('b')) v(side) WHERE CASE side WHEN 'a' THEN own ELSE total - own END > 0""")
+oracle.add_view("rest_tests", f"""
+    SELECT * EXCLUDE (source_file) REPLACE (source_file AS a, '{A.OTHER_SESSIONS}' AS b)
+    FROM ({_tests_sql('session_sides', 'slice, code, rater, source_file', 'side')})""")
+oracle.add_view("session_numbers", """
+    SELECT slice, code, rater, count(DISTINCT source_file) AS k FROM coded_by_session GROUP BY ALL""")
+oracle.add_view("few_sessions", "SELECT * FROM coded_by_session SEMI JOIN (SELECT * FROM session_numbers WHERE k <= 30) USING (slice, code, rater)")
+oracle.add_view("within_tests", f"""
+    SELECT * FROM ({_tests_sql("few_sessions", "slice, code, rater", "source_file")})
+    UNION ALL BY NAME SELECT * FROM rest_tests SEMI JOIN (SELECT * FROM session_numbers WHERE k > 30) USING (slice, code, rater)""")
 
 
 def _within(spark, sf_dir):
-    return A.compare(coded_labels(spark, sf_dir), ["slice", "code", "rater"], "source_file")
+    return A.within_raters(coded_labels(spark, sf_dir))
 
 
 @registered("k05_within_raters", "SELECT * FROM within_tests")
 def within_raters(spark, sf_dir):
-    """Pairwise tests between the sessions of one rater; one row per pair is the result."""
+    """Tests between the sessions of one rater: pairs of sessions, or each session against
+    the others where a rater has more than 30."""
     return _tests(_within(spark, sf_dir), "slice", "code", "rater")
 
 
+@registered("k05_sessions_against_rest", "SELECT * FROM rest_tests")
+def sessions_against_rest(spark, sf_dir):
+    """Every session against the other sessions of its rater."""
+    tests = A.against_rest(coded_labels(spark, sf_dir), ["slice", "code", "rater"], "source_file")
+    return _tests(tests, "slice", "code", "rater")
+
+
 @registered("k06_rater_divergence_matrix", """
     WITH g AS (SELECT DISTINCT slice, rater FROM coded_labels), c AS (SELECT DISTINCT slice, code FROM coded_labels)
     SELECT g.slice, c.code, g.rater AS a, h.rater AS b, round(p.js, 4) AS js

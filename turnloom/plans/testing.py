@@ -165,14 +165,13 @@ def code_pair_tests(spark, sf_dir):
 
 
 @registered("g09_log_p_matrix", f"""
-    SELECT target, unnest([a, b]) AS a, unnest([b, a]) AS b, round(-log10(greatest(p_fdr, 1e-10)), 6) + 0.0 AS neg_log10_p,
+    SELECT target, unnest([a, b]) AS a, unnest([b, a]) AS b, round(-log10(greatest(p_fdr, 1e-10)), 3) + 0.0 AS neg_log10_p,
            -log10(greatest(p_fdr, 1e-10)) >= -log10(0.05) AS starred
-    FROM ({oracle.corrected('profile_pairs', 'target')}) WHERE p_fdr IS NOT NULL AND p_fdr > 1e-9""")
+    FROM ({oracle.corrected('profile_pairs', 'target')}) WHERE p_fdr IS NOT NULL""")
 def log_p_matrix(spark, sf_dir):
-    """Symmetric -log10 of corrected p. Values too small to print apart are left out."""
-    tests = _profile_tests(spark, sf_dir).filter(F.col("p_fdr") > 1e-9)
-    return S.log_p_matrix(tests, ["target"]).select(
-        "target", "a", "b", (r6("neg_log10_p") + 0.0).alias("neg_log10_p"), "starred")
+    """Symmetric -log10 of corrected p, floored at 1e-10."""
+    return S.log_p_matrix(_profile_tests(spark, sf_dir), ["target"]).select(
+        "target", "a", "b", (F.round("neg_log10_p", 3) + 0.0).alias("neg_log10_p"), "starred")
 
 
 _TWO_WAY = ["any_importance", "patient_importance", "therapist_importance", "therapist_speaking",
