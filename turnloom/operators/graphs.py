@@ -106,12 +106,16 @@ def _walk_prefix(pdf: pd.DataFrame) -> pd.DataFrame:
     """First appearances within the first sequences of one graph, in order."""
     pdf = pdf.sort_values(["source_file", "seq", "pos"], kind="stable")
     seen: dict[tuple[str, str], tuple[str, int]] = {}
-    for (source, seq), rows in pdf.groupby(["source_file", "seq"], sort=False):
-        walker = PathWalker(lambda u, v: (u, v) in seen)
-        edges = [walker.step(label) for label in rows["label"]]
-        for edge in edges:
-            if edge is not None:
-                seen.setdefault(edge, (source, seq))
+    current, walker, fresh = None, None, {}
+    for source, seq, label in zip(pdf["source_file"], pdf["seq"], pdf["label"]):
+        if current != (source, seq):
+            seen.update(fresh)
+            current, fresh = (source, seq), {}
+            walker = PathWalker(lambda u, v: (u, v) in seen)
+        edge = walker.step(label)
+        if edge is not None and edge not in seen:
+            fresh[edge] = current
+    seen.update(fresh)
     graph = pdf["graph_id"].iloc[0]
     return pd.DataFrame(
         [(graph, u, v, source, seq) for (u, v), (source, seq) in seen.items()],
@@ -119,7 +123,7 @@ def _walk_prefix(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def path_edges(rows: DataFrame, prefix: int = 500, prefix_rows: int = 100_000,
+def path_edges(rows: DataFrame, prefix: int = 5000, prefix_rows: int = 200_000,
                max_edges: int = 1_000_000) -> DataFrame:
     """Dual-node edge counts with antiparallel avoidance, sequences taken in the order of
     (source_file, seq).

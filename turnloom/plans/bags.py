@@ -232,15 +232,13 @@ def tf_idf(spark, sf_dir):
 
 
 @registered("e12_group_cosine", f"""
-    SELECT a.level, a.n, a."group" AS group_a, b."group" AS group_b, round(sum(a.freq * b.freq)
-             / sqrt(max(x.sq) * max(y.sq)), 6) AS cosine_similarity
-    FROM level_freq a JOIN level_freq b ON a.level = b.level AND a.n = b.n AND a.ngram = b.ngram
-     AND a."group" < b."group"
-    JOIN (SELECT level, n, "group", sum(freq * freq) AS sq FROM level_freq GROUP BY ALL) x
-      ON x.level = a.level AND x.n = a.n AND x."group" = a."group"
-    JOIN (SELECT level, n, "group", sum(freq * freq) AS sq FROM level_freq GROUP BY ALL) y
-      ON y.level = a.level AND y.n = a.n AND y."group" = b."group"
-    WHERE a.level IN ({_NAMED}) GROUP BY ALL""")
+    WITH g AS (SELECT level, n, "group", sum(freq * freq) AS sq FROM level_freq WHERE level IN ({_NAMED}) GROUP BY ALL)
+    SELECT x.level, x.n, x."group" AS group_a, y."group" AS group_b,
+           round(coalesce(sum(a.freq * b.freq) / sqrt(max(x.sq) * max(y.sq)), 0), 6) AS cosine_similarity
+    FROM g x JOIN g y ON x.level = y.level AND x.n = y.n AND x."group" < y."group"
+    LEFT JOIN level_freq a ON a.level = x.level AND a.n = x.n AND a."group" = x."group"
+    LEFT JOIN level_freq b ON b.level = y.level AND b.n = y.n AND b."group" = y."group" AND b.ngram = a.ngram
+    GROUP BY ALL""")
 def group_cosine(spark, sf_dir):
     counts = tables(spark, sf_dir).ngram_counts().filter(F.col("level").isin(*NAMED_LEVELS))
     freq = N.with_frequency(counts, *FAMILY, "group")
