@@ -18,8 +18,10 @@ from pyspark.sql.types import DoubleType
 from turnloom.session import write_table
 
 _WIDE_DOF = 5000
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, x), dtype=float, count=len(x))
 
 
 def _tail_for_dof(x: np.ndarray, dof: int) -> np.ndarray:
