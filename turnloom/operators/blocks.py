@@ -7,6 +7,8 @@ windows are row-local expressions or plain aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,26 @@ def compress_runs(rows: DataFrame, granularity: str) -> DataFrame:
     return rows.filter(F.col("pos") == first).withColumn("run_length", last - first + 1)
 
 
+def compressed_classes(hub: DataFrame, kinds: Sequence[str], granularity: str) -> DataFrame:
+    """Compressed rows of several sequence kinds from one scan: source_file, pos, cls, seq,
+    label, run_length. Labels are abbreviated for display."""
+    start, end = run_bounds(granularity)
+    pos = F.col("pos")
+
+    def entry(kind: str) -> Column:
+        none = F.lit(None).cast("long")
+        seq = F.lit(0).cast("long") if kind == "transcript" else F.col(f"{kind}_start")
+        seq_end = none if kind == "transcript" else F.col(f"{kind}_end")
+        length = F.least(end, F.coalesce(seq_end, end)) - pos + 1
+        return F.when(
+            seq.isNotNull() & (pos == F.greatest(start, seq)),
+            F.struct(F.lit(kind).alias("cls"), seq.alias("seq"), length.alias("run_length")))
+
+    return hub.select(
+        "source_file", "pos", L.abbreviate(row_label(granularity), granularity).alias("label"),
+        F.inline(F.array_compact(F.array(*[entry(kind) for kind in kinds]))))
+
+
 def blocks(hub: DataFrame, target: str) -> DataFrame:
     """One row per important block: first and last position and number of rows."""
     return (
@@ -145,8 +167,9 @@ def block_codes(hub: DataFrame, target: str, skip_null: bool = False) -> DataFra
             F.when(cell.isNotNull() | F.lit(not skip_null), L.parse_codes(cell))
         ).alias("_index", "code"),
     )
+    # one number instead of (position, index in cell): a cell holds far fewer than 2^20 codes
     seen = rows.groupBy("source_file", "block_start", "code").agg(
-        F.min(F.struct("pos", "_index")).alias("_seen")
+        F.min(F.col("pos") * (1 << 20) + F.col("_index")).alias("_seen")
     )
     per_block = seen.groupBy("source_file", "block_start").agg(
         F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("_seen", "code"))))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.ordered import Ordering, ahead
+from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, ahead, nearby, renumber
 
 SEPARATOR = " -> "
 
@@ -48,6 +48,29 @@ def count_ngrams(occurrences: DataFrame, *by: str) -> DataFrame:
     return occurrences.groupBy(*by, "n", "ngram").agg(F.count("*").alias("cnt"))
 
 
+def concatenated(rows: DataFrame, order: Ordering, *group: str) -> DataFrame:
+    """All compressed sequences of a group as one, in order of (source_file, position), with
+    repeats across the joints dropped.
+
+    Positions along a group are offsets of transcripts plus positions inside them, so a group
+    is cut into segments like a transcript. The offsets need one row per transcript in order;
+    use this reading of pooled groups where that is a moderate number.
+    """
+    keys = [*group, "source_file"]
+    local = renumber(rows.withColumn("_old", F.col("pos")), order.keyed(*keys).by("_old"), "_local")
+    earlier = (
+        Window.partitionBy(*group).orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = local.groupBy(*keys).agg(F.count("*").alias("_n")).select(
+        *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    placed = local.join(offsets, keys).select(
+        *group, "label", (F.col("_local") + F.col("_offset")).alias("pos"))
+    along = Ordering(tuple(group), "pos", order.segment_rows or SEGMENT_ROWS)
+    compared = nearby(placed, along, {"_previous": lambda w: F.lag("label").over(w)}, before=1)
+    return compared.filter(~F.col("label").eqNullSafe(F.col("_previous"))).drop("_previous").withColumn(
+        "seq", F.lit(0).cast("long"))
+
+
 def spread_over_codes(counts: DataFrame, codes: DataFrame) -> DataFrame:
     """Counts per block, credited to every code of the block."""
     return counts.join(

@@ -8,9 +8,10 @@ from turnloom.functions import labels as L
 from turnloom.operators import blocks as B
 from turnloom.operators import ngrams as N
 from turnloom.operators import pairs as P
+from turnloom.operators.ordered import Ordering
 from turnloom.plans import oracle
 from turnloom.plans.registry import registered
-from turnloom.plans.tables import tables
+from turnloom.plans.tables import plain_groups, tables
 
 FAMILY = ("level", "n")
 # Pairwise tables compare the levels whose groups are a fixed set of names.
@@ -311,6 +312,40 @@ def level_ngrams(spark, sf_dir):
     return tables(spark, sf_dir).ngram_counts()
 
 
+oracle.add_view("group_elements", """
+    SELECT 'importance' AS level, CASE cls WHEN 'neither' THEN 'non_important' ELSE cls || '_important' END AS grp,
+           source_file, pos, label FROM seqs WHERE cls <> 'transcript'
+    UNION ALL SELECT 'therapists', 'therapist_' || regexp_extract(source_file, '(.)_with', 1), source_file, pos, label
+              FROM seqs WHERE cls = 'transcript'
+    UNION ALL SELECT 'patient_codes', 'patient_' || code, s.source_file, pos, label FROM seqs s
+              JOIN patient_codes c ON s.source_file = c.source_file AND s.seq = c.block_start WHERE cls = 'patient' AND code <> 'NA'""")
+oracle.add_view("joined_elements", """
+    SELECT level, grp, row_number() OVER (PARTITION BY level, grp ORDER BY source_file, pos) AS pos, label FROM (
+      SELECT *, lag(label) OVER (PARTITION BY level, grp ORDER BY source_file, pos) AS before FROM group_elements)
+    WHERE label IS DISTINCT FROM before""")
+oracle.add_view("joined_grams", oracle._grams("joined_elements", "level, grp", (2, 3), "level, grp"))
+
+
+@registered("e16_concatenated_groups", """
+    SELECT level, grp AS "group", n, ngram, count(*) AS cnt FROM joined_grams GROUP BY ALL""")
+def concatenated_groups(spark, sf_dir):
+    """Pooled groups read as one long sequence each, so that n-grams also span the joints."""
+    t = tables(spark, sf_dir)
+    rows = t.classes()
+    plain = rows.select("source_file", "pos", "label", F.inline(plain_groups())).filter(
+        F.col("level").isin("importance", "therapists"))
+    coded = (
+        rows.filter(F.col("cls") == "patient")
+        .join(t.block_codes("patient").filter(F.col("code") != "NA")
+              .select("source_file", F.col("block_start").alias("seq"), "code"), ["source_file", "seq"])
+        .select("source_file", "pos", "label", F.lit("patient_codes").alias("level"),
+                F.concat(F.lit("patient_"), F.col("code")).alias("group"))
+    )
+    joined = N.concatenated(plain.unionByName(coded), t.order, "level", "group")
+    along = Ordering(("level", "group"), "pos")
+    return N.count_ngrams(N.ngrams(joined, along, (2, 3)), "level", "group")
+
+
 @registered("e17_dominant_preview", """
     SELECT level, "group", rank, ngram, round(tfidf, 6) + 0.0 AS tfidf FROM dominant_grams
     WHERE n = 2 AND rank <= 5""")

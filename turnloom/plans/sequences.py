@@ -363,18 +363,7 @@ def clamped_chunks(spark, sf_dir):
     FROM seqs GROUP BY ALL""")
 def sequence_classes(spark, sf_dir):
     """Pooled patient / therapist / neither / whole-transcript sequences."""
-    hub = tables(spark, sf_dir).hub()
-    parts = [
-        B.compress_runs(B.sequence_rows(hub, kind), "groups").select(
-            F.lit(kind).alias("cls"),
-            L.abbreviate(F.col("da_group"), "groups").alias("label"),
-            "run_length", "source_file", "seq",
-        )
-        for kind in ("patient", "therapist", "neither", "transcript")
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    rows = tables(spark, sf_dir).classes()
     return rows.groupBy("cls", "label").agg(
         F.count("*").alias("n_runs"), F.sum("run_length").alias("n_rows"),
         F.countDistinct("source_file", "seq").alias("n_sequences"),
@@ -423,15 +412,9 @@ def pooled_groups(spark, sf_dir):
 @registered("d14_compressed_runs", """
     SELECT cls, source_file, seq, pos, label, run_length FROM seqs WHERE cls <> 'transcript'""")
 def compressed_runs(spark, sf_dir):
-    hub = tables(spark, sf_dir).hub()
-    parts = [
-        B.compress_runs(B.sequence_rows(hub, kind), "groups").select(
-            F.lit(kind).alias("cls"), "source_file", "seq", "pos",
-            L.abbreviate(F.col("da_group"), "groups").alias("label"), "run_length",
-        )
-        for kind in ("patient", "therapist", "neither")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return B.compressed_classes(
+        tables(spark, sf_dir).hub(), ("patient", "therapist", "neither"), "groups",
+    ).select("cls", "source_file", "seq", "pos", "label", "run_length")
 
 
 @registered("d15_mean_run_lengths", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import labels as L
@@ -89,13 +89,8 @@ class Tables:
 
     def classes(self, granularity: str = "groups") -> DataFrame:
         """Compressed rows of the four sequence classes the bag of words compares."""
-        parts = [
-            B.compress_runs(B.sequence_rows(self.hub(), kind), granularity)
-            .select("source_file", "pos", "seq", F.lit(kind).alias("cls"),
-                    L.abbreviate(B.row_label(granularity), granularity).alias("label"))
-            for kind in ("patient", "therapist", "neither", "transcript")
-        ]
-        return reduce(DataFrame.unionByName, parts)
+        return B.compressed_classes(
+            self.hub(), ("patient", "therapist", "neither", "transcript"), granularity)
 
     def ngram_counts(self) -> DataFrame:
         """level, group, n, ngram, cnt for the five comparison levels."""
@@ -103,28 +98,9 @@ class Tables:
 
     def _ngram_counts(self) -> DataFrame:
         found = N.ngrams(self.classes(), self.order.keyed("source_file", "cls"), SIZES)
-        cls, name = F.col("cls"), F.col("source_file")
-
-        def entry(level: str, group) -> F.Column:
-            return F.struct(F.lit(level).alias("level"), group.alias("group"))
-
-        baseline = F.lit("non_important")
-        groups = (
-            F.when(cls == "transcript", F.array(
-                entry("transcripts", name),
-                entry("therapists", F.concat(F.lit("therapist_"), L.therapist_before_marker(name))),
-            ))
-            .when(cls == "neither", F.array(
-                entry("importance", baseline),
-                entry("patient_codes", baseline),
-                entry("therapist_codes", baseline),
-            ))
-            .otherwise(F.array(entry("importance", F.concat(cls, F.lit("_important")))))
-        )
+        cls = F.col("cls")
         pooled = N.count_ngrams(
-            found.withColumn("_g", F.explode(groups)).select("_g.*", "n", "ngram"),
-            "level", "group",
-        )
+            found.select(F.inline(plain_groups()), "n", "ngram"), "level", "group")
         per_block = N.count_ngrams(
             found.filter(cls.isin("patient", "therapist")), "source_file", "cls", "seq"
         )
@@ -143,6 +119,28 @@ class Tables:
         return reduce(DataFrame.unionByName, parts)
 
 
+def plain_groups() -> Column:
+    """(level, group) entries of a sequence row by its class, code groups aside."""
+    cls, name = F.col("cls"), F.col("source_file")
+
+    def entry(level: str, group: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), group.alias("group"))
+
+    baseline = F.lit("non_important")
+    return (
+        F.when(cls == "transcript", F.array(
+            entry("transcripts", name),
+            entry("therapists", F.concat(F.lit("therapist_"), L.therapist_before_marker(name))),
+        ))
+        .when(cls == "neither", F.array(
+            entry("importance", baseline),
+            entry("patient_codes", baseline),
+            entry("therapist_codes", baseline),
+        ))
+        .otherwise(F.array(entry("importance", F.concat(cls, F.lit("_important")))))
+    )
+
+
 _TABLES: dict[tuple[str, str], Tables] = {}
 
 
