@@ -221,16 +221,18 @@ def divergences(counts: DataFrame, keys: Sequence[str], group: str,
                 sizes: Sequence[int]) -> DataFrame:
     """Divergence of label counts, of each n-gram size, and of all sizes in one vector."""
     keys = list(keys)
-    labels = P.count_divergence(counts.filter(F.col("n") == 1), keys, group, "ngram", "cnt")
-    both = counts.withColumn("_feature", F.concat_ws(":", "n", "ngram"))
-    combined = P.count_divergence(
-        both.filter(F.col("n").isin(*sizes)).drop("n"), keys, group, "_feature", "cnt")
-    out = labels.withColumnRenamed("js", "js_freq").join(
+    wanted = sorted({1, *sizes})
+    per_size = P.count_divergence(
+        counts.filter(F.col("n").isin(*wanted)), [*keys, "n"], group, "ngram", "cnt")
+    wide = (
+        per_size.groupBy(*keys, "a", "b").pivot("n", wanted).agg(F.first("js"))
+        .withColumnsRenamed({str(n): f"js_{n}gram" for n in wanted})
+        .withColumn("js_freq", F.col("js_1gram"))
+    )
+    both = counts.filter(F.col("n").isin(*sizes)).withColumn("_feature", F.concat_ws(":", "n", "ngram"))
+    combined = P.count_divergence(both.drop("n"), keys, group, "_feature", "cnt")
+    return wide.join(
         combined.withColumnRenamed("js", "js_combined_ngram"), [*keys, "a", "b"], "left")
-    for n in sizes:
-        one = P.count_divergence(counts.filter(F.col("n") == n), keys, group, "ngram", "cnt")
-        out = out.join(one.withColumnRenamed("js", f"js_{n}gram"), [*keys, "a", "b"], "left")
-    return out
 
 
 def rater_ceilings(counts: DataFrame, sequences: DataFrame, sizes: Sequence[int]) -> DataFrame:
