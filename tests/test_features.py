@@ -23,13 +23,13 @@ def test_label_expansion_example(spark, segment):
     assert [r.expanded for r in behind] == [0, 0, 0, 1, 1, 1, 0, 0, 1, 1]
 
 
-@pytest.mark.parametrize("segment_rows", [3, 1 << 18])
-def test_loss_mask_keeps_positives_and_an_exact_quota(spark, segment_rows):
+@pytest.mark.parametrize("segment,range_rows", [(None, 1 << 18), (7, 3)])
+def test_loss_mask_keeps_positives_and_an_exact_quota(spark, segment, range_rows):
     rng = random.Random(6)
     data = {s: [int(rng.random() < 0.3) for _ in range(n)] for s, n in (("a", 97), ("b", 4), ("c", 1))}
     frame = spark.createDataFrame(
         [(s, i, x) for s, xs in data.items() for i, x in enumerate(xs)], "source_file string, pos long, label int")
-    rows = X.loss_mask(frame, "label", 0.2, 42, segment_rows).collect()
+    rows = X.loss_mask(frame, Ordering(segment_rows=segment), "label", 0.2, 42, range_rows).collect()
     for s, xs in data.items():
         negatives = sorted(
             (i for i, x in enumerate(xs) if x == 0),
@@ -51,11 +51,12 @@ def test_vocabulary_order_and_unknown_tokens(spark):
         ("a", 0): (2, 0.0, 0.0, 0), ("a", 1): (3, 0.0, 0.0, 0), ("b", 0): (1, 1.0, 0.0, 1)}
 
 
-def test_time_normalisation(spark):
+@pytest.mark.parametrize("segment", [None, 1, 2])
+def test_time_normalisation(spark, segment):
     frame = spark.createDataFrame(
         [("a", 0, 10.0), ("a", 1, None), ("a", 2, 30.0), ("b", 0, 5.0), ("b", 1, 5.0), ("c", 0, None)],
         "source_file string, pos long, seconds double")
-    got = {(r.source_file, r.pos): r.ts_norm for r in X.normalise_time(frame, "seconds").collect()}
+    got = {(r.source_file, r.pos): r.ts_norm for r in X.normalise_time(frame, Ordering(segment_rows=segment), "seconds").collect()}
     assert got == {("a", 0): 0.0, ("a", 1): 0.5, ("a", 2): 1.0, ("b", 0): 0.5, ("b", 1): 0.5, ("c", 0): None}
 
 

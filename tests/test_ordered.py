@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators.ordered import Ordering, ahead, carry, nearby, number_by_time, renumber
+from turnloom.operators.ordered import Ordering, ahead, carry, nearby, number_by_time, overall, renumber
 
 LENGTHS = {"a": 23, "b": 1, "c": 8, "d": 64}
 SEGMENTS = [None, 1, 2, 3, 7, 64, 1000]
@@ -92,6 +92,18 @@ def test_renumber_closes_gaps(frame, rows, segment):
             assert got[name, old] == new
 
 
+@pytest.mark.parametrize("segment", SEGMENTS)
+def test_overall_reaches_every_row(frame, rows, segment):
+    out = overall(frame, Ordering(segment_rows=segment), {
+        "low": ("min", F.col("value")), "high": ("max", F.col("value")), "total": ("sum", F.col("pos"))})
+    got = collected(out, "low", "high", "total")
+    for name, items in rows.items():
+        values = [v for _, _, v in items if v is not None]
+        for pos, _, _ in items:
+            assert got[name, pos] == (
+                min(values, default=None), max(values, default=None), sum(range(len(items))))
+
+
 @pytest.mark.parametrize("segment", [None, 1, 4, 1000])
 def test_number_by_time_with_bursts_and_ties(spark, segment):
     rng = random.Random(3)

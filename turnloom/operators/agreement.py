@@ -16,7 +16,7 @@ from turnloom.functions.stats import chi2_p_value
 from turnloom.operators import blocks as B
 from turnloom.operators import ngrams as N
 from turnloom.operators import pairs as P
-from turnloom.operators.ordered import Ordering
+from turnloom.operators.ordered import Ordering, overall
 
 POOLED = "pooled"
 
@@ -25,12 +25,10 @@ def rater() -> Column:
     return L.therapist_in_prefix(F.col("source_file"))
 
 
-def with_positives(hub: DataFrame, target: str) -> DataFrame:
+def with_positives(hub: DataFrame, order: Ordering, target: str) -> DataFrame:
     """Rows of transcripts that have at least one row important to the target."""
-    has_any = (
-        hub.filter(F.col(f"{target}_start").isNotNull()).select("source_file").distinct()
-    )
-    return hub.join(has_any, "source_file", "left_semi")
+    flag = F.when(F.col(f"{target}_start").isNotNull(), 1).otherwise(0)
+    return overall(hub, order, {"_any": ("max", flag)}).filter(F.col("_any") == 1).drop("_any")
 
 
 def sequence_counts(rows: DataFrame, order: Ordering, granularity: str,
@@ -48,7 +46,7 @@ def rater_counts(hub: DataFrame, codes: DataFrame, order: Ordering, target: str,
 
     A block counts once under `important` and once under each of its codes.
     """
-    kept = with_positives(hub, target)
+    kept = with_positives(hub, order, target)
     important = sequence_counts(B.sequence_rows(kept, target), order, granularity, sizes)
     rest = sequence_counts(B.rest_windows(kept, target, window_size), order, granularity, sizes)
     none = F.lit(None).cast("string")
@@ -65,14 +63,14 @@ def rater_counts(hub: DataFrame, codes: DataFrame, order: Ordering, target: str,
     )
 
 
-def rater_sequences(hub: DataFrame, codes: DataFrame, target: str,
+def rater_sequences(hub: DataFrame, codes: DataFrame, order: Ordering, target: str,
                     window_size: int | None = None) -> DataFrame:
     """Number of sequences per kind, slice, rater, session and code.
 
     A block counts in a speaker's slice only where that speaker has a row in it; a rest
     sequence counts in every slice.
     """
-    kept = with_positives(hub, target)
+    kept = with_positives(hub, order, target)
     important = B.with_slices(B.sequence_rows(kept, target)).select("source_file", "slice", "seq").distinct()
     rest = (
         B.rest_windows(kept, target, window_size).select("source_file", "seq").distinct()

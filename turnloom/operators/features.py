@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import labels as L
 from turnloom.operators.blocks import is_important
-from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, nearby
+from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, nearby, overall
 
 # Token ids, transcript edge markers and prompt wording.
 PAD, UNKNOWN = 0, 1
@@ -27,17 +27,14 @@ TASK = (
 MAX_VOCABULARY = 100_000
 
 
-def normalise_time(df: DataFrame, seconds: str, key: str = "source_file") -> DataFrame:
+def normalise_time(df: DataFrame, order: Ordering, seconds: str) -> DataFrame:
     """Min-max time per transcript as `ts_norm`: constant or missing times give 0.5, a
     transcript without any time gives null."""
-    bounds = df.groupBy(key).agg(F.min(seconds).alias("_low"), F.max(seconds).alias("_high"))
+    bounded = overall(df, order, {"_low": ("min", F.col(seconds)), "_high": ("max", F.col(seconds))})
     low, high = F.col("_low"), F.col("_high")
     scaled = F.when(high == low, 0.5).otherwise((F.col(seconds) - low) / (high - low))
-    return (
-        df.join(bounds, key)
-        .withColumn("ts_norm", F.when(low.isNotNull(), F.coalesce(scaled, F.lit(0.5))))
-        .drop("_low", "_high")
-    )
+    return bounded.withColumn(
+        "ts_norm", F.when(low.isNotNull(), F.coalesce(scaled, F.lit(0.5)))).drop("_low", "_high")
 
 
 def token(granularity: str, with_speaker: bool = True) -> Column:
@@ -89,8 +86,8 @@ def hash_order(seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
 
 
-def loss_mask(rows: DataFrame, label: str, rate: float, seed: int = 42,
-              segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def loss_mask(rows: DataFrame, order: Ordering, label: str, rate: float, seed: int = 42,
+              range_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Keep every positive and, per transcript, max(1, floor(negatives * rate)) negatives.
 
     Negatives rank by hash. A transcript with many is ranked in hash ranges with prefix
@@ -98,12 +95,12 @@ def loss_mask(rows: DataFrame, label: str, rate: float, seed: int = 42,
     """
     if rate >= 1.0:
         return rows.withColumn("in_loss", F.lit(True))
-    negatives = rows.filter(F.col(label) == 0).select(
-        "source_file", "pos", hash_order(seed, "source_file", "pos").alias("_h"))
-    sizes = negatives.groupBy("source_file").agg(F.count("*").alias("_n"))
+    negatives = overall(
+        rows.filter(F.col(label) == 0).select(
+            "source_file", "pos", hash_order(seed, "source_file", "pos").alias("_h")),
+        order, {"_n": ("sum", F.lit(1).cast("long"))})
     fraction = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    ranged = negatives.join(sizes, "source_file").withColumn(
-        "_range", F.floor(fraction * F.ceil(F.col("_n") / segment_rows)))
+    ranged = negatives.withColumn("_range", F.floor(fraction * F.ceil(F.col("_n") / range_rows)))
     counts = ranged.groupBy("source_file", "_range").agg(F.count("*").alias("_k"))
     earlier = (
         Window.partitionBy("source_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -212,7 +209,10 @@ def fit_predict(features: DataFrame, label: str, k: int = 3, seed: int = 42,
 
 
 def split_by_patient(rows: DataFrame, n_train: int = 5, seed: int = 42) -> DataFrame:
-    """`part` of each patient: `n_train` patients drawn by hash for training, others test."""
+    """`part` of each patient: `n_train` patients drawn by hash for training, others test.
+
+    A patient id has two digits, so there are at most 100 rows.
+    """
     patients = rows.select(L.patient_in_name(F.col("source_file")).alias("patient_id")).filter(
         F.col("patient_id").isNotNull()).distinct()
     train = patients.orderBy(hash_order(seed, "patient_id"), "patient_id").limit(n_train).select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, ahead, nearby, renumber
+from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, ahead, nearby
 
 SEPARATOR = " -> "
 
@@ -52,20 +52,23 @@ def concatenated(rows: DataFrame, order: Ordering, *group: str) -> DataFrame:
     """All compressed sequences of a group as one, in order of (source_file, position), with
     repeats across the joints dropped.
 
-    Positions along a group are offsets of transcripts plus positions inside them, so a group
-    is cut into segments like a transcript. The offsets need one row per transcript in order;
-    use this reading of pooled groups where that is a moderate number.
+    A position along a group is the size of all earlier (transcript, segment) pieces plus the
+    place inside the piece; a group is then cut into segments like a transcript. The running
+    size needs one row per piece in order, so use this reading of pooled groups where
+    transcripts are a moderate number.
     """
-    keys = [*group, "source_file"]
-    local = renumber(rows.withColumn("_old", F.col("pos")), order.keyed(*keys).by("_old"), "_local")
+    along = Ordering(tuple(group), "pos", order.segment_rows or SEGMENT_ROWS)
+    piece = [*group, "source_file", "_piece"]
+    pieces = rows.withColumn("_piece", along.segment())
     earlier = (
-        Window.partitionBy(*group).orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("source_file", "_piece")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = local.groupBy(*keys).agg(F.count("*").alias("_n")).select(
-        *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    placed = local.join(offsets, keys).select(
-        *group, "label", (F.col("_local") + F.col("_offset")).alias("pos"))
-    along = Ordering(tuple(group), "pos", order.segment_rows or SEGMENT_ROWS)
+    offsets = pieces.groupBy(*piece).agg(F.count("*").alias("_n")).select(
+        *piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*piece).orderBy("pos"))
+    placed = pieces.join(offsets, piece).select(
+        *group, "label", (F.col("_offset") + inside - 1).alias("pos"))
     compared = nearby(placed, along, {"_previous": lambda w: F.lag("label").over(w)}, before=1)
     return compared.filter(~F.col("label").eqNullSafe(F.col("_previous"))).drop("_previous").withColumn(
         "seq", F.lit(0).cast("long"))
@@ -147,15 +150,24 @@ def sequence_summary(counts: DataFrame, n_groups: DataFrame, family: Sequence[st
     )
 
 
-def tf_idf(counts: DataFrame, family: Sequence[str]) -> DataFrame:
-    """freq * ln(groups / (1 + groups having the n-gram)), for the groups that have it."""
-    freq = with_frequency(counts, *family, "group")
+def tf_idf(counts: DataFrame, family: Sequence[str], salts: int = 32) -> DataFrame:
+    """freq * ln(groups / (1 + groups having the n-gram)), for the groups that have it.
+
+    A frequent n-gram has a row in nearly every group, so its rows meet its document count
+    on a salted key.
+    """
+    freq = with_frequency(counts, *family, "group").withColumn(
+        "_salt", F.pmod(F.hash("group"), F.lit(salts)))
     n_groups = freq.groupBy(*family).agg(F.countDistinct("group").alias("n_groups"))
-    present = freq.groupBy(*family, "ngram").agg(F.count("*").alias("n_present"))
+    present = (
+        freq.groupBy(*family, "ngram").agg(F.count("*").alias("n_present"))
+        .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    )
     return (
-        freq.join(present, [*family, "ngram"])
+        freq.join(present, [*family, "ngram", "_salt"])
         .join(F.broadcast(n_groups), list(family))
         .withColumn("tfidf", F.col("freq") * F.log(F.col("n_groups") / (F.col("n_present") + 1)))
+        .drop("_salt")
     )
 
 

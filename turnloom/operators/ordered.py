@@ -147,6 +147,26 @@ def carry(
     return df.drop("_segment", *[f"_in_{n}" for n in names], *[f"_c_{n}" for n in names])
 
 
+def overall(df: DataFrame, order: Ordering, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Aggregates of whole sequences on each of their rows: name -> ("min" | "max" | "sum",
+    column).
+
+    Per-segment results combine per sequence and return by (keys, segment), so rows of a long
+    sequence never meet on its key alone.
+    """
+    combine = {"min": F.min, "max": F.max, "sum": F.sum}
+    if order.segment_rows is None:
+        whole = Window.partitionBy(*order.keys)
+        return df.withColumns({n: combine[how](c).over(whole) for n, (how, c) in values.items()})
+    df = df.withColumn("_segment", order.segment())
+    parts = df.groupBy(*order.keys, "_segment").agg(
+        *[combine[how](c).alias(n) for n, (how, c) in values.items()])
+    whole = Window.partitionBy(*order.keys)
+    totals = parts.select(
+        *order.keys, "_segment", *[combine[how](n).over(whole).alias(n) for n, (how, _) in values.items()])
+    return df.join(totals, [*order.keys, "_segment"]).drop("_segment")
+
+
 def ahead(
     df: DataFrame,
     order: Ordering,

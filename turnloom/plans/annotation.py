@@ -291,7 +291,8 @@ def unprocessed_files(spark, sf_dir):
 @registered("a09_transcripts_with_positives", """
     SELECT source_file, count(*) AS n_rows FROM hub GROUP BY ALL HAVING count(*) FILTER (WHERE patient) > 0""")
 def transcripts_with_positives(spark, sf_dir):
-    return A.with_positives(tables(spark, sf_dir).hub(), "patient").groupBy("source_file").agg(
+    t = tables(spark, sf_dir)
+    return A.with_positives(t.hub(), t.order, "patient").groupBy("source_file").agg(
         F.count("*").alias("n_rows"))
 
 

@@ -32,7 +32,8 @@ def counts(spark, sf_dir) -> DataFrame:
 
 def sequences(spark, sf_dir) -> DataFrame:
     t = tables(spark, sf_dir)
-    return t.once("rater_sequences", lambda: A.rater_sequences(t.hub(), t.block_codes(TARGET), TARGET))
+    return t.once("rater_sequences", lambda: A.rater_sequences(
+        t.hub(), t.block_codes(TARGET), t.order, TARGET))
 
 
 def coded_labels(spark, sf_dir) -> DataFrame:

@@ -69,7 +69,8 @@ def encoded_rows(spark, sf_dir):
     tokens = X.token("groups")
     vocab = X.vocabulary(hub, tokens).filter(~F.col("token").endswith("elaboration"))
     timed = X.normalise_time(
-        hub.withColumn("seconds", L.clock_seconds(F.col("timestamp"))), "seconds")
+        hub.withColumn("seconds", L.clock_seconds(F.col("timestamp"))),
+        tables(spark, sf_dir).order, "seconds")
     return X.encode(timed, tokens, vocab, TARGET).withColumn("ts", r6("ts"))
 
 
@@ -86,7 +87,9 @@ def expanded_labels(spark, sf_dir):
       SELECT *, count(*) OVER (PARTITION BY source_file, patient) AS n, row_number() OVER (PARTITION BY source_file, patient
                ORDER BY md5('{SEED}:' || source_file || ':' || pos)) AS rank FROM hub)""")
 def loss_mask(spark, sf_dir):
-    return X.loss_mask(labelled(spark, sf_dir), "label", 0.2, SEED).select("source_file", "pos", "in_loss")
+    order = tables(spark, sf_dir).order
+    return X.loss_mask(labelled(spark, sf_dir), order, "label", 0.2, SEED).select(
+        "source_file", "pos", "in_loss")
 
 
 @registered("l07_folds", """
@@ -238,7 +241,7 @@ oracle.add_view("examples", f"""
 def _split_contexts(spark, sf_dir) -> DataFrame:
     contexts = _contexts(spark, sf_dir)
     parts = X.split_by_patient(tables(spark, sf_dir).hub(), 5, SEED)
-    return contexts.join(parts, "patient_id")
+    return contexts.join(F.broadcast(parts), "patient_id")
 
 
 def _examples(spark, sf_dir, n: int) -> DataFrame:

@@ -200,10 +200,11 @@ def speakers(spark, sf_dir):
                   + CAST(split_part(timestamp, ':', 2) AS DOUBLE) * 60
                   + CAST(split_part(timestamp, ':', 3) AS DOUBLE) AS clock FROM hub))""")
 def normalised_time(spark, sf_dir):
-    hub = tables(spark, sf_dir).hub().select(
+    t = tables(spark, sf_dir)
+    clocked = t.hub().select(
         "source_file", "pos", L.clock_seconds(F.col("timestamp")).alias("seconds")
     )
-    return X.normalise_time(hub, "seconds").select(
+    return X.normalise_time(clocked, t.order, "seconds").select(
         "source_file", "pos", "seconds", F.round("ts_norm", 6).alias("ts_norm")
     )
 

@@ -77,8 +77,10 @@ def read_transcripts(spark: SparkSession, path: str, schema: StructType, require
                         F.monotonically_increasing_id().alias("_row"))
             )
             if len(layouts) > 1:
-                rows = rows.join(found.filter(F.col("header") == header).select("source_file"),
-                                 "source_file", "left_semi")
+                # files meet their header once per block, so a large file is many small keys
+                blocks = rows.select("source_file", "_block").distinct().join(
+                    found.filter(F.col("header") == header), "source_file", "left_semi")
+                rows = rows.join(blocks, ["source_file", "_block"], "left_semi")
             parts.append(rows.filter(_wanted_file(F.col("source_file"))).select(
                 "source_file", "_block", "_row",
                 *[(F.col(f"_{named.index(f.name)}") if f.name in named else F.lit(None).cast(f.dataType))
