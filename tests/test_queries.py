@@ -15,7 +15,7 @@ SF_DIR = os.path.join(DATA, "sf0.01")
 # queries that read positions of a transcript, where segments could matter
 ORDERED = [n for n in ORACLES if n.split("_")[0] in {
     "b04", "b08", "b11", "b16", "b17", "c01", "c11", "d01", "d02", "d06", "d07", "d10", "e01", "e02",
-    "e06", "f12", "h01", "i04", "k13", "l04", "l14"}]
+    "e06", "e16", "f12", "h01", "i04", "k13", "l03", "l04", "l05", "l14", "a09", "c19"}]
 
 
 @pytest.fixture(scope="module")

@@ -31,23 +31,31 @@ def with_positives(hub: DataFrame, order: Ordering, target: str) -> DataFrame:
     return overall(hub, order, {"_any": ("max", flag)}).filter(F.col("_any") == 1).drop("_any")
 
 
-def sequence_counts(rows: DataFrame, order: Ordering, granularity: str,
-                    sizes: Sequence[int]) -> DataFrame:
+def block_rows(hub: DataFrame, order: Ordering, target: str, context: int = 0) -> DataFrame:
+    """Rows of important blocks by `seq` (block start), with `context` rows either side."""
+    if context == 0:
+        return B.sequence_rows(hub, target)
+    return B.context_rows(hub, order, target, context).withColumn("seq", F.col("block_start"))
+
+
+def sequence_counts(rows: DataFrame, order: Ordering, granularity: str, sizes: Sequence[int],
+                    overlapping: bool = False) -> DataFrame:
     """n-gram counts per (slice, source_file, seq), repeats of a label kept."""
     sliced = B.with_slices(rows).withColumn("label", L.pick_label(granularity))
-    found = N.ngrams(sliced, order.keyed("source_file", "slice"), sizes)
-    return N.count_ngrams(found, "slice", "source_file", "seq")
+    keys = ("source_file", "slice", "seq") if overlapping else ("source_file", "slice")
+    return N.count_ngrams(N.ngrams(sliced, order.keyed(*keys), sizes), "slice", "source_file", "seq")
 
 
 def rater_counts(hub: DataFrame, codes: DataFrame, order: Ordering, target: str,
                  granularity: str = "groups", sizes: Sequence[int] = (1, 2, 3),
-                 window_size: int | None = None) -> DataFrame:
+                 window_size: int | None = None, context: int = 0) -> DataFrame:
     """kind (`code`, `important`, `rest`), slice, rater, source_file, code, n, ngram, cnt.
 
     A block counts once under `important` and once under each of its codes.
     """
     kept = with_positives(hub, order, target)
-    important = sequence_counts(B.sequence_rows(kept, target), order, granularity, sizes)
+    important = sequence_counts(
+        block_rows(kept, order, target, context), order, granularity, sizes, context > 0)
     rest = sequence_counts(B.rest_windows(kept, target, window_size), order, granularity, sizes)
     none = F.lit(None).cast("string")
     parts = [
@@ -64,14 +72,15 @@ def rater_counts(hub: DataFrame, codes: DataFrame, order: Ordering, target: str,
 
 
 def rater_sequences(hub: DataFrame, codes: DataFrame, order: Ordering, target: str,
-                    window_size: int | None = None) -> DataFrame:
+                    window_size: int | None = None, context: int = 0) -> DataFrame:
     """Number of sequences per kind, slice, rater, session and code.
 
     A block counts in a speaker's slice only where that speaker has a row in it; a rest
     sequence counts in every slice.
     """
     kept = with_positives(hub, order, target)
-    important = B.with_slices(B.sequence_rows(kept, target)).select("source_file", "slice", "seq").distinct()
+    important = B.with_slices(block_rows(kept, order, target, context)).select(
+        "source_file", "slice", "seq").distinct()
     rest = (
         B.rest_windows(kept, target, window_size).select("source_file", "seq").distinct()
         .withColumn("slice", F.explode(F.array(*[

@@ -123,7 +123,8 @@ def compress_runs(rows: DataFrame, granularity: str) -> DataFrame:
     return rows.filter(F.col("pos") == first).withColumn("run_length", last - first + 1)
 
 
-def compressed_classes(hub: DataFrame, kinds: Sequence[str], granularity: str) -> DataFrame:
+def compressed_classes(hub: DataFrame, kinds: Sequence[str], granularity: str,
+                       bucketed: bool = False) -> DataFrame:
     """Compressed rows of several sequence kinds from one scan: source_file, pos, cls, seq,
     label, run_length. Labels are abbreviated for display."""
     start, end = run_bounds(granularity)
@@ -139,7 +140,8 @@ def compressed_classes(hub: DataFrame, kinds: Sequence[str], granularity: str) -
             F.struct(F.lit(kind).alias("cls"), seq.alias("seq"), length.alias("run_length")))
 
     return hub.select(
-        "source_file", "pos", L.abbreviate(row_label(granularity), granularity).alias("label"),
+        "source_file", "pos",
+        L.abbreviate(row_label(granularity, bucketed), granularity).alias("label"),
         F.inline(F.array_compact(F.array(*[entry(kind) for kind in kinds]))))
 
 
@@ -227,6 +229,17 @@ def context_rows(hub: DataFrame, order: Ordering, target: str,
     )
 
 
+def context_sequences(hub: DataFrame, order: Ordering, target: str,
+                      context: int = CONTEXT_ROWS) -> DataFrame:
+    """Rows of each block together with its context as one sequence.
+
+    Contexts overlap, so a sequence is identified by `block_start`; `seq` is its first row.
+    """
+    first = F.greatest(F.col("block_start") - context, F.lit(0)).cast("long")
+    return context_rows(hub, order, target, context).withColumns(
+        {"seq": first, "seq_end": F.lit(None).cast("long")})
+
+
 def clamped_chunks(hub: DataFrame, order: Ordering, context: int = CONTEXT_ROWS) -> DataFrame:
     """Blocks important to either side, with context that stops before the next block."""
     pos = F.col("pos")

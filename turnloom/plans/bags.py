@@ -32,6 +32,39 @@ def sequence_ngrams(spark, sf_dir):
     return N.count_ngrams(found, "cls")
 
 
+oracle.add_view("bucket_rows", f"""
+    SELECT s.source_file, s.cls, s.seq, s.pos, s.label || CASE
+             WHEN h.group_end - h.group_start + 1 <= CASE WHEN h.da_group = 'statements' THEN 2 ELSE 1 END THEN '_S'
+             WHEN h.group_end - h.group_start + 1 <= CASE WHEN h.da_group = 'statements' THEN 8 ELSE 3 END THEN '_M' ELSE '_L' END AS label
+    FROM seqs s JOIN hub h ON s.source_file = h.source_file AND s.pos = h.pos""")
+oracle.add_view("bucket_grams", oracle._grams("bucket_rows", "source_file, cls, seq", (2, 3), "cls"))
+
+
+@registered("e01_bucketed_ngrams", "SELECT cls, n, ngram, count(*) AS cnt FROM bucket_grams GROUP BY ALL")
+def bucketed_ngrams(spark, sf_dir):
+    """n-grams of labels that carry the length class of their run."""
+    t = tables(spark, sf_dir)
+    rows = B.compressed_classes(
+        t.hub(), ("patient", "therapist", "neither", "transcript"), "groups", bucketed=True)
+    return N.count_ngrams(N.ngrams(rows, t.order.keyed("source_file", "cls"), (2, 3)), "cls")
+
+
+oracle.add_view("raw_rows", """
+    SELECT source_file, cls, seq, pos, replace(replace(replace(replace(replace(replace(proc_da, '-Question', '-Q'),
+             '-answers', '-A'), 'Statement-', 'ST-'), 'Acknowledge-', 'Ack-'), 'Conventional-', 'Conv-'), 'Collaborative-', 'Collab-') AS label
+    FROM (SELECT *, 'patient' AS cls, patient_start AS seq FROM hub UNION ALL SELECT *, 'neither', neither_start FROM hub)
+    WHERE seq IS NOT NULL AND pos = greatest(label_start, seq)""")
+oracle.add_view("raw_grams", oracle._grams("raw_rows", "source_file, cls, seq", (2, 3), "cls"))
+
+
+@registered("e01_raw_ngrams", "SELECT cls, n, ngram, count(*) AS cnt FROM raw_grams GROUP BY ALL")
+def raw_ngrams(spark, sf_dir):
+    """n-grams of the labels themselves instead of their groups."""
+    t = tables(spark, sf_dir)
+    rows = B.compressed_classes(t.hub(), ("patient", "neither"), "raw")
+    return N.count_ngrams(N.ngrams(rows, t.order.keyed("source_file", "cls"), (2, 3)), "cls")
+
+
 oracle.add_view("plain_rows", """
     SELECT source_file, patient_start AS seq, pos, da_group AS label FROM hub WHERE patient_start IS NOT NULL""")
 oracle.add_view("plain_grams", oracle._grams(
@@ -312,6 +345,49 @@ def level_ngrams(spark, sf_dir):
     return tables(spark, sf_dir).ngram_counts()
 
 
+_WIDE_CONTEXT = 2
+
+
+def _with_context(target: str) -> str:
+    return f"""
+      SELECT source_file, '{target}_important' AS grp, block_start, pos, {oracle.short('da_group')} AS label
+      FROM ({oracle.context(target, _WIDE_CONTEXT)}) WHERE pos = greatest(group_start, block_start - {_WIDE_CONTEXT}, 0)"""
+
+
+oracle.add_view("context_elements", f"""
+    {_with_context('patient')} UNION ALL {_with_context('therapist')}
+    UNION ALL SELECT source_file, 'non_important', run, pos, {oracle.short('da_group')} FROM (
+      SELECT *, min(pos) OVER (PARTITION BY source_file, run) AS first FROM (
+        SELECT *, pos - row_number() OVER (PARTITION BY source_file ORDER BY pos) AS run FROM (
+          SELECT *, max(CASE WHEN either_start IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY source_file ORDER BY pos
+                   ROWS BETWEEN {_WIDE_CONTEXT} PRECEDING AND {_WIDE_CONTEXT} FOLLOWING) AS claimed FROM hub) WHERE claimed = 0))
+    WHERE pos = greatest(group_start, first)""")
+oracle.add_view("context_grams", oracle._grams(
+    "context_elements", "source_file, grp, block_start", (2, 3), "grp"))
+
+
+@registered("e16_importance_with_context", """
+    SELECT grp AS "group", n, ngram, count(*) AS cnt FROM context_grams GROUP BY ALL""")
+def importance_with_context(spark, sf_dir):
+    """The importance comparison where a block absorbs the rows around it and the rest loses
+    them."""
+    t = tables(spark, sf_dir)
+    parts = [
+        B.compress_runs(B.context_sequences(t.hub(), t.order, target, _WIDE_CONTEXT), "groups").select(
+            "source_file", "block_start", "pos", "seq", "da_group", F.lit(f"{target}_important").alias("group"))
+        for target in B.TARGETS
+    ]
+    rest = B.unclaimed(t.hub(), t.order, _WIDE_CONTEXT)
+    rest = rest.withColumns({"seq": F.col("free_start"), "seq_end": F.col("free_end")})
+    parts.append(B.compress_runs(rest, "groups").select(
+        "source_file", F.col("seq").alias("block_start"), "pos", "seq", "da_group",
+        F.lit("non_important").alias("group")))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn(
+        "label", L.abbreviate(F.col("da_group"), "groups"))
+    found = N.ngrams(rows, t.order.keyed("source_file", "group", "block_start"), (2, 3))
+    return N.count_ngrams(found, "group")
+
+
 oracle.add_view("group_elements", """
     SELECT 'importance' AS level, CASE cls WHEN 'neither' THEN 'non_important' ELSE cls || '_important' END AS grp,
            source_file, pos, label FROM seqs WHERE cls <> 'transcript'
