@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 SEGMENT_ROWS = 1 << 18
 
@@ -212,6 +213,29 @@ def renumber(df: DataFrame, order: Ordering, out: str = "pos") -> DataFrame:
     return numbered.withColumn(out, F.col("_row") - 1).drop("_row")
 
 
+def _slice_long_groups(df: DataFrame, keys: list[str], value: Column, out: str, limit: int,
+                       exact: bool = False) -> DataFrame:
+    """Cut every group of more than `limit` rows into even slices of `value`, or one slice per
+    value when `exact`; other groups get slice 0.
+
+    At most (all rows / limit) groups are that long, which bounds the broadcast.
+    """
+    valued = df.withColumn("_value", value)
+    width = (F.col("_to") - F.col("_from") + 1) / (8 * F.ceil(F.col("_n") / limit))
+    long_groups = (
+        valued.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), F.min("_value").alias("_from"), F.max("_value").alias("_to"))
+        .filter((F.col("_n") > limit) & (F.col("_to") > F.col("_from")))
+        .select(*keys, "_from", (F.lit(1.0) if exact else width).alias("_width"))
+    )
+    position = F.floor((F.col("_value") - F.col("_from")) / F.col("_width"))
+    return (
+        valued.join(F.broadcast(long_groups), keys, "left")
+        .withColumn(out, F.coalesce(position, F.lit(0)).cast("long"))
+        .drop("_value", "_from", "_width")
+    )
+
+
 def number_by_time(
     df: DataFrame,
     key: str,
@@ -222,41 +246,31 @@ def number_by_time(
 ) -> DataFrame:
     """Dense 0-based positions of rows ordered by `time`, then `ties`, inside each key.
 
-    A key with more than `segment_rows` rows is cut into time slices, numbered slice by slice.
-    At most (all rows / segment_rows) keys can be that long, which bounds the broadcast.
+    A key with more than `segment_rows` rows is cut into even time slices, a slice that is
+    still too long into finer ones, then into single instants, and a crowded instant by the
+    first tie-breaker where that is a whole number. Rows are numbered slice by slice.
     """
     if segment_rows is None:
         w = Window.partitionBy(key).orderBy(time, *ties)
         return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
-
-    def micros(column: str) -> Column:
-        return F.unix_micros(F.col(column).cast("timestamp"))
-
-    long_keys = (
-        df.groupBy(key)
-        .agg(F.count("*").alias("_n"), F.min(time).alias("_from"), F.max(time).alias("_to"))
-        .filter(F.col("_n") > segment_rows)
-        .select(
-            key,
-            micros("_from").alias("_from"),
-            ((micros("_to") - micros("_from") + 1)
-             / (8 * F.ceil(F.col("_n") / segment_rows))).alias("_width"),
-        )
-    )
-    sliced = df.join(F.broadcast(long_keys), key, "left").withColumn(
-        "_slice",
-        F.coalesce(F.floor((micros(time) - F.col("_from")) / F.col("_width")), F.lit(0)).cast("long"),
-    ).drop("_from", "_width")
-    counts = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_rows"))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    steps: list[tuple[Column, bool]] = [(micros, False), (micros, False), (micros, True)]
+    if ties and isinstance(df.schema[ties[0]].dataType, IntegralType):
+        steps.append((F.col(ties[0]).cast("long"), False))
+    slices: list[str] = []
+    for step, (value, exact) in enumerate(steps):
+        df = _slice_long_groups(df, [key, *slices], value, f"_slice{step}", segment_rows, exact)
+        slices.append(f"_slice{step}")
+    counts = df.groupBy(key, *slices).agg(F.count("*").alias("_rows"))
     earlier = (
-        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = counts.select(
-        key, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+        key, *slices, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
     )
-    local = Window.partitionBy(key, "_slice").orderBy(time, *ties)
+    local = Window.partitionBy(key, *slices).orderBy(time, *ties)
     return (
-        sliced.join(offsets, [key, "_slice"])
+        df.join(offsets, [key, *slices])
         .withColumn(out, F.row_number().over(local).cast("long") - 1 + F.col("_offset"))
-        .drop("_slice", "_offset")
+        .drop(*slices, "_offset")
     )
