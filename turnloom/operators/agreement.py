@@ -153,9 +153,8 @@ def pooled_over(counts: DataFrame, *keys: str) -> DataFrame:
 
 def compare(counts: DataFrame, keys: Sequence[str], group: str, feature: str = "ngram") -> DataFrame:
     """Chi-square with p-value and natural-log divergence for every pair of groups."""
-    tests = P.chi_square(counts, keys, group, feature, "cnt")
-    js = P.count_divergence(counts, keys, group, feature, "cnt")
-    return tests.join(js, [*keys, "a", "b"]).withColumns({
+    tests = P.count_tests(counts, keys, group, feature, "cnt")
+    return tests.withColumns({
         "p_value": chi2_p_value("chi2", "dof"),
         "js": F.when(F.col("chi2").isNotNull(), F.col("js")),
         "js_any": F.col("js"),
@@ -261,14 +260,18 @@ def rater_ceilings(counts: DataFrame, sequences: DataFrame, sizes: Sequence[int]
     })
 
 
-def ceiling_summary(ceilings: DataFrame) -> DataFrame:
-    """Means and extremes of the (four-digit) ceilings per slice and code and per slice."""
+def ceiling_summary(ceilings: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Means and extremes of the (four-digit) ceilings and n-gram divergences, per slice and
+    code and per slice."""
     value = {c: F.round(c, 4) for c in ("js_freq", "kappa_analogue", "f1_ceiling")}
+    ngram = {n: F.round(f"js_{n}gram", 4) for n in sizes}
     rows = ceilings.withColumn("code", F.explode(F.array(F.col("code"), F.lit(POOLED))))
     return rows.groupBy("slice", "code").agg(
         F.avg(value["js_freq"]).alias("mean_js"), F.avg(value["kappa_analogue"]).alias("mean_kappa"),
         F.avg(value["f1_ceiling"]).alias("mean_f1"), F.min(value["f1_ceiling"]).alias("min_f1"),
         F.max(value["f1_ceiling"]).alias("max_f1"),
+        *[how(js).alias(f"{name}_js_{n}gram") for n, js in ngram.items()
+          for name, how in (("mean", F.avg), ("min", F.min), ("max", F.max))],
     ).withColumn("band", noise_band(F.col("mean_kappa")))
 
 

@@ -109,84 +109,80 @@ def frequency_divergence(counts: DataFrame, keys: Sequence[str], group: str, fea
     )
 
 
-def count_divergence(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
-                     value: str, base2: bool = False) -> DataFrame:
-    """Jensen-Shannon divergence of raw counts with a tiny constant added to every count.
-
-    A one-sided feature has share q = constant / total on the other side. To first order in
-    q, which is exact here, its terms add up to
-    (ln 2 * p + q * (ln 2 + ln q - 1 - ln p)) / 2, so share, count and log sums per group
-    are enough. The constant's own weight in the totals is below 1e-9 and left out.
+def count_tests(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
+                value: str) -> DataFrame:
+    """Chi-square and natural-log Jensen-Shannon divergence of each pair from raw counts.
+
+    `chi2` is that of the 2 x m table over features either side has, with `dof` m - 1 and the
+    continuity correction for 2 x 2; both are null with fewer than two features.
+
+    `js` adds a tiny constant to every count. A one-sided feature then has share
+    q = constant / total on the other side. To first order in q, which is exact here, its
+    terms add up to (ln 2 * p + q * (ln 2 + ln q - 1 - ln p)) / 2, so share, count and log
+    sums per group are enough. The constant's own weight in the totals is below 1e-9 and left
+    out.
     """
     totals = counts.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
-    p = (F.col(value) + COUNT_SMOOTHING) / F.col("_total")
-    shares = counts.join(totals, [*keys, group]).withColumn("_p", p).withColumn("_ln", F.log("_p"))
+    share = (F.col(value) + COUNT_SMOOTHING) / F.col("_total")
+    shares = counts.join(totals, [*keys, group]).withColumn("_p", share).withColumn("_ln", F.log("_p"))
     groups = shares.groupBy(*keys, group).agg(
-        F.first("_total").alias("total"), F.sum("_p").alias("mass"), F.sum("_ln").alias("logs"),
-        F.count("*").alias("features"))
+        F.sum(value).alias("size"), F.count("*").alias("features"),
+        F.sum("_p").alias("mass"), F.sum("_ln").alias("logs"))
+    x, y = F.col(f"{value}_a"), F.col(f"{value}_b")
     met = (
-        shared_features(shares, keys, group, feature, ["_p", "_ln"])
+        shared_features(shares, keys, group, feature, [value, "_p", "_ln"])
         .groupBy(*keys, "a", "b")
         .agg(
+            F.count("*").alias("shared"), F.sum(x).alias("shared_a"), F.sum(y).alias("shared_b"),
+            F.sum(x * x / (x + y)).alias("square_a"), F.sum(y * y / (x + y)).alias("square_b"),
+            F.max_by(x, x + y).alias("corner"), F.max(x + y).alias("corner_total"),
             F.sum(_js_term(F.col("_p_a"), F.col("_p_b"), False)).alias("met"),
-            F.count("*").alias("met_features"),
             *[F.sum(f"_p_{s}").alias(f"met_mass_{s}") for s in "ab"],
             *[F.sum(f"_ln_{s}").alias(f"met_logs_{s}") for s in "ab"],
         )
     )
-    pairs = all_pairs(groups, keys, group, "total", "mass", "logs", "features").join(
+    pairs = all_pairs(groups, keys, group, "size", "features", "mass", "logs").join(
         met, [*keys, "a", "b"], "left")
     zero = F.lit(0.0)
+    n_a, n_b = F.col("size_a"), F.col("size_b")
+    total = n_a + n_b
+
+    part_a = (n_a - F.coalesce(F.col("shared_a"), zero) + F.coalesce(F.col("square_a"), zero)) / n_a
+    part_b = (n_b - F.coalesce(F.col("shared_b"), zero) + F.coalesce(F.col("square_b"), zero)) / n_b
+    plain = F.greatest(total * (part_a + part_b - 1.0), zero)
+    columns = F.col("features_a") + F.col("features_b") - F.coalesce(F.col("shared"), F.lit(0))
+    # 2 x 2: every |O - E| is equal; one cell of a shared column gives it, and with no shared
+    # column the table is diagonal.
+    deviation = F.coalesce(
+        F.abs(F.col("corner") - F.col("corner_total") * n_a / total), n_a * n_b / total)
+    shrunk = (deviation - F.least(F.lit(0.5), deviation)) / deviation
+    corrected = F.when(deviation == 0, zero).otherwise(plain * shrunk * shrunk)
+    chi2 = F.when(columns == 2, corrected).when(columns > 2, plain)
+
     ln2 = math.log(2.0)
 
     def alone(side: str, other: str) -> Column:
         mass = F.col(f"mass_{side}") - F.coalesce(F.col(f"met_mass_{side}"), zero)
         logs = F.col(f"logs_{side}") - F.coalesce(F.col(f"met_logs_{side}"), zero)
-        k = F.col(f"features_{side}") - F.coalesce(F.col("met_features"), zero)
-        q = COUNT_SMOOTHING / F.col(f"total_{other}")
+        k = F.col(f"features_{side}") - F.coalesce(F.col("shared"), zero)
+        q = COUNT_SMOOTHING / F.col(f"size_{other}")
         return F.when(k > 0, 0.5 * (ln2 * mass + q * (k * (ln2 + F.log(q) - 1.0) - logs))).otherwise(zero)
 
     js = F.coalesce(F.col("met"), zero) + alone("a", "b") + alone("b", "a")
-    return pairs.select(*keys, "a", "b", F.greatest(js / (ln2 if base2 else 1.0), zero).alias("js"))
+    return pairs.select(
+        *keys, "a", "b", n_a.alias("n_a"), n_b.alias("n_b"), chi2.alias("chi2"),
+        F.when(columns >= 2, columns - 1).alias("dof"), F.greatest(js, zero).alias("js"))
+
+
+def count_divergence(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
+                     value: str, base2: bool = False) -> DataFrame:
+    """Jensen-Shannon divergence of raw counts, see `count_tests`."""
+    scale = math.log(2.0) if base2 else 1.0
+    return count_tests(counts, keys, group, feature, value).select(
+        *keys, "a", "b", (F.col("js") / scale).alias("js"))
 
 
 def chi_square(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
                value: str) -> DataFrame:
-    """Chi-square of the 2 x m table of each pair, over features either side has.
-
-    `dof` is m - 1; a 2 x 2 table gets the continuity correction. With fewer than two
-    features chi2 and dof are null.
-    """
-    sizes = counts.groupBy(*keys, group).agg(
-        F.sum(value).alias("n"), F.count("*").alias("features"))
-    x, y = F.col(f"{value}_a"), F.col(f"{value}_b")
-    met = (
-        shared_features(counts, keys, group, feature, [value])
-        .groupBy(*keys, "a", "b")
-        .agg(
-            F.count("*").alias("shared"), F.sum(x).alias("shared_a"), F.sum(y).alias("shared_b"),
-            F.sum(x * x / (x + y)).alias("square_a"), F.sum(y * y / (x + y)).alias("square_b"),
-            F.max(F.struct((x + y).alias("column"), x.alias("cell"))).alias("corner"),
-        )
-    )
-    pairs = all_pairs(sizes, keys, group, "n", "features").join(met, [*keys, "a", "b"], "left")
-    zero = F.lit(0.0)
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    total = n_a + n_b
-    part_a = (n_a - F.coalesce(F.col("shared_a"), zero) + F.coalesce(F.col("square_a"), zero)) / n_a
-    part_b = (n_b - F.coalesce(F.col("shared_b"), zero) + F.coalesce(F.col("square_b"), zero)) / n_b
-    plain = F.greatest(total * (part_a + part_b - 1.0), zero)
-    columns = F.col("features_a") + F.col("features_b") - F.coalesce(F.col("shared"), F.lit(0))
-    # 2 x 2: every |O - E| is equal; one cell of a shared column gives it, and with no shared
-    # column the table is diagonal.
-    deviation = F.when(
-        F.col("corner").isNotNull(),
-        F.abs(F.col("corner.cell") - F.col("corner.column") * n_a / total),
-    ).otherwise(n_a * n_b / total)
-    shrunk = (deviation - F.least(F.lit(0.5), deviation)) / deviation
-    corrected = F.when(deviation == 0, zero).otherwise(plain * shrunk * shrunk)
-    chi2 = F.when(columns == 2, corrected).when(columns > 2, plain)
-    return pairs.select(
-        *keys, "a", "b", "n_a", "n_b", chi2.alias("chi2"),
-        F.when(columns >= 2, columns - 1).alias("dof"),
-    )
+    """Chi-square of the 2 x m table of each pair, see `count_tests`."""
+    return count_tests(counts, keys, group, feature, value).drop("js")

@@ -205,50 +205,6 @@ def transcript_summary(spark, sf_dir):
     )
 
 
-@registered("e10_difference_summary", """
-    WITH v AS (SELECT DISTINCT n, ngram FROM levels WHERE level = 'importance'),
-    f AS (SELECT v.n, v.ngram, g.grp, coalesce(l.freq, 0) AS freq, coalesce(l.cnt, 0) AS cnt
-          FROM v CROSS JOIN (VALUES ('patient_important'), ('therapist_important'), ('non_important')) g(grp)
-          LEFT JOIN level_freq l ON l.level = 'importance' AND l.n = v.n AND l.ngram = v.ngram AND l."group" = g.grp),
-    p AS (SELECT n, ngram,
-            max(freq) FILTER (WHERE grp = 'patient_important') AS p, max(freq) FILTER (WHERE grp = 'therapist_important') AS t,
-            max(freq) FILTER (WHERE grp = 'non_important') AS o,
-            max(cnt) FILTER (WHERE grp = 'patient_important') AS count_patient_important,
-            max(cnt) FILTER (WHERE grp = 'therapist_important') AS count_therapist_important,
-            max(cnt) FILTER (WHERE grp = 'non_important') AS count_non_important,
-            max(freq) AS hi, min(freq) AS lo, stddev_pop(freq) AS sd FROM f GROUP BY ALL)
-    SELECT n, ngram, round(p, 6) AS freq_patient_important, round(t, 6) AS freq_therapist_important,
-           round(o, 6) AS freq_non_important, count_patient_important, count_therapist_important,
-           count_non_important, round(p - t, 6) + 0.0 AS diff_patient_vs_therapist,
-           round(p - o, 6) + 0.0 AS diff_patient_vs_non, round(t - o, 6) + 0.0 AS diff_therapist_vs_non,
-           round(abs(p - t), 6) AS absdiff_patient_vs_therapist, round(abs(p - o), 6) AS absdiff_patient_vs_non,
-           round(abs(t - o), 6) AS absdiff_therapist_vs_non, round(hi, 6) AS freq_max, round(lo, 6) AS freq_min,
-           round(hi - lo, 6) AS freq_range, round(sd, 6) AS freq_std,
-           CASE WHEN p = hi THEN 'patient_important' WHEN t = hi THEN 'therapist_important'
-                ELSE 'non_important' END AS dominant_group
-    FROM p""")
-def difference_summary(spark, sf_dir):
-    """Frequencies side by side with pairwise differences and dispersion. The significance
-    columns of the same table are query g02."""
-    counts = tables(spark, sf_dir).ngram_counts().filter(F.col("level") == "importance")
-    groups = ["patient_important", "therapist_important", "non_important"]
-    wide = (
-        N.with_frequency(counts, "n", "group")
-        .groupBy("n", "ngram").pivot("group", groups)
-        .agg(F.max("freq").alias("freq"), F.max("cnt").alias("cnt")).fillna(0)
-    )
-    return N.differences(wide, groups).select(
-        "n", "ngram",
-        *[r6(f"{g}_freq").alias(f"freq_{g}") for g in groups],
-        *[F.col(f"{g}_cnt").alias(f"count_{g}") for g in groups],
-        *[(r6(c) + 0.0).alias(c) for c in (
-            "diff_patient_vs_therapist", "diff_patient_vs_non", "diff_therapist_vs_non",
-            "absdiff_patient_vs_therapist", "absdiff_patient_vs_non", "absdiff_therapist_vs_non",
-            "freq_max", "freq_min", "freq_range", "freq_std")],
-        "dominant_group",
-    )
-
-
 oracle.add_view("scored", """
     SELECT f.*, f.freq * ln(k.groups / (1 + p.present)) AS tfidf FROM level_freq f
     JOIN (SELECT level, n, count(DISTINCT "group") AS groups FROM levels GROUP BY ALL) k

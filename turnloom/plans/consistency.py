@@ -140,8 +140,11 @@ def _tests(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _between(spark, sf_dir):
-    labels = A.pooled_over(coded_labels(spark, sf_dir), "slice", "code", "rater", "ngram")
-    return A.compare(labels, ["slice", "code"], "rater")
+    def build():
+        labels = A.pooled_over(coded_labels(spark, sf_dir), "slice", "code", "rater", "ngram")
+        return A.compare(labels, ["slice", "code"], "rater")
+
+    return tables(spark, sf_dir).once("between_raters", build)
 
 
 oracle.add_view("between_pairs", _pair_sql("coded_labels", "slice, code", "rater", "ngram"))
@@ -176,7 +179,8 @@ oracle.add_view("within_tests", f"""
 
 
 def _within(spark, sf_dir):
-    return A.within_raters(coded_labels(spark, sf_dir))
+    return tables(spark, sf_dir).once(
+        "within_raters", lambda: A.within_raters(coded_labels(spark, sf_dir)))
 
 
 @registered("k05_within_raters", "SELECT * FROM within_tests")
@@ -270,16 +274,22 @@ def rater_ceilings(spark, sf_dir):
             *_JS, "kappa_analogue", "f1_ceiling", "kappa_combined_ngram", "f1_ceiling_ngram")])
 
 
-@registered("k14_ceiling_summary", """
-    SELECT slice, code, round(avg(js_freq), 6) AS mean_js, round(avg(kappa_analogue), 6) AS mean_kappa,
+_NGRAM_STATS = ", ".join(
+    f"round(avg(js_{n}gram), 6) AS mean_js_{n}gram, min(js_{n}gram) AS min_js_{n}gram, max(js_{n}gram) AS max_js_{n}gram"
+    for n in SIZES)
+
+
+@registered("k14_ceiling_summary", f"""
+    SELECT slice, code, {_NGRAM_STATS}, round(avg(js_freq), 6) AS mean_js, round(avg(kappa_analogue), 6) AS mean_kappa,
            round(avg(f1_ceiling), 6) AS mean_f1, min(f1_ceiling) AS min_f1, max(f1_ceiling) AS max_f1,
            CASE WHEN avg(kappa_analogue) > 0.8 THEN 'CONSISTENT' WHEN avg(kappa_analogue) > 0.6 THEN 'MODERATE'
                 WHEN avg(kappa_analogue) > 0.4 THEN 'NOISY' ELSE 'HIGH NOISE' END AS band
     FROM (SELECT * FROM rater_ceilings UNION ALL SELECT * REPLACE ('pooled' AS code) FROM rater_ceilings) GROUP BY slice, code""")
 def ceiling_summary(spark, sf_dir):
-    return A.ceiling_summary(_ceilings(spark, sf_dir)).select(
-        "slice", "code", *[r6(c).alias(c) for c in ("mean_js", "mean_kappa", "mean_f1")],
-        "min_f1", "max_f1", "band")
+    return A.ceiling_summary(_ceilings(spark, sf_dir), SIZES).select(
+        "slice", "code", *[r6(c).alias(c) for c in (
+            "mean_js", "mean_kappa", "mean_f1", *[f"mean_js_{n}gram" for n in SIZES])],
+        *[f"{side}_js_{n}gram" for n in SIZES for side in ("min", "max")], "min_f1", "max_f1", "band")
 
 
 oracle.add_view("imp_rest", """
@@ -376,21 +386,38 @@ def ranked_similarity(spark, sf_dir):
         "slice", "t_a", "code_a", "js", "t_b", "code_b")
 
 
-@registered("k20_top_divergent", """
-    SELECT *, rank FROM (SELECT *, p_value < 0.05 AS significant_p05, row_number() OVER (ORDER BY js DESC, slice, code, comparison, a, b) AS rank
-      FROM (SELECT slice, code, 'between_therapists' AS comparison, a, b, chi2, p_value, js, n_a, n_b FROM between_tests
-            UNION ALL SELECT slice, code, 'within_T' || rater, a, b, chi2, p_value, js, n_a, n_b FROM within_tests)
-      WHERE js IS NOT NULL) WHERE rank <= 10""".replace("SELECT *, rank FROM", "SELECT * FROM"))
-def top_divergent(spark, sf_dir):
-    """The ten most divergent comparisons between and within raters."""
-    columns = ["slice", "code", "comparison", "a", "b", "chi2", "p_value", "js", "n_a", "n_b"]
+oracle.add_view("all_tests", """
+    SELECT slice, code, 'between_therapists' AS comparison, a, b, chi2, p_value, js, n_a, n_b FROM between_tests
+    UNION ALL SELECT slice, code, 'within_T' || rater, a, b, chi2, p_value, js, n_a, n_b FROM within_tests""")
+_TEST_COLUMNS = ["slice", "code", "comparison", "a", "b", "chi2", "p_value", "js", "n_a", "n_b"]
+
+
+def _all_tests(spark, sf_dir) -> DataFrame:
     between = _tests(_between(spark, sf_dir), "slice", "code").withColumn(
         "comparison", F.lit("between_therapists"))
     within = _tests(_within(spark, sf_dir), "slice", "code", "rater").withColumn(
         "comparison", F.concat(F.lit("within_T"), "rater"))
-    everything = between.select(*columns).unionByName(within.select(*columns)).filter(F.col("js").isNotNull())
+    return between.select(*_TEST_COLUMNS).unionByName(within.select(*_TEST_COLUMNS))
+
+
+@registered("k20_test_summary", """
+    SELECT slice, comparison, count(*) AS n_tests, count(*) FILTER (WHERE p_value < 0.05) AS n_significant,
+           round(max(js), 6) AS max_js FROM all_tests GROUP BY ALL""")
+def test_summary(spark, sf_dir):
+    """How many comparisons of each kind are significant."""
+    return _all_tests(spark, sf_dir).groupBy("slice", "comparison").agg(
+        F.count("*").alias("n_tests"), F.count_if(F.col("p_value") < 0.05).alias("n_significant"),
+        r6(F.max("js")).alias("max_js"))
+
+
+@registered("k20_top_divergent", """
+    SELECT * FROM (SELECT *, p_value < 0.05 AS significant_p05,
+             row_number() OVER (ORDER BY js DESC, slice, code, comparison, a, b) AS rank
+      FROM all_tests WHERE js IS NOT NULL) WHERE rank <= 10""")
+def top_divergent(spark, sf_dir):
+    """The ten most divergent comparisons between and within raters."""
     order = [F.col("js").desc(), "slice", "code", "comparison", "a", "b"]
-    top = everything.orderBy(*order).limit(10)
+    top = _all_tests(spark, sf_dir).filter(F.col("js").isNotNull()).orderBy(*order).limit(10)
     return top.withColumns({
         "significant_p05": F.col("p_value") < 0.05,
         "rank": F.row_number().over(Window.orderBy(*order)).cast("long"),

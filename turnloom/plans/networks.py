@@ -357,6 +357,13 @@ def all_code_distances(spark, sf_dir):
     return S.trace_distances(traced, ["scope"], ["hashimoto"])
 
 
+@registered("j09_nearest_to_baseline")
+def nearest_to_baseline(spark, sf_dir):
+    """Code graphs of both speakers nearest to and farthest from the non-important graph."""
+    return S.distances_to(
+        all_code_distances(spark, sf_dir), "non_important", ["scope"], "hashimoto_distance")
+
+
 def _scope(edges: DataFrame, name: str) -> DataFrame:
     return edges.select("graph_id", "src", "dst", "weight").withColumn("scope", F.lit(name))
 
