@@ -54,3 +54,16 @@ _SMALL = {}
 
 def _small(spark):
     return _SMALL.setdefault(spark.sparkContext.applicationId, T.Tables(spark, SF_DIR, segment_rows=16))
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_partitioning_does_not_change_results(spark, oracle, partitions, monkeypatch):
+    key = (spark.sparkContext.applicationId, SF_DIR)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        monkeypatch.setitem(T._TABLES, key, T.Tables(spark, SF_DIR, segment_rows=32))
+        for name in ("d01_patient_blocks", "e04_top_patterns", "b08_packed_windows", "l05_loss_mask"):
+            assert compare(QUERIES[name](spark, SF_DIR), oracle, ORACLES[name]) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

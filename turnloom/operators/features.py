@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import labels as L
 from turnloom.operators.blocks import is_important
 from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, nearby, overall
+from turnloom.session import write_table
 
 # Token ids, transcript edge markers and prompt wording.
 PAD, UNKNOWN = 0, 1
@@ -183,8 +184,10 @@ def fit_predict(features: DataFrame, label: str, k: int = 3, seed: int = 42,
     from pyspark.ml.functions import vector_to_array
 
     hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=buckets, binary=True)
-    data = hashed.transform(
-        features.withColumns({"_label": F.col(label).cast("double"), "fold": grouped_folds(k, seed)}))
+    # every training pass reads the features, so they are written once
+    data = write_table(features.sparkSession, "features", hashed.transform(
+        features.withColumns({"_label": F.col(label).cast("double"), "fold": grouped_folds(k, seed)})
+    ).drop("tokens"))
     # a row here is one fold, so k rows reach the driver
     per_fold = {r.fold: r for r in data.groupBy("fold").agg(
         F.count("*").alias("n"), F.sum("_label").alias("pos")).collect()}
