@@ -67,6 +67,23 @@ def test_splittable_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_declared_layout_skips_the_header_pass(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("\n".join([TURN_HEADER, *TURN_ROWS]) + "\n")
+    rows = readers.read_transcripts(spark, str(tmp_path), TURN, layout=TURN_HEADER.split(","))
+    assert [(r.pos, r.speaker) for r in rows.orderBy("pos").collect()] == [(0, "S1"), (1, "Therapist"), (2, "S1")]
+    (tmp_path / "two.csv").write_text("spoken_text,speaker\nhi,S1\n")
+    rows = readers.read_transcripts(spark, str(tmp_path), TURN, layout=TURN_HEADER.split(","))
+    assert rows.count() == 3
+    assert {r.source_file for r in rows.collect()} == {"one.csv"}
+
+
+def test_large_files_need_the_splittable_reader(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("\n".join([TURN_HEADER, *TURN_ROWS]) + "\n")
+    with pytest.raises(ValueError, match="multiline=False"):
+        readers.read_transcripts(spark, str(tmp_path), TURN, max_file_bytes=10)
+    assert readers.read_transcripts(spark, str(tmp_path), TURN, multiline=False, max_file_bytes=10).count() == 3
+
+
 def test_older_word_layout(spark, tmp_path):
     (tmp_path / "words.csv").write_text(
         "speaker,spoken_text,daseg,confidence,DA_Class_Proc,DA number\n"

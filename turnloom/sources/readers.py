@@ -31,62 +31,85 @@ def _wanted_file(name: Column) -> Column:
 
 
 def headers(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    """source_file and header line of each file, from the block a file starts with."""
+    """source_file, size and header line of each file, from the block a file starts with."""
     lines = (
         spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", "true")
         .text(path)
         .select(F.col("_metadata.file_name").alias("source_file"),
+                F.col("_metadata.file_size").alias("_size"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_row"), "value")
         .filter((F.col("_block") == 0) & _wanted_file(F.col("source_file")))
     )
-    return lines.groupBy("source_file").agg(F.min_by("value", "_row").alias("header"))
+    return lines.groupBy("source_file").agg(
+        F.min_by("value", "_row").alias("header"), F.max("_size").alias("size"))
+
+
+def _split_header(header: str, extension: str) -> list[str]:
+    return [c.strip().strip('"') for c in header.strip("\ufeff\r").split(SEPARATORS[extension])]
+
+
+def _scan(spark: SparkSession, path: str, extension: str, names: Sequence[str], schema: StructType,
+          multiline: bool, checked: bool) -> DataFrame:
+    """Files of one layout, read by position and named by the layout."""
+    types = {f.name: f.dataType for f in schema.fields}
+    layout = StructType(
+        [StructField(n if checked else f"_{i}", types.get(n, StringType())) for i, n in enumerate(names)]
+        + [StructField(CORRUPT, StringType())])
+    options = {**_options(extension, multiline), "enforceSchema": str(not checked).lower()}
+    columns = [f.name for f in layout.fields]
+    rows = (
+        spark.read.schema(layout).options(**options).csv(path)
+        .select("*", F.col("_metadata.file_name").alias("source_file"),
+                F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_row"))
+        .filter(_wanted_file(F.col("source_file")))
+    )
+    return rows.select(
+        "source_file", "_block", "_row",
+        *[(F.col(f"`{columns[list(names).index(f.name)]}`") if f.name in names
+           else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields],
+        CORRUPT,
+    )
 
 
 def read_transcripts(spark: SparkSession, path: str, schema: StructType, required: Sequence[str] = (),
-                     multiline: bool = True, rename: dict[str, str] | None = None) -> DataFrame:
+                     multiline: bool = True, rename: dict[str, str] | None = None,
+                     layout: Sequence[str] | None = None, max_file_bytes: int = 1 << 30) -> DataFrame:
     """All CSV and TSV transcripts under a folder, columns found by name.
 
     Files are read once per distinct header, with columns typed by `schema`; missing columns
     are null, and files lacking a `required` column are left out. Rows get `source_file`,
-    dense `pos` in file order, and `_corrupt_record` where a line did not parse.
+    dense `pos` in file order, and `_corrupt_record` where a line did not parse. A first pass
+    over the files finds the headers; where all files share one, pass it as `layout` and that
+    pass is not made and a file with another header is left out.
 
-    `multiline=True` accepts line breaks inside quotes and keeps a file in one task; switch
-    it off where single files are large, so that Spark can split them.
+    `multiline=True` accepts line breaks inside quotes and keeps a file in one task, so files
+    above `max_file_bytes` are refused; read those with `multiline=False`, which splits them.
     """
     rename = rename or {}
     parts = []
     for extension in SEPARATORS:
+        if layout is not None:
+            parts.append(_scan(spark, path, extension, list(layout), schema, multiline, checked=True))
+            continue
         found = headers(spark, path, extension)
-        layouts = [r.header for r in found.select("header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-        if len(layouts) > MAX_LAYOUTS:
+        known = found.groupBy("header").agg(F.max("size").alias("size")).limit(MAX_LAYOUTS + 1).collect()
+        if len(known) > MAX_LAYOUTS:
             raise ValueError(f"more than {MAX_LAYOUTS} different headers under {path}")
-        for header in layouts:
-            names = [c.strip().strip('"') for c in header.strip("﻿\r").split(SEPARATORS[extension])]
-            named = [rename.get(n, n) for n in names]
-            if not set(required) <= set(named):
+        if multiline and any(r["size"] > max_file_bytes for r in known):
+            raise ValueError(f"a file under {path} is too large for one task; use multiline=False")
+        for header in (r.header for r in known):
+            names = [rename.get(n, n) for n in _split_header(header, extension)]
+            if not set(required) <= set(names):
                 continue
-            types = {f.name: f.dataType for f in schema.fields}
-            layout = StructType(
-                [StructField(f"_{i}", types.get(n, StringType())) for i, n in enumerate(named)]
-                + [StructField(CORRUPT, StringType())])
-            rows = (
-                spark.read.schema(layout).options(**_options(extension, multiline)).csv(path)
-                .select("*", F.col("_metadata.file_name").alias("source_file"),
-                        F.col("_metadata.file_block_start").alias("_block"),
-                        F.monotonically_increasing_id().alias("_row"))
-            )
-            if len(layouts) > 1:
+            rows = _scan(spark, path, extension, names, schema, multiline, checked=False)
+            if len(known) > 1:
                 # files meet their header once per block, so a large file is many small keys
                 blocks = rows.select("source_file", "_block").distinct().join(
                     found.filter(F.col("header") == header), "source_file", "left_semi")
                 rows = rows.join(blocks, ["source_file", "_block"], "left_semi")
-            parts.append(rows.filter(_wanted_file(F.col("source_file"))).select(
-                "source_file", "_block", "_row",
-                *[(F.col(f"_{named.index(f.name)}") if f.name in named else F.lit(None).cast(f.dataType))
-                  .alias(f.name) for f in schema.fields],
-                CORRUPT,
-            ))
+            parts.append(rows)
     if not parts:
         empty = StructType([StructField("source_file", StringType()), *schema.fields])
         return spark.createDataFrame([], empty).withColumns(
