@@ -26,38 +26,43 @@ def _code_entries(target: str) -> Column:
     return F.transform(found, lambda code: _entry(f"{target}_code", code))
 
 
-def splits(hub: DataFrame) -> DataFrame:
-    """One row per (row, comparison, split). Splits of a comparison may overlap: a row that
-    is important to both sides counts in both."""
+def splits(hub: DataFrame, comparisons: Sequence[str] | None = None) -> DataFrame:
+    """One row per (row, comparison, split) of the wanted comparisons (default: all). Splits of
+    a comparison may overlap: a row that is important to both sides counts in both."""
     patient, therapist = is_important("patient"), is_important("therapist")
     either = patient | therapist
     by_therapist = F.col("speaker") == "Therapist"
     by_patient = F.col("speaker") == "Patient"
     therapist_id = F.concat(F.lit("therapist_"), L.therapist_before_marker(F.col("source_file")))
-    entries = [
-        *_named("speaker", {
-            "therapist": by_therapist, "patient": by_patient, "other": ~(by_therapist | by_patient)}),
-        *_named("importance", {
-            "patient": patient, "therapist": therapist, "nonimp": ~either}),
-        *_named("any_importance", {"important": either, "nonimportant": ~either}),
-        *_named("patient_importance", {"important": patient, "nonimportant": ~patient}),
-        *_named("therapist_importance", {"important": therapist, "nonimportant": ~therapist}),
-        *_named("cross_importance", {
+    named = {
+        "speaker": {
+            "therapist": by_therapist, "patient": by_patient, "other": ~(by_therapist | by_patient)},
+        "importance": {"patient": patient, "therapist": therapist, "nonimp": ~either},
+        "any_importance": {"important": either, "nonimportant": ~either},
+        "patient_importance": {"important": patient, "nonimportant": ~patient},
+        "therapist_importance": {"important": therapist, "nonimportant": ~therapist},
+        "cross_importance": {
             "t_t_important": therapist & by_therapist, "t_p_important": therapist & by_patient,
             "p_t_important": patient & by_therapist, "p_p_important": patient & by_patient,
-            "non_important": ~either}),
-        *_named("therapist_speaking", {
-            "important": by_therapist & either, "nonimportant": by_therapist & ~either}),
-        *_named("patient_speaking", {
-            "important": by_patient & either, "nonimportant": by_patient & ~either}),
-        _entry("transcript", F.col("source_file")),
-        _entry("therapist", therapist_id),
-        F.when(by_therapist, _entry("therapist_speech", therapist_id)),
-        F.when(by_patient, _entry("patient_speech", therapist_id)),
-    ]
-    every = F.concat(
-        F.array_compact(F.array(*entries)), _code_entries("patient"), _code_entries("therapist"))
-    return hub.select("*", F.inline(every))
+            "non_important": ~either},
+        "therapist_speaking": {
+            "important": by_therapist & either, "nonimportant": by_therapist & ~either},
+        "patient_speaking": {
+            "important": by_patient & either, "nonimportant": by_patient & ~either},
+    }
+    entries = {
+        **{name: F.array_compact(F.array(*_named(name, parts))) for name, parts in named.items()},
+        "transcript": F.array(_entry("transcript", F.col("source_file"))),
+        "therapist": F.array(_entry("therapist", therapist_id)),
+        "therapist_speech": F.array_compact(F.array(
+            F.when(by_therapist, _entry("therapist_speech", therapist_id)))),
+        "patient_speech": F.array_compact(F.array(
+            F.when(by_patient, _entry("patient_speech", therapist_id)))),
+        "patient_code": _code_entries("patient"),
+        "therapist_code": _code_entries("therapist"),
+    }
+    wanted = [entries[name] for name in (comparisons or entries)]
+    return hub.select("*", F.inline(F.concat(*wanted)))
 
 
 def distribution(rows: DataFrame, label: str = "proc_da") -> DataFrame:

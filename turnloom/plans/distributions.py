@@ -54,7 +54,7 @@ _COMPARISONS = {
 def _distribution(comparisons: list[str]):
     def query(spark, sf_dir):
         """Counts, shares and pooled rank per split (F1) for one family of comparisons."""
-        rows = D.splits(tables(spark, sf_dir).hub()).filter(F.col("comparison").isin(*comparisons))
+        rows = D.splits(tables(spark, sf_dir).hub(), comparisons)
         return D.distribution(rows).select(
             "comparison", "split", "label", "cnt", "total", r6("share").alias("share"), "pooled_rank")
 

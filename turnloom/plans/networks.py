@@ -12,7 +12,7 @@ from turnloom.operators import blocks as B
 from turnloom.operators import graphs as G
 from turnloom.operators import ngrams as N
 from turnloom.operators import similarity as S
-from turnloom.plans import bags, oracle
+from turnloom.plans import bags, oracle, registry
 from turnloom.plans.registry import registered
 from turnloom.plans.tables import tables
 
@@ -257,11 +257,22 @@ def heaviest_edges(spark, sf_dir):
     return G.top_edges(transcript_paths(spark, sf_dir))
 
 
-@registered("i14_graph_metrics")
+def _metric_sql() -> str:
+    parts = [registry.sql_of(name) for name in (
+        "i08_graph_sizes", "i09_components", "i10_degrees", "i11_clustering", "i13_top_edges")]
+    joined = f"({parts[0]})" + "".join(f" JOIN ({sql}) USING (graph_id)" for sql in parts[1:])
+    return f"SELECT *, regexp_extract(graph_id, '(.)_with', 1) AS therapist_id FROM {joined}"
+
+
+@registered("i14_graph_metrics", _metric_sql())
 def graph_metrics(spark, sf_dir):
-    """Every metric of every transcript graph in one table; its parts are checked one by one."""
-    return G.metrics(transcript_paths(spark, sf_dir)).withColumn(
-        "therapist_id", L.therapist_before_marker(F.col("graph_id")))
+    """Every metric of every transcript graph in one table."""
+    rounded = ["density", "mean_in_degree", "mean_out_degree", "clustering_coeff", "largest_weak_frac",
+               "largest_strong_frac", "avg_shortest_path"]
+    return G.metrics(transcript_paths(spark, sf_dir)).withColumns({
+        **{c: r6(c) for c in rounded},
+        "therapist_id": L.therapist_before_marker(F.col("graph_id")),
+    })
 
 
 @registered("i15_heavy_edges", """

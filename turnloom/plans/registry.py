@@ -28,6 +28,11 @@ def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def sql_of(name: str) -> str:
+    """The SQL a query was registered with, before views are added."""
+    return _SQL[name]
+
+
 def oracles() -> dict[str, str]:
     """Every query's SQL with the views it uses, once all modules have added theirs."""
     return {name: oracle.complete(sql) for name, sql in _SQL.items()}

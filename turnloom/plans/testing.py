@@ -257,7 +257,7 @@ oracle.add_view("rank_scores", f"""
 def indicator_rank_tests(spark, sf_dir):
     """Mann-Whitney U per label for every two-way split, corrected per comparison."""
     counts = (
-        D.splits(tables(spark, sf_dir).hub()).filter(F.col("comparison").isin(*_TWO_WAY))
+        D.splits(tables(spark, sf_dir).hub(), _TWO_WAY)
         .groupBy("comparison", "split", F.col("proc_da").alias("label")).agg(F.count("*").alias("cnt"))
     )
     tests = S.indicator_rank_test(counts, ["comparison"], "important", "nonimportant")
