@@ -322,20 +322,68 @@ def _speaker_graphs(spark, sf_dir) -> DataFrame:
     return edges.withColumn("graph_id", F.concat_ws("_", "speaker", "graph_id"))
 
 
-@registered("j02_heat_traces")
-def heat_traces(spark, sf_dir):
-    """NetLSD, magnetic and non-backtracking traces of every code graph."""
-    traced = S.traces(_speaker_graphs(spark, sf_dir))
-    step = F.posexplode(F.arrays_zip(*S.SPECTRA))
-    return traced.select("graph_id", step.alias("step", "v")).select(
-        "graph_id", F.col("step").cast("long").alias("step"), *[r6(f"v.{s}").alias(s) for s in S.SPECTRA])
-
-
-@registered("j05_trace_distances")
+# exp(-t L) = exp(-t) * sum of t^k / k! * M^k for the normalised adjacency M, so traces of its
+# powers give the heat trace without eigenvalues. M is complex for the magnetic Laplacian.
+oracle.add_view("spectral_graphs", """
+    SELECT speaker || '_' || graph_id AS g, src AS i, dst AS j, weight AS w FROM kept_graphs""")
+oracle.add_view("spectral_pairs", """
+    SELECT g, i, j, sum(forward) AS f, sum(backward) AS b FROM (
+      SELECT g, i, j, w AS forward, 0 AS backward FROM spectral_graphs
+      UNION ALL SELECT g, j, i, 0, w FROM spectral_graphs) GROUP BY ALL""")
+oracle.add_view("spectral_degrees", "SELECT g, i, sum(f + b) AS d FROM spectral_pairs GROUP BY ALL")
+oracle.add_view("spectral_entries", """
+    SELECT p.g, p.i, p.j, (f + b) / sqrt(x.d * y.d) AS v, 0.5 * pi() * (f - b) / (f + b) AS phase
+    FROM spectral_pairs p JOIN spectral_degrees x ON x.g = p.g AND x.i = p.i JOIN spectral_degrees y ON y.g = p.g AND y.i = p.j""")
+oracle.add_view("trace_steps", "SELECT CAST(s AS BIGINT) AS step, pow(10, -2 + 3 * s / 249) AS t FROM range(250) r(s)")
+
+
+def _trace_sql(real: str, imaginary: str) -> str:
+    return f"""
+      WITH RECURSIVE m AS (SELECT g, i, j, {real} AS re, {imaginary} AS im FROM spectral_entries),
+      power AS (
+        SELECT g, 0 AS k, i, i AS j, 1.0::DOUBLE AS re, 0.0::DOUBLE AS im FROM spectral_degrees
+        UNION ALL SELECT p.g, p.k + 1, p.i, m.j, sum(p.re * m.re - p.im * m.im), sum(p.re * m.im + p.im * m.re)
+        FROM power p JOIN m ON p.g = m.g AND p.j = m.i WHERE p.k < 70 GROUP BY p.g, p.k, p.i, m.j),
+      moments AS (SELECT g, k, sum(re) AS moment FROM power WHERE i = j GROUP BY ALL),
+      n AS (SELECT g, count(*) AS n FROM spectral_degrees GROUP BY ALL)
+      SELECT g AS graph_id, step, exp(-t) * sum(exp(k * ln(t) - lgamma(k + 1)) * moment) / max(n) AS value
+      FROM moments JOIN n USING (g), trace_steps GROUP BY g, step, t"""
+
+
+oracle.add_view("netlsd_traces", _trace_sql("v", "0.0"))
+oracle.add_view("magnetic_traces", _trace_sql("v * cos(phase)", "v * sin(phase)"))
+
+
+def _trace_query(spectrum: str):
+    def query(spark, sf_dir):
+        """One heat trace per code graph, point by point."""
+        traced = S.traces(_speaker_graphs(spark, sf_dir))
+        return traced.select("graph_id", F.posexplode(spectrum).alias("step", "value")).select(
+            "graph_id", F.col("step").cast("long").alias("step"), r6("value").alias("value"))
+
+    return query
+
+
+registered("j02_netlsd_traces", "SELECT graph_id, step, round(value, 6) AS value FROM netlsd_traces")(
+    _trace_query("netlsd"))
+registered("j03_magnetic_traces", "SELECT graph_id, step, round(value, 6) AS value FROM magnetic_traces")(
+    _trace_query("magnetic"))
+registered("j04_hashimoto_traces")(_trace_query("hashimoto"))
+
+
+@registered("j05_trace_distances", """
+    SELECT split_part(a.graph_id, '_', 1) AS speaker, a.graph_id AS a, b.graph_id AS b,
+           round(sqrt(sum((a.x - b.x) ** 2)), 6) AS netlsd_distance, round(sqrt(sum((a.y - b.y) ** 2)), 6) AS magnetic_distance
+    FROM (SELECT n.graph_id, step, n.value AS x, m.value AS y FROM netlsd_traces n JOIN magnetic_traces m USING (graph_id, step)) a
+    JOIN (SELECT n.graph_id, step, n.value AS x, m.value AS y FROM netlsd_traces n JOIN magnetic_traces m USING (graph_id, step)) b
+      ON a.step = b.step AND a.graph_id < b.graph_id AND split_part(a.graph_id, '_', 1) = split_part(b.graph_id, '_', 1)
+    GROUP BY ALL""")
 def trace_distances(spark, sf_dir):
+    """Distances of the traces per node; those of the trace per edge are query j09."""
     edges = _speaker_graphs(spark, sf_dir)
     traced = S.traces(edges).withColumn("speaker", F.split("graph_id", "_")[0])
-    return S.trace_distances(traced, ["speaker"])
+    return S.trace_distances(traced, ["speaker"], ["netlsd", "magnetic"]).select(
+        "speaker", "a", "b", *[r6(f"{s}_distance").alias(f"{s}_distance") for s in ("netlsd", "magnetic")])
 
 
 @registered("j06_similarity_summary")
