@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import words as W
 from turnloom.operators.ordered import Ordering
-from turnloom.schemas import OLD_WORD_NAMES, TURN, WORD
+from turnloom.schemas import OLD_WORD, TURN, WORD
 from turnloom.sources import readers, writers
 from turnloom.streaming import ingest
 
@@ -86,11 +86,11 @@ def test_large_files_need_the_splittable_reader(spark, tmp_path):
 
 def test_older_word_layout(spark, tmp_path):
     (tmp_path / "words.csv").write_text(
-        "speaker,spoken_text,daseg,confidence,DA_Class_Proc,DA number\n"
+        "speaker,spoken_text,label,confidence,label class,DA number\n"
         "1,Hello,Conventional-opening,0.9,Conventional-opening,1\n1,how,I-,0.3,Open-Question,2\n"
         "1,today,Open-Question,0.8,Open-Question,2\n")
     words = readers.read_old_words(spark, str(tmp_path), WORD)
-    assert set(OLD_WORD_NAMES.values()) <= set(words.columns)
+    assert set(OLD_WORD) <= set(words.columns)
     acts = W.collapse(
         words.withColumnsRenamed({"Proc_DA": "proc_da", "DA_number": "da_number"}), Ordering()).orderBy("pos")
     assert [(a.pos, a.proc_da, a.spoken_text) for a in acts.collect()] == [

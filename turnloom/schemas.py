@@ -22,8 +22,5 @@ ANNOTATION = _struct(
 
 WORD = StructType(TURN.fields + ANNOTATION.fields)
 
-# Older word layout: its column names and what they are called in WORD.
-OLD_WORD_NAMES = {
-    "speaker": "speaker", "spoken_text": "spoken_text", "daseg": "Pred_DA",
-    "confidence": "Raw_Score", "DA_Class_Proc": "Proc_DA", "DA number": "DA_number",
-}
+# Older word layout: its six columns in file order, under their names in WORD.
+OLD_WORD = ["speaker", "spoken_text", "Pred_DA", "Raw_Score", "Proc_DA", "DA_number"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from turnloom.schemas import OLD_WORD_NAMES
+from turnloom.schemas import OLD_WORD
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 MAX_LAYOUTS = 100
@@ -74,8 +74,8 @@ def _scan(spark: SparkSession, path: str, extension: str, names: Sequence[str],
 
 
 def read_transcripts(spark: SparkSession, path: str, schema: StructType, required: Sequence[str] = (),
-                     multiline: bool = True, rename: dict[str, str] | None = None,
-                     layout: Sequence[str] | None = None, max_file_bytes: int = 1 << 30) -> DataFrame:
+                     multiline: bool = True, layout: Sequence[str] | None = None,
+                     max_file_bytes: int = 1 << 30) -> DataFrame:
     """All CSV and TSV transcripts under a folder, columns found by name.
 
     Files are read once per distinct header, with columns typed by `schema`; missing columns
@@ -87,7 +87,6 @@ def read_transcripts(spark: SparkSession, path: str, schema: StructType, require
     `multiline=True` accepts line breaks inside quotes and keeps a file in one task, so files
     above `max_file_bytes` are refused; read those with `multiline=False`, which splits them.
     """
-    rename = rename or {}
     parts = []
     for extension in SEPARATORS:
         if layout is not None:
@@ -100,7 +99,7 @@ def read_transcripts(spark: SparkSession, path: str, schema: StructType, require
         if multiline and any(r["size"] > max_file_bytes for r in known):
             raise ValueError(f"a file under {path} is too large for one task; use multiline=False")
         for header in (r.header for r in known):
-            names = [rename.get(n, n) for n in _split_header(header, extension)]
+            names = _split_header(header, extension)
             if not set(required) <= set(names):
                 continue
             rows = _scan(spark, path, extension, names, schema, multiline, checked=False)
@@ -133,9 +132,10 @@ def number_file_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_old_words(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Word files in the older layout, columns renamed."""
-    return read_transcripts(spark, path, schema, required=["Proc_DA", "DA_number"], rename=OLD_WORD_NAMES)
+def read_old_words(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame:
+    """Word files in the older layout, read by position."""
+    parts = [_scan(spark, path, extension, OLD_WORD, schema, multiline, checked=False) for extension in SEPARATORS]
+    return number_file_rows(reduce(DataFrame.unionByName, parts))
 
 
 def file_key(name: Column) -> Column:
