@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -55,18 +55,19 @@ def chi2_tail(x: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(DoubleType())
-def chi2_p_value(chi2: pd.Series, dof: pd.Series) -> pd.Series:
-    p = pd.Series(chi2_tail(chi2.to_numpy(dtype=float), dof.to_numpy(dtype=float)))
-    return p.astype(object).where(p.notna(), None)
+def _nullable(p: np.ndarray) -> pd.Series:
+    series = pd.Series(p)
+    return series.astype(object).where(series.notna(), None)
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_p_value(z: pd.Series) -> pd.Series:
-    """2 * P(Z >= z), at most 1."""
+def _chi2_p(chi2: pd.Series, dof: pd.Series) -> pd.Series:
+    return _nullable(chi2_tail(chi2.to_numpy(dtype=float), dof.to_numpy(dtype=float)))
+
+
+def _two_sided_p(z: pd.Series) -> pd.Series:
     values = z.to_numpy(dtype=float)
-    p = pd.Series(np.where(np.isnan(values), np.nan, np.minimum(_erfc(np.nan_to_num(values) / math.sqrt(2.0)), 1.0)))
-    return p.astype(object).where(p.notna(), None)
+    tail = np.minimum(_erfc(np.nan_to_num(values) / math.sqrt(2.0)), 1.0)
+    return _nullable(np.where(np.isnan(values), np.nan, tail))
 
 
 def exact_rank_sum_p(u: float, n1: int, n2: int) -> float:
@@ -84,14 +85,29 @@ def exact_rank_sum_p(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2.0 * tail))
 
 
-@F.pandas_udf(DoubleType())
-def exact_rank_sum_p_value(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+def _exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(value) else exact_rank_sum_p(value, int(a), int(b))
         for value, a, b in zip(u, n1, n2)
     ], dtype=object)
 
 
+# The functions are wrapped at each use: a wrapper kept in the module would hold on to the
+# session that saw it first.
+
+def chi2_p_value(chi2: str, dof: str) -> Column:
+    return F.pandas_udf(_chi2_p, DoubleType())(chi2, dof)
+
+
+def two_sided_p_value(z: str) -> Column:
+    """2 * P(Z >= z), at most 1."""
+    return F.pandas_udf(_two_sided_p, DoubleType())(z)
+
+
+def exact_rank_sum_p_value(u: Column, n1: Column, n2: Column) -> Column:
+    return F.pandas_udf(_exact_p, DoubleType())(u, n1, n2)
+
+
 def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str = "p_value",
                        level: float = 0.05) -> DataFrame:
     """Add `p_fdr` and `significant` within each family; missing p stays missing.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.plans import oracle
+from turnloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +22,13 @@ def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(query: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = query
+
+        @functools.wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return query(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql
         return query
