@@ -170,11 +170,16 @@ def _annotated(words: DataFrame, order) -> DataFrame:
     return W.back_fill(W.number_segments(words, order), order)
 
 
+def _annotated_events(spark, sf_dir) -> DataFrame:
+    t = tables(spark, sf_dir)
+    return t.once("annotated_events", lambda: _annotated(_event_words(spark, sf_dir), t.order))
+
+
 @registered("b16_event_segments", """
     SELECT source_file, pos, coalesce(CAST(da_number AS BIGINT), -1) AS da_number, proc AS proc_da, round(score, 6) AS score FROM annotated_events""")
 def event_segments(spark, sf_dir):
     """Segment numbers (B16) and back-filled labels (B17, B18), unlabelled words included."""
-    return _annotated(_event_words(spark, sf_dir), tables(spark, sf_dir).order).select(
+    return _annotated_events(spark, sf_dir).select(
         "source_file", "pos", F.coalesce("da_number", F.lit(-1)).alias("da_number"), "proc_da",
         F.round("score", 6).alias("score"))
 
@@ -199,7 +204,7 @@ def run_counters(spark, sf_dir):
 @registered("b21_last_row_check", """
     SELECT source_file, arg_max(pred_da IS NOT DISTINCT FROM proc, pos) AS matches FROM annotated_events GROUP BY ALL""")
 def last_row_check(spark, sf_dir):
-    rows = _annotated(_event_words(spark, sf_dir), tables(spark, sf_dir).order)
+    rows = _annotated_events(spark, sf_dir)
     return W.last_row_matches(rows, "pred_da", "proc_da")
 
 
@@ -215,7 +220,7 @@ def last_row_check(spark, sf_dir):
 def dialogue_acts(spark, sf_dir):
     """Words collapsed to dialogue acts (C1), texts joined (C2), inside segments dropped."""
     order = tables(spark, sf_dir).order
-    return W.collapse(_annotated(_event_words(spark, sf_dir), order), order).select(
+    return W.collapse(_annotated_events(spark, sf_dir), order).select(
         "source_file", "da_number", "pos", "speaker", "proc_da", "da_group", "patient_important",
         "therapist_important", "patient_code", "therapist_code", "timestamp", "spoken_text")
 

@@ -67,18 +67,23 @@ class Tables:
             self._word_order = self.measured(self.words(), "pos")
         return self._word_order
 
+    def _numbered(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows in transcript order. Segmented numbering is written, since every `carry` that
+        follows reads its input twice."""
+        def build():
+            return number_by_time(
+                rows, "source_file", "ts", ["event_id"], segment_rows=self.order.segment_rows)
+
+        return build() if self.order.segment_rows is None else self.once(name, build)
+
     def numbered_events(self) -> DataFrame:
         """All rows in transcript order, inside labels included."""
-        return number_by_time(
-            bridge.event_rows(self.spark, self.sf_dir), "source_file", "ts", ["event_id"],
-            segment_rows=self.order.segment_rows,
-        )
+        return self._numbered("numbered_events", bridge.event_rows(self.spark, self.sf_dir))
 
     def dialogue_acts(self) -> DataFrame:
         rows = bridge.event_rows(self.spark, self.sf_dir).filter(F.col("proc_da") != L.INSIDE_LABEL)
-        return number_by_time(
-            rows, "source_file", "ts", ["event_id"], segment_rows=self.order.segment_rows
-        ).withColumn("da_group", L.extended_group(F.col("proc_da"))).drop("ts", "event_id")
+        return self._numbered("dialogue_acts", rows).withColumn(
+            "da_group", L.extended_group(F.col("proc_da"))).drop("ts", "event_id")
 
     def hub(self) -> DataFrame:
         """Dialogue-act rows with island bounds."""
