@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, packing, simhash
-from turnloom.llm.common import read
-from turnloom.session import ship
+from turnloom.llm import ann, bpe, chat, line_crf, packing, quality_rules, simhash, sql, toxicity
+from turnloom.llm.common import read, remainder
+from turnloom.session import ship, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,28 @@ def registered(query: Query) -> Query:
     return query
 
 
+@registered
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    model = toxicity.fit(spark, docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "n_segments", "best", "evidence")
+
+
+@registered
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    measures = write_table(spark, "measures", quality_rules.measured(docs).select("doc_id", "_m"))
+    limits = write_table(spark, "fences", quality_rules.fences(quality_rules.sketch(measures)))
+    return quality_rules.judged(measures, limits).select(
+        "doc_id", *[f"_m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                        "n_repeat_words", "base_failed")], F.col("_kept").alias("kept"))
+
+
+ORACLES["op2_quality_rules"] = sql.quality_rules_sql()
+
+
 @registered
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +63,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+@registered
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], turns.schema)
+    return chat.digests(chat.read_back(chat.windows(turns.unionByName(more))))
+
+
+ORACLES["op4_chat_windows"] = sql.chat_windows_sql(PLANTED)
+
+
 @registered
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -53,3 +88,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@registered
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@registered
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
+    model = line_crf.fit(spark, docs, read(spark, sf_dir, "labels"), ~held_out)
+    return line_crf.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), "good_lines")
