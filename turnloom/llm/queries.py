@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import ann, bpe, chat, line_crf, packing, quality_rules, simhash, sql, toxicity
+from turnloom.llm import ann, bpe, chat, line_crf, packing, quality_rules, simhash, sql, suffix_dedup, toxicity
 from turnloom.llm.common import read, remainder
 from turnloom.session import ship, write_table
 
@@ -76,6 +76,17 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_chat_windows"] = sql.chat_windows_sql(PLANTED)
 
 
+@registered
+def op6_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.transform("spans", lambda s: s.end - s.start)
+    return suffix_dedup.remove_repeats(spark, read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_suffix_runs"] = sql.suffix_runs_sql()
+
+
 @registered
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -93,3 +93,25 @@ learned AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, role, te
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(t) AS BIGINT) AS loss_chars,
        sha256(t) AS loss_sha256, CAST(learned.chars + coalesce(extra.chars, 0) AS BIGINT) AS formatted_chars
 FROM learned LEFT JOIN extra USING (conv_id)"""
+
+
+def suffix_runs_sql(width: int = 50) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+blocks AS (SELECT doc_id, at, substr(x, 2 * at + 1, 4096 + 2 * {width}) AS y, n
+           FROM (SELECT *, unnest(generate_series(0, n - {width}, 2048)) AS at FROM n WHERE n >= {width})),
+k AS (SELECT doc_id, at + j AS s, substr(y, 2 * j + 1, 2 * {width}) AS w
+      FROM (SELECT *, unnest(generate_series(0, least(2047, n - {width} - at))) AS j FROM blocks)),
+f AS (SELECT md5(w) AS h, min(doc_id) AS m FROM k GROUP BY h),
+c AS (SELECT doc_id, s FROM k JOIN f ON md5(w) = h WHERE m < doc_id),
+r AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {width} THEN 0 ELSE 1 END AS new FROM c),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM r),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + {width} AS b FROM g GROUP BY ALL),
+pieces AS (SELECT n.doc_id, a, substr(x, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS p,
+                  b FROM spans JOIN n USING (doc_id) WINDOW w AS (PARTITION BY spans.doc_id ORDER BY a)),
+kept AS (SELECT doc_id, string_agg(p, '' ORDER BY a) AS p, max(b) AS b, CAST(sum(b - a) AS BIGINT) AS gone,
+                count(*) AS spans FROM pieces GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(p, '') || substr(x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)"""
