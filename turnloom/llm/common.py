@@ -15,12 +15,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", binary: bool = False) -> DataFrame:
-    """`key` and `text` alone, so other columns of the input never clash; a null text is empty."""
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", binary: bool = False,
+          more: list[str] | None = None) -> DataFrame:
+    """`key` and `text`, and `more`, alone, so other columns of the input never clash; a null text is
+    empty."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return docs.select(
         F.col(f"`{key}`").cast("long").alias("key"),
-        (body.cast("binary") if binary else body).alias("text"),
+        (body.cast("binary") if binary else body).alias("text"), *(more or []),
     )
 
 

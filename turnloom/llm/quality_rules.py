@@ -65,8 +65,10 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
             s -> s.n) END AS n_repeat_words)""")
     df = df.select(*[f"`{c}`" for c in own], "_m_counts")
     n, lines = "greatest(_m_counts.n_words, 1)", "greatest(_m_counts.n_lines, 1)"
+    # a column that no filter may be moved past, so that a filter on the measures does not repeat them
+    fixed = F.monotonically_increasing_id().alias("row")
     return df.select(*[f"`{c}`" for c in own], F.struct(
-        "_m_counts.*",
+        fixed, "_m_counts.*",
         F.expr(f"_m_counts.n_symbols * 1000 DIV {n}").alias("symbols"),
         F.expr(f"_m_counts.n_repeat_words * 1000 DIV {n}").alias("repeats"),
         F.expr(f"_m_counts.n_dup_lines * 1000 DIV {lines}").alias("copies"),

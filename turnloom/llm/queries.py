@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import ann, bpe, chat, line_crf, packing, quality_rules, simhash, sql, suffix_dedup, toxicity
+from turnloom.llm import (
+    ann, bpe, chat, compact_windows, line_crf, packing, quality_rules, simhash, sql, suffix_dedup, toxicity,
+)
 from turnloom.llm.common import read, remainder
 from turnloom.session import ship, write_table
 
@@ -76,6 +78,15 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_chat_windows"] = sql.chat_windows_sql(PLANTED)
 
 
+@registered
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per passage that an earlier document has; `source_id` is the earliest it was matched to."""
+    found = compact_windows.find_passages(spark, read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("passages").alias("p")).select(
+        "doc_id", F.col("p.sources")[0].alias("source_id"), "p.start_word", "p.end_word",
+        (F.col("p.end_word") - F.col("p.start_word")).alias("n_words"), "p.sources")
+
+
 @registered
 def op6_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = F.transform("spans", lambda s: s.end - s.start)

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -42,12 +42,16 @@ _LOW = np.uint64((1 << 48) - 1)
 
 @dataclass
 class Run:
-    """Documents of one run in the order of key and text; `copy` marks those that take no part."""
+    """Documents of one run in the order of key and text; `copy` marks those that take no part, and
+    `first` has the key of the text's first copy. `held` is for what a method wants to keep."""
 
     keys: np.ndarray
     texts: list[bytes]
     copy: np.ndarray
     nulls: np.ndarray
+    first: np.ndarray
+    rest: pa.ChunkedArray | None = None
+    held: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -118,11 +122,11 @@ def _run(table: pa.Table, control: pa.Table) -> tuple[int, Run, dict[str, dict[i
     said: dict[str, dict[int, bytes]] = {"copy": {}, "again": {}, "verdict": {}}
     for kind, bucket, data in zip(*(control[c].to_pylist() for c in ("kind", "bucket", "data"))):
         said[kind][bucket] = data
-    known = np.frombuffer(said["copy"].get(0, b""), "<i8").reshape(-1, 2)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    copies = set(map(tuple, known.tolist()))
-    copy = np.array([(k, n) in copies for k, n in zip(keys.tolist(), lengths.tolist())], bool)
-    return table["run"][0].as_py(), Run(keys, texts, copy | nulls, nulls), said
+    known = np.frombuffer(said["copy"].get(0, b""), "<i8").reshape(-1, 3)
+    copies = {(k, n): first for k, n, first in known.tolist()}
+    first = np.array([copies.get((k, len(t)), k) for k, t in zip(keys.tolist(), texts)], np.int64)
+    rest = table["rest"].take(pa.array(order, pa.int64())) if "rest" in table.column_names else None
+    return table["run"][0].as_py(), Run(keys, texts, (first != keys) | nulls, nulls, first, rest), said
 
 
 def _recurring(found: Anchors, buckets: int, again: dict[int, bytes]) -> tuple[Anchors, np.ndarray]:
@@ -153,12 +157,19 @@ def _table(run, kind, rows: list[tuple[int, bytes]]) -> pa.Table:
 
 
 def search(spark: SparkSession, docs: DataFrame, method: Method, schema: str, key: str = "doc_id",
-           text: str = "text", run_bytes: tuple[int, int] = RUN_BYTES) -> DataFrame:
-    """`method.results` over all documents, one call per run, with columns `schema`.
+           text: str = "text", run_bytes: tuple[int, int] = RUN_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """`method.results` over all documents, one call per run, with columns `schema`, and with `rest`,
+    a struct of the columns `carry` of each row, if any are named.
 
     Rows with a null key take no part but appear in `results`; of rows with equal key and text all do.
     """
-    rows = keyed(docs, key, text, binary=True).withColumn("n", F.octet_length("text"))
+    more = []
+    if carry:
+        rest = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")
+        schema += f", rest {docs.select(rest).schema['rest'].dataType.simpleString()}"
+        docs = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), rest)
+        more = ["rest"]
+    rows = keyed(docs, key, text, True, more).withColumn("n", F.octet_length("text"))
     marks = write_table(spark, "copies", rows.select("key", "n", F.sha2("text", 256).alias("digest")))
     total = marks.agg(F.sum("n")).first()[0] or 0
     least, most = run_bytes
@@ -166,10 +177,10 @@ def search(spark: SparkSession, docs: DataFrame, method: Method, schema: str, ke
     own = F.pmod(F.xxhash64("key", "n"), F.lit(runs)).cast("int").alias("run")
     firsts = marks.where("key IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"))
     copies = write_table(spark, "copies", marks.join(firsts, "digest").where("key > first").select(
-        own, F.col("key").alias("k"), "n"))
+        own, F.col("key").alias("k"), "n", "first"))
 
     def copied(table: pa.Table) -> pa.Table:
-        pairs = np.stack([table["k"].to_numpy(), table["n"].to_numpy()], 1).astype("<i8")
+        pairs = np.stack([table[c].to_numpy() for c in ("k", "n", "first")], 1).astype("<i8")
         return _table(table["run"][0].as_py(), "copy", [(0, np.unique(pairs, axis=0).tobytes())])
 
     def first_pass(table: pa.Table, control: pa.Table) -> pa.Table:
@@ -210,12 +221,13 @@ def search(spark: SparkSession, docs: DataFrame, method: Method, schema: str, ke
             return empty
         _, run, said = _run(table, control)
         found, bucket = _recurring(method.anchors(run), runs, said["again"])
-        return method.results(run, found, method.entries(run, found, bucket), said["verdict"])
+        out = method.results(run, found, method.entries(run, found, bucket), said["verdict"])
+        return out if run.rest is None else out.append_column("rest", run.rest)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     empty = to_arrow_schema(spark.createDataFrame([], schema).schema).empty_table()
-    texts = rows.select(own, "key", "text").groupBy("run")
+    texts = rows.select(own, "key", "text", *more).groupBy("run")
     known = copies.groupBy("run").applyInArrow(copied, _MESSAGES)
 
     def by_run(control: DataFrame, step: Callable, out: str) -> DataFrame:

@@ -99,10 +99,10 @@ def suffix_runs_sql(width: int = 50) -> str:
     return f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
-blocks AS (SELECT doc_id, at, substr(x, 2 * at + 1, 4096 + 2 * {width}) AS y, n
-           FROM (SELECT *, unnest(generate_series(0, n - {width}, 2048)) AS at FROM n WHERE n >= {width})),
-k AS (SELECT doc_id, at + j AS s, substr(y, 2 * j + 1, 2 * {width}) AS w
-      FROM (SELECT *, unnest(generate_series(0, least(2047, n - {width} - at))) AS j FROM blocks)),
+blocks AS (SELECT doc_id, pos, substr(x, 2 * pos + 1, 4096 + 2 * {width}) AS y, n
+           FROM (SELECT *, unnest(generate_series(0, n - {width}, 2048)) AS pos FROM n WHERE n >= {width})),
+k AS (SELECT doc_id, pos + j AS s, substr(y, 2 * j + 1, 2 * {width}) AS w
+      FROM (SELECT *, unnest(generate_series(0, least(2047, n - {width} - pos))) AS j FROM blocks)),
 f AS (SELECT md5(w) AS h, min(doc_id) AS m FROM k GROUP BY h),
 c AS (SELECT doc_id, s FROM k JOIN f ON md5(w) = h WHERE m < doc_id),
 r AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {width} THEN 0 ELSE 1 END AS new FROM c),

@@ -68,19 +68,16 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[:len(x) - (n - size)], x[n - size:]) if n > size else x
 
 
-def anchors_of(data: np.ndarray, valid: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that hold the smallest gram of some string of `width` bytes, and the grams' hashes.
-    `valid` says where such strings start. Equal smallest grams of one string are all taken."""
-    count = width - gram + 1
-    hashes = _grams(data, gram)
-    least = np.zeros(len(data), np.uint64)
+def window_minima(hashes: np.ndarray, valid: np.ndarray, count: int) -> np.ndarray:
+    """Positions whose hash is the smallest of some window of `count`; `valid` says where windows
+    start. Equal smallest hashes of one window are all taken."""
+    least = np.zeros(len(hashes), np.uint64)
     small = _slide(hashes, count, np.minimum)
     least[:len(small)] = small
     least[~valid] = 0
-    # the strings that hold position p start at p - count + 1 ... p
+    # the windows that hold position p start at p - count + 1 ... p
     high = _slide(np.concatenate([np.zeros(count - 1, np.uint64), least]), count, np.maximum)
-    at = np.flatnonzero((high == hashes) & (high > 0))
-    return at, hashes[at]
+    return np.flatnonzero((high == hashes) & (high > 0))
 
 
 class _Suffixes:
@@ -115,9 +112,10 @@ class _Suffixes:
         valid[:ends[-1]] = True
         for back in range(1, self.width):
             valid[ends - back] = False
-        at, hashes = anchors_of(data, valid, self.width, self.gram)
+        hashes = _grams(data, self.gram)
+        at = window_minima(hashes, valid, self.width - self.gram + 1)
         doc = np.searchsorted(ends, at, "right")
-        out[0].append(hashes)
+        out[0].append(hashes[at])
         out[1].append(np.array(group, np.int64)[doc])
         out[2].append(at - (ends - lengths)[doc])
 
