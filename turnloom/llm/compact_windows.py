@@ -37,7 +37,9 @@ from turnloom.llm.suffix_dedup import window_minima
 
 SHINGLE, WORDS, SIMILAR, FUNCTIONS = 5, 50, 0.8, 3
 _CHUNK = 1 << 21
-_PAIRS = 2000  # pairs verified at once
+_PAIRS = 2000  # pairs that wait before they are verified
+_ANCHORS = 1 << 14  # anchors whose surroundings are held at once
+_POSTINGS = 1 << 20  # places of chosen shingles looked at at once
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -167,40 +169,48 @@ class _Windows:
         return Anchors(joined[0].astype(np.uint64), joined[1], joined[2])
 
     def entries(self, run: Run, found: Anchors, buckets: np.ndarray) -> Entries:
-        n, reach = len(found.docs), self.reach
-        if not n:
-            return Entries({}, buckets, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n = len(found.docs)
+        entry, least, messages = np.zeros(n, np.int64), np.zeros(n, np.int64), {}
         shown = (self._sequence(run)["shingles"] & np.uint64(0xFFFFFF)).astype(np.uint32)
         shown[shown == 0] = 1  # 0 is no shingle
-        shown = np.concatenate((np.zeros(reach, np.uint32), shown, np.zeros(reach, np.uint32)))
-        at, a, b = _place(found.places)
+        pad = np.zeros(self.reach, np.uint32)
+        shown = np.concatenate((pad, shown, pad))
+        order = np.argsort(buckets, kind="stable")
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(buckets[order]) != 0)) if n else [], n).astype(int)
+        low = 0
+        while low < n:  # whole buckets, some thousand anchors at a time
+            high = int(edges[max(np.searchsorted(edges, low + _ANCHORS, "right") - 1, np.searchsorted(edges, low, "right"))])
+            part = order[low:high]
+            entry[part], least[part] = self._messages(run, found, buckets, part, shown, messages)
+            low = high
+        return Entries(messages, buckets, entry, least)
+
+    def _messages(self, run: Run, found: Anchors, buckets, part, shown, messages: dict[int, bytes]):
+        """Adds the messages of some whole buckets; the entry and least key of each of their anchors."""
+        n, reach = len(part), self.reach
+        at, a, b = _place(found.places[part])
         offsets = np.arange(2 * reach + 1)
-        near = np.zeros((n, 2 * reach + 1), np.uint32)
-        for low in range(0, n, 1 << 14):
-            part = slice(low, low + (1 << 14))
-            inside = (offsets >= reach - a[part, None]) & (offsets <= reach + b[part, None])
-            near[part] = np.where(inside, shown[at[part, None] + offsets], 0)
+        inside = (offsets >= reach - a[:, None]) & (offsets <= reach + b[:, None])
+        near = np.where(inside, shown[at[:, None] + offsets], np.uint32(0))
         row = np.zeros((n, 1 + near.shape[1] * 3 + 8), np.uint8)  # a last byte that is never zero
-        row[:, :8] = found.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+        row[:, :8] = found.hashes[part].astype(">u8").view(np.uint8).reshape(-1, 8)
         row[:, 8:-1] = near.view(np.uint8).reshape(n, -1, 4)[:, :, :3].reshape(n, -1)
         row[:, -1] = 1
-        whole = row.view(f"S{row.shape[1]}").ravel()
         rank = np.empty(n, np.int64)
-        rank[np.argsort(whole, kind="stable")] = np.arange(n)
-        order = np.lexsort((rank, buckets))
-        row, bucket, keys = row[order], buckets[order], run.keys[found.docs[order]]
+        rank[np.argsort(row.view(f"S{row.shape[1]}").ravel(), kind="stable")] = np.arange(n)
+        order = np.lexsort((rank, buckets[part]))
+        row, bucket, keys = row[order], buckets[part][order], run.keys[found.docs[part]][order]
         new = np.append(True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1]).any(1))
         starts = np.flatnonzero(new)
         first, name = np.minimum.reduceat(keys, starts), np.cumsum(new) - 1
         row, bucket = row[starts], bucket[starts]
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        messages = {}
         for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
             messages[int(bucket[i])] = pack(first[i:j].astype("<i8"), np.ascontiguousarray(row[i:j, :-1]))
         entry, least = np.zeros(n, np.int64), np.zeros(n, np.int64)
         entry[order] = name - np.repeat(edges, np.diff(np.append(edges, len(bucket))))[name]
         least[order] = first[name]
-        return Entries(messages, buckets, entry, least)
+        return entry, least
 
     def merge(self, parts: list[bytes]) -> list[bytes]:
         width = 8 + 3 * (2 * self.reach + 1)
@@ -263,9 +273,9 @@ class _Windows:
                 use &= np.minimum(a[x], a[y]) + np.minimum(b[x], b[y]) + 1 >= self.length
                 waiting.append((x[use], y[use]))
                 count += int(use.sum())
-            if count >= _PAIRS:
-                yield from self._verified(waiting, near, a, b)
-                waiting, count = [], 0
+                if count >= _PAIRS:
+                    yield from self._verified(waiting, near, a, b)
+                    waiting, count = [], 0
         yield from self._verified(waiting, near, a, b)
 
     def _candidates(self, members: np.ndarray, near: np.ndarray):
@@ -276,28 +286,35 @@ class _Windows:
             return
         # rarest shingles of the nearest half window on either side; one must be in the other's row
         mine = near[members]
-        values, place, freq = np.unique(mine, return_inverse=True, return_counts=True)
+        values, place = np.unique(mine, return_inverse=True)
         place = place.reshape(mine.shape)
-        freq[values == 0] = n * mine.shape[1] + 1
+        held = np.unique(place * n + np.arange(n)[:, None])  # each shingle once for each row
+        holder, begin = held % n, np.searchsorted(held // n, np.arange(len(values) + 1))
+        freq = np.diff(begin)
+        freq[values == 0] = n + 1
         half, few = self.length // 2, self.length - self.enough + 1
         chosen = []
         for side in (slice(reach - half, reach), slice(reach + 1, reach + 1 + half)):
             p = place[:, side]
-            take = np.argsort(freq[p], axis=1, kind="stable")[:, :few]
-            chosen.append(np.take_along_axis(p, take, 1))
-        chosen = np.concatenate(chosen, 1)
-        flat = np.argsort(place.ravel(), kind="stable")
-        holder, begin = flat // mine.shape[1], np.searchsorted(place.ravel()[flat], np.arange(len(values) + 1))
-        for low in range(0, n, 64):
-            later = np.repeat(np.arange(low, min(n, low + 64)), chosen.shape[1])
-            want = chosen[low:low + 64].ravel()
-            later, want = later[values[want] != 0], want[values[want] != 0]
-            many = begin[want + 1] - begin[want]
-            y = np.repeat(later, many)
-            x = holder[np.repeat(begin[want], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            chosen.append(np.take_along_axis(p, np.argsort(freq[p], axis=1, kind="stable")[:, :few], 1))
+        chosen = np.unique(np.concatenate(chosen, 1) + np.arange(n)[:, None] * len(values))
+        later, want = chosen // len(values), chosen % len(values)
+        later, want = later[values[want] != 0], want[values[want] != 0]
+        cost = np.cumsum(freq[want])
+        row = 0
+        while row < n:  # some rows at a time, all their postings
+            i = np.searchsorted(later, row)
+            limit = np.searchsorted(cost, (cost[i - 1] if i else 0) + _POSTINGS)
+            stop = max(row + 1, int(later[limit]) if limit < len(later) else n)
+            j = np.searchsorted(later, stop)
+            w, y = want[i:j], later[i:j]
+            many = freq[w]
+            y = np.repeat(y, many)
+            x = holder[np.repeat(begin[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
             both = np.unique(x[x < y] * n + y[x < y])
-            for k in range(0, len(both), 1 << 18):
-                yield members[both[k:k + (1 << 18)] // n], members[both[k:k + (1 << 18)] % n]
+            for k in range(0, len(both), 1 << 16):
+                yield members[both[k:k + (1 << 16)] // n], members[both[k:k + (1 << 16)] % n]
+            row = stop
 
     def _verified(self, waiting, near, a, b):
         if not waiting:

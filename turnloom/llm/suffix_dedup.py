@@ -59,25 +59,19 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
-def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
-    """best(x[i], ..., x[i + n - 1]) for each i that has them all."""
-    size = 1
-    while 2 * size <= n:
-        x = best(x[:-size], x[size:])
-        size *= 2
-    return best(x[:len(x) - (n - size)], x[n - size:]) if n > size else x
-
-
 def window_minima(hashes: np.ndarray, valid: np.ndarray, count: int) -> np.ndarray:
-    """Positions whose hash is the smallest of some window of `count`; `valid` says where windows
-    start. Equal smallest hashes of one window are all taken."""
-    least = np.zeros(len(hashes), np.uint64)
-    small = _slide(hashes, count, np.minimum)
-    least[:len(small)] = small
-    least[~valid] = 0
-    # the windows that hold position p start at p - count + 1 ... p
-    high = _slide(np.concatenate([np.zeros(count - 1, np.uint64), least]), count, np.maximum)
-    return np.flatnonzero((high == hashes) & (high > 0))
+    """Positions of the leftmost smallest hash of each window of `count`; `valid` says where windows
+    start."""
+    least, place, size = hashes, np.arange(len(hashes)), 1
+    while size < min(count, len(hashes)):
+        step = min(size, count - size)  # the last step overlaps
+        left, right = least[:-step], least[step:]
+        first = left <= right
+        least, place = np.where(first, left, right), np.where(first, place[:-step], place[step:])
+        size += step
+    taken = np.zeros(len(hashes), bool)
+    taken[place[valid[:len(place)]]] = True
+    return np.flatnonzero(taken)
 
 
 class _Suffixes:
