@@ -18,6 +18,10 @@ documents is compared once. In a large group, pairs are found by the rarest shin
 holds c has the nearest half window on one side of it, of which no more than a few may be missing, so
 one of its rarest shingles must be shared. Nothing is capped.
 
+Where fewer than half of the shingles around c are distinct (one word said over and over), similarity
+says little and everything resembles everything; there a window counts as repeated only if an earlier
+document has it word for word.
+
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a null text is empty; texts
 shorter than a window have no passages; an exact copy of a text is one whole passage; a null key
 neither has passages nor is a source; an empty table gives no rows.
@@ -242,16 +246,52 @@ class _Windows:
         rest = order[fits]
         low[rest], high[rest] = -a[group[fits]], b[group[fits]]
         source[rest] = keys[mine[fits]]
-        for i, j, lo, hi in self._pairs(code, keys[lead], near, a, b):
-            np.minimum.at(low, lead[j], lo)
-            np.maximum.at(high, lead[j], hi)
-            np.minimum.at(source, lead[j], keys[lead[i]])
+        flat = np.sort(near, 1)
+        distinct = ((flat[:, 1:] != flat[:, :-1]) & (flat[:, 1:] != 0)).sum(1) + (flat[:, 0] != 0)
+        plain = np.flatnonzero(2 * distinct >= a + b + 1)
+        for i, j, lo, hi in self._pairs(code[plain], keys[lead[plain]], near[plain], a[plain], b[plain]):
+            i, j = lead[plain[i]], lead[plain[j]]
+            np.minimum.at(low, j, lo)
+            np.maximum.at(high, j, hi)
+            np.minimum.at(source, j, keys[i])
+        dull = np.flatnonzero(np.isin(code, np.delete(code, plain)))
+        if len(dull):
+            lo, hi, who = self._equal(code[dull], keys[lead[dull]], near[dull], a[dull], b[dull])
+            dull = lead[dull]
+            low[dull], high[dull] = np.minimum(low[dull], lo), np.maximum(high[dull], hi)
+            source[dull] = np.minimum(source[dull], who)
         # what the first of a class has in earlier documents, the others of the class have too
         source[rest] = np.minimum(source[rest], source[mine[fits]])
         same = order[~fits]
         low[same], high[same], source[same] = (x[mine[~fits]] for x in (low, high, source))
         return [pack(low[i:j], high[i:j], source[i:j].astype("<i8")) for i, j in zip(base[:-1], base[1:])]
 
+    def _equal(self, code, keys, near, a, b):
+        """Per class: the range of its windows around c that an earlier class has word for word, and
+        the earliest such class. One sort for each place of c in a window, whatever the group's size."""
+        n, reach, base = self.length, self.reach, np.uint64(_BASE)
+        low, high = np.full(len(keys), 127, np.int8), np.full(len(keys), -128, np.int8)
+        source = np.full(len(keys), np.iinfo(np.int64).max)
+        rolled, drop = np.zeros(len(keys), np.uint64), np.uint64(pow(_BASE, n - 1, 1 << 64))
+        for k in range(n):
+            rolled = rolled * base + near[:, k]
+        for w in range(n):
+            able = np.flatnonzero((reach - a <= w) & (w + n - 1 <= reach + b))
+            mark = _mixed(rolled[able]) ^ code[able].astype(np.uint64)
+            rank = able[np.argsort(mark, kind="stable")]
+            if len(rank) > 1:
+                m = np.sort(mark)
+                starts = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+                least = np.repeat(np.minimum.reduceat(keys[rank], starts), np.diff(np.append(starts, len(m))))
+                hit = least < keys[rank]
+                rows = rank[hit]
+                low[rows] = np.minimum(low[rows], w - reach)
+                high[rows] = np.maximum(high[rows], w + n - 1 - reach)
+                source[rows] = np.minimum(source[rows], least[hit])
+            if w + n < near.shape[1]:
+                rolled = (rolled - near[:, w] * drop) * base + near[:, w + n]
+        return low, high, source
+
     def _extent(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = near != 0
         return held[:, :self.reach].sum(1), held[:, self.reach + 1:].sum(1)
