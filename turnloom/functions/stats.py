@@ -17,19 +17,52 @@ from pyspark.sql.types import DoubleType
 
 from turnloom.session import write_table
 
-_WIDE_DOF = 5000
+_LONG_SUM = 5000  # degrees of freedom beyond which series and continued fraction are shorter
 
 
 def _erfc(x: np.ndarray) -> np.ndarray:
     return np.fromiter(map(math.erfc, x), dtype=float, count=len(x))
 
 
+def _upper_gamma(a: float, x: np.ndarray) -> np.ndarray:
+    """Regularised upper incomplete gamma function for large a: series below a, fraction above."""
+    x = np.asarray(x, dtype=float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = (x - a) / a
+        log_front = (-a * (part - np.log1p(part)) - 0.5 * math.log(2.0 * math.pi * a)
+                     - 1.0 / (12.0 * a) + 1.0 / (360.0 * a ** 3))
+        front = np.where(x > 0, np.exp(log_front), 0.0)  # x**a exp(-x) / gamma(a + 1)
+    out = np.ones_like(x)
+    low = x < a + 1
+    if low.any():
+        y, term, n = x[low], np.ones(low.sum()), 0
+        total = term.copy()
+        while (term > 1e-17 * total).any():
+            n += 1
+            term = term * y / (a + n)
+            total += term
+        out[low] = 1.0 - front[low] * total
+    if (~low).any():
+        y = x[~low]
+        b, c = y + 1.0 - a, np.full(y.shape, 1e300)
+        d = 1.0 / b
+        h, n, change = d.copy(), 0, np.full(y.shape, 2.0)
+        while (np.abs(change - 1.0) > 1e-15).any() and n < 10_000_000:
+            n += 1
+            an = -n * (n - a)
+            b = b + 2.0
+            d = 1.0 / (an * d + b)
+            c = b + an / c
+            change = c * d
+            h = h * change
+        out[~low] = front[~low] * a * h
+    return np.clip(out, 0.0, 1.0)
+
+
 def _tail_for_dof(x: np.ndarray, dof: int) -> np.ndarray:
     half = x / 2.0
-    if dof > _WIDE_DOF:
-        # Wilson-Hilferty; its error is below 1e-6 at this size
-        z = ((x / dof) ** (1.0 / 3.0) - (1.0 - 2.0 / (9.0 * dof))) / math.sqrt(2.0 / (9.0 * dof))
-        return 0.5 * _erfc(z / math.sqrt(2.0))
+    if dof > _LONG_SUM:
+        return _upper_gamma(0.5 * dof, half)
     odd = dof % 2
     tail = _erfc(np.sqrt(half)) if odd else np.zeros_like(half)
     with np.errstate(divide="ignore"):

@@ -25,7 +25,6 @@ TASK = (
     "Only classify the TARGET DA and text marked with >>>. "
     "Answer with exactly one of: 'important' or 'not important'.\n"
 )
-MAX_VOCABULARY = 100_000
 
 
 def normalise_time(df: DataFrame, order: Ordering, seconds: str) -> DataFrame:
@@ -47,7 +46,7 @@ def token(granularity: str, with_speaker: bool = True) -> Column:
 def vocabulary(rows: DataFrame, tokens: Column) -> DataFrame:
     """token, idx in order of first appearance over sorted transcripts; 0 and 1 are reserved.
 
-    One row per distinct token is numbered, and their number is checked where it is used.
+    One row per distinct token is numbered.
     """
     seen = rows.groupBy(tokens.alias("token")).agg(F.min(F.struct("source_file", "pos")).alias("_first"))
     return seen.select(
@@ -56,13 +55,10 @@ def vocabulary(rows: DataFrame, tokens: Column) -> DataFrame:
 
 def encode(rows: DataFrame, tokens: Column, vocab: DataFrame, target: str) -> DataFrame:
     """Token ids (unknown tokens get 1), speaker channel, time (0 where absent) and label."""
-    size = vocab.limit(MAX_VOCABULARY + 1).count()
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary has more than {MAX_VOCABULARY} tokens")
     spoken_by_other = L.normalise_speaker(F.col("speaker")) != "therapist"
     return (
         rows.withColumn("token", tokens)
-        .join(F.broadcast(vocab), "token", "left")
+        .join(vocab, "token", "left")
         .select(
             "source_file", "pos",
             F.coalesce("idx", F.lit(UNKNOWN).cast("long")).alias("token_id"),

@@ -20,7 +20,6 @@ from turnloom.session import write_table
 
 NODE_SEPARATOR = "→"
 MAX_NODES = 4096
-MAX_GRAPHS = 10_000
 
 
 def edges_from(counts: DataFrame, k: int = 1) -> DataFrame:
