@@ -33,7 +33,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 def _grams(data: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n bytes from each position on, by doubling; the last n - 1 are partial."""
     part, size, out, done = data.astype(np.uint64) * _MIX + np.uint64(1), 1, None, 0
-    power = _BASE
+    power = np.full(1, _BASE)  # an array, whose products wrap silently
     while True:
         if n & size:
             if out is None:
