@@ -16,11 +16,12 @@ from pyspark.sql.types import StructType
 
 def transcript_stream(spark: SparkSession, path: str, schema: StructType, sep: str = ",",
                       glob: str = "*.csv", files_per_batch: int = 1000) -> DataFrame:
-    """Rows of every new file in the declared layout, tagged with the file name."""
+    """Rows of every new file in the declared layout, tagged with the file name. A file whose header
+    is another stops the batch with its name, rather than being read by position."""
     return (
         spark.readStream.schema(schema)
         .options(header="true", sep=sep, multiLine="true", escape='"', mode="PERMISSIVE",
-                 pathGlobFilter=glob, recursiveFileLookup="true",
+                 enforceSchema="false", pathGlobFilter=glob, recursiveFileLookup="true",
                  maxFilesPerTrigger=str(files_per_batch))
         .csv(path)
         .withColumn("source_file", F.col("_metadata.file_name"))
