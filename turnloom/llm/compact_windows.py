@@ -238,7 +238,7 @@ class _Windows:
         near = np.zeros((len(lead), 2 * self.reach + 1, 4), np.uint8)
         near[:, :, :3] = rows[lead, 8:].reshape(len(lead), -1, 3)
         near = near.view(np.uint32)[:, :, 0]
-        code = np.ascontiguousarray(rows[lead, :8]).view(">u8").ravel()
+        code = np.ascontiguousarray(rows[lead, :8]).view(">u8").ravel().astype(np.uint64)
         a, b = self._extent(near)
         mine = lead[group]
         later = keys[order] > keys[mine]
