@@ -200,3 +200,18 @@ def test_oversized_graphs_are_refused():
                        columns=["graph_id", "src", "dst", "weight"])
     with pytest.raises(ValueError):
         spectra.heat_traces(big)
+
+
+def test_graph_against_its_pool(spark):
+    rows = [("t1", "x", "y", 2.0), ("t1", "y", "x", 1.0), ("t2", "x", "y", 1.0), ("t2", "y", "z", 3.0),
+            ("u1", "x", "z", 1.0), ("u1", "z", "x", 2.0)]
+    edges = spark.createDataFrame(rows, "graph_id string, src string, dst string, weight double")
+    pool = F.concat(F.lit("whole_"), F.substring("graph_id", 1, 1))
+    pooled = G.pool(edges, pool)
+    got = {(r.a, r.b): r.asDict() for r in S.against_pool(edges, pooled, pool).collect()}
+    assert set(got) == {("t1", "whole_t"), ("t2", "whole_t"), ("u1", "whole_u")}
+    for a, b in got:
+        pair = edges.where(F.col("graph_id") == a).unionByName(pooled.where(F.col("graph_id") == b))
+        alone = S.summary(pair.withColumn("scope", F.lit(1)), ["scope"]).drop("scope").collect()
+        assert [r.asDict() for r in alone] == [got[a, b]]
+    assert got["u1", "whole_u"]["js_similarity"] == 1.0

@@ -187,20 +187,10 @@ def against_rest(counts: DataFrame, keys: Sequence[str], group: str, feature: st
         {"a": F.col(group), "b": F.lit(OTHER_SESSIONS)}).drop(group)
 
 
-def within_raters(labels: DataFrame, max_sessions: int = 30) -> DataFrame:
-    """Sessions of one rater compared per code.
-
-    Up to `max_sessions` sessions are compared pair by pair. A rater with more gets one row
-    per session against the rater's other sessions, which covers every session without a
-    number of rows quadratic in them.
-    """
-    keys = ["slice", "code", "rater"]
-    sizes = labels.groupBy(*keys).agg(F.countDistinct("source_file").alias("_sessions"))
-    few = sizes.filter(F.col("_sessions") <= max_sessions).select(*keys)
-    many = sizes.filter(F.col("_sessions") > max_sessions).select(*keys)
-    pairs = compare(labels.join(few, keys, "left_semi"), keys, "source_file")
-    rest = against_rest(labels.join(many, keys, "left_semi"), keys, "source_file")
-    return pairs.unionByName(rest)
+def within_raters(labels: DataFrame) -> DataFrame:
+    """Each session of a rater against the rater's other sessions, per code: one row per
+    session whatever the number of sessions. A rater's only session has nothing to meet."""
+    return against_rest(labels, ["slice", "code", "rater"], "source_file")
 
 
 def kappa_of(js: Column) -> Column:

@@ -11,7 +11,6 @@ from turnloom.functions.spectra import heat_traces
 from turnloom.operators import pairs as P
 
 SPECTRA = ("netlsd", "magnetic", "hashimoto")
-MAX_TRANSCRIPTS = 30
 
 
 def traces(edges: DataFrame) -> DataFrame:
@@ -59,14 +58,16 @@ def agreement(js: Column, magnetic: Column, hashimoto: Column) -> Column:
     )
 
 
-def summary(edges: DataFrame, keys: Sequence[str], rounded_first: bool = True) -> DataFrame:
+def summary(edges: DataFrame, keys: Sequence[str], rounded_first: bool = True,
+            traced: DataFrame | None = None) -> DataFrame:
     """All four similarities of each pair of graphs sharing a key, with the agreement flag.
 
-    `edges` carries the key columns; a graph id belongs to one key. Scores are rounded to
-    four digits before the flag is set unless `rounded_first` is off.
+    `edges` carries the key columns; a graph id belongs to one key unless `traced` has the
+    traces of all graphs. Scores are rounded to four digits before the flag is set unless
+    `rounded_first` is off.
     """
     key_of = edges.select(*keys, "graph_id").distinct()
-    traced = traces(edges).join(key_of, "graph_id")
+    traced = (traces(edges) if traced is None else traced).join(key_of, "graph_id")
     scores = (
         edge_divergence(edges, keys).join(trace_distances(traced, keys), [*keys, "a", "b"])
         .withColumns({
@@ -113,7 +114,11 @@ def distances_to(pairs: DataFrame, baseline: str, keys: Sequence[str], value: st
         "nearest": F.col("nearest") <= top, "farthest": F.col("farthest") <= top})
 
 
-def within_limit(edges: DataFrame, limit: int = MAX_TRANSCRIPTS) -> bool:
-    """Whether there are 2 to `limit` graphs, the range all-pairs comparison is meant for."""
-    n = edges.select("graph_id").distinct().limit(limit + 1).count()
-    return 2 <= n <= limit
+def against_pool(edges: DataFrame, pooled: DataFrame, pool: Column, rounded_first: bool = True) -> DataFrame:
+    """`summary` of each graph and the pooled graph that `pool` names: one row per graph."""
+    columns = ["graph_id", "src", "dst", "weight"]
+    pair = edges.select(F.col("graph_id").alias("pair"), pool.alias("graph_id")).distinct()
+    both = edges.select(F.col("graph_id").alias("pair"), *columns).unionByName(
+        pair.join(pooled.select(*columns), "graph_id").select("pair", *columns))
+    traced = traces(edges.select(*columns).unionByName(pooled.select(*columns)))
+    return summary(both, ["pair"], rounded_first, traced).drop("pair")

@@ -170,12 +170,6 @@ oracle.add_view("session_sides", f"""
 oracle.add_view("rest_tests", f"""
     SELECT * EXCLUDE (source_file) REPLACE (source_file AS a, '{A.OTHER_SESSIONS}' AS b)
     FROM ({_tests_sql('session_sides', 'slice, code, rater, source_file', 'side')})""")
-oracle.add_view("session_numbers", """
-    SELECT slice, code, rater, count(DISTINCT source_file) AS k FROM coded_by_session GROUP BY ALL""")
-oracle.add_view("few_sessions", "SELECT * FROM coded_by_session SEMI JOIN (SELECT * FROM session_numbers WHERE k <= 30) USING (slice, code, rater)")
-oracle.add_view("within_tests", f"""
-    SELECT * FROM ({_tests_sql("few_sessions", "slice, code, rater", "source_file")})
-    UNION ALL BY NAME SELECT * FROM rest_tests SEMI JOIN (SELECT * FROM session_numbers WHERE k > 30) USING (slice, code, rater)""")
 
 
 def _within(spark, sf_dir):
@@ -183,18 +177,16 @@ def _within(spark, sf_dir):
         "within_raters", lambda: A.within_raters(coded_labels(spark, sf_dir)))
 
 
-@registered("k05_within_raters", "SELECT * FROM within_tests")
+@registered("k05_within_raters", "SELECT * FROM rest_tests")
 def within_raters(spark, sf_dir):
-    """Tests between the sessions of one rater: pairs of sessions, or each session against
-    the others where a rater has more than 30."""
+    """Every session against the other sessions of its rater."""
     return _tests(_within(spark, sf_dir), "slice", "code", "rater")
 
 
 @registered("k05_sessions_against_rest", "SELECT * FROM rest_tests")
 def sessions_against_rest(spark, sf_dir):
-    """Every session against the other sessions of its rater."""
-    tests = A.against_rest(coded_labels(spark, sf_dir), ["slice", "code", "rater"], "source_file")
-    return _tests(tests, "slice", "code", "rater")
+    """The same comparison straight from the counts, without the stored table."""
+    return _tests(A.within_raters(coded_labels(spark, sf_dir)), "slice", "code", "rater")
 
 
 @registered("k06_rater_divergence_matrix", """
@@ -388,7 +380,7 @@ def ranked_similarity(spark, sf_dir):
 
 oracle.add_view("all_tests", """
     SELECT slice, code, 'between_therapists' AS comparison, a, b, chi2, p_value, js, n_a, n_b FROM between_tests
-    UNION ALL SELECT slice, code, 'within_T' || rater, a, b, chi2, p_value, js, n_a, n_b FROM within_tests""")
+    UNION ALL SELECT slice, code, 'within_T' || rater, a, b, chi2, p_value, js, n_a, n_b FROM rest_tests""")
 _TEST_COLUMNS = ["slice", "code", "comparison", "a", "b", "chi2", "p_value", "js", "n_a", "n_b"]
 
 

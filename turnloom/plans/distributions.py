@@ -231,16 +231,22 @@ def code_usage(spark, sf_dir):
         "rater", "code", "n_blocks", r6(F.col("n_blocks") / F.col("_all")).alias("share"))
 
 
+CODE_COLUMNS = [*L.CODE_DESCRIPTIONS, "NA"]
+
+
 @registered("f17_code_usage_matrix", """
-    SELECT rater, """ + ", ".join(
-        f"count(*) FILTER (WHERE code = '{c}') AS {c}" for c in ["BCS", "FSU", "FTA", "IAI", "VLD"])
+    SELECT rater, """ + ", ".join(f"count(*) FILTER (WHERE code = '{c}') AS {c}" for c in CODE_COLUMNS)
+    + f""", count(*) FILTER (WHERE code NOT IN ({', '.join(f"'{c}'" for c in CODE_COLUMNS)})) AS other"""
     + """ FROM patient_codes JOIN (SELECT DISTINCT source_file, rater FROM hub) USING (source_file) GROUP BY ALL""")
 def code_usage_matrix(spark, sf_dir):
-    """The same counts as a matrix: a wide sink over the fixed code list."""
+    """The same counts as a matrix: a wide sink over the fixed code list (A13), codes outside
+    the list under `other`."""
+    code = F.when(F.col("code").isin(CODE_COLUMNS), F.col("code")).otherwise("other")
     return (
         tables(spark, sf_dir).block_codes("patient")
-        .groupBy(L.therapist_in_prefix(F.col("source_file")).alias("rater"))
-        .pivot("code", ["BCS", "FSU", "FTA", "IAI", "VLD"]).count().fillna(0)
+        .groupBy(L.therapist_in_prefix(F.col("source_file")).alias("rater"), code.alias("code"))
+        .agg(F.count("*").alias("cnt")).groupBy("rater")
+        .pivot("code", [*CODE_COLUMNS, "other"]).agg(F.first("cnt")).fillna(0)
     )
 
 

@@ -442,10 +442,9 @@ def partition_similarity(spark, sf_dir):
 
 @registered("j11_therapist_similarity")
 def therapist_similarity(spark, sf_dir):
-    """Therapists against each other, and transcripts too where there are at most 30."""
+    """Therapists against each other, and each transcript against its therapist."""
     paths = transcript_paths(spark, sf_dir)
-    scoped = _scope(G.pool(paths, F.concat(
-        F.lit("therapist_"), L.therapist_before_marker(F.col("graph_id")))), "therapists")
-    if S.within_limit(paths):
-        scoped = scoped.unionByName(_scope(paths, "transcripts"))
-    return S.summary(scoped, ["scope"], rounded_first=False)
+    therapist = F.concat(F.lit("therapist_"), L.therapist_before_marker(F.col("graph_id")))
+    pooled = G.pool(paths, therapist)
+    return S.summary(_scope(pooled, "therapists"), ["scope"], rounded_first=False).unionByName(
+        S.against_pool(paths, pooled, therapist, rounded_first=False).withColumn("scope", F.lit("transcripts")))
