@@ -242,13 +242,8 @@ def _round_trip(spark, sf_dir, extension: str) -> DataFrame:
     """Written as delimited files and read back by header through the declared layout."""
     path = folder(spark, extension)
     rows = _file_rows(spark, sf_dir)
-    if extension == "tsv":
-        # a text sink names its files .txt, so the separator alone makes them tab-separated
-        writers.write_delimited(rows, path, sep="\t")
-        read = spark.read.schema(_FILE).options(header="true", sep="\t", escape='"').csv(path)
-    else:
-        writers.write_delimited(rows, path)
-        read = readers.read_transcripts(spark, path, _FILE, required=["spoken_text"], multiline=False)
+    writers.write_delimited(rows, path, sep=readers.SEPARATORS[extension], extension=extension)
+    read = readers.read_transcripts(spark, path, _FILE, required=["spoken_text"], multiline=False)
     return read.select(*[f.name for f in _FILE.fields])
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",", partition_by: Sequence[str] = ()) -> None:
-    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("sep", sep)
+def write_delimited(df: DataFrame, path: str, sep: str = ",", partition_by: Sequence[str] = (),
+                    extension: str = "csv") -> None:
+    writer = df.write.mode("overwrite").options(header=True, escape='"', sep=sep, extension=extension)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
