@@ -168,3 +168,11 @@ def test_probing_finds_every_code_in_the_radius():
     for radius in (0, 5, 9, 14, 40):
         for code in codes[:70]:
             assert index.within(code, radius).tolist() == np.flatnonzero(ann.distances(codes, code) <= radius).tolist()
+
+
+def test_weights_of_stems_that_only_toxic_texts_hold():
+    word = "abcdefghijkl"
+    counted = {n: (4000, 0) for n in toxicity.nodes(word)}
+    found = toxicity._weights(counted, 4000, 16000)
+    assert set(found) == set(toxicity.nodes(word))
+    assert all(math.isfinite(score) and score > 0 for score, _ in found.values())

@@ -131,14 +131,14 @@ def _count(rows: DataFrame) -> DataFrame:
 def _weights(counted: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, tuple[float, int]]:
     """Significant nodes that speak for toxicity: log-odds against the base rate, and clean texts."""
     base = (toxic + 0.5) / (toxic + clean + 1)
-    share, kept = {}, {}
+    share, kept = {}, {}  # share: of toxic and of clean texts, each on its own since one may be tiny
     for node in sorted(counted, key=lambda n: (not n.endswith("*"), len(n), n)):  # parents first
         word = node.rstrip("*")
         parent = next((word[:n] + "*" for n in STEMS if n < len(word) and word[:n] + "*" != node), None)
-        prior = share.get(parent, base)
+        above, below = share.get(parent, (base, 1 - base))
         t, c = counted[node]
-        a, b = t + PRIOR * prior, c + PRIOR * (1 - prior)
-        share[node] = a / (a + b)
+        a, b = t + PRIOR * above, c + PRIOR * below
+        share[node] = a / (a + b), b / (a + b)
         odds = math.log(a / b) - math.log(base / (1 - base))
         # its own texts alone, against the base rate
         a, b = t + PRIOR * base, c + PRIOR * (1 - base)
