@@ -107,6 +107,26 @@ def test_words_and_shingles():
         assert len(set(s.tolist())) == len({tuple(w[i:i + 5]) for i in range(len(w) - 4)})
 
 
+def every_pair(method, code, keys, near):
+    """Range and earliest source of each row by verifying all pairs of its group."""
+    a, b = method._extent(near)
+    y, x = np.tril_indices(len(keys), -1)
+    x, y = np.concatenate((x, y)), np.concatenate((y, x))
+    use = (code[x] == code[y]) & (keys[x] < keys[y])
+    use &= np.minimum(a[x], a[y]) + np.minimum(b[x], b[y]) + 1 >= method.length
+    want = [(127, -128, np.iinfo(np.int64).max)] * len(keys)
+    for i, j, lo, hi in method._verified(x[use], y[use], near, a, b):
+        for x1, y1, l1, h1 in zip(i.tolist(), j.tolist(), lo.tolist(), hi.tolist()):
+            l0, h0, k0 = want[y1]
+            want[y1] = min(l0, l1), max(h0, h1), min(k0, int(keys[x1]))
+    return want
+
+
+def searched(method, code, keys, near):
+    made = method._similar(code, keys, near, *method._extent(near))
+    return [tuple(int(v) for v in row) for row in zip(*made)]
+
+
 def test_large_groups_lose_no_pair():
     rng = np.random.default_rng(5)
     method = cw._Windows(5, 50, 0.8, 3)
@@ -118,14 +138,36 @@ def test_large_groups_lose_no_pair():
         at = rng.integers(0, 86)
         near[i, at:at + 5] = rng.integers(1, 1 << 24, 5)
     near[90:100, :30] = 0
-    a, b = method._extent(near)
-    every = np.tril_indices(120, -1)
-    want = {(i, j) for i, j, *_ in _flat(method._verified([(every[1], every[0])], near, a, b))}
-    few = list(method._candidates(np.arange(120), near))
-    got = {(i, j) for i, j, *_ in _flat(method._verified(few, near, a, b))}
-    assert got == want and len(want) >= 25
-    assert sum(len(x) for x, _ in few) < len(every[0])
-
-
-def _flat(made):
-    return [tuple(int(v) for v in row) for i, j, lo, hi in made for row in zip(i, j, lo, hi)]
+    code, keys = np.full(120, 3, np.uint64), np.arange(120)
+    want = every_pair(method, code, keys, near)
+    assert searched(method, code, keys, near) == want and sum(w[0] < 127 for w in want) >= 25
+
+
+@pytest.mark.parametrize("words,similar", [(50, 0.8), (12, 0.8), (50, 0.5), (20, 1.0), (13, 0.6)])
+def test_ranges_equal_those_of_all_pairs(words, similar):
+    """Cut, shifted and changed variants of frequent passages, in groups of many sizes with equal keys."""
+    method = cw._Windows(5, words, similar, 3)
+    wide, reach = 2 * method.reach + 1, method.reach
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, [6, 90, 200][seed % 3], 6)
+        n = int(sizes.sum())
+        code, near = np.repeat(np.arange(6), sizes).astype(np.uint64), np.zeros((n, wide), np.uint32)
+        base = rng.integers(1, 1 << 24, (6, 3, wide), dtype=np.uint32)
+        for r in range(n):
+            row = base[int(code[r]), rng.integers(3)].copy()
+            for _ in range(rng.integers(0, 4)):
+                at, size = rng.integers(0, wide), rng.integers(1, 6)
+                row[at:at + size] = rng.integers(1, 1 << 24, len(row[at:at + size]))
+            shift = rng.integers(0, reach)
+            if rng.random() < 0.3:
+                row[:shift] = np.roll(row, 1)[:shift]
+            if rng.random() < 0.4:
+                row[:rng.integers(0, reach + 1)] = rng.integers(1, 1 << 24)
+            row[:rng.integers(0, reach + 1) if rng.random() < 0.3 else 0] = 0
+            row[wide - (rng.integers(0, reach + 1) if rng.random() < 0.3 else 0):] = 0
+            row[reach] = 7
+            near[r] = row
+        keys = rng.integers(0, max(2, n - n // 8), n)
+        want = every_pair(method, code, keys, near)
+        assert searched(method, code, keys, near) == want

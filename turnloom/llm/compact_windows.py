@@ -14,9 +14,11 @@ way round, for a similarity of `similar`. What repeated windows cover, joined, a
 earliest document that has one keeps it.
 
 Equal surroundings in a group of compact windows are one entry, so a passage in any number of
-documents is compared once. In a large group, pairs are found by the rarest shingles: a window that
-holds c has the nearest half window on one side of it, of which no more than a few may be missing, so
-one of its rarest shingles must be shared. Nothing is capped.
+documents is compared once. In a group, pairs are found by rarest shingles: of the places that some
+windows share, no more than a few may be missing, so one of the rarest shingles there must occur in
+the other document. A class of surroundings meets the earliest ones first and stops when no window
+outside the range found could be repeated, as too few of its shingles occur in any earlier document.
+So variants of a frequent passage do not meet in all pairs, and nothing is capped.
 
 Where fewer than half of the shingles around c are distinct (one word said over and over), similarity
 says little and everything resembles everything; there a window counts as repeated only if an earlier
@@ -41,7 +43,7 @@ from turnloom.llm.suffix_dedup import window_minima
 
 SHINGLE, WORDS, SIMILAR, FUNCTIONS = 5, 50, 0.8, 3
 _CHUNK = 1 << 21
-_PAIRS = 2000  # pairs that wait before they are verified
+_CLASSES = 1 << 14  # classes of equal surroundings searched at once; a larger group is searched whole
 _ANCHORS = 1 << 14  # anchors whose surroundings are held at once
 _POSTINGS = 1 << 20  # places of chosen shingles looked at at once
 _BASE = 0x9E3779B97F4A7C15
@@ -249,11 +251,8 @@ class _Windows:
         flat = np.sort(near, 1)
         distinct = ((flat[:, 1:] != flat[:, :-1]) & (flat[:, 1:] != 0)).sum(1) + (flat[:, 0] != 0)
         plain = np.flatnonzero(2 * distinct >= a + b + 1)
-        for i, j, lo, hi in self._pairs(code[plain], keys[lead[plain]], near[plain], a[plain], b[plain]):
-            i, j = lead[plain[i]], lead[plain[j]]
-            np.minimum.at(low, j, lo)
-            np.maximum.at(high, j, hi)
-            np.minimum.at(source, j, keys[i])
+        at = lead[plain]
+        low[at], high[at], source[at] = self._similar(code[plain], keys[at], near[plain], a[plain], b[plain])
         dull = np.flatnonzero(np.isin(code, np.delete(code, plain)))
         if len(dull):
             lo, hi, who = self._equal(code[dull], keys[lead[dull]], near[dull], a[dull], b[dull])
@@ -296,70 +295,96 @@ class _Windows:
         held = near != 0
         return held[:, :self.reach].sum(1), held[:, self.reach + 1:].sum(1)
 
-    def _pairs(self, code, keys, near, a, b):
-        """Verified pairs (earlier, later) of classes with the same minimum, and the range of repeated
-        windows around the later one's c."""
+    def _similar(self, code, keys, near, a, b):
+        """Per class: the range of its windows around c that earlier classes with the same minimum have,
+        and the earliest such class. Whole groups are searched, some thousand classes at a time."""
+        low, high = np.full(len(keys), 127, np.int8), np.full(len(keys), -128, np.int8)
+        source = np.full(len(keys), np.iinfo(np.int64).max)
         order = np.lexsort((keys, code))
         c = code[order]
         edges = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
-        for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(c)]):
-            if j - i < 2:
-                continue
-            members = order[i:j]
-            for x, y in self._candidates(members, near):
-                use = keys[x] < keys[y]
-                use &= np.minimum(a[x], a[y]) + np.minimum(b[x], b[y]) + 1 >= self.length
-                waiting.append((x[use], y[use]))
-                count += int(use.sum())
-                if count >= _PAIRS:
-                    yield from self._verified(waiting, near, a, b)
-                    waiting, count = [], 0
-        yield from self._verified(waiting, near, a, b)
-
-    def _candidates(self, members: np.ndarray, near: np.ndarray):
-        n, reach = len(members), self.reach
-        if n <= 48:
-            y, x = np.tril_indices(n, -1)
-            yield members[x], members[y]
-            return
-        # rarest shingles of the nearest half window on either side; one must be in the other's row
-        mine = near[members]
-        values, place = np.unique(mine, return_inverse=True)
-        place = place.reshape(mine.shape)
-        held = np.unique(place * n + np.arange(n)[:, None])  # each shingle once for each row
-        holder, begin = held % n, np.searchsorted(held // n, np.arange(len(values) + 1))
+        sizes = np.diff(np.append(edges, len(c)))
+        order, sizes = order[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+        ends = np.cumsum(sizes)
+        i = done = 0
+        while i < len(sizes):
+            j = max(i + 1, int(np.searchsorted(ends, done + _CLASSES, "right")))
+            rows, done = order[done:ends[j - 1]], int(ends[j - 1])
+            low[rows], high[rows], source[rows] = self._rounds(sizes[i:j], keys[rows], near[rows], a[rows], b[rows])
+            i = j
+        return low, high, source
+
+    def _rounds(self, sizes, keys, near, a, b):
+        """`_similar` for whole groups, each in the order of its keys. A class meets the earliest
+        classes of its group first, then ever more, until no other could add to its range: a window
+        can be repeated only if enough of its shingles occur in earlier classes at all, and only
+        windows outside the range found so far matter."""
+        n, length, few = len(keys), self.length, self.length - self.enough + 1
+        group, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+        values, place = np.unique((group.astype(np.uint64) << np.uint64(24))[:, None] | near, return_inverse=True)
+        place = place.reshape(near.shape)
+        held = np.unique(place * n + np.arange(n)[:, None])  # each shingle once for each class
+        begin = np.searchsorted(held, np.arange(len(values) + 1) * n)
         freq = np.diff(begin)
-        freq[values == 0] = n + 1
-        half, few = self.length // 2, self.length - self.enough + 1
-        chosen = []
-        for side in (slice(reach - half, reach), slice(reach + 1, reach + 1 + half)):
-            p = place[:, side]
-            chosen.append(np.take_along_axis(p, np.argsort(freq[p], axis=1, kind="stable")[:, :few], 1))
-        chosen = np.unique(np.concatenate(chosen, 1) + np.arange(n)[:, None] * len(values))
-        later, want = chosen // len(values), chosen % len(values)
-        later, want = later[values[want] != 0], want[values[want] != 0]
-        cost = np.cumsum(freq[want])
-        row = 0
-        while row < n:  # some rows at a time, all their postings
-            i = np.searchsorted(later, row)
-            limit = np.searchsorted(cost, (cost[i - 1] if i else 0) + _POSTINGS)
-            stop = max(row + 1, int(later[limit]) if limit < len(later) else n)
-            j = np.searchsorted(later, stop)
-            w, y = want[i:j], later[i:j]
-            many = freq[w]
-            y = np.repeat(y, many)
-            x = holder[np.repeat(begin[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            both = np.unique(x[x < y] * n + y[x < y])
-            for k in range(0, len(both), 1 << 16):
-                yield members[both[k:k + (1 << 16)] // n], members[both[k:k + (1 << 16)] % n]
-            row = stop
-
-    def _verified(self, waiting, near, a, b):
-        if not waiting:
-            return
-        left, right = (np.concatenate(w) for w in zip(*waiting))
+        known = (keys[held[begin[:-1]] % n][place] < keys[:, None]) & (near != 0)
+        upto = np.concatenate((np.zeros((n, 1), np.int32), np.cumsum(known, 1, dtype=np.int32)), 1)
+        w = np.arange(length)
+        able = upto[:, length:] - upto[:, :-length] >= self.enough
+        able &= (w >= self.reach - a[:, None]) & (w <= b[:, None])
+        first, last = able.argmax(1), length - 1 - able[:, ::-1].argmax(1)
+        some = able.any(1)
+        left, right = np.full(n, length), np.full(n, -1)  # first and last repeated window so far
+        source = np.full(n, np.iinfo(np.int64).max)
+        from_, to = 0, 4
+        while from_ < sizes.max():
+            live = np.flatnonzero(some & (np.arange(n) - start > from_))
+            new = right[live] < 0
+            u = np.concatenate((first[live], right[live][~new] + 1))
+            v = np.concatenate((np.minimum(left[live] - 1, last[live]), last[live][~new]))
+            row = np.concatenate((live, live[~new]))
+            wide = v - u >= (length + 1) // 2  # so that all windows of a range share half of their places
+            middle = (u + v) // 2
+            row, u, v = (np.concatenate(x) for x in (
+                (row, row[wide]), (u, middle[wide] + 1), (np.where(wide, middle, v), v[wide])))
+            row, u, v = row[u <= v], u[u <= v], v[u <= v]
+            later, want = self._rarest(row, u, v, place, freq, few, len(values))
+            lo = np.searchsorted(held, want * n + start[later] + from_)
+            many = np.searchsorted(held, want * n + np.minimum(start[later] + to, later)) - lo
+            cost = np.cumsum(many)
+            i = 0
+            while i < len(want):  # some postings at a time
+                j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + _POSTINGS, "right")))
+                m = many[i:j]
+                x = held[np.repeat(lo[i:j] - np.cumsum(m) + m, m) + np.arange(m.sum())] % n
+                both = np.unique(np.repeat(later[i:j], m) * n + x)
+                y, x = both // n, both % n
+                use = (keys[x] < keys[y]) & (np.minimum(a[x], a[y]) + np.minimum(b[x], b[y]) + 1 >= length)
+                for x, y, begins, ends in self._verified(x[use], y[use], near, a, b):
+                    np.minimum.at(left, y, begins + self.reach)
+                    np.maximum.at(right, y, ends)
+                    np.minimum.at(source, y, keys[x])
+                i = j
+            from_, to = to, 4 * to
+        hit = right >= 0
+        return (np.where(hit, left - self.reach, 127).astype(np.int8), np.where(hit, right, -128).astype(np.int8), source)
+
+    def _rarest(self, row, u, v, place, freq, few, size) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and the rarest shingles of which a class that has one of their windows u to v must
+        have one: of the places that all these windows share, fewer than `few` may be missing."""
+        out = [np.zeros(0, np.int64)]
+        at = np.arange(place.shape[1])
+        for i in range(0, len(row), _CLASSES):
+            p = place[row[i:i + _CLASSES]]
+            f = freq[p]
+            f[(at < v[i:i + _CLASSES, None]) | (at >= u[i:i + _CLASSES, None] + self.length)] = np.iinfo(f.dtype).max
+            rare = np.take_along_axis(p, np.argpartition(f, few - 1, axis=1)[:, :few], 1)
+            out.append((rare + row[i:i + _CLASSES, None] * size).ravel())
+        chosen = np.unique(np.concatenate(out))
+        return chosen // size, chosen % size
+
+    def _verified(self, left, right, near, a, b):
+        """The pairs (earlier, later) that have repeated windows, and the range of those around the
+        later one's c."""
         reach, n = self.reach, self.length
         offsets = np.arange(2 * reach + 1)
         for k in range(0, len(left), 256):
@@ -448,6 +473,8 @@ def find_passages(spark: SparkSession, docs: DataFrame, words: int = WORDS, simi
     has, in words and bytes with the documents they were matched to, and the text without them."""
     if words - shingle + 1 > 120 or words < shingle:
         raise ValueError("a window is 1 to 120 shingles")
+    if not 0.5 <= similar <= 1:
+        raise ValueError("similar is 0.5 to 1: below that two windows may share none of their rarest shingles")
     schema = ("key long, passages array<struct<start_word: long, end_word: long, start_byte: long, "
               "end_byte: long, sources: array<long>>>, kept binary")
     method = _Windows(shingle, words, similar, functions)
