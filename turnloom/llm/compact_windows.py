@@ -91,23 +91,24 @@ def shingles_of(words: np.ndarray, n: int) -> np.ndarray:
     return _mixed(out)
 
 
-def extents(values: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list, list]:
-    """For each anchor, in order: the first and last position its window may reach. One stack pass
-    builds the Cartesian tree; equal values bound each other on neither side. `low` and `high` bound
-    its document."""
-    left, right = low.tolist(), (high - 1).tolist()
-    stack: list[int] = []
-    value, place, begin = values.tolist(), places.tolist(), low.tolist()
-    for i, (v, p) in enumerate(zip(value, place)):
-        while stack and (value[stack[-1]] > v or begin[stack[-1]] != begin[i]):
-            j = stack.pop()
-            if begin[j] == begin[i]:
-                right[j] = p - 1
-        if stack:
-            j = stack[-1]
-            left[i] = left[j] if value[j] == v else place[j] + 1
-        stack.append(i)
-    return left, right
+def extents(values: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray,
+            reach: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor, in order: the first and last position of its subtree in the Cartesian tree, that
+    is, up to the nearest smaller value on either side; equal values bound each other on neither side.
+    `low` and `high` bound its document; what is more than `reach` away need not be exact."""
+    bounds = low.copy(), high - 1
+    for step, bound in zip((-1, 1), bounds):
+        still, k = np.arange(len(values)), 0
+        while len(still):  # the anchors whose k-th neighbour may bound them
+            k += step
+            still = still[(still + k >= 0) & (still + k < len(values))]
+            other = still + k
+            near = (low[other] == low[still]) & (np.abs(places[other] - places[still]) <= reach + 1)
+            still, other = still[near], other[near]
+            less = values[other] < values[still]
+            bound[still[less]] = places[other[less]] - step
+            still = still[~less]
+    return bounds
 
 
 class _Windows:
@@ -165,9 +166,9 @@ class _Windows:
         for f in range(self.functions if valid.any() else 0):
             values = _mixed(shingles ^ np.uint64((f + 1) * _BASE % (1 << 64)))
             at = window_minima(values, valid, self.length)
-            left, right = extents(values[at], at, s["first"][at], s["last"][at])
-            a = np.minimum(at - np.array(left), self.reach)
-            b = np.minimum(np.array(right) - at, self.reach)
+            left, right = extents(values[at], at, s["first"][at], s["last"][at], self.reach)
+            a = np.minimum(at - left, self.reach)
+            b = np.minimum(right - at, self.reach)
             out[0].append(_mixed(values[at] + np.uint64(f)))
             out[1].append(s["docs"][at])
             out[2].append(at | (a << 40) | (b << 48))
