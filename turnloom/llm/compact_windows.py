@@ -17,13 +17,10 @@ Equal surroundings in a group of compact windows are one entry, so a passage in
 documents is compared once. In a group, pairs are found by rarest shingles: of the places that some
 windows share, no more than a few may be missing, so one of the rarest shingles there must occur in
 the other document. A class of surroundings meets the earliest ones first and stops when no window
-outside the range found could be repeated, as too few of its shingles occur in any earlier document.
+outside the range found could be repeated, as too few of its shingles occur in any earlier document
+or none reaches as far.
 So variants of a frequent passage do not meet in all pairs, and nothing is capped.
 
-Where fewer than half of the shingles around c are distinct (one word said over and over), similarity
-says little and everything resembles everything; there a window counts as repeated only if an earlier
-document has it word for word.
-
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a null text is empty; texts
 shorter than a window have no passages; an exact copy of a text is one whole passage; a null key
 neither has passages nor is a source; an empty table gives no rows.
@@ -249,49 +246,13 @@ class _Windows:
         rest = order[fits]
         low[rest], high[rest] = -a[group[fits]], b[group[fits]]
         source[rest] = keys[mine[fits]]
-        flat = np.sort(near, 1)
-        distinct = ((flat[:, 1:] != flat[:, :-1]) & (flat[:, 1:] != 0)).sum(1) + (flat[:, 0] != 0)
-        plain = np.flatnonzero(2 * distinct >= a + b + 1)
-        at = lead[plain]
-        low[at], high[at], source[at] = self._similar(code[plain], keys[at], near[plain], a[plain], b[plain])
-        dull = np.flatnonzero(np.isin(code, np.delete(code, plain)))
-        if len(dull):
-            lo, hi, who = self._equal(code[dull], keys[lead[dull]], near[dull], a[dull], b[dull])
-            dull = lead[dull]
-            low[dull], high[dull] = np.minimum(low[dull], lo), np.maximum(high[dull], hi)
-            source[dull] = np.minimum(source[dull], who)
+        low[lead], high[lead], source[lead] = self._similar(code, keys[lead], near, a, b)
         # what the first of a class has in earlier documents, the others of the class have too
         source[rest] = np.minimum(source[rest], source[mine[fits]])
         same = order[~fits]
         low[same], high[same], source[same] = (x[mine[~fits]] for x in (low, high, source))
         return [pack(low[i:j], high[i:j], source[i:j].astype("<i8")) for i, j in zip(base[:-1], base[1:])]
 
-    def _equal(self, code, keys, near, a, b):
-        """Per class: the range of its windows around c that an earlier class has word for word, and
-        the earliest such class. One sort for each place of c in a window, whatever the group's size."""
-        n, reach, base = self.length, self.reach, np.uint64(_BASE)
-        low, high = np.full(len(keys), 127, np.int8), np.full(len(keys), -128, np.int8)
-        source = np.full(len(keys), np.iinfo(np.int64).max)
-        rolled, drop = np.zeros(len(keys), np.uint64), np.uint64(pow(_BASE, n - 1, 1 << 64))
-        for k in range(n):
-            rolled = rolled * base + near[:, k]
-        for w in range(n):
-            able = np.flatnonzero((reach - a <= w) & (w + n - 1 <= reach + b))
-            mark = _mixed(rolled[able]) ^ code[able].astype(np.uint64)
-            rank = able[np.argsort(mark, kind="stable")]
-            if len(rank) > 1:
-                m = np.sort(mark)
-                starts = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-                least = np.repeat(np.minimum.reduceat(keys[rank], starts), np.diff(np.append(starts, len(m))))
-                hit = least < keys[rank]
-                rows = rank[hit]
-                low[rows] = np.minimum(low[rows], w - reach)
-                high[rows] = np.maximum(high[rows], w + n - 1 - reach)
-                source[rows] = np.minimum(source[rows], least[hit])
-            if w + n < near.shape[1]:
-                rolled = (rolled - near[:, w] * drop) * base + near[:, w + n]
-        return low, high, source
-
     def _extent(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = near != 0
         return held[:, :self.reach].sum(1), held[:, self.reach + 1:].sum(1)
@@ -331,7 +292,9 @@ class _Windows:
         upto = np.concatenate((np.zeros((n, 1), np.int32), np.cumsum(known, 1, dtype=np.int32)), 1)
         w = np.arange(length)
         able = upto[:, length:] - upto[:, :-length] >= self.enough
-        able &= (w >= self.reach - a[:, None]) & (w <= b[:, None])
+        fits = (w >= self.reach - a[:, None]) & (w <= b[:, None])
+        before = np.concatenate((np.zeros((1, length), np.int32), np.cumsum(fits, 0, dtype=np.int32)))
+        able &= fits & (before[:-1] > before[start])  # an earlier class reaches as far
         first, last = able.argmax(1), length - 1 - able[:, ::-1].argmax(1)
         some = able.any(1)
         left, right = np.full(n, length), np.full(n, -1)  # first and last repeated window so far
@@ -339,6 +302,7 @@ class _Windows:
         from_, to = 0, 4
         while from_ < sizes.max():
             live = np.flatnonzero(some & (np.arange(n) - start > from_))
+            high = right.copy()
             new = right[live] < 0
             u = np.concatenate((first[live], right[live][~new] + 1))
             v = np.concatenate((np.minimum(left[live] - 1, last[live]), last[live][~new]))
@@ -360,10 +324,24 @@ class _Windows:
                 both = np.unique(np.repeat(later[i:j], m) * n + x)
                 y, x = both // n, both % n
                 use = (keys[x] < keys[y]) & (np.minimum(a[x], a[y]) + np.minimum(b[x], b[y]) + 1 >= length)
-                for x, y, begins, ends in self._verified(x[use], y[use], near, a, b):
-                    np.minimum.at(left, y, begins + self.reach)
-                    np.maximum.at(right, y, ends)
-                    np.minimum.at(source, y, keys[x])
+                x, y = x[use], y[use]
+                # Once y has a source no later one is earlier, and only windows outside its range matter:
+                # the classes that reach furthest come first and spare the others that resemble them.
+                has, k = high[y] >= 0, 1
+                for x1, y1, begins, ends in self._verified(x[~has], y[~has], near, a, b):
+                    np.minimum.at(left, y1, begins + self.reach)
+                    np.maximum.at(right, y1, ends)
+                    np.minimum.at(source, y1, keys[x1])
+                x, y = x[has], y[has]
+                while len(x):
+                    from_w, to_w = np.maximum(first[y], self.reach - a[x]), np.minimum(last[y], b[x])
+                    use = (from_w <= np.minimum(left[y] - 1, to_w)) | (np.maximum(right[y] + 1, from_w) <= to_w)
+                    x, y, from_w, to_w = x[use], y[use], from_w[use], to_w[use]
+                    best = np.minimum(_ranked(y, from_w), _ranked(y, -to_w)) < k
+                    for x1, y1, begins, ends in self._verified(x[best], y[best], near, a, b):
+                        np.minimum.at(left, y1, begins + self.reach)
+                        np.maximum.at(right, y1, ends)
+                    x, y, k = x[~best], y[~best], 4 * k
                 i = j
             from_, to = to, 4 * to
         hit = right >= 0
@@ -387,25 +365,29 @@ class _Windows:
         """The pairs (earlier, later) that have repeated windows, and the range of those around the
         later one's c."""
         reach, n = self.reach, self.length
-        offsets = np.arange(2 * reach + 1)
+        at = np.arange(2 * reach + 1)[:, None]  # one row for each place, one column for each pair
+        starts = at[:len(at) - n + 1]
         for k in range(0, len(left), 256):
             i, j = left[k:k + 256], right[k:k + 256]
             from_, to = reach - np.minimum(a[i], a[j]), reach + np.minimum(b[i], b[j])
-            inside = (offsets >= from_[:, None]) & (offsets <= to[:, None])
-            x, y = np.where(inside, near[i], 0), np.where(inside, near[j], 0)
-            same = (x[:, :, None] == y[:, None, :]) & (y != 0)[:, None, :]
-            good = None
-            for hit in (same.any(1), same.any(2)):
-                upto = np.concatenate((np.zeros((len(i), 1), np.int32), np.cumsum(hit, 1, dtype=np.int32)), 1)
-                ok = upto[:, n:] - upto[:, :-n] >= self.enough
-                good = ok if good is None else good & ok
-            starts = np.arange(good.shape[1])
-            good &= (starts >= from_[:, None]) & (starts + n - 1 <= to[:, None])
-            some = good.any(1)
+            inside = (at >= from_) & (at <= to)
+            x, y = near[i].T, near[j].T
+            x = np.where(inside & (x != 0), x, np.uint32(1 << 24))  # no shingle, and another for y
+            y = np.where(inside & (y != 0), y, np.uint32(1 << 25))
+            hits = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+            for p in range(len(x)):
+                same = y == x[p]
+                hits[0][p] = same.any(0)
+                np.logical_or(hits[1], same, out=hits[1])
+            good = (starts >= from_) & (starts + n - 1 <= to)
+            for hit in hits:
+                upto = np.concatenate((np.zeros((1, len(i)), np.int16), np.cumsum(hit, 0, dtype=np.int16)))
+                good &= upto[n:] - upto[:-n] >= self.enough
+            some = good.any(0)
             if some.any():
-                g = good[some]
-                lo = g.argmax(1) - reach
-                hi = g.shape[1] - 1 - g[:, ::-1].argmax(1) + n - 1 - reach
+                g = good[:, some]
+                lo = g.argmax(0) - reach
+                hi = len(g) - 1 - g[::-1].argmax(0) + n - 1 - reach
                 yield i[some], j[some], lo.astype(np.int8), hi.astype(np.int8)
 
     def results(self, run: Run, found: Anchors, entries: Entries, verdicts: dict[int, bytes]) -> pa.Table:
@@ -463,6 +445,15 @@ class _Windows:
         return [(x, y, sorted(who)) for x, y, who in out]
 
 
+def _ranked(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Rank of each value inside its group, from zero."""
+    order, rank = np.lexsort((value, group)), np.empty(len(group), np.int64)
+    g = group[order]
+    starts = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    rank[order] = np.arange(len(g)) - np.repeat(starts, np.diff(np.append(starts, len(g))))
+    return rank
+
+
 def _place(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places & ((1 << 40) - 1), places >> 40 & 255, places >> 48 & 255
 
