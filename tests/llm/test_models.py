@@ -176,3 +176,23 @@ def test_weights_of_stems_that_only_toxic_texts_hold():
     found = toxicity._weights(counted, 4000, 16000)
     assert set(found) == set(toxicity.nodes(word))
     assert all(math.isfinite(score) and score > 0 for score, _ in found.values())
+
+
+def test_one_long_document_among_short_ones(monkeypatch):
+    """The longest documents are not padded to the longest one, and pieces give the same sums."""
+    rng = np.random.default_rng(7)
+    for steps in (2, 7, 16, 61):
+        held = np.arange(steps) < np.array([1, steps // 2 + 1, steps])[:, None]
+        where = np.where(held, np.arange(3)[:, None] * steps + np.arange(steps), 0)
+        unary, moves = rng.normal(0, 2, 3 * steps), rng.normal(0, 1, (2, 2))
+        plain = line_crf._chain(unary, moves, where, held)
+        for a, b in zip(plain, line_crf._long_chain(unary, moves, where, held)):
+            assert np.allclose(a, b, atol=1e-9)
+    sizes, chain = [], line_crf._chain
+    monkeypatch.setattr(line_crf, "_chain", lambda *a: (sizes.append(a[2].size), chain(*a))[1])
+    monkeypatch.setattr(line_crf, "ROUNDS", 1)
+    monkeypatch.setattr(line_crf, "STEPS", 1)
+    count = [5] * 399 + [100_000]
+    own = [rng.normal(0, 1, (n, line_crf.MEASURES)) for n in count]
+    line_crf._fit_chain(own, np.arange(400) % 2.0)
+    assert max(sizes) <= 1 << 19

@@ -32,6 +32,8 @@ BOUNDS = {0: 2500, 1: 3500}
 ROUNDS, STEPS = 3, 120
 _DIGITS, _SYMBOLS, _MARKS = b"0123456789", b"#*$%&|<>@^~\\{}[]=_+/", b"!?.,;:"
 MEASURES = 13
+_LONG = 4096  # lines from which a block of documents is cut into pieces
+_CELLS = 1 << 19  # lines and padding of a block that are never too many
 
 
 def measures(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +105,8 @@ class Model:
 def _chain(unary: np.ndarray, moves: np.ndarray, where: np.ndarray, held: np.ndarray):
     """Marginals, expected moves and log-partition of many documents at once (padded, log space)."""
     docs, steps = where.shape
+    if steps > _LONG:
+        return _long_chain(unary, moves, where, held)
     u = np.where(held, unary[where], 0.0)
     score = np.stack([np.zeros_like(u), u], 2)
     forward, backward = np.zeros((docs, steps, 2)), np.zeros((docs, steps, 2))
@@ -125,6 +129,53 @@ def _chain(unary: np.ndarray, moves: np.ndarray, where: np.ndarray, held: np.nda
     return bad[held], pair, whole.sum()
 
 
+def _long_chain(unary: np.ndarray, moves: np.ndarray, where: np.ndarray, held: np.ndarray):
+    """`_chain` in about the square root of the steps: documents are cut into pieces, whose moves from
+    the state before (after) them to each of their lines are found for all pieces at once."""
+    docs, steps = where.shape
+    size = math.isqrt(steps - 1) + 1
+    pieces = -(-steps // size)
+    fill = ((0, 0), (0, pieces * size - steps))
+    on = np.pad(held, fill).reshape(docs, pieces, size)
+    u = np.pad(np.where(held, unary[where], 0.0), fill).reshape(docs, pieces, size)
+    score = np.stack([np.zeros_like(u), u], 3)
+    stay = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
+    step = np.where(on[..., None, None], moves + score[..., None, :], stay)  # from the line before
+    step[:, 0, 0] = score[:, 0, 0, None, :]
+
+    def then(x, y):
+        return np.logaddexp(x[..., :, :1] + y[..., :1, :], x[..., :, 1:] + y[..., 1:, :])
+
+    down, up = step.copy(), np.empty_like(step)
+    up[:, :, -1] = stay
+    for t in range(1, size):
+        down[:, :, t] = then(down[:, :, t - 1], step[:, :, t])
+    for t in range(size - 2, -1, -1):
+        up[:, :, t] = then(step[:, :, t + 1], up[:, :, t + 1])
+    before, after = np.zeros((docs, pieces, 1, 2)), np.zeros((docs, pieces, 2, 1))
+    before[:, 0, 0, 1] = -np.inf
+    for p in range(1, pieces):
+        before[:, p] = then(before[:, p - 1], down[:, p - 1, -1])
+    for p in range(pieces - 2, -1, -1):
+        after[:, p] = then(then(step[:, p + 1, 0], up[:, p + 1, 0]), after[:, p + 1])
+    forward = then(before[:, :, None], down).reshape(docs, -1, 2)[:, :steps]
+    backward = then(up, after[:, :, None]).reshape(docs, -1, 2)[:, :steps]
+    whole = np.logaddexp.reduce(forward[:, -1], axis=1)
+    bad = np.exp(forward[..., 1] + backward[..., 1] - whole[:, None])
+    doc, t = np.nonzero(held[:, 1:])
+    ahead = score.reshape(docs, -1, 2)[doc, t + 1] + backward[doc, t + 1]
+    pair = np.exp(forward[doc, t][:, :, None] + moves + ahead[:, None, :] - whole[doc, None, None]).sum(0)
+    return bad[held], pair, whole.sum()
+
+
+def _alike(part: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Documents in order of length as blocks whose padding is at most their lines, or small."""
+    if len(part) == 1 or count[part].max() * len(part) <= max(_CELLS, 2 * count[part].sum()):
+        return [part]
+    half = len(part) // 2
+    return _alike(part[:half], count) + _alike(part[half:], count)
+
+
 def _fit_chain(own: list[np.ndarray], labels: np.ndarray, ridge: float = 1.0) -> Model:
     """Fitted in blocks of documents of like length, so that padding stays small."""
     order = np.argsort([len(x) for x in own], kind="stable")
@@ -136,7 +187,8 @@ def _fit_chain(own: list[np.ndarray], labels: np.ndarray, ridge: float = 1.0) ->
     x = _with_neighbours(np.vstack(own), first)
     target = np.repeat(1.0 - labels, count)  # 1 is bad
     blocks = []
-    for part in np.array_split(np.arange(len(own)), max(1, len(own) // 200)):
+    parts = np.array_split(np.arange(len(own)), max(1, len(own) // 200))
+    for part in (p for many in parts for p in _alike(many, count)):
         steps = np.arange(count[part].max())
         held = steps < count[part][:, None]
         blocks.append((np.where(held, starts[part][:, None] + steps, 0), held))
