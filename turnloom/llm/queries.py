@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    ann, bpe, chat, compact_windows, line_crf, packing, quality_rules, simhash, sql, suffix_dedup, toxicity,
+    ann, bpe, chat, compact_windows, line_crf, packing, quality_rules, simhash, sql, suffix_dedup, token_counts, toxicity,
 )
 from turnloom.llm.common import read, remainder
 from turnloom.session import ship, write_table
@@ -124,3 +124,8 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), "good_lines")
+
+
+@registered
+def op11_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
