@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    ann, bpe, chat, compact_windows, hard_negatives, line_crf, packing, quality_rules, simhash, sql, suffix_dedup,
-    token_counts, toxicity,
+    ann, bpe, chat, collocations, compact_windows, hard_negatives, line_crf, packing, quality_rules, simhash, sql,
+    suffix_dedup, token_counts, toxicity,
 )
 from turnloom.llm.common import read, remainder
 from turnloom.session import ship, write_table
@@ -132,6 +132,14 @@ def op11_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@registered
+def op12_best_first_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(spark, read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_best_first_collocations"] = sql.COLLOCATIONS
+
+
 @registered
 def op13_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     mislabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))

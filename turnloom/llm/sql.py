@@ -132,3 +132,30 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5"""
+
+
+COLLOCATIONS = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+           FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
+places AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS i FROM w),
+grams AS (SELECT lang, words[i:i + k] AS g FROM places, (VALUES (0), (1), (2), (3)) s(k) WHERE i + k <= len(words)),
+f AS (SELECT lang, g, len(g) AS size, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+cuts AS (SELECT lang, g, size, f AS a, unnest(generate_series(1, size - 1)) AS k FROM f WHERE size > 1),
+each AS (SELECT c.*, x.f AS l, y.f AS r, 2000000 * a // (x.f + y.f) AS score FROM cuts c
+         JOIN f x ON c.lang = x.lang AND c.g[1:k] = x.g JOIN f y ON c.lang = y.lang AND c.g[k + 1:] = y.g),
+cand AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+spans AS (SELECT lang, f, g[i:i + m] AS part FROM (
+            SELECT lang, f, g, size, i, unnest(generate_series(1, size - i)) AS m FROM (
+              SELECT lang, f, g, size, unnest(generate_series(1, size - 1)) AS i FROM f WHERE size > 2))
+          WHERE m + 1 < size),
+held AS (SELECT lang, part, max(f) AS f FROM spans GROUP BY ALL)
+SELECT cand.lang, row_number() OVER o AS rank, array_to_string(cand.g, ' ') AS phrase, CAST(a AS BIGINT) AS a,
+       CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM cand JOIN total USING (lang) LEFT JOIN held ON cand.lang = held.lang AND cand.g = held.part
+WHERE held.f IS NULL OR 100 * held.f < 80 * a
+WINDOW o AS (PARTITION BY cand.lang ORDER BY score DESC, a DESC, encode(array_to_string(cand.g, ' ')))
+QUALIFY row_number() OVER o <= 2000"""
