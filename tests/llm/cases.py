@@ -38,3 +38,11 @@ def clashing(spark, docs):
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
+
+
+def repeated_keys():
+    """Keys that several rows share, with equal and with different texts of equal length."""
+    a, b, c = words(60, 21), words(60, 22), words(60, 23)
+    size = min(map(len, (a, b, c)))
+    a, b, c = a[:size], b[:size], c[:size]
+    return [(1, a), (5, a), (5, b), (7, a), (7, a), (9, b), (9, c), (9, c), (None, a), (11, None), (11, "")]

@@ -45,6 +45,13 @@ def test_remove_repeats(spark, width):
     assert got(suffix_dedup.remove_repeats(spark, wide, width, run_bytes=(700, 700))) == want
 
 
+@pytest.mark.parametrize("run_bytes", [(1 << 18, 1 << 28), (300, 300)])
+def test_keys_that_rows_share(spark, run_bytes):
+    rows = cases.repeated_keys()
+    out = suffix_dedup.remove_repeats(spark, cases.table(spark, rows), run_bytes=run_bytes)
+    assert got(out) == brute([(i, (t or "").encode()) for i, t in rows], 50)
+
+
 def test_random_texts_over_few_letters(spark):
     rng = random.Random(8)
     for width in (5, 9, 30):

@@ -22,6 +22,7 @@ bucket) messages in proportion to the data.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -113,6 +114,9 @@ def _eight(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+_COPY = np.dtype([("key", "<i8"), ("size", "<i8"), ("first", "<i8"), ("digest", "V32")])
+
+
 def _run(table: pa.Table, control: pa.Table) -> tuple[int, Run, dict[str, dict[int, bytes]]]:
     nulls = table["key"].is_null().to_numpy()
     keys = table["key"].fill_null(np.iinfo(np.int64).max).to_numpy()
@@ -122,9 +126,11 @@ def _run(table: pa.Table, control: pa.Table) -> tuple[int, Run, dict[str, dict[i
     said: dict[str, dict[int, bytes]] = {"copy": {}, "again": {}, "verdict": {}}
     for kind, bucket, data in zip(*(control[c].to_pylist() for c in ("kind", "bucket", "data"))):
         said[kind][bucket] = data
-    known = np.frombuffer(said["copy"].get(0, b""), "<i8").reshape(-1, 3)
-    copies = {(k, n): first for k, n, first in known.tolist()}
-    first = np.array([copies.get((k, len(t)), k) for k, t in zip(keys.tolist(), texts)], np.int64)
+    known = np.frombuffer(said["copy"].get(0, b""), _COPY)
+    copies = {(k, d): first for k, d, first in known[["key", "digest", "first"]].tolist()}
+    sizes = set(zip(known["key"].tolist(), known["size"].tolist()))
+    first = np.array([copies.get((k, hashlib.sha256(t).digest()), k) if (k, len(t)) in sizes else k
+                      for k, t in zip(keys.tolist(), texts)], np.int64)
     rest = table["rest"].take(pa.array(order, pa.int64())) if "rest" in table.column_names else None
     return table["run"][0].as_py(), Run(keys, texts, (first != keys) | nulls, nulls, first, rest), said
 
@@ -177,11 +183,15 @@ def search(spark: SparkSession, docs: DataFrame, method: Method, schema: str, ke
     own = F.pmod(F.xxhash64("key", "n"), F.lit(runs)).cast("int").alias("run")
     firsts = marks.where("key IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"))
     copies = write_table(spark, "copies", marks.join(firsts, "digest").where("key > first").select(
-        own, F.col("key").alias("k"), "n", "first"))
+        own, F.col("key").alias("k"), "n", "first", F.unhex("digest").alias("digest")))
 
     def copied(table: pa.Table) -> pa.Table:
-        pairs = np.stack([table[c].to_numpy() for c in ("k", "n", "first")], 1).astype("<i8")
-        return _table(table["run"][0].as_py(), "copy", [(0, np.unique(pairs, axis=0).tobytes())])
+        known = np.empty(table.num_rows, _COPY)
+        for name, column in (("key", "k"), ("size", "n"), ("first", "first")):
+            known[name] = table[column].to_numpy()
+        known["digest"] = np.frombuffer(b"".join(table["digest"].to_pylist()), "V32")
+        data = sorted({row.tobytes() for row in known})
+        return _table(table["run"][0].as_py(), "copy", [(0, b"".join(data))])
 
     def first_pass(table: pa.Table, control: pa.Table) -> pa.Table:
         if not table.num_rows:
