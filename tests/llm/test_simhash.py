@@ -51,7 +51,19 @@ def test_groups(spark):
     assert _got(simhash.groups(spark, cases.clashing(spark, docs))) == want
     assert simhash.groups(spark, docs.limit(0)).count() == 0
     kept = [r.doc_id for r in simhash.one_of_each(spark, docs).collect()]
-    assert sorted(k for k in kept if k) == sorted(i for i, _, c in want if i and i == c)
+    assert sorted(k for k in kept if k) == sorted({i for i, _, c in want if i and i == c})  # equal rows fall to one
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = cases.repeated_keys()
+    docs = cases.table(spark, rows)
+    for table in (docs, docs.selectExpr("*", "1 AS key", "2 AS digest", "3 AS given", "4 AS _copy_key", "5 AS n")):
+        out = simhash.one_of_each(spark, table)
+        assert out.columns == table.columns
+        texts = dict((t, i) for i, t in reversed([r for r in rows if r[0] is not None and r[1]]))
+        want = [(None, rows[0][1]), (11, None), *[(i, t) for t, i in texts.items()]]
+        got = [(r.doc_id, r.text or None) for r in out.collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 @pytest.mark.parametrize("block", [2048, 3])

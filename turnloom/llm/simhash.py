@@ -61,17 +61,20 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return sum(1 << int(b) for b in set_bits)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, fingerprint: long) of every whole text; a text without words, or null, has zero."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3,
+                 more: list[Column] | None = None) -> DataFrame:
+    """(key, fingerprint: long) of every whole text, and `more`; a text without words, or null, has zero."""
+    rows = keyed(docs, key, text, True, more)
+    extra = [f for f in rows.schema.fields if f.name not in ("key", "text")]
+    schema = ", ".join(["key long, fingerprint long", *[f"{f.name} {f.dataType.simpleString()}" for f in extra]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             marks = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], "<u8")
-            yield pa.record_batch([batch.column("key"), pa.array(marks.view("<i8"))],
-                                  names=["key", "fingerprint"])
+            yield pa.record_batch([batch.column("key"), pa.array(marks.view("<i8")), *[batch.column(f.name) for f in extra]],
+                                  names=["key", "fingerprint", *[f.name for f in extra]])
 
-    return (keyed(docs, key, text, binary=True).mapInArrow(run, "key long, fingerprint long")
-            .withColumnRenamed("key", key))
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def _signed(mask: int) -> int:
@@ -178,17 +181,40 @@ def groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     give repeated rows; an empty table gives an empty table.
     """
     marks = write_table(spark, "fingerprints", fingerprints(docs, key, text, width))
+    return marks.join(_named(spark, marks, key, radius), "fingerprint").select(key, "fingerprint", "component")
+
+
+def _named(spark: SparkSession, marks: DataFrame, key: str, radius: int) -> DataFrame:
+    """(fingerprint, root, component): of each component a fingerprint and the least key."""
     least = write_table(spark, "marks", marks.groupBy("fingerprint").agg(F.min(key).alias("low")))
     roots = components(spark, links(spark, least, radius))
     held = least.join(roots, least.fingerprint == roots.node, "left").select(
         "fingerprint", "low", F.coalesce("root", "fingerprint").alias("root"))
     named = held.join(held.groupBy("root").agg(F.min("low").alias("component")), "root")
-    return marks.join(named.select("fingerprint", "component"), "fingerprint").select(
-        key, "fingerprint", "component")
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose key names its component; rows with a null key stay."""
-    gone = (groups(spark, docs, key, text).where(F.col(key) != F.col("component"))
-            .select(F.col(key).alias("_copy_key")).distinct())
-    return docs.join(gone, docs[key] == F.col("_copy_key"), "left_anti")
+    return named.select("fingerprint", "root", "component")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3,
+                radius: int = RADIUS) -> DataFrame:
+    """One row of each component: the least key, of its rows the least text digest, and of rows equal in
+    both the one whose other columns have the least hash. So a text goes only if its component keeps
+    another row, whatever keys it shares. Rows with a null key all stay. The input's columns travel as one
+    struct, so none can clash; columns of maps count for nothing in that hash."""
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), digest.alias("digest"))
+    marks = write_table(spark, "fingerprints", fingerprints(texts, "key", "text", width, [F.col("digest")]))
+    named = _named(spark, marks, "key", radius)
+    rows = marks.where("key IS NOT NULL").groupBy("fingerprint", "key", "digest").agg(F.count("*").alias("n"))
+    placed = write_table(spark, "placed", rows.join(named, "fingerprint").select("root", "key", "digest", "n"))
+    chosen = placed.groupBy("root").agg(F.min(F.struct("key", "digest")).alias("c"))
+    marked = write_table(spark, "marked", placed.join(chosen, "root").select(
+        "key", "digest", "n", (F.struct("key", "digest") == F.col("c")).alias("stays")))
+    given = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("given"),
+                        F.col(f"`{key}`").cast("long").alias("key"), digest.alias("digest"))
+    # all others stay as they are; a join that takes rows away needs no shuffle of texts where few go
+    single = given.join(marked.where("NOT stays OR n > 1").select("key", "digest"), ["key", "digest"], "left_anti")
+    again = marked.where("stays AND n > 1").select("key", "digest")
+    plain = [f"given.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    repeated = given.join(again, ["key", "digest"]).groupBy("key", "digest").agg(
+        F.min_by("given", F.xxhash64(*plain)).alias("given"))
+    return single.select("given").unionByName(repeated.select("given")).select("given.*")
