@@ -146,6 +146,21 @@ def test_nearest_on_awkward_vectors(spark, n, monkeypatch):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_repeated_ids_and_double_vectors(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(0, [9.0] * 4), (1, [8.0] * 4), (1, rows[1][1]), rows[2]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    use = {}
+    for i, v in rows:
+        use[i] = min(use.get(i, v), v)
+    for r in ann.nearest(spark, table, F.col("vec_id") % 20 == 0, 5).collect():
+        assert abs(r.score - sum(a * b for a, b in zip(use[r.query_id], use[r.vec_id]))) < 1e-12
+    found = ann.nearest(spark, table, F.col("vec_id") % 20 == 0, 5).groupBy("query_id").agg(
+        F.collect_set("rank").alias("r"), F.count("*").alias("n"), F.count_distinct("vec_id").alias("d")).collect()
+    assert len(found) == 3 and all(sorted(r.r) == [1, 2, 3, 4, 5] and r.n == r.d == 5 for r in found)
+
+
 def test_recall(spark):
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)

@@ -16,8 +16,8 @@ holds an unbounded group. Equal vectors are one entry of the index and one query
 k + 1 least are kept, which is all that k answers without the query itself can show.
 
 Defined results: vectors that are null, all zero, of another length than most, or that hold a null or
-non-finite component take no part; ties go to the smaller id; rows that repeat an id count as one; an
-empty table gives no rows; fewer than k candidates give all of them.
+non-finite component take no part; ties go to the smaller id; of rows that repeat an id the
+least vector counts; an empty table gives no rows; fewer than k candidates give all of them.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     """(query_id, rank, <key>, score): for each row that `is_query` (over `vectors`) admits, its k best."""
     x = F.col("vector")
     raw = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), is_query.alias("asks"),
-                         F.col(f"`{vector}`").cast("array<float>").alias("vector")).where(
+                         F.col(f"`{vector}`").cast("array<double>").alias("vector")).where(
         "id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").where(
         F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
         & F.exists(x, lambda v: v != 0))
@@ -166,8 +166,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     schema = f"query_id long, rank int, {key} long, score double"
     if sizes is None:
         return spark.createDataFrame([], schema)
-    ids = raw.where(F.size("vector") == sizes.d)
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    ids = raw.where(F.size("vector") == sizes.d).groupBy("id").agg(F.min(F.struct("vector", "asks")).alias("r")).select(
+        "id", "r.asks", "r.vector")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     distinct = write_table(spark, "vectors", ids.groupBy("vector").agg(
         F.min("id").alias("rep"), F.max("asks").alias("asks"), F.max(norm).alias("norm")))
     totals = distinct.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"),
