@@ -48,6 +48,19 @@ def test_verdicts_follow_the_group(spark):
     assert quality_rules.judged(none, quality_rules.fences(quality_rules.sketch(none))).count() == 0
 
 
+def test_any_column_name_may_come_with_the_text(spark):
+    docs = cases.table(spark, [(i, cases.words(60 + i % 17, i)) for i in range(50)] + [(99, "short")])
+    names = ("_m", "_kept", "_f", "_m_text", "_m_counts", "_M_three", "_m__n", "given", "row")
+    wide = docs.selectExpr("*", *[f"'q' AS {n}" for n in names])
+    out = quality_rules.passing(spark, wide)
+    assert out.columns == wide.columns
+    assert cases.rows(out.select(*docs.columns)) == cases.rows(quality_rules.passing(spark, docs))
+    assert {tuple(r) for r in out.select(*names).collect()} == {("q",) * len(names)}
+    measures = quality_rules.measured(wide)
+    limits = quality_rules.fences(quality_rules.sketch(measures))
+    assert quality_rules.judged(measures, limits).where("_kept").count() == out.count() == 50
+
+
 def test_sketch_merges_and_keeps_quantiles(spark):
     docs = cases.table(spark, [(i, cases.words(50 + i, i)) for i in range(120)])
     whole = quality_rules.sketch(quality_rules.measured(docs))

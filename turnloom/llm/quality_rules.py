@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.session import write_table
+
 SPACE = " \t\n\u000b\f\r"
 GAMMA = 1.01 / 0.99
 REACH = 3
@@ -29,51 +31,56 @@ BROADCAST_ROWS = 100_000
 
 
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """`docs` with one more column `_m`: counts of the text, its measures and its group."""
-    own = docs.columns
+    """`docs` with one more column `_m`: counts of the text, its measures and its group. Columns of the
+    input named `_m` or `_kept` are replaced; `passing` keeps columns of any name."""
+    own = [c for c in docs.columns if c.lower() not in ("_m", "_kept")]
+    p = "_m"  # no column of the input begins like those made here
+    while any(c.lower().startswith(p) for c in own):
+        p += "_"
 
     def step(df: DataFrame, **made: Column | str) -> DataFrame:
-        return df.select(*[f"`{c}`" for c in own], *[c for c in df.columns if c.startswith("_m")],
-                         *[(F.expr(e) if isinstance(e, str) else e).alias(c) for c, e in made.items()])
+        return df.select(*[f"`{c}`" for c in own], *[c for c in df.columns if c.startswith(p) and c not in own],
+                         *[(F.expr(e) if isinstance(e, str) else e).alias(p + c) for c, e in made.items()])
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = docs.select(*[f"`{c}`" for c in own], body.alias("_m_text"))
-    df = step(df, _m_words=F.when(F.btrim("_m_text", F.lit(SPACE)) == "", F.array().cast("array<string>"))
-              .otherwise(F.split(F.btrim("_m_text", F.lit(SPACE)), r"[\x20\x09-\x0D]+")),
-              _m_lines=F.filter(F.split("_m_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
-    df = step(df, _m_n="size(_m_words)",
-              _m_three="""CASE WHEN size(_m_words) < 3 THEN array() ELSE
-                  transform(sequence(0, size(_m_words) - 3),
-                            i -> xxhash64(_m_words[i], _m_words[i + 1], _m_words[i + 2])) END""")
-    df = step(df, _m_order="""CASE WHEN size(array_distinct(_m_three)) = size(_m_three) THEN null ELSE
-                  array_sort(transform(_m_three, (h, i) -> struct(h AS h, i AS i))) END""")
+    df = docs.select(*[f"`{c}`" for c in own], body.alias(f"{p}_text"))
+    df = step(df, _words=F.when(F.btrim(f"{p}_text", F.lit(SPACE)) == "", F.array().cast("array<string>"))
+              .otherwise(F.split(F.btrim(f"{p}_text", F.lit(SPACE)), r"[\x20\x09-\x0D]+")),
+              _lines=F.filter(F.split(f"{p}_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+    df = step(df, _n=f"size({p}_words)",
+              _three=f"""CASE WHEN size({p}_words) < 3 THEN array() ELSE
+                  transform(sequence(0, size({p}_words) - 3),
+                            i -> xxhash64({p}_words[i], {p}_words[i + 1], {p}_words[i + 2])) END""")
+    df = step(df, _order=f"""CASE WHEN size(array_distinct({p}_three)) = size({p}_three) THEN null ELSE
+                  array_sort(transform({p}_three, (h, i) -> struct(h AS h, i AS i))) END""")
     # starts of windows found twice or more, in the order of the text
-    df = step(df, _m_starts="""CASE WHEN _m_order IS NULL THEN null ELSE
-                  array_sort(transform(filter(_m_order, (x, j) ->
-                      (j > 0 AND x.h = _m_order[greatest(j - 1, 0)].h) OR
-                      (j < size(_m_order) - 1 AND x.h = _m_order[least(j + 1, size(_m_order) - 1)].h)),
+    df = step(df, _starts=f"""CASE WHEN {p}_order IS NULL THEN null ELSE
+                  array_sort(transform(filter({p}_order, (x, j) ->
+                      (j > 0 AND x.h = {p}_order[greatest(j - 1, 0)].h) OR
+                      (j < size({p}_order) - 1 AND x.h = {p}_order[least(j + 1, size({p}_order) - 1)].h)),
                   x -> x.i)) END""")
-    df = step(df, _m_counts="""struct(
-        CAST(_m_n AS bigint) AS n_words,
-        CAST(length(array_join(_m_words, '')) AS bigint) AS word_chars,
-        CAST(regexp_count(_m_text, '[#*$%&|<>]') AS bigint) AS n_symbols,
-        CAST(size(_m_lines) AS bigint) AS n_lines,
-        CAST(size(_m_lines) - size(array_distinct(_m_lines)) AS bigint) AS n_dup_lines,
-        CASE WHEN _m_starts IS NULL THEN 0L ELSE aggregate(_m_starts,
+    df = step(df, _counts=f"""struct(
+        CAST({p}_n AS bigint) AS n_words,
+        CAST(length(array_join({p}_words, '')) AS bigint) AS word_chars,
+        CAST(regexp_count({p}_text, '[#*$%&|<>]') AS bigint) AS n_symbols,
+        CAST(size({p}_lines) AS bigint) AS n_lines,
+        CAST(size({p}_lines) - size(array_distinct({p}_lines)) AS bigint) AS n_dup_lines,
+        CASE WHEN {p}_starts IS NULL THEN 0L ELSE aggregate({p}_starts,
             struct(0L AS upto, 0L AS n),
             (s, i) -> struct(i + 3L AS upto, s.n + (i + 3L - greatest(CAST(i AS bigint), s.upto)) AS n),
             s -> s.n) END AS n_repeat_words)""")
-    df = df.select(*[f"`{c}`" for c in own], "_m_counts")
-    n, lines = "greatest(_m_counts.n_words, 1)", "greatest(_m_counts.n_lines, 1)"
+    counts = f"{p}_counts"
+    df = df.select(*[f"`{c}`" for c in own], counts)
+    n, lines = f"greatest({counts}.n_words, 1)", f"greatest({counts}.n_lines, 1)"
     # a column that no filter may be moved past, so that a filter on the measures does not repeat them
     fixed = F.monotonically_increasing_id().alias("row")
     return df.select(*[f"`{c}`" for c in own], F.struct(
-        fixed, "_m_counts.*",
-        F.expr(f"_m_counts.n_symbols * 1000 DIV {n}").alias("symbols"),
-        F.expr(f"_m_counts.n_repeat_words * 1000 DIV {n}").alias("repeats"),
-        F.expr(f"_m_counts.n_dup_lines * 1000 DIV {lines}").alias("copies"),
-        F.expr(f"_m_counts.word_chars * 100 DIV {n}").alias("width"),
-        F.expr("_m_counts.n_words < 50 OR 100 * _m_counts.n_repeat_words > 50 * _m_counts.n_words")
+        fixed, f"{counts}.*",
+        F.expr(f"{counts}.n_symbols * 1000 DIV {n}").alias("symbols"),
+        F.expr(f"{counts}.n_repeat_words * 1000 DIV {n}").alias("repeats"),
+        F.expr(f"{counts}.n_dup_lines * 1000 DIV {lines}").alias("copies"),
+        F.expr(f"{counts}.word_chars * 100 DIV {n}").alias("width"),
+        F.expr(f"{counts}.n_words < 50 OR 100 * {counts}.n_repeat_words > 50 * {counts}.n_words")
         .alias("base_failed"),
         _group(docs, lang).alias("lang"), _group(docs, source).alias("source"),
     ).alias("_m"))
@@ -136,13 +143,25 @@ def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
 
     `limits` is one row per group; it is sent to all tasks only when counted small.
     """
-    inside = [F.col(f"_m.{m}").between(F.col(f"_f.{m}_low"), F.col(f"_f.{m}_high")) for m in SPREADS]
+    f = "_f"
+    while f in (c.lower() for c in measures.columns):
+        f += "_"
+    inside = [F.col(f"_m.{m}").between(F.col(f"{f}.{m}_low"), F.col(f"{f}.{m}_high")) for m in SPREADS]
     ok = inside[0]
     for more in inside[1:]:
         ok = ok & more
-    table = limits.select(F.struct(*limits.columns).alias("_f"))
+    table = limits.select(F.struct(*limits.columns).alias(f))
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    on = (F.col("_m.lang") == F.col("_f.lang")) & (F.col("_m.source") == F.col("_f.source"))
+    on = (F.col("_m.lang") == F.col(f"{f}.lang")) & (F.col("_m.source") == F.col(f"{f}.source"))
     return measures.join(table, on, "left").withColumn(
-        "_kept", ~F.col("_m.base_failed") & F.coalesce(ok, F.lit(True))).drop("_f")
+        "_kept", ~F.col("_m.base_failed") & F.coalesce(ok, F.lit(True))).drop(f)
+
+
+def passing(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "lang",
+            source: str = "source") -> DataFrame:
+    """The rows of `docs` that pass; the input's columns travel as one struct, so none can clash."""
+    used = [F.col(f"`{c}`").alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source")) if c in docs.columns]
+    measures = measured(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("given"), *used))
+    limits = write_table(spark, "fences", fences(sketch(measures)))  # measured again, so that texts need not be shuffled
+    return judged(measures, limits).where("_kept").select("given.*")
