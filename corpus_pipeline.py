@@ -16,16 +16,14 @@ from pyspark.sql import functions as F
 
 from turnloom.llm import compact_windows, line_crf, packing, quality_rules, simhash
 from turnloom.llm.common import read, remainder
-from turnloom.session import shared_folder, ship, write_table
+from turnloom.session import shared_folder, ship
 
 ORACLE_SQL = None  # no SQL for the learned classifier, the near-copy searches or the tokenizer
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the fences of their language and source."""
-    measures = quality_rules.measured(docs)  # twice computed, so that texts need not be shuffled
-    limits = write_table(spark, "fences", quality_rules.fences(quality_rules.sketch(measures)))
-    return quality_rules.judged(measures, limits).where("_kept").select(*[f"`{c}`" for c in docs.columns])
+    return quality_rules.passing(spark, docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +36,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
+    """One row of each group of near copies stays: the one with the least doc_id, then the least digest of its text."""
     ship(spark)
     return simhash.one_of_each(spark, docs)
 
