@@ -41,7 +41,7 @@ from turnloom.session import write_table
 
 TOP, LEAST, SHARE, SCALE, LONGEST = 2_000, 30, 80, 2_000_000, 4
 BITS = 1 << 22
-FLUSH = 1 << 20  # words counted at once
+FLUSH = 1 << 21  # words counted at once
 _PART = 1 << 22  # bytes of a text split at once
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 _BREAK = re.compile(rb"[ \t\n]")
@@ -112,56 +112,87 @@ class Counter:
 
     def _counts(self, ids: np.ndarray, starts: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
         """Of phrases that start at the first `starts` places; also each language's words, as an empty phrase."""
-        want, texts = self.wanted, [lang + b"\n" + word for lang, word in zip(self.langs, self.words)]
+        want, longest = self.wanted, max(self.wanted.sizes)
+        keys = [lang + b"\n" + word for lang, word in zip(self.langs, self.words)]
         if 1 in want.sizes:
-            counts, totals = np.bincount(ids[:starts], minlength=len(texts)), dict.fromkeys(self.numbers, 0)
+            counts, totals = np.bincount(ids[:starts], minlength=len(keys)), dict.fromkeys(self.numbers, 0)
             found = np.flatnonzero(counts[1:]) + 1
             for i in found.tolist():
                 totals[self.langs[i]] += int(counts[i])
-            yield [texts[i] for i in found], counts[found]
+            yield [keys[i] for i in found], counts[found]
             yield [lang + b"\n" for lang in totals], np.array(list(totals.values()), np.int64)
-        here = ids > 0  # where a phrase begins, one word shorter than `size`, that may be frequent
-        if want.words is not None:
-            here &= _listed(want.words, texts)[ids]
-        code = ids
-        for size in range(2, max(want.sizes) + 1):
+        if longest == 1:
+            return
+        own = marks = word_hashes(keys)
+        here = (ids > 0) & _listed(want.words, own)[ids]  # where a phrase begins, one word shorter, that may be frequent
+        code, parents = ids, []  # phrases by their place among the distinct ones; of these: shorter phrase, last word
+        for size in range(2, longest + 1):
             here = here[:-1] & here[1:]
             counted = here
             if size > 2:
-                counted = here & (_listed(want.prefixes.get(size), texts)[code[:-1]]
-                                  | _listed(want.suffixes.get(size), texts)[code[1:]])
-            if size == max(want.sizes):
+                counted = here & (_listed(want.prefixes.get(size), marks)[code[:-1]]
+                                  | _listed(want.suffixes.get(size), marks)[code[1:]])
+            if size == longest:
                 here = counted
             at = np.flatnonzero(here)
             pairs, inverse = np.unique(code[at] << 32 | ids[at + size - 1], return_inverse=True)
-            texts = [texts[a] + b" " + self.words[b]
-                     for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist())]
+            parents.append((pairs >> 32, pairs & 0xFFFFFFFF))
+            marks = joined(marks[parents[-1][0]], own[parents[-1][1]])
             if size in want.sizes:
                 counts = np.bincount(inverse[counted[at] & (at < starts)], minlength=len(pairs))
                 found = np.flatnonzero(counts)
-                yield [texts[i] for i in found], counts[found]
-            if size == 2 and want.pairs is not None:
-                fine = _listed(want.pairs, texts)[inverse]
+                yield self._texts(keys, parents, found), counts[found]
+            if size == 2 and longest > 2:
+                fine = _listed(want.pairs, marks)[inverse]
                 at, inverse = at[fine], inverse[fine]
                 here = np.zeros(len(here), bool)
                 here[at] = True
-            texts = texts or [b""]  # place of the code of what does not matter
+            if not len(marks):
+                return
             code = np.zeros(len(here), np.int64)
             code[at] = inverse
 
+    def _texts(self, keys: list[bytes], parents: list, found: np.ndarray) -> list[bytes]:
+        last = []
+        for shorter, word in reversed(parents):
+            last.append([self.words[i] for i in word[found].tolist()])
+            found = shorter[found]
+        return [b" ".join(t) for t in zip([keys[i] for i in found.tolist()], *reversed(last))]
 
-def _listed(bitmap: np.ndarray | None, keys: list[bytes]) -> np.ndarray:
+
+def word_hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
+
+
+def joined(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase and one more word, from both hashes."""
+    mixed = (phrase ^ (phrase >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _listed(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     if bitmap is None:
-        return np.zeros(len(keys), bool)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys))
+        return np.zeros(len(hashes), bool)
     bits = (hashes & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
     return bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1
 
 
 def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
     """Hashes of (lang, phrase) as a bitmap; only words of 64 bits reach the driver, bits / 64 at most."""
-    bit = F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")).bitwiseAND(F.lit(bits - 1))
-    rows = phrases.select(bit.alias("b")).distinct().groupBy((F.col("b") / 64).cast("long").alias("w")).agg(
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [(lang, phrase.split(" "))
+                     for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())]
+            marks = np.zeros(len(split), np.uint64)
+            for size in range(1, LONGEST + 1):
+                rows = [i for i, (_, words) in enumerate(split) if len(words) >= size]
+                own = word_hashes([f"{split[i][0]}\n{split[i][1][size - 1]}".encode() for i in rows])
+                marks[rows] = own if size == 1 else joined(marks[rows], own)
+            yield pa.record_batch([pa.array((marks & np.uint64(bits - 1)).astype(np.int64))], names=["b"])
+
+    rows = phrases.select("lang", "phrase").mapInArrow(run, "b long").distinct().groupBy(
+        (F.col("b") / 64).cast("long").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("v")).toPandas()
     words = np.zeros(bits // 64, "<i8")
     words[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
