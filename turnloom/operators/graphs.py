@@ -1,13 +1,12 @@
 """Transition graphs as edge tables `(graph_id, src, dst, weight)` and their metrics.
 
 Edges are counted with map-side aggregation, so the number of rows behind a graph does not
-matter; one graph's distinct edges are bounded by the label vocabulary and checked before a
-task works on them as a whole.
+matter. Degrees, triangles, components and paths are joins over the edge table (`reach`), for graphs
+of any size.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import ngrams as N
+from turnloom.operators import reach
 from turnloom.operators.ordered import Ordering, carry
 from turnloom.session import write_table
 
 NODE_SEPARATOR = "→"
-MAX_NODES = 4096
 
 
 def edges_from(counts: DataFrame, k: int = 1) -> DataFrame:
@@ -210,85 +209,53 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """Average clustering coefficient of the undirected graph."""
+    """Average clustering coefficient of the undirected graph.
+
+    Each link points from the end of lower degree to the higher one, so no node has more than
+    sqrt(2 m) links out and the wedges that are tested stay below m^1.5, hubs included. A triangle
+    is met once, at its lowest corner, and counts for all three.
+    """
     undirected = edges.filter(F.col("src") != F.col("dst")).select(
         "graph_id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    neighbours = undirected.select("graph_id", F.inline(F.array(
-        F.struct(F.col("u").alias("node"), F.col("v").alias("other")),
-        F.struct(F.col("v").alias("node"), F.col("u").alias("other")),
-    )))
-    degree = neighbours.groupBy("graph_id", "node").agg(F.count("*").alias("_degree"))
-    left = neighbours.withColumnRenamed("other", "u")
-    right = neighbours.withColumnRenamed("other", "v")
-    closed = (
-        left.join(right, ["graph_id", "node"]).filter(F.col("u") < F.col("v"))
-        .join(undirected, ["graph_id", "u", "v"])
-        .groupBy("graph_id", "node").agg(F.count("*").alias("_triangles"))
-    )
+    degree = undirected.select("graph_id", F.explode(F.array("u", "v")).alias("node")).groupBy(
+        "graph_id", "node").agg(F.count("*").alias("_degree"))
+    rank = lambda name: degree.select(
+        "graph_id", F.col("node").alias(name), F.struct("_degree", "node").alias(f"_{name}"))
+    ranked = undirected.join(rank("u"), ["graph_id", "u"]).join(rank("v"), ["graph_id", "v"])
+    pointed = write_table(edges.sparkSession, "pointed", ranked.select(
+        "graph_id", F.least("_u", "_v").alias("low"), F.greatest("_u", "_v").alias("high")))
+    to = lambda name: pointed.select("graph_id", "low", F.col("high").alias(name))
+    wedges = to("a").join(to("b"), ["graph_id", "low"]).filter(F.col("a") < F.col("b"))
+    closed = wedges.join(pointed.select("graph_id", F.col("low").alias("a"), F.col("high").alias("b")),
+                         ["graph_id", "a", "b"], "left_semi")
+    corners = closed.select("graph_id", F.explode(F.array("low.node", "a.node", "b.node")).alias("node")).groupBy(
+        "graph_id", "node").agg(F.count("*").alias("_triangles"))
     d, t = F.col("_degree"), F.coalesce(F.col("_triangles"), F.lit(0))
     return (
-        degree.join(closed, ["graph_id", "node"], "left")
+        degree.join(corners, ["graph_id", "node"], "left")
         .groupBy("graph_id")
         .agg(F.avg(F.when(d > 1, 2 * t / (d * (d - 1))).otherwise(0.0)).alias("clustering_coeff"))
     )
 
 
-def _reach(start: str, step: dict[str, set[str]]) -> dict[str, int]:
-    distance = {start: 0}
-    queue = deque([start])
-    while queue:
-        here = queue.popleft()
-        for there in step.get(here, ()):
-            if there not in distance:
-                distance[there] = distance[here] + 1
-                queue.append(there)
-    return distance
-
-
-def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    forward: dict[str, set[str]] = {}
-    backward: dict[str, set[str]] = {}
-    around: dict[str, set[str]] = {}
-    for u, v in zip(pdf["src"], pdf["dst"]):
-        forward.setdefault(u, set()).add(v)
-        backward.setdefault(v, set()).add(u)
-        around.setdefault(u, set()).add(v)
-        around.setdefault(v, set()).add(u)
-    names = sorted(around)
-    if len(names) > MAX_NODES:
-        raise ValueError(f"graph has more than {MAX_NODES} nodes; use the groups granularity")
-
-    def split(component_of) -> list[set[str]]:
-        left, found = set(names), []
-        for name in names:
-            if name in left:
-                found.append(component_of(name))
-                left -= found[-1]
-        return found
-
-    weak = split(lambda n: set(_reach(n, around)))
-    strong = split(lambda n: set(_reach(n, forward)) & set(_reach(n, backward)))
-    largest = max(weak, key=len)
-    m = len(largest)
-    total = sum(sum(_reach(n, around).values()) for n in largest)
-    return pd.DataFrame([{
-        "graph_id": pdf["graph_id"].iloc[0],
-        "n_weak": len(weak),
-        "n_strong": len(strong),
-        "largest_weak_frac": m / len(names),
-        "largest_strong_frac": max(map(len, strong)) / len(names),
-        "avg_shortest_path": total / (m * (m - 1)) if m > 1 else None,
-    }])
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """Weak and strong components and the mean shortest path of the largest weak one, one
-    small graph per task group."""
-    return edges.select("graph_id", "src", "dst").groupBy("graph_id").applyInPandas(
-        _components,
-        "graph_id string, n_weak long, n_strong long, largest_weak_frac double, "
-        "largest_strong_frac double, avg_shortest_path double",
-    )
+    """Weak and strong components and the mean shortest path of the largest weak one (of equal
+    ones that with the least name)."""
+    spark = edges.sparkSession
+    edges = write_table(spark, "component_edges", edges.select("graph_id", "src", "dst"))
+    weak = write_table(spark, "weak", reach.weak(edges))
+    held = weak.groupBy("graph_id", "root").agg(F.count("*").alias("m"))
+    largest = held.groupBy("graph_id").agg(
+        F.count("*").alias("n_weak"), F.sum("m").alias("_nodes"),
+        F.min_by("root", F.struct(-F.col("m"), F.col("root"))).alias("root"), F.max("m").alias("_m"))
+    members = weak.join(largest.filter(F.col("_m") > 1).select("graph_id", "root"), ["graph_id", "root"]).select("graph_id", "node")
+    strong = reach.strong(edges).groupBy("graph_id", "root").agg(F.count("*").alias("m")).groupBy("graph_id").agg(
+        F.count("*").alias("n_strong"), F.max("m").alias("_s"))
+    totals = reach.total_distances(edges, members)
+    return largest.join(strong, "graph_id").join(totals, "graph_id", "left").select(
+        "graph_id", "n_weak", "n_strong", (F.col("_m") / F.col("_nodes")).alias("largest_weak_frac"),
+        (F.col("_s") / F.col("_nodes")).alias("largest_strong_frac"),
+        (F.col("total") / (F.col("_m") * (F.col("_m") - 1))).alias("avg_shortest_path"))
 
 
 def top_edges(edges: DataFrame, top: int = 3) -> DataFrame:
