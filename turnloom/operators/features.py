@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import labels as L
 from turnloom.operators.blocks import is_important
-from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, nearby, overall
+from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, nearby, overall, running_total
 from turnloom.session import write_table
 
 # Token ids, transcript edge markers and prompt wording.
@@ -46,11 +46,11 @@ def token(granularity: str, with_speaker: bool = True) -> Column:
 def vocabulary(rows: DataFrame, tokens: Column) -> DataFrame:
     """token, idx in order of first appearance over sorted transcripts; 0 and 1 are reserved.
 
-    One row per distinct token is numbered.
+    One row per distinct token is numbered, range by range.
     """
     seen = rows.groupBy(tokens.alias("token")).agg(F.min(F.struct("source_file", "pos")).alias("_first"))
-    return seen.select(
-        "token", (F.row_number().over(Window.orderBy("_first")) + UNKNOWN).cast("long").alias("idx"))
+    return running_total(seen, [], ["_first"], name="idx").select(
+        "token", (F.col("idx") + UNKNOWN + 1).alias("idx"))
 
 
 def encode(rows: DataFrame, tokens: Column, vocab: DataFrame, target: str) -> DataFrame:

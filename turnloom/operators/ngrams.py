@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, ahead, nearby
+from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, ahead, nearby, running_total
+from turnloom.session import write_table
 
 SEPARATOR = " -> "
 
@@ -53,19 +54,14 @@ def concatenated(rows: DataFrame, order: Ordering, *group: str) -> DataFrame:
     repeats across the joints dropped.
 
     A position along a group is the size of all earlier (transcript, segment) pieces plus the
-    place inside the piece; a group is then cut into segments like a transcript. The running
-    size needs one row per piece in order, so use this reading of pooled groups where
-    transcripts are a moderate number.
+    place inside the piece; a group is then cut into segments like a transcript. Sizes are summed
+    range by range, so a group may have any number of transcripts.
     """
     along = Ordering(tuple(group), "pos", order.segment_rows or SEGMENT_ROWS)
     piece = [*group, "source_file", "_piece"]
     pieces = rows.withColumn("_piece", along.segment())
-    earlier = (
-        Window.partitionBy(*group).orderBy("source_file", "_piece")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = pieces.groupBy(*piece).agg(F.count("*").alias("_n")).select(
-        *piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = running_total(pieces.groupBy(*piece).agg(F.count("*").alias("_n")), group, ["source_file", "_piece"],
+                            F.col("_n"), "_offset").drop("_n")
     inside = F.row_number().over(Window.partitionBy(*piece).orderBy("pos"))
     placed = pieces.join(offsets, piece).select(
         *group, "label", (F.col("_offset") + inside - 1).alias("pos"))
@@ -171,28 +167,48 @@ def tf_idf(counts: DataFrame, family: Sequence[str], salts: int = 32) -> DataFra
     )
 
 
+def first_absent(scored: DataFrame, groups: DataFrame, family: Sequence[str], top: int) -> DataFrame:
+    """The first `top` n-grams by name of a family's vocabulary that a group of `groups` lacks.
+
+    With names numbered from 1, a name a group has at number i as its (j + 1)-th has i - 1 - j absent names
+    before it; the q-th absent name is number q + j for the first j with q or more absent before. So two
+    numberings and one minimum per group and count find them, and vocabulary and groups are never paired.
+    """
+    family = list(family)
+    vocabulary = write_table(scored.sparkSession, "vocabulary", running_total(
+        scored.select(*family, "ngram").distinct(), family, ["ngram"], name="_number").withColumn("_number", F.col("_number") + 1))
+    end = vocabulary.groupBy(*family).agg((F.max("_number") + 1).alias("_number"))
+    own = scored.select(*family, "group", "ngram").join(groups, [*family, "group"]).join(vocabulary, [*family, "ngram"]).select(
+        *family, "group", "_number").unionByName(groups.join(end, family))
+    placed = running_total(own, [*family, "group"], ["_number"], name="_held")
+    q = F.explode(F.sequence(F.lit(1), "_absent")).alias("_q")
+    first = (
+        placed.withColumn("_absent", F.least(F.col("_number") - 1 - F.col("_held"), F.lit(top)).cast("int"))
+        .filter("_absent > 0").groupBy(*family, "group", "_absent").agg(F.min("_held").alias("_held"))
+        .select(*family, "group", q, "_held").groupBy(*family, "group", "_q").agg(F.min("_held").alias("_held"))
+    )
+    return first.withColumn("_number", (F.col("_q") + F.col("_held")).cast("long")).join(
+        vocabulary, [*family, "_number"]).select(*family, "group", "ngram")
+
+
 def dominant(scored: DataFrame, family: Sequence[str], top: int) -> DataFrame:
     """Top n-grams per group by TF-IDF, ties by n-gram.
 
     An n-gram a group lacks scores 0 and outranks one that nearly every group has (negative
-    score). Only groups with fewer than `top` positive scores can need such zeros, so only
-    those are filled from the vocabulary.
+    score). Only groups with fewer than `top` positive scores can need such zeros, and of these
+    only the first `top` by name.
     """
     columns = [*family, "group", "ngram", "tfidf", "freq"]
+    scored = write_table(scored.sparkSession, "scored", scored.select(*columns))
     needy = (
         scored.groupBy(*family, "group")
         .agg(F.count_if(F.col("tfidf") > 0).alias("_positive"))
         .filter(F.col("_positive") < top)
         .select(*family, "group")
     )
-    absent = (
-        scored.select(*family, "ngram").distinct()
-        .join(needy, list(family))
-        .join(scored, [*family, "group", "ngram"], "left_anti")
-        .withColumns({"tfidf": F.lit(0.0), "freq": F.lit(0.0)})
-    )
+    absent = first_absent(scored, needy, family, top).withColumns({"tfidf": F.lit(0.0), "freq": F.lit(0.0)})
     w = Window.partitionBy(*family, "group").orderBy(F.col("tfidf").desc(), "ngram")
-    everything = scored.select(*columns).unionByName(absent.select(*columns))
+    everything = scored.unionByName(absent.select(*columns))
     return everything.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 

@@ -10,13 +10,15 @@ when the longest sequence has been measured (see `plans.tables`).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from turnloom.session import write_table
+
 SEGMENT_ROWS = 1 << 18
 
 WindowExpression = Callable[[WindowSpec], Column]
@@ -274,3 +276,24 @@ def number_by_time(
         .withColumn(out, F.row_number().over(local).cast("long") - 1 + F.col("_offset"))
         .drop(*slices, "_offset")
     )
+
+
+def running_total(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None,
+                  name: str = "before") -> DataFrame:
+    """`rows` with the sum of `value` (default: 1) over the earlier rows of their key, which may hold all rows.
+
+    Rows are cut into ranges of (keys, order), which must tell rows of a key apart, and written; a window
+    runs inside each range, and another over one total per range and key gives what comes before it.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = rows.columns
+    ranged = write_table(spark, "ranges", rows.withColumn("_value", F.lit(1) if value is None else value)
+                         .repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("_value").alias("_all")).select(
+        *keys, "_range", F.coalesce(F.sum("_all").over(ranges), F.lit(0)).alias("_offset"))
+    placed = ranged.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return placed.join(totals, [*keys, "_range"]).select(
+        *columns, (F.col("_offset") + F.col("_inside")).cast("long").alias(name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import labels as L
@@ -11,7 +12,7 @@ from turnloom.operators import pairs as P
 from turnloom.operators.ordered import Ordering
 from turnloom.plans import oracle
 from turnloom.plans.registry import registered
-from turnloom.plans.tables import plain_groups, tables
+from turnloom.plans.tables import SIZES, plain_groups, tables
 
 FAMILY = ("level", "n")
 # Pairwise tables compare the levels whose groups are a fixed set of names.
@@ -52,17 +53,17 @@ def bucketed_ngrams(spark, sf_dir):
 oracle.add_view("raw_rows", """
     SELECT source_file, cls, seq, pos, replace(replace(replace(replace(replace(replace(proc_da, '-Question', '-Q'),
              '-answers', '-A'), 'Statement-', 'ST-'), 'Acknowledge-', 'Ack-'), 'Conventional-', 'Conv-'), 'Collaborative-', 'Collab-') AS label
-    FROM (SELECT *, 'patient' AS cls, patient_start AS seq FROM hub UNION ALL SELECT *, 'neither', neither_start FROM hub)
+    FROM (SELECT *, 'patient' AS cls, patient_start AS seq FROM hub UNION ALL SELECT *, 'therapist', therapist_start FROM hub
+          UNION ALL SELECT *, 'neither', neither_start FROM hub UNION ALL SELECT *, 'transcript', 0 FROM hub)
     WHERE seq IS NOT NULL AND pos = greatest(label_start, seq)""")
-oracle.add_view("raw_grams", oracle._grams("raw_rows", "source_file, cls, seq", (2, 3), "cls"))
+oracle.add_view("raw_grams", oracle._grams("raw_rows", "source_file, cls, seq", (2, 3, 4, 5), "cls"))
 
 
 @registered("e01_raw_ngrams", "SELECT cls, n, ngram, count(*) AS cnt FROM raw_grams GROUP BY ALL")
 def raw_ngrams(spark, sf_dir):
     """n-grams of the labels themselves instead of their groups."""
     t = tables(spark, sf_dir)
-    rows = B.compressed_classes(t.hub(), ("patient", "neither"), "raw")
-    return N.count_ngrams(N.ngrams(rows, t.order.keyed("source_file", "cls"), (2, 3)), "cls")
+    return N.count_ngrams(N.ngrams(t.classes("raw"), t.order.keyed("source_file", "cls"), (2, 3, 4, 5)), "cls")
 
 
 oracle.add_view("plain_rows", """
@@ -96,79 +97,88 @@ def _coded(spark, sf_dir, target="patient", sizes=(2, 3)):
     return t.once(f"{target}_code_ngrams_{'_'.join(map(str, sizes))}", build)
 
 
+def coded(spark, sf_dir) -> DataFrame:
+    """`_coded` of both sides, with the side as `target`."""
+    parts = [_coded(spark, sf_dir, target).withColumn("target", F.lit(target)) for target in B.TARGETS]
+    return parts[0].unionByName(parts[1])
+
+
+oracle.add_view("target_codes", """
+    SELECT 'patient' AS target, * FROM patient_codes UNION ALL SELECT 'therapist', * FROM therapist_codes""")
 oracle.add_view("coded_grams", """
-    SELECT code, n, ngram, count(*) AS cnt FROM grams g JOIN patient_codes c
-      ON g.source_file = c.source_file AND g.seq = c.block_start
-    WHERE cls = 'patient' AND n <= 3 GROUP BY ALL""")
+    SELECT target, code, n, ngram, count(*) AS cnt FROM grams g JOIN target_codes c
+      ON g.source_file = c.source_file AND g.seq = c.block_start AND g.cls = c.target
+    WHERE n <= 3 GROUP BY ALL""")
 oracle.add_view("top_coded", """
-    SELECT n, ngram, pooled, rank FROM (
-      SELECT n, ngram, CAST(sum(cnt) AS BIGINT) AS pooled,
-             row_number() OVER (PARTITION BY n ORDER BY sum(cnt) DESC, ngram) AS rank
-      FROM coded_grams GROUP BY n, ngram) WHERE rank <= 15""")
+    SELECT target, n, ngram, pooled, rank FROM (
+      SELECT target, n, ngram, CAST(sum(cnt) AS BIGINT) AS pooled,
+             row_number() OVER (PARTITION BY target, n ORDER BY sum(cnt) DESC, ngram) AS rank
+      FROM coded_grams GROUP BY target, n, ngram) WHERE rank <= 15""")
 
 
 @registered("e03_code_ngrams", "SELECT * FROM coded_grams")
 def code_ngrams(spark, sf_dir):
-    return _coded(spark, sf_dir)
+    return coded(spark, sf_dir)
 
 
 @registered("e04_top_patterns", """
-    SELECT t.rank, t.n, t.ngram, t.pooled, c.code, c.cnt FROM top_coded t
-    JOIN coded_grams c ON t.n = c.n AND t.ngram = c.ngram""")
+    SELECT target, t.rank, n, ngram, t.pooled, c.code, c.cnt FROM top_coded t JOIN coded_grams c USING (target, n, ngram)""")
 def top_patterns(spark, sf_dir):
-    """Top 15 patterns by pooled count, with their count in every code."""
-    counts = _coded(spark, sf_dir)
-    top = N.top_patterns(counts, 15, "n")
-    return counts.join(F.broadcast(top), ["n", "ngram"]).select(
-        F.col("rank").cast("long").alias("rank"), F.col("n").cast("long").alias("n"),
+    """Top 15 patterns of each side by pooled count, with their count in every code."""
+    counts = coded(spark, sf_dir)
+    top = N.top_patterns(counts, 15, "target", "n")
+    return counts.join(F.broadcast(top), ["target", "n", "ngram"]).select(
+        "target", F.col("rank").cast("long").alias("rank"), F.col("n").cast("long").alias("n"),
         "ngram", "pooled", "code", "cnt",
     )
 
 
 @registered("e05_pattern_shares", """
-    SELECT code, n, ngram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY code, n), 6) AS share
-    FROM coded_grams SEMI JOIN top_coded USING (n, ngram)""")
+    SELECT target, code, n, ngram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY target, code, n), 6) AS share
+    FROM coded_grams SEMI JOIN top_coded USING (target, n, ngram)""")
 def pattern_shares(spark, sf_dir):
-    counts = _coded(spark, sf_dir)
-    top = N.top_patterns(counts, 15, "n")
-    return N.pattern_shares(counts, top, ["n"], ["code", "n"]).select(
-        "code", "n", "ngram", "cnt", r6("share").alias("share"))
+    counts = coded(spark, sf_dir)
+    top = N.top_patterns(counts, 15, "target", "n")
+    return N.pattern_shares(counts, top, ["target", "n"], ["target", "code", "n"]).select(
+        "target", "code", "n", "ngram", "cnt", r6("share").alias("share"))
 
 
-oracle.add_view("region_rows", f"""
-    SELECT source_file, block_start, region, pos, seq, {oracle.short('da_group')} AS label FROM (
+oracle.add_view("region_rows", " UNION ALL ".join(f"""
+    SELECT '{target}' AS target, source_file, block_start, region, pos, seq, {oracle.short('da_group')} AS label FROM (
       SELECT *, min(pos) OVER (PARTITION BY source_file, block_start, region) AS seq
-      FROM ({oracle.context('patient', 15)})) WHERE pos = greatest(group_start, seq)""")
+      FROM ({oracle.context(target, 15)})) WHERE pos = greatest(group_start, seq)""" for target in B.TARGETS))
 oracle.add_view("region_grams", oracle._grams(
-    "region_rows", "source_file, block_start, region", (2,), "source_file, block_start, region"))
+    "region_rows", "target, source_file, block_start, region", (2,), "target, source_file, block_start, region"))
 
 
 @registered("e06_context_profile", """
     WITH counted AS (
-      SELECT code, region, ngram, count(*) AS cnt FROM region_grams g
-      JOIN patient_codes c ON g.source_file = c.source_file AND g.block_start = c.block_start GROUP BY ALL),
-    top AS (SELECT ngram FROM counted WHERE region = 'core' GROUP BY ngram
-            ORDER BY sum(cnt) DESC, ngram LIMIT 10)
-    SELECT code, region, ngram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY code, region), 6) AS share
-    FROM counted SEMI JOIN top USING (ngram)""")
+      SELECT target, code, region, ngram, count(*) AS cnt FROM region_grams JOIN target_codes
+      USING (target, source_file, block_start) GROUP BY ALL),
+    top AS (SELECT target, ngram FROM counted WHERE region = 'core' GROUP BY target, ngram
+            QUALIFY row_number() OVER (PARTITION BY target ORDER BY sum(cnt) DESC, ngram) <= 10)
+    SELECT target, code, region, ngram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY target, code, region), 6) AS share
+    FROM counted SEMI JOIN top USING (target, ngram)""")
 def context_profile(spark, sf_dir):
-    """Bigrams before, in and after blocks per code, over the ten top block patterns."""
+    """Bigrams before, in and after blocks per code, over each side's ten top block patterns."""
     t = tables(spark, sf_dir)
-    rows = B.context_rows(t.hub(), t.order, "patient").withColumns(
-        {"seq": F.col("region_start"), "seq_end": F.lit(None).cast("long"),
-         "label": L.abbreviate(F.col("da_group"), "groups")})
-    per_block = N.count_ngrams(
-        N.ngrams(B.compress_runs(rows, "groups"),
-                 t.order.keyed("source_file", "block_start", "region"), (2,)),
-        "source_file", "block_start", "region",
-    )
-    counts = (
-        per_block.join(t.block_codes("patient"), ["source_file", "block_start"])
-        .groupBy("code", "region", "n", "ngram").agg(F.sum("cnt").alias("cnt"))
-    )
-    top = N.top_patterns(counts.filter(F.col("region") == "core"), 10, "n")
-    return N.pattern_shares(counts, top, ["n"], ["code", "region"]).select(
-        "code", "region", "ngram", "cnt", r6("share").alias("share"))
+    parts = []
+    for target in B.TARGETS:
+        rows = B.context_rows(t.hub(), t.order, target).withColumns(
+            {"seq": F.col("region_start"), "seq_end": F.lit(None).cast("long"),
+             "label": L.abbreviate(F.col("da_group"), "groups")})
+        per_block = N.count_ngrams(
+            N.ngrams(B.compress_runs(rows, "groups"),
+                     t.order.keyed("source_file", "block_start", "region"), (2,)),
+            "source_file", "block_start", "region",
+        )
+        parts.append(
+            per_block.join(t.block_codes(target), ["source_file", "block_start"])
+            .groupBy(F.lit(target).alias("target"), "code", "region", "n", "ngram").agg(F.sum("cnt").alias("cnt")))
+    counts = parts[0].unionByName(parts[1])
+    top = N.top_patterns(counts.filter(F.col("region") == "core"), 10, "target", "n")
+    return N.pattern_shares(counts, top, ["target", "n"], ["target", "code", "region"]).select(
+        "target", "code", "region", "ngram", "cnt", r6("share").alias("share"))
 
 
 @registered("e07_frequency_matrix", """
@@ -259,9 +269,9 @@ def group_divergence(spark, sf_dir):
         r6("js").alias("js_divergence"), r6(1 - F.col("js")).alias("js_similarity"))
 
 
-oracle.add_view("dominant_grams", f"""
-    WITH v AS (SELECT level, n, ngram FROM levels WHERE level IN ({_NAMED}) GROUP BY ALL),
-         g AS (SELECT DISTINCT level, n, "group" FROM levels WHERE level IN ({_NAMED}))
+oracle.add_view("dominant_grams", """
+    WITH v AS (SELECT level, n, ngram FROM levels GROUP BY ALL),
+         g AS (SELECT DISTINCT level, n, "group" FROM levels)
     SELECT * FROM (
       SELECT v.level, g."group", v.n, v.ngram, coalesce(s.tfidf, 0) AS tfidf, coalesce(s.freq, 0) AS freq,
              row_number() OVER (PARTITION BY v.level, g."group", v.n ORDER BY coalesce(s.tfidf, 0) DESC, v.ngram) AS rank
@@ -271,8 +281,7 @@ oracle.add_view("dominant_grams", f"""
 
 
 def _dominant(spark, sf_dir):
-    counts = tables(spark, sf_dir).ngram_counts().filter(F.col("level").isin(*NAMED_LEVELS))
-    return N.dominant(N.tf_idf(counts, FAMILY), FAMILY, 10)
+    return N.dominant(N.tf_idf(tables(spark, sf_dir).ngram_counts(), FAMILY), FAMILY, 10)
 
 
 @registered("e14_dominant_ngrams", """
@@ -347,42 +356,44 @@ def importance_with_context(spark, sf_dir):
 oracle.add_view("group_elements", """
     SELECT 'importance' AS level, CASE cls WHEN 'neither' THEN 'non_important' ELSE cls || '_important' END AS grp,
            source_file, pos, label FROM seqs WHERE cls <> 'transcript'
+    UNION ALL SELECT 'transcripts', source_file, source_file, pos, label FROM seqs WHERE cls = 'transcript'
     UNION ALL SELECT 'therapists', 'therapist_' || regexp_extract(source_file, '(.)_with', 1), source_file, pos, label
               FROM seqs WHERE cls = 'transcript'
-    UNION ALL SELECT 'patient_codes', 'patient_' || code, s.source_file, pos, label FROM seqs s
-              JOIN patient_codes c ON s.source_file = c.source_file AND s.seq = c.block_start WHERE cls = 'patient' AND code <> 'NA'""")
+    UNION ALL SELECT target || '_codes', target || '_' || code, s.source_file, pos, label FROM seqs s
+              JOIN target_codes c ON s.source_file = c.source_file AND s.seq = c.block_start AND s.cls = c.target
+              WHERE code <> 'NA'
+    UNION ALL SELECT unnest(['patient_codes', 'therapist_codes']), 'non_important', source_file, pos, label
+              FROM seqs WHERE cls = 'neither'""")
 oracle.add_view("joined_elements", """
     SELECT level, grp, row_number() OVER (PARTITION BY level, grp ORDER BY source_file, pos) AS pos, label FROM (
       SELECT *, lag(label) OVER (PARTITION BY level, grp ORDER BY source_file, pos) AS before FROM group_elements)
     WHERE label IS DISTINCT FROM before""")
-oracle.add_view("joined_grams", oracle._grams("joined_elements", "level, grp", (2, 3), "level, grp"))
+oracle.add_view("joined_grams", oracle._grams("joined_elements", "level, grp", (2, 3, 4, 5), "level, grp"))
 
 
 @registered("e16_concatenated_groups", """
     SELECT level, grp AS "group", n, ngram, count(*) AS cnt FROM joined_grams GROUP BY ALL""")
 def concatenated_groups(spark, sf_dir):
-    """Pooled groups read as one long sequence each, so that n-grams also span the joints."""
+    """Pooled groups of all five levels read as one long sequence each, so that n-grams also span the joints."""
     t = tables(spark, sf_dir)
     rows = t.classes()
-    plain = rows.select("source_file", "pos", "label", F.inline(plain_groups())).filter(
-        F.col("level").isin("importance", "therapists"))
-    coded = (
-        rows.filter(F.col("cls") == "patient")
-        .join(t.block_codes("patient").filter(F.col("code") != "NA")
-              .select("source_file", F.col("block_start").alias("seq"), "code"), ["source_file", "seq"])
-        .select("source_file", "pos", "label", F.lit("patient_codes").alias("level"),
-                F.concat(F.lit("patient_"), F.col("code")).alias("group"))
-    )
-    joined = N.concatenated(plain.unionByName(coded), t.order, "level", "group")
+    parts = [rows.select("source_file", "pos", "label", F.inline(plain_groups()))]
+    for target in B.TARGETS:
+        parts.append(
+            rows.filter(F.col("cls") == target)
+            .join(t.block_codes(target).filter(F.col("code") != "NA")
+                  .select("source_file", F.col("block_start").alias("seq"), "code"), ["source_file", "seq"])
+            .select("source_file", "pos", "label", F.lit(f"{target}_codes").alias("level"),
+                    F.concat(F.lit(f"{target}_"), F.col("code")).alias("group")))
+    joined = N.concatenated(parts[0].unionByName(parts[1]).unionByName(parts[2]), t.order, "level", "group")
     along = Ordering(("level", "group"), "pos")
-    return N.count_ngrams(N.ngrams(joined, along, (2, 3)), "level", "group")
+    return N.count_ngrams(N.ngrams(joined, along, SIZES), "level", "group")
 
 
 @registered("e17_dominant_preview", """
     SELECT level, "group", rank, ngram, round(tfidf, 6) + 0.0 AS tfidf FROM dominant_grams
     WHERE n = 2 AND rank <= 5""")
 def dominant_preview(spark, sf_dir):
-    counts = tables(spark, sf_dir).ngram_counts().filter(
-        F.col("level").isin(*NAMED_LEVELS) & (F.col("n") == 2))
+    counts = tables(spark, sf_dir).ngram_counts().filter(F.col("n") == 2)
     return N.dominant(N.tf_idf(counts, FAMILY), FAMILY, 5).select(
         "level", "group", "rank", "ngram", (r6("tfidf") + 0.0).alias("tfidf"))

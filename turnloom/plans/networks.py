@@ -81,15 +81,9 @@ def dual_edges(spark, sf_dir) -> DataFrame:
     return t.once("dual_edges", build).withColumn("speaker", F.when(speaker != "", speaker))
 
 
-oracle.add_view("therapist_coded", """
-    SELECT code, n, ngram, count(*) AS cnt FROM grams g JOIN therapist_codes c
-      ON g.source_file = c.source_file AND g.seq = c.block_start
-    WHERE cls = 'therapist' AND n <= 3 GROUP BY ALL""")
 oracle.add_view("code_graphs", """
-    SELECT 'patient' AS speaker, code AS graph_id, split_part(ngram, ' -> ', 1) AS src, split_part(ngram, ' -> ', 2) AS dst,
-           cnt AS weight FROM coded_grams WHERE n = 2
-    UNION ALL SELECT 'therapist', code, split_part(ngram, ' -> ', 1), split_part(ngram, ' -> ', 2), cnt
-    FROM therapist_coded WHERE n = 2""")
+    SELECT target AS speaker, code AS graph_id, split_part(ngram, ' -> ', 1) AS src, split_part(ngram, ' -> ', 2) AS dst,
+           cnt AS weight FROM coded_grams WHERE n = 2""")
 oracle.add_view("kept_graphs", "SELECT * FROM code_graphs WHERE weight >= 2")
 oracle.add_view("rest_graph", """
     SELECT 'non_important' AS graph_id, split_part(ngram, ' -> ', 1) AS src, split_part(ngram, ' -> ', 2) AS dst, cnt AS weight
@@ -97,17 +91,16 @@ oracle.add_view("rest_graph", """
 
 
 @registered("i01_order_graphs", """
-    SELECT graph_id, 1 AS k, src, dst, weight FROM code_graphs WHERE speaker = 'patient'
-    UNION ALL SELECT code, 2, split_part(ngram, ' -> ', 1) || '→' || split_part(ngram, ' -> ', 2),
+    SELECT speaker, graph_id, 1 AS k, src, dst, weight FROM code_graphs
+    UNION ALL SELECT target, code, 2, split_part(ngram, ' -> ', 1) || '→' || split_part(ngram, ' -> ', 2),
       split_part(ngram, ' -> ', 2) || '→' || split_part(ngram, ' -> ', 3), cnt FROM coded_grams WHERE n = 3""")
 def order_graphs(spark, sf_dir):
-    """Order-1 and order-2 transition graphs per patient code."""
-    parts = [
-        code_edges(spark, sf_dir, "patient", k).select(
-            "graph_id", F.lit(k).alias("k"), "src", "dst", "weight")
-        for k in (1, 2)
-    ]
-    return parts[0].unionByName(parts[1])
+    """Order-1 and order-2 transition graphs per code of either side."""
+    return reduce(DataFrame.unionByName, [
+        code_edges(spark, sf_dir, target, k).select(
+            F.lit(target).alias("speaker"), "graph_id", F.lit(k).alias("k"), "src", "dst", "weight")
+        for target in B.TARGETS for k in (1, 2)
+    ])
 
 
 @registered("i02_pruned_nodes", """
@@ -276,13 +269,15 @@ def graph_metrics(spark, sf_dir):
 
 
 @registered("i15_heavy_edges", """
-    SELECT graph_id, src, dst, weight, round(weight / max(weight) OVER (PARTITION BY graph_id), 6) AS relative_weight,
-           weight >= quantile_cont(weight, 0.8) OVER (PARTITION BY graph_id) AS heavy
-    FROM kept_graphs WHERE speaker = 'patient'""")
+    SELECT speaker, graph_id, src, dst, weight, round(weight / max(weight) OVER (PARTITION BY speaker, graph_id), 6) AS relative_weight,
+           weight >= quantile_cont(weight, 0.8) OVER (PARTITION BY speaker, graph_id) AS heavy FROM kept_graphs""")
 def heavy_edges(spark, sf_dir):
-    edges = G.prune(code_edges(spark, sf_dir, "patient"), MIN_WEIGHT)
-    return G.heavy_edges(edges).select(
-        "graph_id", "src", "dst", "weight", r6("relative_weight").alias("relative_weight"), "heavy")
+    return reduce(DataFrame.unionByName, [
+        G.heavy_edges(G.prune(code_edges(spark, sf_dir, target), MIN_WEIGHT)).select(
+            F.lit(target).alias("speaker"), "graph_id", "src", "dst", "weight",
+            r6("relative_weight").alias("relative_weight"), "heavy")
+        for target in B.TARGETS
+    ])
 
 
 @registered("i16_node_attributes", """

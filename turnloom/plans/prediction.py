@@ -62,12 +62,12 @@ def vocabulary(spark, sf_dir):
     FROM (SELECT *, min(clock) OVER (PARTITION BY source_file) AS lo, max(clock) OVER (PARTITION BY source_file) AS hi FROM (
       SELECT *, CAST(split_part(timestamp, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(timestamp, ':', 2) AS DOUBLE) * 60
         + CAST(split_part(timestamp, ':', 3) AS DOUBLE) AS clock FROM hub))
-    LEFT JOIN (SELECT * FROM vocabulary WHERE token NOT LIKE '%elaboration') ON token = lower(speaker) || '::' || da_group""")
+    LEFT JOIN vocabulary ON token = lower(speaker) || '::' || da_group""")
 def encoded_rows(spark, sf_dir):
-    """Rows as token ids, with a vocabulary that lacks one label to exercise unknowns."""
+    """Rows as token ids over the whole vocabulary."""
     hub = tables(spark, sf_dir).hub()
     tokens = X.token("groups")
-    vocab = X.vocabulary(hub, tokens).filter(~F.col("token").endswith("elaboration"))
+    vocab = X.vocabulary(hub, tokens)
     timed = X.normalise_time(
         hub.withColumn("seconds", L.clock_seconds(F.col("timestamp"))),
         tables(spark, sf_dir).order, "seconds")

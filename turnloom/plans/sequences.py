@@ -225,17 +225,26 @@ for _target in B.TARGETS:
               FROM {_target}_codes GROUP BY ALL) c USING (source_file, block_start)""")(_blocks(_target))
 
 
-@registered("d02_context_regions", f"""
+def _both(spark, sf_dir, query):
+    """`query(tables, target)` for both sides, with the side as a column."""
+    t = tables(spark, sf_dir)
+    parts = [query(t, target).withColumn("target", F.lit(target)) for target in B.TARGETS]
+    return parts[0].unionByName(parts[1])
+
+
+def _both_sql(query) -> str:
+    return " UNION ALL ".join(f"SELECT '{target}' AS target, * FROM ({query(target)})" for target in B.TARGETS)
+
+
+@registered("d02_context_regions", _both_sql(lambda target: f"""
     SELECT source_file, block_start, region, count(*) AS n_rows, min(pos) AS first_pos, max(pos) AS last_pos
-    FROM ({oracle.context('patient', 15)}) GROUP BY ALL""")
+    FROM ({oracle.context(target, 15)}) GROUP BY ALL"""))
 def context_regions(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return (
-        B.context_rows(t.hub(), t.order, "patient")
+    return _both(spark, sf_dir, lambda t, target: (
+        B.context_rows(t.hub(), t.order, target)
         .groupBy("source_file", "block_start", "region")
         .agg(F.count("*").alias("n_rows"), F.min("pos").alias("first_pos"),
-             F.max("pos").alias("last_pos"))
-    )
+             F.max("pos").alias("last_pos"))))
 
 
 @registered("d03_block_code_rows", """
@@ -253,19 +262,18 @@ def block_code_rows(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@registered("d04_window_codes", f"""
-    SELECT b.source_file, b.block_start, coalesce(c.codes, 'NA') AS codes FROM therapist_blocks b LEFT JOIN (
+@registered("d04_window_codes", _both_sql(lambda target: f"""
+    SELECT b.source_file, b.block_start, coalesce(c.codes, 'NA') AS codes FROM {target}_blocks b LEFT JOIN (
       SELECT source_file, block_start, string_agg(code, ',' ORDER BY seen) AS codes FROM (
-        SELECT source_file, therapist_start AS block_start, code, min(pos * 100 + i) AS seen
-        FROM (SELECT source_file, therapist_start, pos, unnest({oracle.codes('therapist_code')}) AS code,
-                     generate_subscripts({oracle.codes('therapist_code')}, 1) AS i
-              FROM hub WHERE therapist_start IS NOT NULL AND therapist_code IS NOT NULL)
-        GROUP BY ALL) GROUP BY ALL) c USING (source_file, block_start)""")
+        SELECT source_file, {target}_start AS block_start, code, min(pos * 100 + i) AS seen
+        FROM (SELECT source_file, {target}_start, pos, unnest({oracle.codes(target + '_code')}) AS code,
+                     generate_subscripts({oracle.codes(target + '_code')}, 1) AS i
+              FROM hub WHERE {target}_start IS NOT NULL AND {target}_code IS NOT NULL)
+        GROUP BY ALL) GROUP BY ALL) c USING (source_file, block_start)"""))
 def window_codes(spark, sf_dir):
     """Block codes where empty cells are ignored before parsing."""
-    return B.block_table(tables(spark, sf_dir).hub(), "therapist", skip_null=True).select(
-        "source_file", "block_start", joined("codes").alias("codes")
-    )
+    return _both(spark, sf_dir, lambda t, target: B.block_table(t.hub(), target, skip_null=True).select(
+        "source_file", "block_start", joined("codes").alias("codes")))
 
 
 def _unclaimed_sql(context: int) -> str:
@@ -418,36 +426,36 @@ def compressed_runs(spark, sf_dir):
     ).select("cls", "source_file", "seq", "pos", "label", "run_length")
 
 
-@registered("d15_mean_run_lengths", """
+@registered("d15_mean_run_lengths", _both_sql(lambda target: f"""
     SELECT code, da_group AS label, count(*) AS n_runs, round(avg(run_length), 6) AS mean_run_length
-    FROM seqs s JOIN patient_codes c ON s.source_file = c.source_file AND s.seq = c.block_start
-    WHERE cls = 'patient' GROUP BY ALL""")
+    FROM seqs s JOIN {target}_codes c ON s.source_file = c.source_file AND s.seq = c.block_start
+    WHERE cls = '{target}' GROUP BY ALL"""))
 def mean_run_lengths(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    per_block = (
-        B.compress_runs(B.sequence_rows(t.hub(), "patient"), "groups")
-        .groupBy("source_file", F.col("seq").alias("block_start"), F.col("da_group").alias("label"))
-        .agg(F.count("*").alias("n_runs"), F.sum("run_length").alias("n_rows"))
-    )
-    return (
-        per_block.join(t.block_codes("patient"), ["source_file", "block_start"])
-        .groupBy("code", "label")
-        .agg(F.sum("n_runs").alias("n_runs"),
-             F.round(F.sum("n_rows") / F.sum("n_runs"), 6).alias("mean_run_length"))
-    )
+    def query(t, target):
+        per_block = (
+            B.compress_runs(B.sequence_rows(t.hub(), target), "groups")
+            .groupBy("source_file", F.col("seq").alias("block_start"), F.col("da_group").alias("label"))
+            .agg(F.count("*").alias("n_runs"), F.sum("run_length").alias("n_rows"))
+        )
+        return (
+            per_block.join(t.block_codes(target), ["source_file", "block_start"])
+            .groupBy("code", "label")
+            .agg(F.sum("n_runs").alias("n_runs"),
+                 F.round(F.sum("n_rows") / F.sum("n_runs"), 6).alias("mean_run_length"))
+        )
+
+    return _both(spark, sf_dir, query)
 
 
-@registered("d16_run_bucket_counts", f"""
+@registered("d16_run_bucket_counts", _both_sql(lambda target: f"""
     SELECT label, CAST(count(*) FILTER (WHERE bucket = 'short') AS BIGINT) AS short,
            CAST(count(*) FILTER (WHERE bucket = 'medium') AS BIGINT) AS medium,
            CAST(count(*) FILTER (WHERE bucket = 'long') AS BIGINT) AS long
     FROM (SELECT da_group AS label, {_bucket('group_end - group_start + 1')} AS bucket
-          FROM hub WHERE patient_start IS NOT NULL AND pos = greatest(group_start, patient_start))
-    GROUP BY ALL""")
+          FROM hub WHERE {target}_start IS NOT NULL AND pos = greatest(group_start, {target}_start))
+    GROUP BY ALL"""))
 def run_bucket_counts(spark, sf_dir):
-    rows = B.sequence_rows(tables(spark, sf_dir).hub(), "patient")
-    return (
-        B.run_bucket_counts(rows, "groups")
+    return _both(spark, sf_dir, lambda t, target: (
+        B.run_bucket_counts(B.sequence_rows(t.hub(), target), "groups")
         .groupBy("label").pivot("bucket", ["short", "medium", "long"])
-        .agg(F.sum("n_runs")).fillna(0)
-    )
+        .agg(F.sum("n_runs")).fillna(0)))

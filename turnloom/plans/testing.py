@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnloom.functions.stats import benjamini_hochberg, chi2_p_value
+from turnloom.operators import blocks as B
 from turnloom.operators import distributions as D
 from turnloom.operators import ngrams as N
 from turnloom.operators import pairs as P
@@ -38,28 +39,28 @@ def _pattern_sql(counts: str, family: str, groups: str, min_total: int) -> str:
       GROUP BY {family}, ngram HAVING min(gn) > 0 AND max(tot) >= {min_total} AND max(tot) < max(allc)"""
 
 
-oracle.add_view("code_counts", "SELECT code AS grp, n, ngram, cnt FROM coded_grams")
+oracle.add_view("code_counts", "SELECT target, code AS grp, n, ngram, cnt FROM coded_grams")
 oracle.add_view("code_groups", """
-    SELECT DISTINCT code AS grp, n FROM patient_codes, (VALUES (2), (3)) v(n)""")
+    SELECT DISTINCT target, code AS grp, n FROM target_codes, (VALUES (2), (3)) v(n)""")
 oracle.add_view("code_chi2", f"""
-    SELECT n, ngram, chi2, {oracle.chi2_tail('chi2', 'dof')} AS p_value
-    FROM ({_pattern_sql('code_counts', 'n', 'code_groups', 1)}) SEMI JOIN top_coded USING (n, ngram)""")
+    SELECT target, n, ngram, chi2, {oracle.chi2_tail('chi2', 'dof')} AS p_value
+    FROM ({_pattern_sql('code_counts', 'target, n', 'code_groups', 1)}) SEMI JOIN top_coded USING (target, n, ngram)""")
 
 
 @registered("g01_code_pattern_tests", f"""
-    SELECT n, ngram, round(chi2, 6) AS chi2, round(p_value, 6) AS p_value, round(p_fdr, 6) AS p_fdr,
-           p_fdr < 0.05 AS significant FROM ({oracle.corrected('code_chi2', 'n')})""")
+    SELECT target, n, ngram, round(chi2, 6) AS chi2, round(p_value, 6) AS p_value, round(p_fdr, 6) AS p_fdr,
+           p_fdr < 0.05 AS significant FROM ({oracle.corrected('code_chi2', 'target, n')})""")
 def code_pattern_tests(spark, sf_dir):
-    """Chi-square of each top pattern across codes, corrected per n."""
-    counts = bags._coded(spark, sf_dir)
-    n_groups = (
-        tables(spark, sf_dir).block_codes("patient").agg(F.countDistinct("code").alias("n_groups"))
-        .withColumn("n", F.explode(F.array(F.lit(2), F.lit(3))))
-    )
-    top = F.broadcast(N.top_patterns(counts, 15, "n").select("n", "ngram"))
-    tests = S.pattern_chi_square(counts.withColumnRenamed("code", "group"), n_groups, ["n"])
-    return benjamini_hochberg(tests.join(top, ["n", "ngram"]), ["n"]).select(
-        "n", "ngram", *[r6(c).alias(c) for c in ("chi2", "p_value", "p_fdr")], "significant")
+    """Chi-square of each side's top patterns across codes, corrected per side and n."""
+    counts = bags.coded(spark, sf_dir)
+    sides = [tables(spark, sf_dir).block_codes(t).groupBy(F.lit(t).alias("target")).agg(
+        F.countDistinct("code").alias("n_groups")) for t in B.TARGETS]
+    n_groups = sides[0].unionByName(sides[1]).withColumn("n", F.explode(F.array(F.lit(2), F.lit(3))))
+    family = ["target", "n"]
+    top = F.broadcast(N.top_patterns(counts, 15, *family).select(*family, "ngram"))
+    tests = S.pattern_chi_square(counts.withColumnRenamed("code", "group"), n_groups, family)
+    return benjamini_hochberg(tests.join(top, [*family, "ngram"]), family).select(
+        *family, "ngram", *[r6(c).alias(c) for c in ("chi2", "p_value", "p_fdr")], "significant")
 
 
 oracle.add_view("level_counts", 'SELECT level, "group" AS grp, n, ngram, cnt FROM levels')
