@@ -67,20 +67,47 @@ def test_splittable_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_declared_layout_skips_the_header_pass(spark, tmp_path):
-    (tmp_path / "one.csv").write_text("\n".join([TURN_HEADER, *TURN_ROWS]) + "\n")
-    rows = readers.read_transcripts(spark, str(tmp_path), TURN, layout=TURN_HEADER.split(","))
-    assert [(r.pos, r.speaker) for r in rows.orderBy("pos").collect()] == [(0, "S1"), (1, "Therapist"), (2, "S1")]
-    (tmp_path / "two.csv").write_text("spoken_text,speaker\nhi,S1\n")
-    rows = readers.read_transcripts(spark, str(tmp_path), TURN, layout=TURN_HEADER.split(","))
-    assert rows.count() == 3
-    assert {r.source_file for r in rows.collect()} == {"one.csv"}
+def test_each_refused_file_has_its_reason(spark, folder):
+    import pathlib
+    base = pathlib.Path(folder)
+    (base / "sheet.xlsx").write_text("x")
+    (base / "twice.csv").write_text("speaker,spoken_text,speaker\na,b,c\n")
+    (base / "foreign.csv").write_text("first,second\n1,2\n")
+    (base / "empty.csv").write_text("")
+    (base / "=old").mkdir()
+    (base / "=old" / "kept.csv").write_text("\n".join([TURN_HEADER, *TURN_ROWS]) + "\n")
+    files = readers.admitted(spark, folder, ["speaker"], ["speaker"], max_file_bytes=10_000)
+    assert {r.source_file: r.reason for r in files.collect()} == {
+        "one.csv": None, "two.csv": None, "tabs.tsv": None, "no_text.csv": None, "=broken.csv": "marked as broken",
+        "kept.csv": "marked as broken", "notes.md": "unknown extension", "sheet.xlsx": "unknown extension",
+        "twice.csv": "column named twice", "foreign.csv": "lacks speaker"}
+    known = readers.admitted(spark, folder, (), ["speaker"]).filter("reason = 'foreign header'").collect()
+    assert [r.source_file for r in known] == ["foreign.csv"]
+    rows = readers.read_transcripts(spark, folder, TURN, required=["spoken_text"])
+    assert {r.source_file for r in rows.collect()} == {"one.csv", "two.csv", "tabs.tsv"}
+
+
+def test_files_of_one_name_in_two_folders_keep_their_own_positions(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "same.csv").write_text("\n".join([TURN_HEADER, *TURN_ROWS]) + "\n")
+    rows = readers.read_transcripts(spark, str(tmp_path), TURN)
+    assert sorted(r.pos for r in rows.collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_many_headers(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i}.csv").write_text(f"extra{i},spoken_text,speaker\n{i},text {i},S{i}\n")
+    rows = readers.read_transcripts(spark, str(tmp_path), TURN, required=["spoken_text"])
+    assert {(r.source_file, r.spoken_text, r.speaker) for r in rows.collect()} == {
+        (f"f{i}.csv", f"text {i}", f"S{i}") for i in range(30)}
 
 
 def test_large_files_need_the_splittable_reader(spark, tmp_path):
     (tmp_path / "one.csv").write_text("\n".join([TURN_HEADER, *TURN_ROWS]) + "\n")
-    with pytest.raises(ValueError, match="multiline=False"):
-        readers.read_transcripts(spark, str(tmp_path), TURN, max_file_bytes=10)
+    (tmp_path / "two.csv").write_text(TURN_HEADER + "\n")
+    refused = readers.admitted(spark, str(tmp_path), max_file_bytes=100).filter("reason IS NOT NULL").collect()
+    assert [(r.source_file, r.reason) for r in refused] == [("one.csv", "too large for one task")]
     assert readers.read_transcripts(spark, str(tmp_path), TURN, multiline=False, max_file_bytes=10).count() == 3
 
 
@@ -90,13 +117,23 @@ def test_older_word_layout(spark, tmp_path):
         "1,Hello,Conventional-opening,0.9,Conventional-opening,1\n1,how,I-,0.3,Open-Question,2\n"
         "1,today,Open-Question,0.8,Open-Question,2\n")
     words = readers.read_old_words(spark, str(tmp_path), WORD)
-    assert set(OLD_WORD) <= set(words.columns)
+    assert set(OLD_WORD.values()) <= set(words.columns)
     acts = W.collapse(
         words.withColumnsRenamed({"Proc_DA": "proc_da", "DA_number": "da_number"}), Ordering()).orderBy("pos")
     assert [(a.pos, a.proc_da, a.spoken_text) for a in acts.collect()] == [
         (0, "Conventional-opening", "Hello"), (1, "Open-Question", "how today")]
 
 
+def test_older_word_layout_is_read_by_name(spark, tmp_path):
+    (tmp_path / "turned.csv").write_text(
+        "spoken_text,speaker,label,DA number,confidence,label class\nHello,S1,Wh-Question,7,0.5,Open-Question\n")
+    (tmp_path / "foreign.csv").write_text("a,b,c,d,e,f\n1,2,3,4,5,6\n")
+    (tmp_path / "short.csv").write_text("spoken_text,speaker\nHi,S2\n")
+    rows = readers.read_old_words(spark, str(tmp_path), WORD).collect()
+    assert [(r.speaker, r.spoken_text, r.Pred_DA, r.Raw_Score, r.Proc_DA, r.DA_number) for r in rows] == [
+        ("S1", "Hello", "Wh-Question", 0.5, "Open-Question", 7)]
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "notes.md").write_text("x")
     assert readers.read_transcripts(spark, str(tmp_path), TURN).count() == 0
@@ -116,23 +153,30 @@ def test_group_guard(spark):
     assert readers.require_groups(frame, "k", 3).count() == 0
 
 
-def test_stream_takes_each_file_once(spark, tmp_path):
-    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+def test_stream_takes_each_file_once_and_none_stops_the_others(spark, tmp_path):
+    source, out, refused, progress = (str(tmp_path / n) for n in ("in", "out", "refused", "progress"))
     (tmp_path / "in").mkdir()
 
     def run():
-        rows = ingest.transcript_stream(spark, source, TURN)
-        ingest.ingest_new(rows, out, progress).awaitTermination()
+        files = ingest.arriving_files(spark, source, files_per_batch=3)
+        ingest.ingest_new(files, TURN, out, refused, progress, ["spoken_text"]).awaitTermination()
         return spark.read.parquet(out)
 
     (tmp_path / "in" / "one.csv").write_text("\n".join([TURN_HEADER, *TURN_ROWS]) + "\n")
     (tmp_path / "in" / "=bad.csv").write_text("\n".join([TURN_HEADER, TURN_ROWS[0]]) + "\n")
-    assert run().count() == 3
-    assert run().count() == 3
+    (tmp_path / "in" / "foreign.csv").write_text("first,second\n1,2\n")
+    (tmp_path / "in" / "turned.csv").write_text("spoken_text,speaker\nhi,S1\n")
+    assert run().count() == 4
+    assert run().count() == 4
     (tmp_path / "in" / "two.csv").write_text("\n".join([TURN_HEADER, TURN_ROWS[1]]) + "\n")
+    (tmp_path / "in" / "other.csv").write_text("third\n3\n")
     after = run()
     assert {r.source_file: r["count"] for r in after.groupBy("source_file").count().collect()} == {
-        "one.csv": 3, "two.csv": 1}
+        "one.csv": 3, "turned.csv": 1, "two.csv": 1}
+    turned = after.filter("source_file = 'turned.csv'").first()
+    assert (turned.speaker, turned.spoken_text) == ("S1", "hi")
+    assert {r.source_file: r.reason for r in spark.read.parquet(refused).collect()} == {
+        "=bad.csv": "marked as broken", "foreign.csv": "lacks spoken_text", "other.csv": "lacks spoken_text"}
 
 
 def test_stream_runs_a_batch_function(spark, tmp_path):
@@ -141,11 +185,11 @@ def test_stream_runs_a_batch_function(spark, tmp_path):
     target = str(tmp_path / "words")
 
     def handle(batch, _):
-        turns = batch.withColumn("turn", F.monotonically_increasing_id())
+        turns = batch.withColumnRenamed("pos", "turn")
         W.turn_words(W.clean_turns(turns), Ordering(pos="turn")).write.mode("append").parquet(target)
 
-    rows = ingest.transcript_stream(spark, str(tmp_path / "in"), TURN)
-    ingest.process_new(rows, handle, str(tmp_path / "progress")).awaitTermination()
+    files = ingest.arriving_files(spark, str(tmp_path / "in"))
+    ingest.process_new(files, TURN, handle, str(tmp_path / "refused"), str(tmp_path / "progress")).awaitTermination()
     assert spark.read.parquet(target).count() == 25
 
 

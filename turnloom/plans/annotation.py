@@ -266,15 +266,90 @@ def tsv_files(spark, sf_dir):
     return _blank_to_null(_round_trip(spark, sf_dir, "tsv"))
 
 
+@registered("a03_file_names", """
+    SELECT source_file AS transcript, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, max(pos) AS last_pos FROM hub GROUP BY ALL""")
+def file_names(spark, sf_dir):
+    """Rows know their file: written with one file per transcript, each transcript comes back under one
+    name and its rows in order."""
+    path = folder(spark, "named")
+    rows = _file_rows(spark, sf_dir).withColumn("folder", F.col("transcript"))
+    writers.write_delimited(rows.repartition("folder").sortWithinPartitions("folder", "row"), path, partition_by=["folder"])
+    read = readers.read_transcripts(spark, path, _FILE, multiline=False)
+    return read.filter(F.col("row") == F.col("pos")).groupBy("transcript").agg(
+        F.countDistinct("source_file").alias("n_files"), F.count("*").alias("n_rows"), F.max("pos").alias("last_pos"))
+
+
+def _mixed_folder(spark, sf_dir) -> str:
+    """Transcripts in two column orders beside one file of each kind that is not to be read."""
+    path, rows = folder(spark, "mixed"), _file_rows(spark, sf_dir)
+    last = rows.columns[::-1]
+    odd = F.xxhash64("transcript") % 2 == 0
+    writers.write_delimited(rows.filter(odd), f"{path}/good")
+    writers.write_delimited(rows.filter(~odd).select(*last), f"{path}/turned")
+    one = rows.limit(1).coalesce(1)
+    writers.write_delimited(one, f"{path}/=export")
+    writers.write_delimited(one, f"{path}/sheet", extension="xlsx")
+    writers.write_delimited(one.drop("spoken_text"), f"{path}/silent")
+    writers.write_delimited(one.select(F.lit("x").alias("first"), F.lit("y").alias("second")), f"{path}/foreign")
+    return path
+
+
+_REFUSED = {"marked as broken": 1, "unknown extension": 1, "lacks spoken_text": 2}
+_REFUSED_SQL = " UNION ALL ".join(f"SELECT '{reason}' AS outcome, CAST({n} AS BIGINT) AS n" for reason, n in _REFUSED.items())
+
+
+def _data_files(files: DataFrame) -> DataFrame:
+    """Without the marker files a sink leaves, which Spark's readers do not list either."""
+    return files.filter(~F.col("source_file").rlike("^[_.]"))
+
+
+@registered("a04_refused_files", f"SELECT 'read' AS outcome, count(*) AS n FROM hub UNION ALL {_REFUSED_SQL}")
+def refused_files(spark, sf_dir):
+    """Rows of the good files, and the files that were refused by reason."""
+    path = _mixed_folder(spark, sf_dir)
+    files = _data_files(readers.admitted(spark, path, ["spoken_text"], multiline=False))
+    rows = readers.read_admitted(spark, files, _FILE, multiline=False).agg(F.lit("read").alias("outcome"), F.count("*").alias("n"))
+    return rows.unionByName(files.filter("reason IS NOT NULL").groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("n")))
+
+
 @registered("a05_incremental_stream", _CSV_SQL)
 def incremental_stream(spark, sf_dir):
     """Incremental ingest: two runs of the stream, the second of which finds nothing new."""
-    path, out, checkpoint = (folder(spark, n) for n in ("incoming", "ingested", "progress"))
+    path, out, refused, checkpoint = (folder(spark, n) for n in ("incoming", "ingested", "refused", "progress"))
     writers.write_delimited(_file_rows(spark, sf_dir), path)
     for _ in range(2):
-        rows = ingest.transcript_stream(spark, path, _FILE)
-        ingest.ingest_new(rows, out, checkpoint).awaitTermination()
-    return _blank_to_null(spark.read.schema(_FILE).parquet(out))
+        files = ingest.arriving_files(spark, path)
+        ingest.ingest_new(files, _FILE, out, refused, checkpoint).awaitTermination()
+    return _blank_to_null(spark.read.parquet(out).select(*[f.name for f in _FILE.fields]))
+
+
+@registered("a07_isolated_files", f"SELECT 'read' AS outcome, 2 * count(*) AS n FROM hub UNION ALL {_REFUSED_SQL}")
+def isolated_files(spark, sf_dir):
+    """A stream over a folder with files that are refused: they stop neither the files that came with
+    them nor those of a later run."""
+    path = _mixed_folder(spark, sf_dir)
+    out, refused, checkpoint = (folder(spark, n) for n in ("ingested", "refused", "progress"))
+    for run in range(2):
+        if run:
+            writers.write_delimited(_file_rows(spark, sf_dir), f"{path}/later")
+        files = ingest.arriving_files(spark, path)
+        ingest.ingest_new(files, _FILE, out, refused, checkpoint, ["spoken_text"]).awaitTermination()
+    rows = spark.read.parquet(out).agg(F.lit("read").alias("outcome"), F.count("*").alias("n"))
+    return rows.unionByName(_data_files(spark.read.parquet(refused)).groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("n")))
+
+
+@registered("a08_missing_columns", f"""
+    SELECT transcript, row, speaker, patient_code, CASE WHEN substr(transcript, 8, 2) <> 'T0' THEN nullif(therapist_code, '') END AS therapist_code
+    FROM ({_FILE_SQL}) WHERE substr(transcript, 8, 2) <> 'T1'""")
+def missing_columns(spark, sf_dir):
+    """Files without an optional column have nulls there; files without a required one are left out."""
+    path, rows = folder(spark, "lacking"), _file_rows(spark, sf_dir)
+    rater = F.substring("transcript", 8, 2)
+    writers.write_delimited(rows.filter(rater == "T0").drop("therapist_code"), f"{path}/a")
+    writers.write_delimited(rows.filter(rater == "T1").drop("spoken_text"), f"{path}/b", sep="\t", extension="tsv")
+    writers.write_delimited(rows.filter(~rater.isin("T0", "T1")), f"{path}/c", sep="\t", extension="tsv")
+    read = readers.read_transcripts(spark, path, _FILE, required=["spoken_text"], multiline=False)
+    return _blank_to_null(read).select("transcript", "row", "speaker", "patient_code", "therapist_code")
 
 
 @registered("a06_unprocessed_files", """

@@ -22,5 +22,8 @@ ANNOTATION = _struct(
 
 WORD = StructType(TURN.fields + ANNOTATION.fields)
 
-# Older word layout: its six columns in file order, under their names in WORD.
-OLD_WORD = ["speaker", "spoken_text", "Pred_DA", "Raw_Score", "Proc_DA", "DA_number"]
+# Older word layout: the names in its header, and the same columns' names in WORD.
+OLD_WORD = {
+    "speaker": "speaker", "spoken_text": "spoken_text", "label": "Pred_DA", "confidence": "Raw_Score",
+    "label class": "Proc_DA", "DA number": "DA_number",
+}

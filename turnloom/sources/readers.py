@@ -12,130 +12,136 @@ from pyspark.sql.types import StringType, StructField, StructType
 from turnloom.schemas import OLD_WORD
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}
-MAX_LAYOUTS = 100
 CORRUPT = "_corrupt_record"
+MAX_FILE_BYTES = 1 << 30
 
 
 def _options(extension: str, multiline: bool) -> dict[str, str]:
     return {
         "header": "true", "sep": SEPARATORS[extension], "multiLine": str(multiline).lower(),
-        "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
-        "ignoreCorruptFiles": "true", "pathGlobFilter": f"*.{extension}",
-        "recursiveFileLookup": "true",
+        "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "ignoreCorruptFiles": "true",
     }
 
 
-def _wanted_file(name: Column) -> Column:
-    """A name that starts with `=` marks a broken export."""
-    return ~name.startswith("=")
+def listed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """path, source_file, extension and size of every file below `path`; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(
+        "path", name.alias("source_file"),
+        F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"), F.col("length").alias("size"))
 
 
-def headers(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    """source_file, size and header line of each file, from the block a file starts with."""
-    lines = (
-        spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", "true")
-        .text(path)
-        .select(F.col("_metadata.file_name").alias("source_file"),
-                F.col("_metadata.file_size").alias("_size"),
-                F.col("_metadata.file_block_start").alias("_block"),
-                F.monotonically_increasing_id().alias("_row"), "value")
-        .filter((F.col("_block") == 0) & _wanted_file(F.col("source_file")))
-    )
-    return lines.groupBy("source_file").agg(
-        F.min_by("value", "_row").alias("header"), F.max("_size").alias("size"))
+def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path and header of each file, from the block a file starts with."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), "value")
+    return lines.filter("_block = 0").groupBy("path").agg(F.min_by("value", "_row").alias("header"))
+
 
+def _names(header: Column, extension: Column) -> Column:
+    cells = F.when(extension == "tsv", F.split(header, "\t")).otherwise(F.split(header, ","))
+    return F.transform(cells, lambda c: F.regexp_replace(F.trim(c), "[\"\ufeff\r]", ""))
 
-def _split_header(header: str, extension: str) -> list[str]:
-    return [c.strip().strip('"') for c in header.strip("\ufeff\r").split(SEPARATORS[extension])]
+
+def admitted(spark: SparkSession, path: str | Sequence[str], required: Sequence[str] = (),
+             known: Sequence[str] | None = None, multiline: bool = True, max_file_bytes: int = MAX_FILE_BYTES,
+             names: dict[str, str] | None = None) -> DataFrame:
+    """One row per file below `path`: path, source_file, extension, size, `columns` and, for files that
+    are not to be read, the `reason`.
+
+    A name or folder that starts with `=` marks a broken export. Files without a byte do not appear. A file must have a known extension, a
+    header that names no column twice, all `required` columns and, if `known` is given, at least one of
+    those. With `multiline` a file is one task's work and must not be larger than `max_file_bytes`.
+    `names` maps the header's names to the columns' names.
+    """
+    files = listed(spark, path)
+    marked = F.exists(F.split("path", "/"), lambda part: part.startswith("="))
+    found = files.join(first_lines(spark, path), "path", "left").withColumn(
+        "columns", _names(F.col("header"), F.col("extension")))
+    if names:
+        table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        found = found.withColumn("columns", F.transform("columns", lambda c: F.coalesce(table[c], c)))
+    lacking = F.array_except(F.array(*[F.lit(c) for c in required]).cast("array<string>"), F.col("columns"))
+    reason = (
+        F.when(marked, "marked as broken")
+        .when(~F.col("extension").isin(*SEPARATORS), "unknown extension")
+        .when(F.col("header").isNull(), "unreadable")
+        .when(F.size("columns") != F.size(F.array_distinct("columns")), "column named twice")
+        .when(F.size(lacking) > 0, F.concat(F.lit("lacks "), F.array_join(lacking, ", ")))
+    )
+    if known is not None:
+        reason = reason.when(~F.arrays_overlap("columns", F.array(*[F.lit(c) for c in known])), "foreign header")
+    if multiline:
+        reason = reason.when(F.col("size") > max_file_bytes, "too large for one task")
+    return found.select("path", "source_file", "extension", "size", "columns", reason.alias("reason"))
 
 
-def _scan(spark: SparkSession, path: str, extension: str, names: Sequence[str], schema: StructType,
-          multiline: bool, checked: bool) -> DataFrame:
-    """Files of one layout, read by position and named by the layout."""
+def _scan(spark: SparkSession, paths: Sequence[str], extension: str, names: Sequence[str], schema: StructType,
+          multiline: bool) -> DataFrame:
+    """Files of one header."""
     types = {f.name: f.dataType for f in schema.fields}
-    layout = StructType(
-        [StructField(n if checked else f"_{i}", types.get(n, StringType())) for i, n in enumerate(names)]
-        + [StructField(CORRUPT, StringType())])
-    options = {**_options(extension, multiline), "enforceSchema": str(not checked).lower()}
-    columns = [f.name for f in layout.fields]
+    layout = StructType([StructField(n, types.get(n, StringType())) for n in names] + [StructField(CORRUPT, StringType())])
     rows = (
-        spark.read.schema(layout).options(**options).csv(path)
-        .select("*", F.col("_metadata.file_name").alias("source_file"),
+        spark.read.schema(layout).options(**_options(extension, multiline)).csv(paths)
+        .select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_row"))
-        .filter(_wanted_file(F.col("source_file")))
     )
     return rows.select(
-        "source_file", "_block", "_row",
-        *[(F.col(f"`{columns[list(names).index(f.name)]}`") if f.name in names
-           else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields],
+        "_path", "source_file", "_block", "_row",
+        *[(F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name)
+          for f in schema.fields],
         CORRUPT,
     )
 
 
-def read_transcripts(spark: SparkSession, path: str, schema: StructType, required: Sequence[str] = (),
-                     multiline: bool = True, layout: Sequence[str] | None = None,
-                     max_file_bytes: int = 1 << 30) -> DataFrame:
-    """All CSV and TSV transcripts under a folder, columns found by name.
-
-    Files are read once per distinct header, with columns typed by `schema`; missing columns
-    are null, and files lacking a `required` column are left out. Rows get `source_file`,
-    dense `pos` in file order, and `_corrupt_record` where a line did not parse. A first pass
-    over the files finds the headers; where all files share one, pass it as `layout` and that
-    pass is not made and a file with another header is left out.
+def read_admitted(spark: SparkSession, files: DataFrame, schema: StructType, multiline: bool = True) -> DataFrame:
+    """Rows of the files that `admitted` found good: one scan of its own files per header.
 
-    `multiline=True` accepts line breaks inside quotes and keeps a file in one task, so files
-    above `max_file_bytes` are refused; read those with `multiline=False`, which splits them.
+    The driver holds the file list, as it does for any scan. Rows get `source_file`, dense `pos` in file
+    order, and `_corrupt_record` where a line did not parse; columns a file lacks are null.
     """
-    parts = []
-    for extension in SEPARATORS:
-        if layout is not None:
-            parts.append(_scan(spark, path, extension, list(layout), schema, multiline, checked=True))
-            continue
-        found = headers(spark, path, extension)
-        known = found.groupBy("header").agg(F.max("size").alias("size")).limit(MAX_LAYOUTS + 1).collect()
-        if len(known) > MAX_LAYOUTS:
-            raise ValueError(f"more than {MAX_LAYOUTS} different headers under {path}")
-        if multiline and any(r["size"] > max_file_bytes for r in known):
-            raise ValueError(f"a file under {path} is too large for one task; use multiline=False")
-        for header in (r.header for r in known):
-            names = _split_header(header, extension)
-            if not set(required) <= set(names):
-                continue
-            rows = _scan(spark, path, extension, names, schema, multiline, checked=False)
-            if len(known) > 1:
-                # files meet their header once per block, so a large file is many small keys
-                blocks = rows.select("source_file", "_block").distinct().join(
-                    found.filter(F.col("header") == header), "source_file", "left_semi")
-                rows = rows.join(blocks, ["source_file", "_block"], "left_semi")
-            parts.append(rows)
+    good = files.filter("reason IS NULL").groupBy("extension", "columns").agg(
+        F.sort_array(F.collect_list("path")).alias("paths"))
+    parts = [_scan(spark, r.paths, r.extension, r.columns, schema, multiline)
+             for r in good.orderBy("extension", "columns").toLocalIterator()]
     if not parts:
         empty = StructType([StructField("source_file", StringType()), *schema.fields])
         return spark.createDataFrame([], empty).withColumns(
-            {"pos": F.lit(None).cast("long"), CORRUPT: F.lit(None).cast("string")})
+            {CORRUPT: F.lit(None).cast("string"), "pos": F.lit(None).cast("long")})
     return number_file_rows(reduce(DataFrame.unionByName, parts))
 
 
+def read_transcripts(spark: SparkSession, path: str | Sequence[str], schema: StructType, required: Sequence[str] = (),
+                     multiline: bool = True, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """All CSV and TSV transcripts below a folder, columns found by name; what `admitted` refuses is left
+    out. `multiline=True` accepts line breaks inside quotes and keeps a file in one task; without it
+    large files are split."""
+    files = admitted(spark, path, required, [f.name for f in schema.fields], multiline, max_file_bytes)
+    return read_admitted(spark, files, schema, multiline)
+
+
 def number_file_rows(rows: DataFrame) -> DataFrame:
-    """Dense positions per file from block offset and row order inside a block."""
-    counts = rows.groupBy("source_file", "_block").agg(F.count("*").alias("_n"))
-    earlier = (
-        Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.select(
-        "source_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = Window.partitionBy("source_file", "_block").orderBy("_row")
+    """Dense positions per file (`_path`) from block offset and row order inside a block."""
+    counts = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_path", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = Window.partitionBy("_path", "_block").orderBy("_row")
     return (
-        rows.join(offsets, ["source_file", "_block"])
+        rows.join(offsets, ["_path", "_block"])
         .withColumn("pos", F.row_number().over(local) - 1 + F.col("_before"))
-        .drop("_block", "_row", "_before")
+        .drop("_path", "_block", "_row", "_before")
     )
 
 
-def read_old_words(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame:
-    """Word files in the older layout, read by position."""
-    parts = [_scan(spark, path, extension, OLD_WORD, schema, multiline, checked=False) for extension in SEPARATORS]
-    return number_file_rows(reduce(DataFrame.unionByName, parts))
+def read_old_words(spark: SparkSession, path: str, schema: StructType, multiline: bool = False,
+                   names: dict[str, str] = OLD_WORD) -> DataFrame:
+    """Word files in the older layout: `names` maps the names in their headers to those in `schema`.
+    Columns are found by name, and files that lack one of them are left out."""
+    files = admitted(spark, path, list(names.values()), None, multiline, names=names)
+    return read_admitted(spark, files, schema, multiline)
 
 
 def file_key(name: Column) -> Column:

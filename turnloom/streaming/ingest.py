@@ -1,46 +1,59 @@
-"""Incremental ingest: a file-source stream that picks up each transcript once.
+"""Incremental ingest: a stream of file arrivals, each batch of which is admitted file by file.
 
-The checkpoint remembers which files were processed, so a rerun takes only new ones and a
-failed run continues where it stopped.
+The checkpoint remembers which files arrived, so a rerun takes only new ones and a failed run continues
+where it stopped. A batch is the files' paths; their headers are checked, good files are read by name,
+and the others go to a table of refusals, so no file stops those that come with it or after it. A batch
+writes its own folder and overwrites it when it runs again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from turnloom.session import write_table
+from turnloom.sources import readers
 
-def transcript_stream(spark: SparkSession, path: str, schema: StructType, sep: str = ",",
-                      glob: str = "*.csv", files_per_batch: int = 1000) -> DataFrame:
-    """Rows of every new file in the declared layout, tagged with the file name. A file whose header
-    is another stops the batch with its name, rather than being read by position."""
+
+def arriving_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Paths of new files below a folder, whatever their names; contents are not read."""
     return (
-        spark.readStream.schema(schema)
-        .options(header="true", sep=sep, multiLine="true", escape='"', mode="PERMISSIVE",
-                 enforceSchema="false", pathGlobFilter=glob, recursiveFileLookup="true",
-                 maxFilesPerTrigger=str(files_per_batch))
-        .csv(path)
-        .withColumn("source_file", F.col("_metadata.file_name"))
-        .filter(~F.col("source_file").startswith("="))
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .options(recursiveFileLookup="true", maxFilesPerTrigger=str(files_per_batch)).load(path)
+        .select("path")
     )
 
 
-def ingest_new(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append what is new to a Parquet table, then stop."""
-    return (
-        rows.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).outputMode("append")
-        .trigger(availableNow=True).start()
-    )
+def process_new(files: DataFrame, schema: StructType, handle: Callable[[DataFrame, int], None], refused: str,
+                checkpoint: str, required: Sequence[str] = (), multiline: bool = True) -> StreamingQuery:
+    """Run a batch function (annotate, collapse, write) on the rows of what is new, then stop. Each
+    batch's refused files go to `refused`, a Parquet folder of (path, source_file, reason)."""
 
+    def batch(paths: DataFrame, number: int) -> None:
+        spark = paths.sparkSession
+        new = [r.path for r in paths.collect()]  # as many as a batch takes
+        if not new:
+            return
+        found = write_table(spark, "arrived", readers.admitted(
+            spark, new, required, [f.name for f in schema.fields], multiline))
+        found.filter("reason IS NOT NULL").select("path", "source_file", "reason").write.mode("overwrite").parquet(
+            os.path.join(refused, f"batch={number}"))
+        handle(readers.read_admitted(spark, found, schema, multiline), number)
 
-def process_new(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run a batch function (annotate, collapse, write) on what is new, then stop."""
-    return (
-        rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_new(files: DataFrame, schema: StructType, out: str, refused: str, checkpoint: str,
+               required: Sequence[str] = (), multiline: bool = True) -> StreamingQuery:
+    """Add the rows of what is new to a Parquet folder, then stop."""
+
+    def handle(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
+
+    return process_new(files, schema, handle, refused, checkpoint, required, multiline)
