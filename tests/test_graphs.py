@@ -48,8 +48,8 @@ def sequential_paths(seqs):
     return {(name(u), name(v)): w for (u, v), w in weights.items()}
 
 
-@pytest.mark.parametrize("prefix", [1, 3, 5000])
-def test_path_graphs_equal_the_sequential_fold(spark, prefix):
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_path_graphs_equal_the_sequential_fold(spark, chunk):
     graphs = {"g1": sequences(1, 60), "g2": sequences(2, 25, "ABCDEF"), "g3": sequences(3, 1)}
     rows = []
     for graph, seqs in graphs.items():
@@ -59,7 +59,7 @@ def test_path_graphs_equal_the_sequential_fold(spark, prefix):
     random.Random(0).shuffle(rows)
     frame = spark.createDataFrame(rows, "graph_id string, source_file string, seq long, pos long, label string")
     got = {}
-    for r in G.path_edges(frame, prefix=prefix).collect():
+    for r in G.path_edges(frame, chunk=chunk).collect():
         got.setdefault(r.graph_id, {})[r.src, r.dst] = r.weight
     for graph, seqs in graphs.items():
         assert got.get(graph, {}) == sequential_paths(seqs)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import ngrams as N
 from turnloom.operators import reach
-from turnloom.operators.ordered import Ordering, carry
+from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, carry, running_total
 from turnloom.session import write_table
 
 NODE_SEPARATOR = "→"
@@ -60,7 +60,7 @@ class PathWalker:
     that would reverse an edge as well; later visits then alternate from there.
     """
 
-    def __init__(self, known):
+    def __init__(self, known: set[tuple[str, str]]):
         self._known = known
         self._turn: dict[str, int] = {}
         self._at: str | None = None
@@ -69,103 +69,106 @@ class PathWalker:
         slot = self._turn.get(label, 0)
         node = f"{label}_{'ab'[slot]}"
         previous = self._at
-        if previous is not None and self._known(node, previous):
+        if previous is not None and (node, previous) in self._known:
             other = f"{label}_{'ab'[1 - slot]}"
-            if not self._known(other, previous):
+            if (other, previous) not in self._known:
                 slot, node = 1 - slot, other
         self._turn[label] = 1 - slot
         self._at = node
         return None if previous is None else (previous, node)
 
 
-def _walk_partition(first_seen: dict[tuple[str, str, str], tuple[str, int]]):
-    """Edges of every sequence, given the sequence each edge appears in first."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, walker = None, None
-        for batch in batches:
-            out = []
-            for graph, source, seq, label in zip(
-                batch["graph_id"], batch["source_file"], batch["seq"], batch["label"]
-            ):
-                if current != (graph, source, seq):
-                    current, here = (graph, source, seq), (source, seq)
-                    walker = PathWalker(
-                        lambda u, v, g=graph, s=here: first_seen.get((g, u, v), s) < s)
-                edge = walker.step(label)
-                if edge is not None:
-                    out.append((graph, source, seq, *edge))
-            yield pd.DataFrame(out, columns=["graph_id", "source_file", "seq", "src", "dst"])
-
-    return walk
-
-
-def _walk_prefix(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First appearances within the first sequences of one graph, in order."""
-    pdf = pdf.sort_values(["source_file", "seq", "pos"], kind="stable")
-    seen: dict[tuple[str, str], tuple[str, int]] = {}
-    current, walker, fresh = None, None, {}
-    for source, seq, label in zip(pdf["source_file"], pdf["seq"], pdf["label"]):
-        if current != (source, seq):
-            seen.update(fresh)
-            current, fresh = (source, seq), {}
-            walker = PathWalker(lambda u, v: (u, v) in seen)
-        edge = walker.step(label)
-        if edge is not None and edge not in seen:
-            fresh[edge] = current
-    seen.update(fresh)
-    graph = pdf["graph_id"].iloc[0]
-    return pd.DataFrame(
-        [(graph, u, v, source, seq) for (u, v), (source, seq) in seen.items()],
-        columns=["graph_id", "src", "dst", "source_file", "seq"],
-    )
-
-
-def path_edges(rows: DataFrame, prefix: int = 5000, prefix_rows: int = 200_000,
-               max_edges: int = 1_000_000) -> DataFrame:
+def _walk_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edge counts of each chunk. A chunk's rows begin with the edges known before it (no label);
+    then its sequences follow in order, and each one's edges are known to the next."""
+    names = ["graph_id", "chunk", "src", "dst", "weight"]
+    chunk = sequence = walker = None
+    known: set[tuple[str, str]] = set()
+    fresh: set[tuple[str, str]] = set()
+    weights: dict[tuple[str, str], int] = {}
+
+    def made() -> pd.DataFrame:
+        return pd.DataFrame([(*chunk, *edge, n) for edge, n in weights.items()], columns=names)
+
+    for batch in batches:
+        for graph, number, source, seq, label, src, dst in zip(*(batch[c] for c in (
+                "graph_id", "chunk", "source_file", "seq", "label", "src", "dst"))):
+            if chunk != (graph, number):
+                if weights:
+                    yield made()
+                chunk, sequence, walker, known, fresh, weights = (graph, number), None, None, set(), set(), {}
+            if label is None:
+                known.add((src, dst))
+                continue
+            if sequence != (source, seq):
+                sequence = (source, seq)
+                known |= fresh
+                fresh, walker = set(), PathWalker(known)
+            edge = walker.step(label)
+            if edge is not None:
+                fresh.add(edge)
+                weights[edge] = weights.get(edge, 0) + 1
+    if weights:
+        yield made()
+
+
+def path_edges(rows: DataFrame, chunk: int = 1000, salts: int = 16) -> DataFrame:
     """Dual-node edge counts with antiparallel avoidance, sequences taken in the order of
     (source_file, seq).
 
-    A sequence's path depends on earlier sequences only through which edges exist, that is,
-    through the first sequence of every edge. All sequences are walked in parallel against
-    assumed first appearances, which are then recomputed, until they no longer change. By
-    induction over the sequence order such a fixed point is the sequential result. A short
-    prefix of each graph, bounded in rows, is walked in order first: most edges are new there.
-
-    The driver holds one entry per distinct edge, whose number is checked.
+    A sequence depends on earlier ones only through which edges exist. Sequences are numbered along
+    their graph and cut into chunks of `chunk`. Chunks are walked in parallel, each in order, from the
+    edges that were assumed to exist before it; a table says in which chunk each edge appears first. Where
+    that changes, the chunks between the old and the new first one that take the edge's reverse step are
+    walked again, until nothing changes. By induction along the chunks such a fixed point is the
+    sequential result. A graph has at most (2 * labels)^2 edges, the only state a walk holds.
     """
     spark = rows.sparkSession
-    columns = ["graph_id", "source_file", "seq", "pos", "label"]
-    rows = write_table(spark, "path_rows", rows.select(*columns))
-    w = Window.partitionBy("graph_id").orderBy("source_file", "seq")
-    early = (
-        rows.groupBy("graph_id", "source_file", "seq").agg(F.count("*").alias("_rows"))
-        .withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= prefix)
-        .withColumn("_sum", F.sum("_rows").over(w)).filter(F.col("_sum") <= prefix_rows)
-        .select("graph_id", "source_file", "seq")
-    )
-    start = rows.join(early, ["graph_id", "source_file", "seq"], "left_semi")
-    schema = "graph_id string, src string, dst string, source_file string, seq long"
-
-    def collected(df: DataFrame) -> dict:
-        found = df.limit(max_edges + 1).collect()
-        if len(found) > max_edges:
-            raise ValueError(f"more than {max_edges} distinct edges; use the groups granularity")
-        return {(r.graph_id, r.src, r.dst): (r.source_file, r.seq) for r in found}
-
-    first_seen = collected(start.groupBy("graph_id").applyInPandas(_walk_prefix, schema))
-    ordered = rows.repartition("graph_id", "source_file", "seq").sortWithinPartitions(*columns[:4])
-    schema = "graph_id string, source_file string, seq long, src string, dst string"
+    by = ["graph_id", "source_file", "seq"]
+    rows = write_table(spark, "path_rows", rows.select(*by, "pos", "label"))
+    number = running_total(rows.select(*by).distinct(), by[:1], by[1:], name="chunk")
+    rows = write_table(spark, "path_chunks", rows.join(
+        number.withColumn("chunk", F.floor(F.col("chunk") / chunk)), by))
+    place = Window.partitionBy(*by, "part").orderBy("pos")
+    # steps of each chunk; a step between two parts of a long sequence is found from both parts' ends
+    cut = rows.withColumn("part", F.floor(F.col("pos") / SEGMENT_ROWS))
+    inside = cut.select("*", F.lag("label").over(place).alias("before"))
+    ends = cut.groupBy("graph_id", "chunk", *by[1:], "part").agg(
+        F.min_by("label", "pos").alias("first"), F.max_by("label", "pos").alias("last"))
+    over = Window.partitionBy(*by).orderBy("part")
+    joints = ends.select("graph_id", "chunk", F.lag("last").over(over).alias("before"), F.col("first").alias("label"))
+    steps = write_table(spark, "path_steps", inside.select("graph_id", "chunk", "before", "label").unionByName(joints)
+                        .filter("before IS NOT NULL").distinct())
+    of = lambda node: F.regexp_replace(node, "_[ab]$", "")
+    none = F.lit(None).cast("string")
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    todo = rows.select("graph_id", "chunk").distinct()
+    firsts = spark.createDataFrame([], "graph_id string, src string, dst string, chunk long")
+    walked = spark.createDataFrame([], "graph_id string, chunk long, src string, dst string, weight long")
     while True:
-        walked = ordered.mapInPandas(_walk_partition(first_seen), schema)
-        edges = write_table(spark, "path_edges", walked.groupBy("graph_id", "src", "dst").agg(
-            F.count("*").alias("weight"),
-            F.min(F.struct("source_file", "seq")).alias("first"),
-        ))
-        recomputed = collected(edges.select("graph_id", "src", "dst", "first.*"))
-        if recomputed == first_seen:
-            return edges.drop("first")
-        first_seen = recomputed
+        asked = todo.withColumn("salt", F.col("chunk") % salts)
+        before = asked.join(firsts.withColumnRenamed("chunk", "first").withColumn("salt", salt),
+                            ["graph_id", "salt"]).filter(F.col("first") < F.col("chunk"))
+        given = before.select("graph_id", "chunk", none.alias("source_file"), F.lit(None).cast("long").alias("seq"),
+                              F.lit(None).cast("long").alias("pos"), none.alias("label"), "src", "dst")
+        own = rows.join(todo, ["graph_id", "chunk"], "left_semi").select(*given.columns[:-2], none.alias("src"), none.alias("dst"))
+        ordered = given.unionByName(own).repartition("graph_id", "chunk").sortWithinPartitions(
+            "graph_id", "chunk", F.col("source_file").asc_nulls_first(), F.col("seq").asc_nulls_first(), "pos")
+        again = ordered.mapInPandas(_walk_chunks, walked.schema)
+        walked = write_table(spark, "path_walked", walked.join(todo, ["graph_id", "chunk"], "left_anti").unionByName(again))
+        now = write_table(spark, "path_firsts", walked.groupBy("graph_id", "src", "dst").agg(F.min("chunk").alias("chunk")))
+        moved = now.withColumnRenamed("chunk", "new").join(
+            firsts.withColumnRenamed("chunk", "old"), ["graph_id", "src", "dst"], "full").filter(
+            ~F.col("new").eqNullSafe(F.col("old")))
+        far = F.lit(1 << 62)
+        spans = moved.select("graph_id", of(F.col("dst")).alias("before"), of(F.col("src")).alias("label"),
+                             F.least("old", "new").alias("low"),
+                             F.greatest(F.coalesce("old", far), F.coalesce("new", far)).alias("high"))
+        todo = write_table(spark, "path_todo", steps.join(spans, ["graph_id", "before", "label"]).filter(
+            (F.col("low") < F.col("chunk")) & (F.col("chunk") <= F.col("high"))).select("graph_id", "chunk").distinct())
+        firsts = now
+        if todo.isEmpty():
+            return walked.groupBy("graph_id", "src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def pool(edges: DataFrame, pool_id: Column) -> DataFrame:

@@ -129,7 +129,34 @@ def alternating_paths(spark, sf_dir):
     return transcript_paths(spark, sf_dir).select("graph_id", "src", "dst", "weight")
 
 
-@registered("i05_path_graphs")
+oracle.add_view("path_rows", """
+    SELECT graph_id, label, pos = min(pos) OVER (PARTITION BY graph_id, source_file, seq) AS opens,
+           row_number() OVER (PARTITION BY graph_id ORDER BY source_file, seq, pos) AS rn FROM (
+      SELECT 'non_important' AS graph_id, source_file, seq, pos, label FROM seqs WHERE cls = 'neither'
+      UNION ALL SELECT target || '_' || code, s.source_file, seq, pos, label FROM seqs s JOIN target_codes c
+        ON c.target = s.cls AND c.source_file = s.source_file AND c.block_start = s.seq)""")
+
+
+@registered("i05_path_graphs", """
+    WITH RECURSIVE walk AS (
+      SELECT DISTINCT graph_id, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS known, CAST([] AS VARCHAR[]) AS fresh,
+             CAST([] AS VARCHAR[]) AS second, CAST(NULL AS VARCHAR) AS here, CAST(NULL AS VARCHAR) AS edge FROM path_rows
+      UNION ALL
+      SELECT graph_id, rn, known, CASE WHEN here IS NULL OR list_contains(known, here || '>' || node) THEN fresh
+               ELSE list_distinct(list_append(fresh, here || '>' || node)) END,
+             CASE WHEN node = label || '_a' THEN list_append(second, label) ELSE list_filter(second, lambda x: x <> label) END,
+             node, here || '>' || node
+      FROM (SELECT *, CASE WHEN here IS NOT NULL AND list_contains(known, own || '>' || here)
+                             AND NOT list_contains(known, other || '>' || here) THEN other ELSE own END AS node
+            FROM (SELECT *, label || CASE WHEN list_contains(second, label) THEN '_b' ELSE '_a' END AS own,
+                         label || CASE WHEN list_contains(second, label) THEN '_a' ELSE '_b' END AS other
+                  FROM (SELECT r.graph_id, r.rn, r.label,
+                               CASE WHEN opens THEN list_concat(known, fresh) ELSE known END AS known,
+                               CASE WHEN opens THEN [] ELSE fresh END AS fresh,
+                               CASE WHEN opens THEN [] ELSE second END AS second, CASE WHEN opens THEN NULL ELSE here END AS here
+                        FROM walk w JOIN path_rows r ON r.graph_id = w.graph_id AND r.rn = w.rn + 1))))
+    SELECT graph_id, split_part(edge, '>', 1) AS src, split_part(edge, '>', 2) AS dst, count(*) AS weight
+    FROM walk WHERE edge IS NOT NULL GROUP BY ALL""")
 def path_graphs(spark, sf_dir):
     return dual_edges(spark, sf_dir).select("graph_id", "src", "dst", "weight")
 
