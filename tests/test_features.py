@@ -120,18 +120,59 @@ def test_grid_and_ranking(spark):
     assert X.receptive_field(3, 5) == 13
 
 
-def test_classifier_learns_from_context(spark):
-    rng = random.Random(9)
-    rows = []
-    for s in range(30):
-        labels = [rng.choice("abc") for _ in range(40)]
-        rows += [(f"f{s}", i, "S1", x, x, int(i > 0 and labels[i - 1] == "a")) for i, x in enumerate(labels)]
-    frame = spark.createDataFrame(
+def _context_rows(spark, files, rows_each, seed=9):
+    rng, rows = random.Random(seed), []
+    for s in range(files):
+        labels = [rng.choice("abc") for _ in range(rows_each if s else 1)]
+        rows += [(f"f{s}", i, rng.choice(["S1", "Therapist"]), x, x, int(i > 0 and labels[i - 1] == "a")) for i, x in enumerate(labels)]
+    return rows, spark.createDataFrame(
         rows, "source_file string, pos long, speaker string, proc_da string, da_group string, label int")
-    features = X.window_features(frame, Ordering(segment_rows=16), X.token("groups"), 2)
-    scored = X.fit_predict(features.select("source_file", "pos", "label", "tokens"), "label", k=3)
-    result = E.evaluate(scored.withColumn("pred", E.threshold(F.col("prob"), 0.5)), "label", "pred").first()
+
+
+@pytest.mark.parametrize("segment", [None, 1, 16])
+def test_scores_are_those_of_counts_over_the_other_transcripts(spark, segment):
+    rows, frame = _context_rows(spark, 5, 12)
+    reach, smoothing = 2, (0.5, 2.0)
+    text = {(f, p): f"{'therapist' if sp == 'Therapist' else 'patient'}::{g}" for f, p, sp, _, g, _ in rows}
+    label = {(f, p): y for f, p, *_, y in rows}
+    at = lambda f, p: text.get((f, p), "<start>" if p < 0 else "<end>")
+    vocabulary = len(set(text.values())) + 1
+    got = X.context_scores(frame, Ordering(segment_rows=segment), X.token("groups"), "label", reach, smoothing).collect()
+    assert {(r.source_file, r.pos, r.label) for r in got} == {(f, p, y) for (f, p), y in label.items()}
+    for r in got:
+        others = [k for k in label if k[0] != r.source_file]
+        n1 = sum(label[k] for k in others)
+        for s in r.scores:
+            want = 0.0
+            for o in range(-s.reach, s.reach + 1):
+                same = [k for k in others if at(k[0], k[1] + o) == at(r.source_file, r.pos + o)]
+                c1 = sum(label[k] for k in same)
+                want += math.log((c1 + s.smoothing) / (n1 + s.smoothing * vocabulary))
+                want -= math.log((len(same) - c1 + s.smoothing) / (len(others) - n1 + s.smoothing * vocabulary))
+            assert s.score == pytest.approx(want)
+        assert [(s.smoothing, s.reach) for s in r.scores] == [(a, k) for a in smoothing for k in range(reach + 1)]
+
+
+def test_the_model_learns_from_context(spark):
+    rows, frame = _context_rows(spark, 30, 40)
+    scored = X.context_scores(frame, Ordering(segment_rows=16), X.token("groups"), "label", 2)
+    prob = X.probability(F.element_at("scores", -1).score)
+    result = E.evaluate(scored.withColumn("pred", E.threshold(prob, 0.5)), "label", "pred").first()
     assert scored.count() == len(rows)
     assert result.f1_important > 0.95
-    assert scored.groupBy("source_file").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
-    assert math.isfinite(result.f1_weighted)
+    # with the row alone there is nothing to learn from
+    alone = E.evaluate(scored.withColumn("pred", E.threshold(X.probability(F.col("scores")[0].score, 2.0), 0.5)), "label", "pred").first()
+    assert alone.f1_important < 0.9
+
+
+def test_pooled_metrics_come_from_the_folds(spark):
+    rng = random.Random(2)
+    rows = [(f"f{rng.randrange(6)}", rng.randrange(2), rng.randrange(2), rng.choice("xy")) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "source_file string, label int, pred int, p_a string")
+    folds = E.fold_metrics(frame, "p_a").toPandas()
+    for r in E.pooled_metrics(frame, "p_a").collect():
+        own = folds[folds.p_a == r.p_a]
+        assert r.mean_fold_f1_imp == pytest.approx(own.f1_important.mean())
+        assert r.std_fold_f1_imp == pytest.approx(own.f1_important.std(ddof=0))
+        whole = E.evaluate(frame.filter(F.col("p_a") == r.p_a), "label", "pred").first()
+        assert (r.pooled_f1_imp, r.pooled_f1_weighted) == (pytest.approx(whole.f1_important), pytest.approx(whole.f1_weighted))

@@ -46,9 +46,7 @@ def evaluate(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame
     return confusion(rows, truth, predicted, *by).withColumns(scores())
 
 
-def fold_metrics(predictions: DataFrame, *by: str) -> DataFrame:
-    """One row per fold (transcript) from `label` and `pred`; four-digit scores."""
-    counts = confusion(predictions, "label", "pred", *by, "source_file")
+def _fold_scores(counts: DataFrame, *by: str) -> DataFrame:
     value = scores()
     n, positive = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), F.col("tp") + F.col("fn")
     return counts.select(
@@ -62,17 +60,24 @@ def fold_metrics(predictions: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def fold_metrics(predictions: DataFrame, *by: str) -> DataFrame:
+    """One row per fold (transcript) from `label` and `pred`; four-digit scores."""
+    return _fold_scores(confusion(predictions, "label", "pred", *by, "source_file"), *by)
+
+
 def pooled_metrics(predictions: DataFrame, *by: str) -> DataFrame:
-    """Pooled F1 scores with mean and population deviation of the fold scores."""
-    folds = fold_metrics(predictions, *by).groupBy(*by).agg(
-        F.avg("f1_important").alias("mean_fold_f1_imp"),
-        F.stddev_pop("f1_important").alias("std_fold_f1_imp"),
-        F.avg("f1_macro").alias("mean_fold_f1_balanced"),
-    )
-    pooled = evaluate(predictions, "label", "pred", *by).select(
-        *by, F.col("f1_important").alias("pooled_f1_imp"), F.col("f1_macro").alias("pooled_f1_balanced"),
-        F.col("f1_weighted").alias("pooled_f1_weighted"))
-    return pooled.join(folds, list(by))
+    """Pooled F1 scores with mean and population deviation of the fold scores, all from one count per
+    parameter point and fold."""
+    cells = ("tp", "tn", "fp", "fn")
+    value = scores()
+    counts = confusion(predictions, "label", "pred", *by, "source_file").withColumns(
+        {"_f": F.round(value["f1_important"], 4), "_m": F.round(value["f1_macro"], 4)})
+    pooled = counts.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in cells], F.avg("_f").alias("mean_fold_f1_imp"),
+        F.stddev_pop("_f").alias("std_fold_f1_imp"), F.avg("_m").alias("mean_fold_f1_balanced"))
+    return pooled.select(
+        *by, value["f1_important"].alias("pooled_f1_imp"), value["f1_macro"].alias("pooled_f1_balanced"),
+        value["f1_weighted"].alias("pooled_f1_weighted"), "mean_fold_f1_imp", "std_fold_f1_imp", "mean_fold_f1_balanced")
 
 
 def rank_grid(results: DataFrame, top: int = 5) -> DataFrame:

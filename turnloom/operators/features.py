@@ -131,12 +131,6 @@ def fold_table(rows: DataFrame, label: str, scale: float = 1.0) -> DataFrame:
         ((n_train - n_pos) / F.greatest(n_pos, F.lit(1)) * scale).alias("pos_weight"))
 
 
-def grouped_folds(k: int, seed: int = 42) -> Column:
-    """Fold of a row when transcripts are spread over k folds."""
-    digest = F.conv(F.substring(hash_order(seed, "source_file"), 1, 8), 16, 10).cast("long")
-    return (digest % k).cast("int")
-
-
 def class_balance(rows: DataFrame, label: str) -> DataFrame:
     return rows.groupBy("source_file").agg(
         F.count("*").alias("n_das"), F.sum(label).alias("n_important")
@@ -155,56 +149,78 @@ def receptive_field(layers: int, kernel: int) -> int:
     return layers * (kernel - 1) + 1
 
 
-def window_features(rows: DataFrame, order: Ordering, tokens: Column, reach: int) -> DataFrame:
-    """Tokens of the `reach` rows before and after each row as `tokens`, position-tagged."""
-    tagged = rows.withColumn("_token", tokens)
-    names = [(k, f"_t{k + reach}") for k in range(-reach, reach + 1)]
-    columns = {
-        name: (lambda w, k=k: F.concat(F.lit(f"{k}="), F.lag("_token", -k, "pad").over(w)))
-        for k, name in names
-    }
-    wide = nearby(tagged, order, columns, before=reach, after=reach)
-    return wide.withColumn("tokens", F.array(*[name for _, name in names])).drop(
-        "_token", *[name for _, name in names])
+START_TOKEN, END_TOKEN = "<start>", "<end>"
+
 
+def context_scores(rows: DataFrame, order: Ordering, tokens: Column, label: str, reach: int,
+                   smoothing: Sequence[float] = (1.0,)) -> DataFrame:
+    """Log-odds of importance of every row under models that have not seen its transcript.
 
-def fit_predict(features: DataFrame, label: str, k: int = 3, seed: int = 42,
-                scale: float = 1.0, buckets: int = 1 << 14) -> DataFrame:
-    """Importance probability of every row from a model that has not seen its transcript.
+    A row's evidence is, for each offset up to `reach`, how much likelier its neighbour's token is there
+    among important rows than among others, from smoothed counts over all other transcripts: the totals
+    less the transcript's own, so leaving each transcript out costs one pass and nothing is fitted. Rows
+    beyond the ends are tokens too. `scores` has one entry per smoothing and per reach from 0 on.
 
-    Position-tagged tokens are hashed to a sparse vector; positives weigh
-    negatives / positives * scale. Transcripts form k folds.
+    A token's counts at all offsets come from the labels around its own row, and its evidence at all
+    offsets travels with its row, so rows are never repeated per offset. Counts and evidence have a row
+    per transcript and token; a row meets its evidence on that key.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
-
-    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=buckets, binary=True)
-    # every training pass reads the features, so they are written once
-    data = write_table(features.sparkSession, "features", hashed.transform(
-        features.withColumns({"_label": F.col(label).cast("double"), "fold": grouped_folds(k, seed)})
-    ).drop("tokens"))
-    # a row here is one fold, so k rows reach the driver
-    per_fold = {r.fold: r for r in data.groupBy("fold").agg(
-        F.count("*").alias("n"), F.sum("_label").alias("pos")).collect()}
-    n, pos = sum(r.n for r in per_fold.values()), sum(r.pos for r in per_fold.values())
-    parts = []
-    for fold, own in per_fold.items():
-        train_n, train_pos = n - own.n, pos - own.pos
-        weight = (train_n - train_pos) / max(train_pos, 1.0) * scale
-        train = data.filter(F.col("fold") != fold).withColumn(
-            "_weight", F.when(F.col("_label") == 1, weight).otherwise(1.0))
-        model = LogisticRegression(
-            featuresCol="features", labelCol="_label", weightCol="_weight", maxIter=20, regParam=0.01,
-        ).fit(train)
-        scored = model.transform(data.filter(F.col("fold") == fold))
-        parts.append(scored.select(
-            "source_file", "pos", label, "fold",
-            F.element_at(vector_to_array("probability"), 2).alias("prob")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    spark, offsets = rows.sparkSession, range(-reach, reach + 1)
+    base = rows.select("source_file", order.pos, tokens.alias("token"), F.col(label).cast("int").alias("label"))
+    around = {f"_b{k}": (lambda w, k=k: F.lag("label", k).over(w)) for k in range(1, reach + 1)}
+    around |= {f"_f{k}": (lambda w, k=k: F.lead("label", k).over(w)) for k in range(1, reach + 1)}
+    wide = write_table(spark, "context_rows", nearby(base, order, around, before=reach, after=reach))
+    # the row whose token stands at offset o is o behind; a row without one there has an end as token
+    centre = {o: F.col("label") if o == 0 else F.col(f"_b{o}") if o > 0 else F.col(f"_f{-o}") for o in offsets}
+    beyond = {o: F.lit(False) if o == 0 else F.col(f"_f{o}").isNull() if o > 0 else F.col(f"_b{-o}").isNull()
+              for o in offsets}
+    n, y = [f"n{i}" for i in range(len(offsets))], [f"y{i}" for i in range(len(offsets))]
+    inside = wide.groupBy("source_file", "token").agg(*[
+        c for i, o in enumerate(offsets) for c in (F.count(centre[o]).alias(n[i]), F.coalesce(F.sum(centre[o]), F.lit(0)).alias(y[i]))])
+    edges = [
+        wide.groupBy("source_file").agg(*[
+            c for i, o in enumerate(offsets) for c in (
+                F.count_if(beyond[o] & F.lit(here(o))).alias(n[i]),
+                F.count_if(beyond[o] & F.lit(here(o)) & (F.col("label") == 1)).alias(y[i]))]).withColumn("token", F.lit(name))
+        for name, here in ((START_TOKEN, lambda o: o < 0), (END_TOKEN, lambda o: o > 0))
+    ]
+    own = write_table(spark, "context_counts", inside.unionByName(edges[0]).unionByName(edges[1]))
+    everywhere = own.groupBy("token").agg(*[F.sum(c).alias(f"all_{c}") for c in (*n, *y)])
+    files = wide.groupBy("source_file").agg(F.count("*").alias("_n"), F.sum("label").alias("_y"))
+    sizes = files.agg(F.sum("_n").alias("_alln"), F.sum("_y").alias("_ally")).withColumn("_k", F.lit(1)).join(
+        everywhere.filter(~F.col("token").isin(START_TOKEN, END_TOKEN)).agg((F.count("*") + 1).alias("_v")).withColumn("_k", F.lit(1)), "_k")
+    trained = files.withColumn("_k", F.lit(1)).join(F.broadcast(sizes), "_k").drop("_k")  # one row is sent
+
+    def evidence(i: int, alpha: float) -> Column:
+        important = F.col(f"all_{y[i]}") - F.col(y[i])
+        other = F.col(f"all_{n[i]}") - F.col(n[i]) - important
+        n1 = F.col("_ally") - F.col("_y")
+        n0 = F.col("_alln") - F.col("_n") - n1
+        return F.log((important + alpha) / (n1 + alpha * F.col("_v"))) - F.log((other + alpha) / (n0 + alpha * F.col("_v")))
+
+    weights = own.join(everywhere, "token").join(trained, "source_file").select(
+        "source_file", "token", F.array(*[F.array(*[evidence(i, a) for i in range(len(offsets))]) for a in smoothing]).alias("w"))
+    weights = write_table(spark, "context_weights", weights)
+    ends = weights.filter(F.col("token").isin(START_TOKEN, END_TOKEN)).groupBy("source_file").agg(
+        F.max(F.when(F.col("token") == START_TOKEN, F.col("w"))).alias("_start"),
+        F.max(F.when(F.col("token") == END_TOKEN, F.col("w"))).alias("_end"))
+    known = weights.filter(~F.col("token").isin(START_TOKEN, END_TOKEN)).join(ends, "source_file")
+    placed = wide.select("source_file", order.pos, "label", "token").join(known, ["source_file", "token"])
+    seen = {f"_p{k}": (lambda w, k=k: F.coalesce(F.lag("w", k).over(w), F.col("_start"))) for k in range(1, reach + 1)}
+    seen |= {f"_s{k}": (lambda w, k=k: F.coalesce(F.lead("w", k).over(w), F.col("_end"))) for k in range(1, reach + 1)}
+    scored, entries = nearby(placed, order, seen, before=reach, after=reach), []
+    for a, alpha in enumerate(smoothing):
+        total = F.col("w")[a][reach]
+        for k in range(reach + 1):
+            if k:
+                total = total + F.col(f"_p{k}")[a][reach - k] + F.col(f"_s{k}")[a][reach + k]
+            entries.append(F.struct(F.lit(float(alpha)).alias("smoothing"), F.lit(k).alias("reach"), total.alias("score")))
+    return scored.select("source_file", order.pos, "label", F.array(*entries).alias("scores"))
+
+
+def probability(score: Column, scale: Column | float = 1.0) -> Column:
+    """Probability where positives weigh negatives / positives * scale."""
+    return 1.0 / (1.0 + F.exp(-(score + F.log(F.lit(scale) if isinstance(scale, float) else scale))))
 
 
 def split_by_patient(rows: DataFrame, n_train: int = 5, seed: int = 42) -> DataFrame:

@@ -29,11 +29,55 @@ def labelled(spark, sf_dir) -> DataFrame:
     return tables(spark, sf_dir).hub().withColumn("label", F.when(is_important(TARGET), 1).otherwise(0))
 
 
+# The parameter points that are tried: rows seen to each side follow from kernel and layers.
+KERNELS, LAYERS, SMOOTHING, SCALES, THRESHOLDS = (3, 5), (1, 2), (0.5, 2.0), (0.5, 1.0), (0.4, 0.5, 0.6)
+GRANULARITIES = ("groups", "raw")
+REACH = 2
+
+
+def reach_of(layers: int, kernel: int) -> int:
+    return (X.receptive_field(layers, kernel) - 1) // 2
+
+
+MAX_REACH = reach_of(max(LAYERS), max(KERNELS))
+
+
+def context_scores(spark, sf_dir, granularity: str = "groups") -> DataFrame:
+    """Log-odds of each row without its own transcript, for every smoothing and reach that is tried."""
+    t = tables(spark, sf_dir)
+    return t.once(f"context_scores_{granularity}", lambda: X.context_scores(
+        labelled(spark, sf_dir), t.order, X.token(granularity), "label", MAX_REACH, SMOOTHING))
+
+
 def predictions(spark, sf_dir) -> DataFrame:
-    """Probabilities read from the data: the number a row's text carries, over 100."""
-    return labelled(spark, sf_dir).select(
-        "source_file", "pos", "label",
-        (F.split("spoken_text", " ")[1].cast("double") / 100.0).alias("prob"))
+    """Probabilities of the context model that has not seen the row's transcript."""
+    chosen = F.filter("scores", lambda s: (s.smoothing == SMOOTHING[0]) & (s.reach == REACH))[0].score
+    return context_scores(spark, sf_dir).select(
+        "source_file", "pos", "label", F.round(X.probability(chosen), 9).alias("prob"))
+
+
+oracle.add_view("model_rows", """
+    SELECT 'groups' AS gran, source_file, pos, CAST(patient AS INT) AS label, lower(speaker) || '::' || da_group AS token FROM hub
+    UNION ALL SELECT 'raw', source_file, pos, CAST(patient AS INT), lower(speaker) || '::' || proc_da FROM hub""")
+oracle.add_view("model_contexts", f"""
+    SELECT r.gran, r.source_file, r.pos, r.label, o, coalesce(t.token, CASE WHEN o < 0 THEN '<start>' ELSE '<end>' END) AS token
+    FROM (SELECT *, unnest(range({-MAX_REACH}, {MAX_REACH + 1})) AS o FROM model_rows) r
+    LEFT JOIN model_rows t ON t.gran = r.gran AND t.source_file = r.source_file AND t.pos = r.pos + o""")
+oracle.add_view("model_weights", f"""
+    WITH own AS (SELECT gran, source_file, o, token, count(*) AS n, sum(label) AS y FROM model_contexts GROUP BY ALL),
+    total AS (SELECT gran, o, token, sum(n) AS n, sum(y) AS y FROM own GROUP BY ALL),
+    file AS (SELECT gran, source_file, count(*) AS n, sum(label) AS y FROM model_rows GROUP BY ALL),
+    every AS (SELECT gran, count(*) AS n, sum(label) AS y, count(DISTINCT token) + 1 AS v FROM model_rows GROUP BY ALL)
+    SELECT own.gran, own.source_file, own.o, own.token, a,
+           ln((t.y - own.y + a) / (e.y - f.y + a * v)) - ln((t.n - own.n - t.y + own.y + a) / (e.n - f.n - e.y + f.y + a * v)) AS w
+    FROM own JOIN total t ON t.gran = own.gran AND t.o = own.o AND t.token = own.token
+    JOIN file f ON f.gran = own.gran AND f.source_file = own.source_file JOIN every e ON e.gran = own.gran,
+    (VALUES {", ".join(f"({a}::DOUBLE)" for a in SMOOTHING)}) s(a)""")
+oracle.add_view("model_scores", f"""
+    SELECT gran, source_file, pos, label, a, reach, sum(w) AS score
+    FROM model_contexts JOIN model_weights USING (gran, source_file, o, token),
+         (SELECT DISTINCT unnest([{", ".join(str(reach_of(n, k)) for n in LAYERS for k in KERNELS)}]) AS reach)
+    WHERE abs(o) <= reach GROUP BY ALL""")
 
 
 oracle.add_view("vocabulary", """
@@ -102,9 +146,10 @@ def folds(spark, sf_dir):
     return X.fold_table(labelled(spark, sf_dir), "label").withColumn("pos_weight", r6("pos_weight"))
 
 
-oracle.add_view("predicted", """
-    SELECT source_file, pos, CAST(patient AS INT) AS label, CAST(split_part(spoken_text, ' ', 2) AS DOUBLE) / 100 AS prob,
-           CASE WHEN CAST(split_part(spoken_text, ' ', 2) AS DOUBLE) / 100 >= 0.5 THEN 1 ELSE 0 END AS pred FROM hub""")
+oracle.add_view("predicted", f"""
+    SELECT *, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS pred FROM (
+      SELECT source_file, pos, label, round(1 / (1 + exp(-score)), 9) AS prob FROM model_scores
+      WHERE gran = 'groups' AND a = {SMOOTHING[0]} AND reach = {REACH})""")
 
 
 def _confusion_sql(rows: str, by: str) -> str:
@@ -146,57 +191,75 @@ def fold_metrics(spark, sf_dir):
     return E.fold_metrics(_thresholded(spark, sf_dir))
 
 
-oracle.add_view("tried", """
-    SELECT source_file, pos, label, t AS p_threshold, CASE WHEN prob >= t THEN 1 ELSE 0 END AS pred
-    FROM predicted, (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE)) v(t)""")
+_POINT = ["p_granularity", "p_layers", "p_kernel", "p_smoothing", "p_scale", "p_threshold"]
+_KEYS = ", ".join(_POINT)
+oracle.add_view("tried", f"""
+    SELECT source_file, pos, label, gran AS p_granularity, p_layers, p_kernel, a AS p_smoothing, p_scale, p_threshold,
+           CASE WHEN round(1 / (1 + exp(-(score + ln(p_scale)))), 9) >= p_threshold THEN 1 ELSE 0 END AS pred
+    FROM model_scores JOIN (VALUES {", ".join(f"({n}, {k}, {reach_of(n, k)})" for n in LAYERS for k in KERNELS)}) p(p_layers, p_kernel, r)
+      ON r = reach, (VALUES {", ".join(f"({x}::DOUBLE)" for x in SCALES)}) s(p_scale),
+      (VALUES {", ".join(f"({x}::DOUBLE)" for x in THRESHOLDS)}) t(p_threshold)""")
 oracle.add_view("tried_metrics", f"""
-    SELECT p_threshold, pooled_f1_imp, pooled_f1_balanced, pooled_f1_weighted, mean_f, std_f, mean_b FROM (
-      SELECT p_threshold, {_F1_POS} AS pooled_f1_imp, {_MACRO} AS pooled_f1_balanced, {_WEIGHTED} AS pooled_f1_weighted
-      FROM ({_confusion_sql('tried', 'p_threshold')}))
-    JOIN (SELECT p_threshold, avg(f1_important) AS mean_f, stddev_pop(f1_important) AS std_f, avg(f1_macro) AS mean_b
-          FROM ({_folds_sql('tried', 'p_threshold, source_file')}) GROUP BY ALL) USING (p_threshold)""")
+    SELECT {_KEYS}, pooled_f1_imp, pooled_f1_balanced, pooled_f1_weighted, mean_f, std_f, mean_b FROM (
+      SELECT {_KEYS}, {_F1_POS} AS pooled_f1_imp, {_MACRO} AS pooled_f1_balanced, {_WEIGHTED} AS pooled_f1_weighted
+      FROM ({_confusion_sql('tried', _KEYS)}))
+    JOIN (SELECT {_KEYS}, avg(f1_important) AS mean_f, stddev_pop(f1_important) AS std_f, avg(f1_macro) AS mean_b
+          FROM ({_folds_sql('tried', _KEYS + ', source_file')}) GROUP BY ALL) USING ({_KEYS})""")
 _METRICS = """round(pooled_f1_imp, 4) AS pooled_f1_imp, round(pooled_f1_balanced, 4) AS pooled_f1_balanced,
-           round(pooled_f1_weighted, 4) AS pooled_f1_weighted, round(mean_f, 4) AS mean_fold_f1_imp, round(std_f, 4) AS std_fold_f1_imp,
-           round(mean_b, 4) AS mean_fold_f1_balanced"""
+           round(pooled_f1_weighted, 4) AS pooled_f1_weighted, round(mean_f, 6) AS mean_fold_f1_imp, round(std_f, 6) AS std_fold_f1_imp,
+           round(mean_b, 6) AS mean_fold_f1_balanced"""
 _METRIC_NAMES = ["pooled_f1_imp", "pooled_f1_balanced", "pooled_f1_weighted", "mean_fold_f1_imp",
                  "std_fold_f1_imp", "mean_fold_f1_balanced"]
 
 
-@registered("l10_pooled_metrics", f"SELECT p_threshold, {_METRICS} FROM tried_metrics WHERE p_threshold = 0.5")
+def _rounded_metrics():
+    """Means of folds keep six digits: the folds' scores have four, so four would often be a tie."""
+    return [F.round(c, 4 if c.startswith("pooled") else 6).alias(c) for c in _METRIC_NAMES]
+
+
+def _tried(spark, sf_dir) -> DataFrame:
+    """Metrics of every parameter point, all from the same counts and one pass over the scored rows."""
+    parts = [context_scores(spark, sf_dir, g).withColumn("p_granularity", F.lit(g)) for g in GRANULARITIES]
+    fields = F.array(*[F.struct(F.lit(n).alias("p_layers"), F.lit(k).alias("p_kernel"), F.lit(reach_of(n, k)).alias("reach"))
+                       for n in LAYERS for k in KERNELS])
+    values = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    rows = (
+        parts[0].unionByName(parts[1]).select("source_file", "label", "p_granularity", F.inline("scores"))
+        .withColumn("f", F.explode(F.filter(fields, lambda f: f.reach == F.col("reach")))).select("*", "f.p_layers", "f.p_kernel")
+        .withColumn("p_scale", values(SCALES))
+        .withColumn("prob", F.round(X.probability(F.col("score"), F.col("p_scale")), 9))
+        .withColumn("p_threshold", values(THRESHOLDS))
+        .withColumn("pred", E.threshold(F.col("prob"), F.col("p_threshold"))).withColumnRenamed("smoothing", "p_smoothing")
+    )
+    return E.pooled_metrics(rows, *_POINT)
+
+
+@registered("l10_pooled_metrics", f"SELECT {_KEYS}, {_METRICS} FROM tried_metrics")
 def pooled_metrics(spark, sf_dir):
-    rows = _thresholded(spark, sf_dir).withColumn("p_threshold", F.lit(0.5))
-    return E.pooled_metrics(rows, "p_threshold").select(
-        "p_threshold", *[r4(c).alias(c) for c in _METRIC_NAMES])
+    """Pooled and fold metrics of the model at every parameter point."""
+    return _tried(spark, sf_dir).select(*_POINT, *_rounded_metrics())
 
 
 @registered("l11_grid_ranking", f"""
-    SELECT p_kernel_size, p_num_layers, p_num_layers * (p_kernel_size - 1) + 1 AS receptive_field, p_threshold, {_METRICS}
-    FROM tried_metrics, (VALUES (3), (5)) a(p_kernel_size), (VALUES (2), (3)) b(p_num_layers)
-    ORDER BY round(mean_f, 9) DESC, round(std_f, 9), p_kernel_size, p_num_layers, p_threshold LIMIT 5""")
+    SELECT {_KEYS}, p_layers * (p_kernel - 1) + 1 AS receptive_field, {_METRICS} FROM tried_metrics
+    ORDER BY round(mean_f, 9) DESC, round(std_f, 9), {_KEYS} LIMIT 5""")
 def grid_ranking(spark, sf_dir):
-    """A parameter grid, every point scored on the same predictions, best five first."""
-    thresholds = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
-    rows = predictions(spark, sf_dir).withColumn(
-        "p_threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    ).withColumn("pred", E.threshold(F.col("prob"), F.col("p_threshold")))
-    points = X.grid(spark, p_kernel_size=[3, 5], p_num_layers=[2, 3], p_threshold=thresholds)
-    scored = points.join(E.pooled_metrics(rows, "p_threshold"), "p_threshold").select(
-        "p_kernel_size", "p_num_layers", "p_threshold", *_METRIC_NAMES)
-    field = F.col("p_num_layers") * (F.col("p_kernel_size") - 1) + 1
-    return E.rank_grid(scored).select(
-        "p_kernel_size", "p_num_layers", field.alias("receptive_field"), "p_threshold",
-        *[r4(c).alias(c) for c in _METRIC_NAMES])
-
-
-@registered("l12_context_classifier")
+    """The best five points of a grid over granularity, layers, kernel, smoothing, weight and threshold."""
+    field = F.col("p_layers") * (F.col("p_kernel") - 1) + 1
+    return E.rank_grid(_tried(spark, sf_dir)).select(
+        *_POINT, field.alias("receptive_field"), *_rounded_metrics())
+
+
+@registered("l12_context_classifier", """
+    SELECT gran AS granularity, a AS smoothing, reach, source_file, pos, label, round(1 / (1 + exp(-score)), 6) AS prob FROM model_scores""")
 def context_classifier(spark, sf_dir):
-    """Importance per row from the labels and speakers around it; folds keep transcripts
-    together, so no row is scored by a model that saw its transcript."""
-    t = tables(spark, sf_dir)
-    reach = (X.receptive_field(2, 3) - 1) // 2
-    rows = X.window_features(labelled(spark, sf_dir), t.order, X.token("groups"), reach)
-    scored = X.fit_predict(rows.select("source_file", "pos", "label", "tokens"), "label", k=3, seed=SEED)
-    return scored.select("source_file", "pos", "label", "fold", r6("prob").alias("prob"))
+    """Importance per row from the labels and speakers around it, scored without the row's own
+    transcript, at every granularity, smoothing and reach that is tried."""
+    parts = [context_scores(spark, sf_dir, g).withColumn("granularity", F.lit(g)) for g in GRANULARITIES]
+    tried = sorted({reach_of(n, k) for n in LAYERS for k in KERNELS})
+    return parts[0].unionByName(parts[1]).select(
+        "granularity", "source_file", "pos", "label", F.inline("scores")).filter(F.col("reach").isin(*tried)).select(
+        "granularity", "smoothing", "reach", "source_file", "pos", "label", r6(X.probability(F.col("score"))).alias("prob"))
 
 
 oracle.add_view("patients", f"""
