@@ -4,7 +4,6 @@ import itertools
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,8 +134,12 @@ def test_heavy_edges_use_linear_percentiles(edges):
                 assert r.threshold == pytest.approx(limit) and r.heavy == (r.weight >= limit)
 
 
-def weights(graph):
-    return pd.DataFrame([("g", *e) for e in EDGES[graph]], columns=["graph_id", "src", "dst", "weight"])
+def dense(es):
+    names = sorted({x for u, v, _ in es for x in (u, v)})
+    w = np.zeros((len(names), len(names)))
+    for u, v, n in es:
+        w[names.index(u), names.index(v)] += n
+    return w
 
 
 def dense_laplacian_trace(h):
@@ -146,27 +149,49 @@ def dense_laplacian_trace(h):
     return np.array([np.exp(-t * lam).sum() for t in spectra.TIMES]) / len(h)
 
 
-@pytest.mark.parametrize("graph", list(EDGES))
-def test_heat_traces_equal_loops(graph):
-    w = spectra._weights(weights(graph))
+def dense_traces(es, q=0.25):
+    """Full matrices and all their eigenvalues."""
+    w = dense(es)
     n = len(w)
-    assert np.allclose(spectra.netlsd(w), dense_laplacian_trace(w + w.T))
-    # without a phase the magnetic Laplacian is the normalised Laplacian
-    assert np.allclose(spectra.magnetic(w, q=0.0), spectra.netlsd(w))
     h = np.zeros((n, n), complex)
     for i, j in itertools.product(range(n), repeat=2):
         total = w[i, j] + w[j, i]
         if total:
-            h[i, j] = total / 2 * np.exp(2j * np.pi * 0.25 * (w[i, j] - w[j, i]) / total)
-    assert np.allclose(spectra.magnetic(w), dense_laplacian_trace(h))
+            h[i, j] = total / 2 * np.exp(2j * np.pi * q * (w[i, j] - w[j, i]) / total)
     links = [(i, j) for i in range(n) for j in range(n) if w[i, j]]
-    b = np.zeros((len(links), len(links)))
-    for x, (u, v) in enumerate(links):
-        for y, (s, t) in enumerate(links):
-            if s == v and t != u:
-                b[x, y] = w[s, t]
+    b = np.array([[w[s, t] if s == v and t != u else 0.0 for s, t in links] for u, v in links])
     lam = np.abs(np.linalg.eigvalsh((b + b.T) / 2))
-    assert np.allclose(spectra.hashimoto(w), [np.exp(-t * lam).sum() / len(links) for t in spectra.TIMES])
+    return {"netlsd": dense_laplacian_trace(w + w.T), "magnetic": dense_laplacian_trace(h),
+            "hashimoto": np.array([np.exp(-t * lam).sum() / len(links) for t in spectra.TIMES])}
+
+
+def random_edges(seed, n, m, loops=True):
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randrange(n):03d}", f"n{rng.randrange(n):03d}") for _ in range(m)}
+    return [(u, v, rng.randrange(1, 40)) for u, v in sorted(pairs) if loops or u != v]
+
+
+def test_heat_traces_equal_dense_matrices(spark):
+    graphs = {**EDGES, "loop": [("x", "x", 3)], "few": random_edges(1, 12, 40), "many": random_edges(2, 40, 600),
+              "blocks": random_edges(3, 150, 500), "pairs": random_edges(4, 10, 300, loops=False)}
+    rows = [(g, *e) for g, es in graphs.items() for e in es]
+    edges = spark.createDataFrame(rows, "graph_id string, src string, dst string, weight long")
+    got = {r.graph_id: r for r in S.traces(edges).collect()}
+    assert set(got) == set(graphs)
+    for g, es in graphs.items():
+        for kind, want in dense_traces(es).items():
+            assert np.abs(np.array(got[g][kind]) - want).max() < 1e-9, (g, kind)
+
+
+def test_traces_of_a_graph_without_dense_matrices(spark):
+    n = 600  # a ring: its spectrum is known
+    edges = spark.createDataFrame([("g", f"{i}", f"{(i + 1) % n}", 1) for i in range(n)],
+                                  "graph_id string, src string, dst string, weight long")
+    got = S.traces(edges).first()
+    lam = 1 - np.cos(2 * np.pi * np.arange(n) / n)
+    assert np.abs(np.array(got.netlsd) - np.exp(-np.outer(spectra.TIMES, lam)).mean(1)).max() < 1e-9
+    half = np.abs(np.cos(2 * np.pi * np.arange(n) / n))  # each edge is followed by one and follows one
+    assert np.abs(np.array(got.hashimoto) - np.exp(-np.outer(spectra.TIMES, half)).mean(1)).max() < 1e-6
 
 
 def test_trace_distances_and_summary(edges):
@@ -175,9 +200,9 @@ def test_trace_distances_and_summary(edges):
     got = {(r.a, r.b): r for r in S.trace_distances(traced, ["scope"]).collect()}
     assert len(got) == 6
     for (a, b), r in got.items():
-        for name, trace in (("netlsd", spectra.netlsd), ("magnetic", spectra.magnetic), ("hashimoto", spectra.hashimoto)):
-            x, y = trace(spectra._weights(weights(a))), trace(spectra._weights(weights(b)))
-            assert r[f"{name}_distance"] == pytest.approx(np.linalg.norm(x - y))
+        left, right = dense_traces(EDGES[a]), dense_traces(EDGES[b])
+        for name in S.SPECTRA:
+            assert r[f"{name}_distance"] == pytest.approx(np.linalg.norm(left[name] - right[name]))
     summary = {(r.a, r.b): r for r in S.summary(scoped, ["scope"]).collect()}
     for key, r in summary.items():
         assert r.netlsd_similarity == pytest.approx(1 / (1 + got[key].netlsd_distance), abs=1e-4)
@@ -194,14 +219,6 @@ def test_agreement_flags(spark, js, mag, hsh, flag):
     assert row.select(S.agreement(F.col("j"), F.col("m"), F.col("h")).alias("f")).first().f == flag
 
 
-def test_oversized_graphs_are_refused():
-    n = 80
-    big = pd.DataFrame([("g", f"{i}", f"{j}", 1) for i in range(n) for j in range(n) if i != j],
-                       columns=["graph_id", "src", "dst", "weight"])
-    with pytest.raises(ValueError):
-        spectra.heat_traces(big)
-
-
 def test_graph_against_its_pool(spark):
     rows = [("t1", "x", "y", 2.0), ("t1", "y", "x", 1.0), ("t2", "x", "y", 1.0), ("t2", "y", "z", 3.0),
             ("u1", "x", "z", 1.0), ("u1", "z", "x", 2.0)]

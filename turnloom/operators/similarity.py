@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.spectra import heat_traces
+from turnloom.functions import spectra
 from turnloom.operators import pairs as P
 
 SPECTRA = ("netlsd", "magnetic", "hashimoto")
 
 
-def traces(edges: DataFrame) -> DataFrame:
-    """Heat traces of every graph, one small graph per task group."""
-    return edges.select("graph_id", "src", "dst", "weight").groupBy("graph_id").applyInPandas(
-        heat_traces,
-        "graph_id string, netlsd array<double>, magnetic array<double>, hashimoto array<double>",
-    )
+def _moment_traces(edges: DataFrame) -> DataFrame:
+    """netlsd and magnetic of every graph. A task holds the links of one graph and one block of unit
+    vectors; the moments of a graph's blocks are summed."""
+    nodes = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    blocks = nodes.groupBy("graph_id").agg(F.ceil(F.count("*") / spectra.BLOCK).cast("int").alias("_blocks"))
+    dealt = edges.join(blocks, "graph_id").select(
+        "graph_id", "src", "dst", "weight", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+    found = dealt.groupBy("graph_id", "block").applyInPandas(
+        spectra.block_moments, "graph_id string, n long, plain array<double>, turned array<double>")
+    summed = found.groupBy("graph_id").agg(F.max("n").alias("n"), *[
+        F.array(*[F.sum(F.col(kind)[k]) for k in range(spectra.MOMENTS)]).alias(kind) for kind in ("plain", "turned")])
+
+    def heat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"graph_id": pdf["graph_id"], **{
+                name: [spectra.traces_of(np.asarray(x), n) for x, n in zip(pdf[kind], pdf["n"])]
+                for name, kind in (("netlsd", "plain"), ("magnetic", "turned"))}})
+
+    return summed.mapInPandas(heat, "graph_id string, netlsd array<double>, magnetic array<double>")
+
+
+def traces(edges: DataFrame, kinds: Sequence[str] = SPECTRA) -> DataFrame:
+    """Heat traces of every graph."""
+    edges = edges.select("graph_id", "src", "dst", "weight")
+    parts = []
+    if set(kinds) & {"netlsd", "magnetic"}:
+        parts.append(_moment_traces(edges))
+    if "hashimoto" in kinds:
+        parts.append(edges.groupBy("graph_id").applyInPandas(
+            spectra.hashimoto_traces, "graph_id string, hashimoto array<double>"))
+    out = parts[0] if len(parts) == 1 else parts[0].join(parts[1], "graph_id")
+    return out.select("graph_id", *kinds)
 
 
 def l2_distance(x: Column, y: Column) -> Column:
@@ -34,11 +62,11 @@ def edge_divergence(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def trace_distances(traced: DataFrame, keys: Sequence[str],
-                    spectra: Sequence[str] = SPECTRA) -> DataFrame:
-    pairs = P.all_pairs(traced, keys, "graph_id", *spectra)
+                    kinds: Sequence[str] = SPECTRA) -> DataFrame:
+    pairs = P.all_pairs(traced, keys, "graph_id", *kinds)
     return pairs.select(
         *keys, "a", "b",
-        *[l2_distance(F.col(f"{s}_a"), F.col(f"{s}_b")).alias(f"{s}_distance") for s in spectra])
+        *[l2_distance(F.col(f"{s}_a"), F.col(f"{s}_b")).alias(f"{s}_distance") for s in kinds])
 
 
 def similarity_of(distance: Column) -> Column:

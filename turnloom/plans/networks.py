@@ -379,7 +379,7 @@ oracle.add_view("magnetic_traces", _trace_sql("v * cos(phase)", "v * sin(phase)"
 def _trace_query(spectrum: str):
     def query(spark, sf_dir):
         """One heat trace per code graph, point by point."""
-        traced = S.traces(_speaker_graphs(spark, sf_dir))
+        traced = S.traces(_speaker_graphs(spark, sf_dir), [spectrum])
         return traced.select("graph_id", F.posexplode(spectrum).alias("step", "value")).select(
             "graph_id", F.col("step").cast("long").alias("step"), r6("value").alias("value"))
 
@@ -403,7 +403,7 @@ registered("j04_hashimoto_traces")(_trace_query("hashimoto"))
 def trace_distances(spark, sf_dir):
     """Distances of the traces per node; those of the trace per edge are query j09."""
     edges = _speaker_graphs(spark, sf_dir)
-    traced = S.traces(edges).withColumn("speaker", F.split("graph_id", "_")[0])
+    traced = S.traces(edges, ["netlsd", "magnetic"]).withColumn("speaker", F.split("graph_id", "_")[0])
     return S.trace_distances(traced, ["speaker"], ["netlsd", "magnetic"]).select(
         "speaker", "a", "b", *[r6(f"{s}_distance").alias(f"{s}_distance") for s in ("netlsd", "magnetic")])
 
@@ -426,7 +426,7 @@ def codes_against_baseline(spark, sf_dir):
     speaker = F.when(F.col("speaker").isNotNull(), F.array("speaker")).otherwise(
         F.array(*[F.lit(t) for t in B.TARGETS]))
     keys = edges.select("graph_id", F.explode(speaker).alias("speaker")).distinct()
-    traced = S.traces(edges).join(keys, "graph_id")
+    traced = S.traces(edges, ["hashimoto"]).join(keys, "graph_id")
     pairs = S.trace_distances(traced, ["speaker"], ["hashimoto"])
     return S.distances_to(pairs, "non_important", ["speaker"], "hashimoto_distance")
 
@@ -434,7 +434,7 @@ def codes_against_baseline(spark, sf_dir):
 @registered("j09_all_code_distances")
 def all_code_distances(spark, sf_dir):
     """One distance table over the code graphs of both speakers and the baseline."""
-    traced = S.traces(dual_edges(spark, sf_dir)).withColumn("scope", F.lit("all_codes"))
+    traced = S.traces(dual_edges(spark, sf_dir), ["hashimoto"]).withColumn("scope", F.lit("all_codes"))
     return S.trace_distances(traced, ["scope"], ["hashimoto"])
 
 
