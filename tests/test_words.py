@@ -58,7 +58,7 @@ def turns(spark):
 def test_golden_example_end_to_end(turns, segment):
     order = Ordering(segment_rows=segment)
     words = W.turn_words(W.clean_turns(turns), order.by("turn"))
-    windows = W.window_texts(words, W.assign_windows(words, order))
+    windows = W.window_texts(W.assign_windows(words, order))
     scored = W.attach_scores(words, W.score_words(windows, golden_scorer))
     done = W.back_fill(W.number_segments(scored, order), order)
     got = [
@@ -161,8 +161,25 @@ def test_unlabelled_words_take_no_number_and_count(spark):
         assert [r.proc_da for r in rows] == ["A", None, "B", "B", None, None, "I-"]
 
 
-def test_whole_transcript_window_is_measured_first(spark):
-    frame = spark.createDataFrame([("f", 0, "abc"), ("f", 1, "de")], "source_file string, pos long, scrubbed string")
-    assert W.one_window(frame).first().text == "abc de"
-    with pytest.raises(ValueError):
-        W.one_window(frame, max_characters=3)
+@pytest.mark.parametrize("pieces", [1, 3, 100])
+def test_texts_of_any_length_come_in_pieces(spark, pieces):
+    rng, rows = random.Random(pieces), []
+    for name, n in (("f", 23), ("g", 1)):
+        rows += [(name, i, rng.choice(["S1", "S2", None]), f"w{i}") for i in range(n)]
+    frame = spark.createDataFrame(rows, "source_file string, pos long, speaker string, scrubbed string")
+    found = sorted(map(tuple, W.one_window(frame, piece_words=pieces).select("source_file", "piece", "text").collect()))
+    assert all(len(t.split()) <= pieces for *_, t in found)
+    for name in "fg":
+        assert " ".join(t for s, _, t in found if s == name) == " ".join(w for s, _, _, w in rows if s == name)
+    for segment in (None, 2, 50):
+        turns = W.merge_speaker_turns(frame, Ordering(segment_rows=segment), "scrubbed", pieces).collect()
+        got = sorted((r.source_file, r.first_pos, r.piece, r.speaker, r.n_words, r.scrubbed) for r in turns)
+        want, speaker = {}, None
+        for s, i, said, w in rows:
+            speaker = said or (speaker if i else None)
+            if not i or speaker != want[last][0]:
+                last = (s, i)
+                want[last] = (speaker, [])
+            want[last][1].append(w)
+        assert got == sorted((s, i, k, who, len(ws[k * pieces:(k + 1) * pieces]), " ".join(ws[k * pieces:(k + 1) * pieces]))
+                             for (s, i), (who, ws) in want.items() for k in range(-(-len(ws) // pieces)))

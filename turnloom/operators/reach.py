@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from turnloom.session import write_table
@@ -26,18 +26,22 @@ STEPS = 4
 NUMBERED = 1 << 16  # nodes of a graph that one window numbers
 
 
-def _state(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+def _written(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """The table written, with its count and a checksum that were taken on the way."""
+    seen = Observation()
+    hashed = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    table = write_table(df.sparkSession, "reach", df.observe(seen, F.count(F.lit(1)).alias("n"), hashed.alias("sum")))
+    return table, (seen.get["n"], seen.get["sum"])
 
 
 def _until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
     """Apply `step` until the table no longer changes."""
-    now, mark = write_table(df.sparkSession, "reach", df), None
-    while (state := _state(now)) != mark:
+    (now, state), mark = _written(df), None
+    while state != mark:
         mark, after = state, now
         for _ in range(steps):
             after = step(after)
-        now = write_table(df.sparkSession, "reach", after)
+        now, state = _written(after)
     return now
 
 

@@ -7,7 +7,7 @@ into dialogue-act rows with the ordered primitives.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from turnloom.operators.ordered import Ordering, carry, nearby, renumber
 
 # Window size in characters, and characters a tokenizer leaves behind.
 WINDOW_CHARACTERS = 512
+PIECE_WORDS = 4096  # words of one value of a text that may be of any length
 SENTINEL = "â€”"
 LEFTOVER_SEQUENCES = ["â€", "ÄŠ", "Ä\x8a"]
 LEFTOVER_CHARACTERS = ["Ä", "Ġ", " ", "Š", "\n"]
@@ -70,19 +71,17 @@ def turn_words(turns: DataFrame, order: Ordering, text: str = "spoken_text") ->
     )
 
 
-def merge_speaker_turns(words: DataFrame, order: Ordering, text: str = "spoken_text") -> DataFrame:
-    """Consecutive words of one speaker as one text; a missing speaker continues the last."""
+def merge_speaker_turns(words: DataFrame, order: Ordering, text: str = "spoken_text",
+                        piece_words: int = PIECE_WORDS) -> DataFrame:
+    """Consecutive words of one speaker as one text; a missing speaker continues the last. A turn has one
+    row per `piece_words` words, numbered by `piece`; its text is the pieces joined by a blank."""
     filled = carry(words, order, latest={"_speaker": F.col("speaker")}).withColumn(
         "speaker", F.col("_speaker")).drop("_speaker")
     runs = islands(filled, order, {"turn": F.coalesce(F.col("speaker"), F.lit(""))})
-    return (
-        runs.groupBy(*order.keys, F.col("turn_start").alias("first_pos"))
-        .agg(
-            F.first("speaker").alias("speaker"), F.count("*").alias("n_words"),
-            F.sort_array(F.collect_list(F.struct(order.pos, F.col(text).alias("w")))).alias("_w"),
-        )
-        .withColumn(text, F.array_join(F.transform("_w", lambda w: w["w"]), " ")).drop("_w")
-    )
+    first = F.col("turn_start").alias("first_pos")
+    cut = runs.select("*", first, F.floor((F.col(order.pos) - F.col("turn_start")) / piece_words).alias("piece"))
+    return _joined(cut, [*order.keys, "first_pos", "piece"], order.pos, F.col(text), F.first("speaker").alias("speaker"),
+                   F.count("*").alias("n_words")).withColumnRenamed("text", text)
 
 
 def _closings(cum: np.ndarray, lengths: np.ndarray, budget: int, entry: int) -> list[int]:
@@ -162,13 +161,13 @@ def _assign(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     starts[_closings(cum, lengths, budget, int(pdf["_entry"].iloc[0]))] = 1
     return pd.DataFrame({
         "_source": pdf["_source"], "pos": pdf["pos"],
-        "window": int(pdf["_first"].iloc[0]) + np.cumsum(starts),
+        "window": int(pdf["_first"].iloc[0]) + np.cumsum(starts), "word": pdf["word"],
     })
 
 
 def assign_windows(words: DataFrame, order: Ordering, word: str = "scrubbed",
                    max_length: int = WINDOW_CHARACTERS) -> DataFrame:
-    """Greedy packing: `window` of every word (source_file, pos, window).
+    """Greedy packing: every word with its window (source_file, pos, window, word).
 
     A word that does not fit closes the window and opens the next. The open length is the
     only state. Each segment reports where every possible entry length leads; following
@@ -179,11 +178,12 @@ def assign_windows(words: DataFrame, order: Ordering, word: str = "scrubbed",
         F.col(order.keys[0]).alias("_source"), F.col(order.pos).alias("pos"),
         F.length(word).cast("long").alias("length"),
         (F.lit(0).cast("long") if order.segment_rows is None else order.segment()).alias("_segment"),
+        F.col(word).alias("word"),
     )
     if order.segment_rows is None:
         entered = sized.withColumns({"_entry": F.lit(0).cast("long"), "_first": F.lit(0).cast("long")})
     else:
-        tables = sized.groupBy("_source", "_segment").applyInPandas(
+        tables = sized.drop("word").groupBy("_source", "_segment").applyInPandas(
             lambda pdf: _transition(pdf, max_length),
             "_source string, _segment long, _opens array<int>, _closes array<int>",
         )
@@ -191,40 +191,32 @@ def assign_windows(words: DataFrame, order: Ordering, word: str = "scrubbed",
             _follow, "_source string, _segment long, _entry long, _first long")
         entered = sized.join(entries, ["_source", "_segment"])
     packed = entered.groupBy("_source", "_segment").applyInPandas(
-        lambda pdf: _assign(pdf, max_length), "_source string, pos long, window long")
+        lambda pdf: _assign(pdf, max_length), "_source string, pos long, window long, word string")
     return packed.withColumnRenamed("_source", order.keys[0])
 
 
-def window_texts(words: DataFrame, windows: DataFrame, word: str = "scrubbed") -> DataFrame:
+def window_texts(windows: DataFrame) -> DataFrame:
     """One row per non-blank window with its words and text; a window is at most the
     character limit or one long word."""
     return (
-        words.select("source_file", "pos", F.col(word).alias("word"))
-        .join(windows, ["source_file", "pos"])
-        .groupBy("source_file", "window")
+        windows.groupBy("source_file", "window")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
         .withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), " "))
         .filter(has_text(F.col("text")))
     )
 
 
-def one_window(words: DataFrame, word: str = "scrubbed", max_characters: int = 100_000_000) -> DataFrame:
-    """Packing switched off: the whole transcript as one text.
+def _joined(rows: DataFrame, keys: Sequence[str], pos: str, word: Column, *more: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), word.alias("w")))).alias("_w"), *more).withColumn(
+        "text", F.array_join(F.transform("_w", lambda w: w["w"]), " ")).drop("_w")
 
-    That is one value, so the longest transcript is measured first and refused when it is
-    beyond `max_characters`.
-    """
-    longest = (
-        words.groupBy("source_file").agg(F.sum(F.length(word) + 1).alias("n"))
-        .agg(F.max("n")).first()[0]
-    )
-    if (longest or 0) > max_characters:
-        raise ValueError(f"a transcript has {longest} characters; pack it into windows")
-    return (
-        words.groupBy("source_file")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col(word).alias("word")))).alias("words"))
-        .withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), " "))
-    )
+
+def one_window(words: DataFrame, word: str = "scrubbed", piece_words: int = PIECE_WORDS) -> DataFrame:
+    """Packing switched off: the whole transcript as one text, in numbered pieces (source_file, piece,
+    text) of `piece_words` words. The text is the pieces in order, joined by a blank; no value grows
+    with the transcript."""
+    return _joined(words.withColumn("piece", F.floor(F.col("pos") / piece_words)), ["source_file", "piece"], "pos", F.col(word))
 
 
 def clean_token(text: str) -> str:
