@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import labels as L
 from turnloom.functions.stats import chi2_p_value
 from turnloom.operators import blocks as B
+from turnloom.operators import nearest as NN
 from turnloom.operators import ngrams as N
 from turnloom.operators import pairs as P
 from turnloom.operators.ordered import Ordering, overall
@@ -193,6 +194,46 @@ def within_raters(labels: DataFrame) -> DataFrame:
     return against_rest(labels, ["slice", "code", "rater"], "source_file")
 
 
+OTHER_RATERS = "(other raters)"
+
+
+def raters_against_others(counts: DataFrame) -> DataFrame:
+    """Label counts of each rater of a code against all its other raters pooled: one row per
+    rater where the table of pairs has one per two raters."""
+    labels = pooled_over(
+        counts.filter((F.col("kind") == "code") & (F.col("n") == 1)), "slice", "code", "rater", "ngram")
+    tests = P.tests_against_rest(labels, ["slice", "code"], "rater", "ngram", "cnt")
+    return tests.withColumns({
+        "p_value": chi2_p_value("chi2", "dof"),
+        "js_any": F.col("js"),
+        "js": F.when(F.col("chi2").isNotNull(), F.col("js")),
+        "b": F.lit(OTHER_RATERS),
+    }).withColumnRenamed("rater", "a")
+
+
+def ceilings_against_others(counts: DataFrame, sequences: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """`rater_ceilings` of each rater against the other raters of a code pooled. Columns as for
+    pairs; `b` is the pool and `n_seqs_b` the others' sequences."""
+    keys = ["slice", "code"]
+    coded = pooled_over(counts.filter(F.col("kind") == "code"), *keys, "rater", "n", "ngram")
+    wanted = sorted({1, *sizes})
+    wide = (
+        P.tests_against_rest(coded.filter(F.col("n").isin(*wanted)), [*keys, "n"], "rater", "ngram", "cnt")
+        .groupBy(*keys, "rater").pivot("n", wanted).agg(F.first("js"))
+        .withColumnsRenamed({str(n): f"js_{n}gram" for n in wanted})
+        .withColumn("js_freq", F.col("js_1gram"))
+    )
+    both = coded.filter(F.col("n").isin(*sizes)).withColumn("_feature", F.concat_ws(":", "n", "ngram"))
+    combined = P.tests_against_rest(both, keys, "rater", "_feature", "cnt").select(
+        *keys, "rater", F.col("js").alias("js_combined_ngram"))
+    own = sequences.filter(F.col("kind") == "code").groupBy(*keys, "rater").agg(F.sum("n_seqs").alias("n_seqs_a"))
+    whole = own.groupBy(*keys).agg(F.sum("n_seqs_a").alias("_all"))
+    return _with_ceilings(
+        wide.join(combined, [*keys, "rater"], "left").join(own, [*keys, "rater"]).join(whole, keys)
+        .withColumns({"n_seqs_b": F.col("_all") - F.col("n_seqs_a"), "b": F.lit(OTHER_RATERS)})
+        .withColumnRenamed("rater", "a").drop("_all"))
+
+
 def kappa_of(js: Column) -> Column:
     """Agreement read off a divergence: 1 where equal, never below 0."""
     return F.greatest(F.lit(0.0), 1.0 - js)
@@ -242,8 +283,12 @@ def rater_ceilings(counts: DataFrame, sequences: DataFrame, sizes: Sequence[int]
         pairs = pairs.join(
             sizes_of.select(*keys, F.col("rater").alias(side), F.col("n_seqs").alias(f"n_seqs_{side}")),
             [*keys, side])
+    return _with_ceilings(pairs)
+
+
+def _with_ceilings(rows: DataFrame) -> DataFrame:
     kappa, kappa_ngram = kappa_of(F.col("js_freq")), kappa_of(F.col("js_combined_ngram"))
-    return pairs.withColumns({
+    return rows.withColumns({
         "kappa_analogue": kappa, "f1_ceiling": f1_ceiling(kappa),
         "kappa_combined_ngram": F.when(F.col("js_combined_ngram").isNotNull(), kappa_ngram),
         "f1_ceiling_ngram": F.when(F.col("js_combined_ngram").isNotNull(), f1_ceiling(kappa_ngram)),
@@ -363,3 +408,15 @@ def ranked_similarity(counts: DataFrame) -> DataFrame:
         F.struct(F.col("b.rater").alias("t_a"), F.col("b.code").alias("code_a"), F.col("a.rater").alias("t_b"),
                  F.col("a.code").alias("code_b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")),
     ))).withColumn("same_code", F.col("code_a") == F.col("code_b"))
+
+
+def nearest_similar(counts: DataFrame, k: int = 5) -> DataFrame:
+    """The first k rows of `ranked_similarity` for each (rater, code), found without the others."""
+    labels = pooled_over(
+        counts.filter((F.col("kind") == "code") & (F.col("n") == 1)), "slice", "rater", "code", "ngram")
+    found = NN.nearest(labels, ["slice"], "rater", "code", "ngram", "cnt", k)
+    return found.select(
+        "slice", F.col("rater").alias("t_a"), F.col("code").alias("code_a"), "rank",
+        F.col("other_owner").alias("t_b"), F.col("other_item").alias("code_b"),
+        F.col("size").alias("n_a"), F.col("other_size").alias("n_b"), "js",
+        (F.col("code") == F.col("other_item")).alias("same_code"))

@@ -186,3 +186,41 @@ def chi_square(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
                value: str) -> DataFrame:
     """Chi-square of the 2 x m table of each pair, see `count_tests`."""
     return count_tests(counts, keys, group, feature, value).drop("js")
+
+
+def tests_against_rest(counts: DataFrame, keys: Sequence[str], group: str, feature: str,
+                       value: str) -> DataFrame:
+    """`count_tests` of each group against all other groups of its key pooled, one row per group.
+
+    The others are the key's total minus the group's own counts. A feature the group lacks adds
+    its whole share to what the others have alone, so only features the group has are read: the
+    work grows with the counts, not with groups times vocabulary. A key's only group has nothing
+    to meet.
+    """
+    keys = list(keys)
+    total = counts.groupBy(*keys, feature).agg(F.sum(value).alias("_column"))
+    whole = total.groupBy(*keys).agg(F.sum("_column").alias("_all"), F.count("*").alias("_columns"))
+    sizes = counts.groupBy(*keys, group).agg(F.sum(value).alias("n_a"))
+    x, column, size, everything = F.col(value), F.col("_column"), F.col("n_a"), F.col("_all")
+    y, rest = column - x, everything - size
+    p, q = x / size, y / rest
+    shared = F.when(y > 0, 0.5 * (p * F.log((p + q) / p) + q * F.log((p + q) / q))).otherwise(0.0)
+    own = (
+        counts.join(total, [*keys, feature]).join(sizes, [*keys, group]).join(whole, keys)
+        .filter(rest > 0)
+        .groupBy(*keys, group, "n_a", "_all", "_columns")
+        .agg(F.sum(x * x / column).alias("_square_a"), F.sum(y * y / column).alias("_square_b"),
+             F.sum(y).alias("_met_b"), F.max_by(x, column).alias("_corner"),
+             F.max(column).alias("_corner_column"), F.sum(shared).alias("_shared"))
+    )
+    plain = F.greatest(everything * (
+        F.col("_square_a") / size + (rest - F.col("_met_b") + F.col("_square_b")) / rest - 1.0), F.lit(0.0))
+    deviation = F.abs(F.col("_corner") - F.col("_corner_column") * size / everything)
+    shrunk = (deviation - F.least(F.lit(0.5), deviation)) / deviation
+    corrected = F.when(deviation == 0, 0.0).otherwise(plain * shrunk * shrunk)
+    columns = F.col("_columns")
+    return own.select(
+        *keys, group, size, rest.alias("n_b"),
+        F.when(columns == 2, corrected).when(columns > 2, plain).alias("chi2"),
+        F.when(columns >= 2, columns - 1).alias("dof"),
+        F.greatest(math.log(2.0) - F.col("_shared"), F.lit(0.0)).alias("js"))

@@ -157,6 +157,33 @@ def between_raters(spark, sf_dir):
     return _tests(_between(spark, sf_dir), "slice", "code")
 
 
+oracle.add_view("rater_sides", f"""
+    SELECT slice, code, a, side, n, ngram, CASE side WHEN '1' THEN own ELSE total - own END AS cnt FROM (
+      SELECT t.slice, t.code, t.n, t.ngram, g.rater AS a, t.total, coalesce(c.cnt, 0) AS own
+      FROM (SELECT slice, code, n, ngram, sum(cnt) AS total FROM coded_by_rater GROUP BY ALL) t
+      JOIN (SELECT DISTINCT slice, code, rater FROM coded_by_rater) g USING (slice, code)
+      LEFT JOIN coded_by_rater c ON c.slice = t.slice AND c.code = t.code AND c.rater = g.rater
+       AND c.n = t.n AND c.ngram = t.ngram),
+    (VALUES ('1'), ('2')) v(side) WHERE CASE side WHEN '1' THEN own ELSE total - own END > 0""")
+oracle.add_view("rater_label_sides", """
+    SELECT slice, code, a AS rater, side, ngram, cnt FROM rater_sides WHERE n = 1""")
+oracle.add_view("rater_rest_pairs", _pair_sql("rater_label_sides", "slice, code, rater", "side", "ngram"))
+oracle.add_view("rater_rest_tests", f"""
+    SELECT * EXCLUDE (rater) REPLACE (rater AS a, '{A.OTHER_RATERS}' AS b)
+    FROM ({_tests_sql('rater_label_sides', 'slice, code, rater', 'side')})""")
+
+
+def _against_others(spark, sf_dir):
+    return tables(spark, sf_dir).once(
+        "raters_against_others", lambda: A.raters_against_others(counts(spark, sf_dir)))
+
+
+@registered("k04_raters_against_others", "SELECT * FROM rater_rest_tests")
+def raters_against_others(spark, sf_dir):
+    """K4 in linear form: every rater of a code against the code's other raters."""
+    return _tests(_against_others(spark, sf_dir), "slice", "code")
+
+
 oracle.add_view("coded_by_session", """
     SELECT slice, code, rater, source_file, ngram, cnt FROM rated WHERE kind = 'code' AND n = 1""")
 oracle.add_view("session_sides", f"""
@@ -266,6 +293,27 @@ def rater_ceilings(spark, sf_dir):
             *_JS, "kappa_analogue", "f1_ceiling", "kappa_combined_ngram", "f1_ceiling_ngram")])
 
 
+oracle.add_view("rater_rest_counts", "SELECT slice, code, a AS rater, side, n, ngram, cnt FROM rater_sides")
+oracle.add_view("rater_rest_js", _divergences_sql("rater_rest_counts", "slice, code, rater", "side"))
+
+
+@registered("k13_ceilings_against_others", f"""
+    SELECT slice, code, rater AS a, '{A.OTHER_RATERS}' AS b, {_JS_ROUNDED},
+           round(greatest(0, 1 - js_freq), 4) AS kappa_analogue, round((1 + greatest(0, 1 - js_freq)) / 2, 4) AS f1_ceiling,
+           round(greatest(0, 1 - js_combined), 4) AS kappa_combined_ngram,
+           round((1 + greatest(0, 1 - js_combined)) / 2, 4) AS f1_ceiling_ngram,
+           CAST(k AS BIGINT) AS n_seqs_a, CAST(k_all - k AS BIGINT) AS n_seqs_b
+    FROM rater_rest_js
+    JOIN (SELECT *, sum(k) OVER (PARTITION BY slice, code) AS k_all FROM (
+            SELECT slice, code, rater, sum(n_seqs) AS k FROM rated_seqs WHERE kind = 'code' GROUP BY ALL))
+      USING (slice, code, rater)""")
+def ceilings_against_others(spark, sf_dir):
+    """K13 in linear form: one row per rater of a code."""
+    return A.ceilings_against_others(counts(spark, sf_dir), sequences(spark, sf_dir), SIZES).select(
+        "slice", "code", "a", "b", "n_seqs_a", "n_seqs_b", *[r4(c).alias(c) for c in (
+            *_JS, "kappa_analogue", "f1_ceiling", "kappa_combined_ngram", "f1_ceiling_ngram")])
+
+
 _NGRAM_STATS = ", ".join(
     f"round(avg(js_{n}gram), 6) AS mean_js_{n}gram, min(js_{n}gram) AS min_js_{n}gram, max(js_{n}gram) AS max_js_{n}gram"
     for n in SIZES)
@@ -363,6 +411,18 @@ def agreement_verdicts(spark, sf_dir):
         F.coalesce(r6("p_value") < 0.05, F.lit(False)).alias("significant"))
 
 
+@registered("k18_verdicts_against_others", f"""
+    SELECT slice, code, rater AS a, '{A.OTHER_RATERS}' AS b, round(js, 4) AS js,
+           CASE WHEN js < 0.3 THEN 'AGREE' WHEN js > 0.5 THEN 'DISAGREE' ELSE 'MIXED' END AS verdict,
+           coalesce(round({oracle.chi2_tail('chi2', 'dof')}, 6) < 0.05, false) AS significant
+    FROM rater_rest_pairs""")
+def verdicts_against_others(spark, sf_dir):
+    """K18 in linear form: whether a rater of a code agrees with the code's other raters."""
+    return _against_others(spark, sf_dir).select(
+        "slice", "code", "a", "b", r4("js_any").alias("js"), A.verdict(F.col("js_any")).alias("verdict"),
+        F.coalesce(r6("p_value") < 0.05, F.lit(False)).alias("significant"))
+
+
 oracle.add_view("who_counts", "SELECT slice, rater || '|' || code AS who, ngram, cnt FROM coded_labels")
 oracle.add_view("who_pairs", _pair_sql("who_counts", "slice", "who", "ngram"))
 
@@ -378,6 +438,24 @@ def ranked_similarity(spark, sf_dir):
         "slice", "t_a", "code_a", "js", "t_b", "code_b")
 
 
+NEAREST = 5
+
+
+@registered("k19_nearest_similarity", f"""
+    SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY slice, t_a, code_a ORDER BY js, t_b, code_b) AS rank,
+             code_a = code_b AS same_code FROM (
+        SELECT slice, split_part(x, '|', 1) AS t_a, split_part(x, '|', 2) AS code_a, split_part(y, '|', 1) AS t_b,
+               split_part(y, '|', 2) AS code_b, CAST(nx AS BIGINT) AS n_a, CAST(ny AS BIGINT) AS n_b, round(js, 4) AS js
+        FROM (SELECT slice, unnest([a, b]) AS x, unnest([b, a]) AS y, unnest([n_a, n_b]) AS nx, unnest([n_b, n_a]) AS ny, js FROM who_pairs)
+        WHERE split_part(x, '|', 1) <> split_part(y, '|', 1)))
+    WHERE rank <= {NEAREST}""")
+def nearest_similarity(spark, sf_dir):
+    """The most similar entries of the ranking, found by bounds instead of all pairs."""
+    return A.nearest_similar(counts(spark, sf_dir), NEAREST).withColumns(
+        {"js": r4("js"), "rank": F.col("rank").cast("long")})
+
+
 oracle.add_view("all_tests", """
     SELECT slice, code, 'between_therapists' AS comparison, a, b, chi2, p_value, js, n_a, n_b FROM between_tests
     UNION ALL SELECT slice, code, 'within_T' || rater, a, b, chi2, p_value, js, n_a, n_b FROM rest_tests""")
