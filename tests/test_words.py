@@ -74,6 +74,14 @@ def test_golden_example_end_to_end(turns, segment):
     ]
     assert [(a.patient_important, a.therapist_important, a.timestamp) for a in acts][2:5] == [
         (1, 0, "0:05"), (1, 0, "0:05"), (0, 1, "0:08")]
+    bare = W.collapse(done, order, texts=False)
+    assert "spoken_text" not in bare.columns
+    for piece_words in (1, 2, 100):
+        texts = {}
+        for r in W.act_texts(done, bare, piece_words).orderBy("piece").collect():
+            assert len(r.spoken_text.split()) <= piece_words
+            texts.setdefault(r.da_number, []).append(r.spoken_text)
+        assert {n: " ".join(t) for n, t in texts.items()} == {a.da_number: a.spoken_text for a in acts}
 
 
 def test_older_layout_example(spark):

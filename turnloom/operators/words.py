@@ -325,10 +325,12 @@ def last_row_matches(rows: DataFrame, left: str, right: str, pos: str = "pos") -
         F.max_by(F.col(left).eqNullSafe(F.col(right)), pos).alias("matches"))
 
 
-def collapse(words: DataFrame, order: Ordering) -> DataFrame:
+def collapse(words: DataFrame, order: Ordering, texts: bool = True) -> DataFrame:
     """One row per dialogue act: first speaker, last label, largest flags and codes, text.
 
-    Unnumbered words and segments labelled inside are dropped, then rows are renumbered.
+    Unnumbered words and segments labelled inside are dropped, then rows are renumbered. With the
+    text, an act is one value, as a file's row needs it; `texts=False` leaves the text out and
+    `act_texts` gives it in pieces, so that nothing grows with an act.
     """
     present = lambda c: F.when(F.col(c).isNotNull(), F.col("pos"))
     largest = [c for c in ("patient_important", "therapist_important", "patient_code",
@@ -340,12 +342,25 @@ def collapse(words: DataFrame, order: Ordering) -> DataFrame:
             F.min_by("speaker", present("speaker")).alias("speaker"),
             F.max_by("proc_da", present("proc_da")).alias("proc_da"),
             *[F.max(c).alias(c) for c in largest],
-            F.sort_array(F.collect_list(F.when(
-                F.col("spoken_text").isNotNull(), F.struct("pos", "spoken_text")))).alias("_w"),
+            *([F.sort_array(F.collect_list(F.when(
+                F.col("spoken_text").isNotNull(), F.struct("pos", "spoken_text")))).alias("_w")] if texts else []),
         )
         .filter(F.col("proc_da") != L.INSIDE_LABEL)
-        .withColumn("spoken_text", F.array_join(F.transform("_w", lambda w: w["spoken_text"]), " "))
-        .drop("_w")
         .withColumn("da_group", L.extended_group(F.col("proc_da")))
     )
+    if texts:
+        acts = acts.withColumn(
+            "spoken_text", F.array_join(F.transform("_w", lambda w: w["spoken_text"]), " ")).drop("_w")
     return renumber(acts, order.by("da_number"))
+
+
+def act_texts(words: DataFrame, acts: DataFrame, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """The texts of `acts` in numbered pieces (source_file, da_number, piece, spoken_text), cut where
+    word positions pass a multiple of `piece_words`. An act's text is its pieces in order, joined by
+    a blank; an act whose words all lack text has none. Pieces are made before they meet the acts, so
+    a long act is never one group of words."""
+    spoken = words.filter(F.col("da_number").isNotNull() & F.col("spoken_text").isNotNull()).withColumn(
+        "piece", F.floor(F.col("pos") / piece_words))
+    pieces = _joined(spoken, ["source_file", "da_number", "piece"], "pos", F.col("spoken_text"))
+    return pieces.withColumnRenamed("text", "spoken_text").join(
+        acts.select("source_file", "da_number"), ["source_file", "da_number"], "left_semi")

@@ -225,6 +225,20 @@ def dialogue_acts(spark, sf_dir):
         "therapist_important", "patient_code", "therapist_code", "timestamp", "spoken_text")
 
 
+@registered("c02_act_texts", f"""
+    SELECT source_file, CAST(da_number AS BIGINT) AS da_number, pos // {W.PIECE_WORDS} AS piece,
+           string_agg(spoken_text, ' ' ORDER BY pos) AS spoken_text
+    FROM annotated_events SEMI JOIN (
+      SELECT source_file, da_number FROM annotated_events WHERE da_number IS NOT NULL GROUP BY ALL
+      HAVING arg_max(proc, pos) <> 'I-') USING (source_file, da_number)
+    WHERE spoken_text IS NOT NULL GROUP BY ALL""")
+def act_texts(spark, sf_dir):
+    """Texts of dialogue acts (C2) in pieces of bounded size."""
+    words = _annotated_events(spark, sf_dir)
+    acts = W.collapse(words, tables(spark, sf_dir).order, texts=False)
+    return W.act_texts(words, acts).select("source_file", "da_number", "piece", "spoken_text")
+
+
 # --- sources and sinks -----------------------------------------------------------------
 
 _FILE = StructType([StructField("transcript", StringType()), StructField("row", LongType()), *TURN.fields])
