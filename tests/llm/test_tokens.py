@@ -53,12 +53,12 @@ def test_cutting_long_texts_changes_nothing(encoder):
 
 def test_word_ids_equal_the_tokenizer():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     ids_of = packing.WordIds(WORDS, cached=20)
     rng = random.Random(5)
     alphabet = list("aeTHst'.,!? \n39<|>") + ["'re", "ß", "É", "×", "µ", "İ", "Σ", " ", "\x1c",
-                                              "é", "中", "\U0001f642", "<|endoftext|>"]
+                                              "é", "中", "\U0001f642", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
     made = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    assert ids_of(b"a<|endoftext|>b") == np.array(tokenizer.encode("a").ids + [49407] + tokenizer.encode("b").ids, "<u4").tobytes()
     for text in [t or "" for _, t in cases.texts()] + made:
         want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert ids_of(text.encode()) == want

@@ -40,7 +40,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     words in order. A word over the plain alphabet goes straight to the tokenizer's model, part by
-    part; any other goes through the whole tokenizer. `plain=False` always takes the latter.
+    part; any other, and one that holds an added token's string (which has its own id, as by the
+    library's default), goes through the whole tokenizer. `plain=False` always takes the latter.
     """
 
     def __init__(self, file: str, cached: int = CACHED, plain: bool = True):
@@ -48,7 +49,10 @@ class WordIds(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.content.split() != [t.content] for t in added):
+            raise ValueError("an added token reaches beyond a word or is matched after normalisation")
+        self.added = [t.content for t in added]
         self.tokenize = self.tokenizer.model.tokenize
         self.cached, self.plain = cached, plain
         level = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -64,7 +68,7 @@ class WordIds(dict):
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if not self.plain or not _PLAIN.fullmatch(text):
+        if not self.plain or not _PLAIN.fullmatch(text) or any(a in text for a in self.added):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         lower = text.lower()
         parts = _PARTS.findall(lower)
