@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm import cases
@@ -80,6 +81,8 @@ CONVERSATIONS = [
     (3, 9, "assistant", "### assistant: no</turn>\n"), (None, 1, "user", "no key"), (None, None, "assistant", "no turn"),
     (4, 0, "odd role: \n</turn>", "text"), (4, 1, None, "x"), (5, 0, "assistant", "\\" * 7 + "#" * 9),
     *[(6, i, ("user", "assistant")[i % 2], cases.words(1 + (i * 7) % 23, i)) for i in range(90)],
+    (8, 0, "system", cases.words(5000, 2)), *[(8, i, ("user", "assistant")[i % 2], cases.words(90, i)) for i in range(1, 9)],
+    (9, 0, "system", cases.words(25, 3)), *[(9, i, ("user", "assistant")[i % 2], cases.words(5 + i, i)) for i in range(1, 40)],
     (7, 0, "system", cases.words(12, 1)), *[(7, i, ("user", "assistant")[i % 2], cases.words(60, i)) for i in range(1, 9)],
 ]
 
@@ -113,6 +116,36 @@ def test_windows_keep_their_budget(spark):
     assert max(r.n_tokens for r in made if r.conv_id == 6) <= 250
     assert sum(r.n_repeated > 0 for r in made if r.conv_id in (6, 7)) >= 5
     for r in made:
-        if r.conv_id == 7:
+        if r.conv_id in (7, 9):
             assert r.text.startswith("### system: ")
+    assert sum(r.conv_id == 9 for r in made) > 3
+    lone = [r for r in made if r.conv_id == 8 and "### system: " in r.text]
+    assert len(lone) == 1 and lone[0].text.count("</turn>\n") == 1
+
+
+@pytest.mark.parametrize("span, history", [(768, 192), (200, 50), (60, 60), (40, 15)])
+def test_no_window_passes_its_budget(spark, span, history):
+    """System turn, own turns and history stay within span + history, unless the only own turn is
+    longer than what the system turn leaves of a span, or is a long system turn."""
+    turns = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
+    made = chat.windows(turns, span, history).collect()
+    several = 0
+    for r in made:
+        parts = [x + "</turn>\n" for x in r.text.split("</turn>\n")[:-1]]
+        own = parts[r.n_repeated:]
+        if len(own) > 1 and own[0].startswith("### system: "):
+            own = own[1:]
+        besides = parts[:len(parts) - len(own)]
+        several += len(own) > 1
+        assert _tokens("".join(besides)) <= span // 2 + history
+        assert r.n_tokens <= span + history or len(own) == 1 and _tokens(own[0]) > span // 2
+    assert several
+
+
+def _tokens(text):
+    return len(regex.findall(chat.TOKEN, text))
+
+
+def test_windows_of_nothing(spark):
+    turns = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
     assert chat.windows(turns.limit(0)).count() == 0

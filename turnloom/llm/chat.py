@@ -4,10 +4,13 @@ A turn becomes `### role: text</turn>` and a new line. In texts a backslash is d
 `#\\#` and `</turn>` becomes `<\\/turn>`, so neither mark can occur inside a text and each step can be
 undone; roles are percent-encoded.
 
-Windows come from prefix sums of turn tokens. With `span` tokens to a cell, the turns that lie inside
-one cell form a window; a turn that crosses into the next cell is a window of its own, so a window of
-several turns never exceeds its span. Before its own turns a window repeats the system turn (the first
-turn, if its role is system) and the turns that start at most `history` tokens before it. Only the
+Windows come from prefix sums of turn tokens. The system turn (the first turn, if its role is system)
+and a window's own turns share a budget of `span` tokens, so a cell holds `span` less the system turn's
+tokens. The turns that lie inside one cell form a window; a turn that crosses into the next cell is a
+window of its own. Before its own turns a window repeats the system turn and the turns that start at
+most `history` tokens before it. So a window has at most `span + history` tokens, by two stated rules:
+a system turn of more than half a span is a window of its own and is not repeated, and turns are never
+cut, so a single turn longer than its cell exceeds the budget, alone but for what it repeats. Only the
 assistant texts among its own turns are under the loss mask, so each is learned once.
 
 Prefix sums are taken inside segments of `segment` turn numbers and then over the segments' totals,
@@ -15,7 +18,7 @@ so a long conversation is not one task.
 
 Defined results: null text and null role are empty; rows with a null conv_id are one conversation,
 null turns come first; equal turns are ordered by role and text; repeated rows are turns of their
-own; a turn longer than a span is a window that exceeds it; an empty table gives no windows.
+own; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -59,35 +62,40 @@ def windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY, segment:
     inside = Window.partitionBy("conv", "seg").orderBy("turn", "role", "text")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = marked.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
-    totals = local.groupBy("conv", "seg").agg(F.sum("n").alias("n")).select(
+    by_segment = Window.partitionBy("conv").orderBy("seg")
+    lead = F.max(F.when((F.col("at") == 0) & (F.col("role") == system), F.col("n")))
+    totals = local.groupBy("conv", "seg").agg(F.sum("n").alias("n"), lead.alias("lead")).select(
         F.col("conv").alias("c"), F.col("seg").alias("s"),
-        F.coalesce(F.sum("n").over(
-            Window.partitionBy("conv").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("from"))
+        F.coalesce(F.sum("n").over(by_segment.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("from"),
+        F.first("lead").over(by_segment.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"))
+    room = F.when(F.col("lead") <= span // 2, span - F.col("lead")).otherwise(span)
     placed = local.join(
         totals, local.conv.eqNullSafe(totals.c) & local.seg.eqNullSafe(totals.s)
-    ).withColumn("a", F.col("at") + F.col("from")).select("conv", "a", "n", "role", "head", "body")
+    ).withColumn("a", F.col("at") + F.col("from")).select("conv", "a", "n", "role", "head", "body", room.alias("room"))
     is_system = (F.col("a") == 0) & (F.col("role") == system)
-    first_cell, last_cell = F.floor(F.col("a") / span), F.floor((F.col("a") + F.col("n") - 1) / span)
+    first_cell = F.floor(F.col("a") / F.col("room"))
+    last_cell = F.floor((F.col("a") + F.col("n") - 1) / F.col("room"))
     part = F.struct(F.col("a"), F.col("head"), F.col("body"), F.col("n"),
                     (F.col("role") == learned).alias("learn"))
     own = placed.where(~is_system).select(
-        "conv", (first_cell * 2 + (first_cell != last_cell).cast("int")).alias("window"), "a", part.alias("part"))
+        "conv", (first_cell * 2 + (first_cell != last_cell).cast("int")).alias("window"), "a", "room", part.alias("part"))
     starts = own.groupBy("conv", "window").agg(F.min("a").alias("start")).select(
         F.col("conv").alias("c"), "window", "start", F.floor(F.col("window") / 2).alias("cell"))
 
     reach = own.select(
         "conv", "window", "a", "part",
-        F.explode(F.sequence(F.floor(F.col("a") / span), F.floor((F.col("a") + history) / span))).alias("cell")
+        F.explode(F.sequence(F.floor(F.col("a") / F.col("room")), F.floor((F.col("a") + history) / F.col("room")))).alias("cell")
     ).withColumnRenamed("window", "home")
     again = reach.join(starts, reach.conv.eqNullSafe(starts.c) & (reach.cell == starts.cell)).where(
         (F.col("home") != F.col("window")) & (F.col("a") < F.col("start"))
         & (F.col("start") <= F.col("a") + history)).select("conv", "window", "part", F.lit(False).alias("new"))
 
-    system_turns = placed.where(is_system).select("conv", part.alias("part"))
+    system_turns = placed.where(is_system).select("conv", part.alias("part"), (F.col("n") <= span // 2).alias("short"))
     first = starts.groupBy("c").agg(F.min("window").alias("first"))
     leads = system_turns.join(first, system_turns.conv.eqNullSafe(first.c), "left").select(
-        "conv", F.coalesce("first", F.lit(0)).alias("window"), "part", F.lit(True).alias("new"))
-    retained = system_turns.join(starts, system_turns.conv.eqNullSafe(starts.c)).join(
+        "conv", F.when(F.col("short"), F.coalesce("first", F.lit(0))).otherwise(-1).alias("window"), "part",
+        F.lit(True).alias("new"))
+    retained = system_turns.where("short").join(starts, system_turns.conv.eqNullSafe(starts.c)).join(
         first.withColumnRenamed("c", "d"), F.col("conv").eqNullSafe(F.col("d"))).where(
         F.col("window") > F.col("first")).select("conv", "window", "part", F.lit(False).alias("new"))
 

@@ -78,14 +78,16 @@ c AS (SELECT *, length(head) + length(body) + 8 AS chars,
              len(regexp_extract_all(head || body || '</turn>' || chr(10), '{token}')) AS n FROM m),
 p AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - n
              AS a FROM c),
+l AS (SELECT *, max(CASE WHEN a = 0 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS lead FROM p),
+r AS (SELECT *, CASE WHEN lead <= {span // 2} THEN {span} - lead ELSE {span} END AS room FROM l),
 o AS (SELECT *, a = 0 AND role = 'system' AS sys,
-             2 * (a // {span}) + CASE WHEN a // {span} <> (a + n - 1) // {span} THEN 1 ELSE 0 END AS win FROM p),
+             2 * (a // room) + CASE WHEN a // room <> (a + n - 1) // room THEN 1 ELSE 0 END AS win FROM r),
 s AS (SELECT conv_id, win, min(a) AS start FROM o WHERE NOT sys GROUP BY ALL),
 again AS (SELECT o.conv_id, chars FROM o JOIN s ON o.conv_id = s.conv_id AND o.win <> s.win
           AND a < start AND start <= a + {history} WHERE NOT sys
           UNION ALL
           SELECT o.conv_id, chars FROM o JOIN (SELECT * FROM s QUALIFY win > min(win) OVER (PARTITION BY conv_id)) x
-          ON o.conv_id = x.conv_id WHERE sys),
+          ON o.conv_id = x.conv_id WHERE sys AND n <= {span // 2}),
 extra AS (SELECT conv_id, sum(chars) AS chars FROM again GROUP BY ALL),
 learned AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS t,
                    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
