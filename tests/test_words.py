@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import words as W
 from turnloom.operators.ordered import Ordering
+from turnloom.session import write_table
 
 TURNS = [
     ("S1", "0:00", 0, 0, "Hello, how are you doing today?"),
@@ -74,7 +75,8 @@ def test_golden_example_end_to_end(turns, segment):
     ]
     assert [(a.patient_important, a.therapist_important, a.timestamp) for a in acts][2:5] == [
         (1, 0, "0:05"), (1, 0, "0:05"), (0, 1, "0:08")]
-    bare = W.collapse(done, order, texts=False)
+    done = write_table(turns.sparkSession, "done", done)
+    bare = write_table(turns.sparkSession, "acts", W.collapse(done, order, texts=False))
     assert "spoken_text" not in bare.columns
     for piece_words in (1, 2, 100):
         texts = {}
