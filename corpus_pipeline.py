@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import compact_windows, line_crf, packing, quality_rules, simhash
+from turnloom.llm import compact_windows, line_crf, near_copies, packing, quality_rules
 from turnloom.llm.common import read, remainder
 from turnloom.session import shared_folder, ship
 
@@ -35,10 +35,11 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_crf.kept(docs, model)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: the one with the least doc_id, then the least digest of its text."""
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, five-word shingles with a similarity of 0.8 or more, stays: the
+    one with the least doc_id, then the least digest of its text."""
     ship(spark)
-    return simhash.one_of_each(spark, docs)
+    return near_copies.one_of_each(spark, docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", rules),
     ("quality_classifier", classifier),
-    ("simhash_near_dedup", near_copies),
+    ("simhash_near_dedup", single),
     ("substring_dedup", passages),
     ("best_fit_packing", sequences),
 ]

@@ -5,9 +5,9 @@ import os
 import corpus_pipeline
 from tests.conftest import DATA
 from tests.llm import cases
+from tests.llm.test_near_copies import brute as brute_groups
 from tests.llm.test_passages import brute as brute_passages
 from tests.llm.test_rules_and_chat import counted
-from tests.llm.test_simhash import _expected
 from tests.llm.test_tokens import _check
 
 SF_DIR = os.path.join(DATA, "sf0.001")
@@ -54,7 +54,7 @@ def test_stages(spark, tmp_path):
     left = {r.doc_id for r in scored}
     good = [r.doc_id in left for r in passed if labels.get(r.doc_id) == 1]
     assert sum(good) >= 0.95 * len(good) and left <= kept
-    assert sorted(r.doc_id for r in near) == [i for i, _, c in sorted(_expected([(r.doc_id, r.text) for r in scored])) if i == c]
+    assert sorted(r.doc_id for r in near) == [i for i, low in brute_groups([(r.doc_id, r.text) for r in scored]) if i == low]
     again = brute_passages([(r.doc_id, r.text) for r in near], 50)
     near_again = resembling([(r.doc_id, r.text) for r in near])
     after = {r.doc_id: r for r in whole}

@@ -200,12 +200,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     both the one whose other columns have the least hash. So a text goes only if its component keeps
     another row, whatever keys it shares. Rows with a null key all stay. The input's columns travel as one
     struct, so none can clash; columns of maps count for nothing in that hash."""
-    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+    digest = digest_of(text)
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), digest.alias("digest"))
     marks = write_table(spark, "fingerprints", fingerprints(texts, "key", "text", width, [F.col("digest")]))
     named = _named(spark, marks, "key", radius)
     rows = marks.where("key IS NOT NULL").groupBy("fingerprint", "key", "digest").agg(F.count("*").alias("n"))
-    placed = write_table(spark, "placed", rows.join(named, "fingerprint").select("root", "key", "digest", "n"))
+    return first_rows(spark, docs, rows.join(named, "fingerprint").select("root", "key", "digest", "n"), key, text)
+
+
+def digest_of(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+
+
+def first_rows(spark: SparkSession, docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs without all but the first of each root; rooted has (root, key, digest, n: rows)."""
+    digest = digest_of(text)
+    placed = write_table(spark, "placed", rooted)
     chosen = placed.groupBy("root").agg(F.min(F.struct("key", "digest")).alias("c"))
     marked = write_table(spark, "marked", placed.join(chosen, "root").select(
         "key", "digest", "n", (F.struct("key", "digest") == F.col("c")).alias("stays")))
