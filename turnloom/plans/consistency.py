@@ -235,6 +235,21 @@ def rater_divergence_matrix(spark, sf_dir):
             F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
+@registered("k06_divergence_from_others", f"""
+    SELECT g.slice, c.code, g.rater AS a, '{A.OTHER_RATERS}' AS b, round(p.js, 4) AS js
+    FROM (SELECT DISTINCT slice, rater FROM coded_labels) g
+    JOIN (SELECT DISTINCT slice, code FROM coded_labels) c USING (slice)
+    LEFT JOIN rater_rest_pairs p ON p.slice = g.slice AND p.code = c.code AND p.rater = g.rater""")
+def divergence_from_others(spark, sf_dir):
+    """K6 in linear form: one row per code and rater, null where the rater or all others lack data for the code."""
+    labels = coded_labels(spark, sf_dir)
+    codes = labels.groupBy("slice").agg(F.collect_set("code").alias("codes"))  # a set of names
+    grid = labels.select("slice", "rater").distinct().join(codes, "slice").select(
+        "slice", F.explode("codes").alias("code"), F.col("rater").alias("a"), F.lit(A.OTHER_RATERS).alias("b"))
+    js = _against_others(spark, sf_dir).select("slice", "code", "a", r4("js_any").alias("js"))
+    return grid.join(js, ["slice", "code", "a"], "left").select("slice", "code", "a", "b", "js")
+
+
 oracle.add_view("code_pairs_by_rater", _pair_sql("coded_labels", "slice, rater", "code", "ngram"))
 
 
@@ -297,7 +312,7 @@ oracle.add_view("rater_rest_counts", "SELECT slice, code, a AS rater, side, n, n
 oracle.add_view("rater_rest_js", _divergences_sql("rater_rest_counts", "slice, code, rater", "side"))
 
 
-@registered("k13_ceilings_against_others", f"""
+oracle.add_view("rater_rest_ceilings", f"""
     SELECT slice, code, rater AS a, '{A.OTHER_RATERS}' AS b, {_JS_ROUNDED},
            round(greatest(0, 1 - js_freq), 4) AS kappa_analogue, round((1 + greatest(0, 1 - js_freq)) / 2, 4) AS f1_ceiling,
            round(greatest(0, 1 - js_combined), 4) AS kappa_combined_ngram,
@@ -307,6 +322,9 @@ oracle.add_view("rater_rest_js", _divergences_sql("rater_rest_counts", "slice, c
     JOIN (SELECT *, sum(k) OVER (PARTITION BY slice, code) AS k_all FROM (
             SELECT slice, code, rater, sum(n_seqs) AS k FROM rated_seqs WHERE kind = 'code' GROUP BY ALL))
       USING (slice, code, rater)""")
+
+
+@registered("k13_ceilings_against_others", "SELECT * FROM rater_rest_ceilings")
 def ceilings_against_others(spark, sf_dir):
     """K13 in linear form: one row per rater of a code."""
     return A.ceilings_against_others(counts(spark, sf_dir), sequences(spark, sf_dir), SIZES).select(
@@ -319,19 +337,33 @@ _NGRAM_STATS = ", ".join(
     for n in SIZES)
 
 
-@registered("k14_ceiling_summary", f"""
+def _summary_sql(ceilings: str) -> str:
+    return f"""
     SELECT slice, code, {_NGRAM_STATS}, round(avg(js_freq), 6) AS mean_js, round(avg(kappa_analogue), 6) AS mean_kappa,
            round(avg(f1_ceiling), 6) AS mean_f1, min(f1_ceiling) AS min_f1, max(f1_ceiling) AS max_f1,
            CASE WHEN avg(kappa_analogue) > 0.8 THEN 'CONSISTENT' WHEN avg(kappa_analogue) > 0.6 THEN 'MODERATE'
                 WHEN avg(kappa_analogue) > 0.4 THEN 'NOISY' ELSE 'HIGH NOISE' END AS band
-    FROM (SELECT * FROM rater_ceilings UNION ALL SELECT * REPLACE ('pooled' AS code) FROM rater_ceilings) GROUP BY slice, code""")
-def ceiling_summary(spark, sf_dir):
-    return A.ceiling_summary(_ceilings(spark, sf_dir), SIZES).select(
+    FROM (SELECT * FROM {ceilings} UNION ALL SELECT * REPLACE ('pooled' AS code) FROM {ceilings}) GROUP BY slice, code"""
+
+
+def _summary(ceilings: DataFrame) -> DataFrame:
+    return A.ceiling_summary(ceilings, SIZES).select(
         "slice", "code", *[r6(c).alias(c) for c in (
             "mean_js", "mean_kappa", "mean_f1", *[f"mean_js_{n}gram" for n in SIZES])],
         *[f"{side}_js_{n}gram" for n in SIZES for side in ("min", "max")], "min_f1", "max_f1", "band")
 
 
+@registered("k14_ceiling_summary", _summary_sql("rater_ceilings"))
+def ceiling_summary(spark, sf_dir):
+    return _summary(_ceilings(spark, sf_dir))
+
+
+@registered("k14_summary_against_others", _summary_sql("rater_rest_ceilings"))
+def summary_against_others(spark, sf_dir):
+    """K14 over the linear form of the ceilings: its input has one row per rater of a code."""
+    return _summary(A.ceilings_against_others(counts(spark, sf_dir), sequences(spark, sf_dir), SIZES))
+
+
 oracle.add_view("imp_rest", """
     SELECT slice, unnest([rater, 'pooled']) AS rater, kind, n, ngram, cnt FROM rated WHERE kind <> 'code'""")
 oracle.add_view("imp_rest_counts", "SELECT slice, rater, kind, n, ngram, sum(cnt) AS cnt FROM imp_rest GROUP BY ALL")
@@ -456,39 +488,67 @@ def nearest_similarity(spark, sf_dir):
         {"js": r4("js"), "rank": F.col("rank").cast("long")})
 
 
-oracle.add_view("all_tests", """
-    SELECT slice, code, 'between_therapists' AS comparison, a, b, chi2, p_value, js, n_a, n_b FROM between_tests
-    UNION ALL SELECT slice, code, 'within_T' || rater, a, b, chi2, p_value, js, n_a, n_b FROM rest_tests""")
 _TEST_COLUMNS = ["slice", "code", "comparison", "a", "b", "chi2", "p_value", "js", "n_a", "n_b"]
+for _name, _source in (("all_tests", "between_tests"), ("linear_tests", "rater_rest_tests")):
+    oracle.add_view(_name, f"""
+    SELECT slice, code, 'between_therapists' AS comparison, a, b, chi2, p_value, js, n_a, n_b FROM {_source}
+    UNION ALL SELECT slice, code, 'within_T' || rater, a, b, chi2, p_value, js, n_a, n_b FROM rest_tests""")
 
 
-def _all_tests(spark, sf_dir) -> DataFrame:
-    between = _tests(_between(spark, sf_dir), "slice", "code").withColumn(
-        "comparison", F.lit("between_therapists"))
+def _all_tests(spark, sf_dir, between: DataFrame) -> DataFrame:
+    between = _tests(between, "slice", "code").withColumn("comparison", F.lit("between_therapists"))
     within = _tests(_within(spark, sf_dir), "slice", "code", "rater").withColumn(
         "comparison", F.concat(F.lit("within_T"), "rater"))
     return between.select(*_TEST_COLUMNS).unionByName(within.select(*_TEST_COLUMNS))
 
 
-@registered("k20_test_summary", """
+def _summary_of_tests_sql(tests: str) -> str:
+    return f"""
     SELECT slice, comparison, count(*) AS n_tests, count(*) FILTER (WHERE p_value < 0.05) AS n_significant,
-           round(max(js), 6) AS max_js FROM all_tests GROUP BY ALL""")
-def test_summary(spark, sf_dir):
-    """How many comparisons of each kind are significant."""
-    return _all_tests(spark, sf_dir).groupBy("slice", "comparison").agg(
+           round(max(js), 6) AS max_js FROM {tests} GROUP BY ALL"""
+
+
+def _summary_of_tests(tests: DataFrame) -> DataFrame:
+    return tests.groupBy("slice", "comparison").agg(
         F.count("*").alias("n_tests"), F.count_if(F.col("p_value") < 0.05).alias("n_significant"),
         r6(F.max("js")).alias("max_js"))
 
 
-@registered("k20_top_divergent", """
+def _top_sql(tests: str) -> str:
+    return f"""
     SELECT * FROM (SELECT *, p_value < 0.05 AS significant_p05,
              row_number() OVER (ORDER BY js DESC, slice, code, comparison, a, b) AS rank
-      FROM all_tests WHERE js IS NOT NULL) WHERE rank <= 10""")
-def top_divergent(spark, sf_dir):
-    """The ten most divergent comparisons between and within raters."""
+      FROM {tests} WHERE js IS NOT NULL) WHERE rank <= 10"""
+
+
+def _top(tests: DataFrame) -> DataFrame:
     order = [F.col("js").desc(), "slice", "code", "comparison", "a", "b"]
-    top = _all_tests(spark, sf_dir).filter(F.col("js").isNotNull()).orderBy(*order).limit(10)
+    top = tests.filter(F.col("js").isNotNull()).orderBy(*order).limit(10)
     return top.withColumns({
         "significant_p05": F.col("p_value") < 0.05,
         "rank": F.row_number().over(Window.orderBy(*order)).cast("long"),
     })
+
+
+@registered("k20_test_summary", _summary_of_tests_sql("all_tests"))
+def test_summary(spark, sf_dir):
+    """How many comparisons of each kind are significant."""
+    return _summary_of_tests(_all_tests(spark, sf_dir, _between(spark, sf_dir)))
+
+
+@registered("k20_top_divergent", _top_sql("all_tests"))
+def top_divergent(spark, sf_dir):
+    """The ten most divergent comparisons between and within raters."""
+    return _top(_all_tests(spark, sf_dir, _between(spark, sf_dir)))
+
+
+@registered("k20_summary_against_others", _summary_of_tests_sql("linear_tests"))
+def tests_against_others(spark, sf_dir):
+    """K20 in linear form: each rater against the other raters, each session against the rater's others."""
+    return _summary_of_tests(_all_tests(spark, sf_dir, _against_others(spark, sf_dir)))
+
+
+@registered("k20_top_against_others", _top_sql("linear_tests"))
+def top_against_others(spark, sf_dir):
+    """The ten most divergent of the comparisons in linear form."""
+    return _top(_all_tests(spark, sf_dir, _against_others(spark, sf_dir)))
