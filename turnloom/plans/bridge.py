@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TABLES = ("events", "conversations", "labels")
+
+
+def path(sf_dir: str, table: str) -> str:
+    return os.path.join(sf_dir, f"{table}.parquet")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+    return spark.read.parquet(path(sf_dir, table))
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

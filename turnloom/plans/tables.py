@@ -1,4 +1,4 @@
-"""Tables that several analyses read, written once per session and data folder."""
+"""Tables that several analyses read, written once per session and state of the data folder."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from turnloom.operators import ngrams as N
 from turnloom.operators import words as W
 from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, number_by_time
 from turnloom.plans import bridge
-from turnloom.session import write_table
+from turnloom.session import release, state, write_table
 
 SIZES = (2, 3, 4, 5)
 
@@ -28,6 +28,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, segment_rows: int = SEGMENT_ROWS):
         self.spark, self.sf_dir, self._limit = spark, sf_dir, segment_rows
+        self.state = inputs(spark, sf_dir)
         self._written: dict[str, DataFrame] = {}
         self._order: Ordering | None = None
         self._word_order: Ordering | None = None
@@ -149,8 +150,21 @@ def plain_groups() -> Column:
 _TABLES: dict[tuple[str, str], Tables] = {}
 
 
+def inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """State of the files that the shared tables are made of."""
+    return state(spark, [bridge.path(sf_dir, name) for name in bridge.TABLES])
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The shared tables of a folder, made anew once its input has changed."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TABLES:
+    if key not in _TABLES or _TABLES[key].state != inputs(spark, sf_dir):
         _TABLES[key] = Tables(spark, sf_dir)
     return _TABLES[key]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application wrote; later queries write theirs again."""
+    for key in [k for k in _TABLES if k[0] == spark.sparkContext.applicationId]:
+        del _TABLES[key]
+    release(spark)

@@ -73,9 +73,39 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Where `write_table` puts this application's tables."""
+    return os.path.join(shared_folder(spark), "turnloom", spark.sparkContext.applicationId)
+
+
 def write_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: short lineage that survives
     executor loss, column pruning and filter pushdown for every reader."""
-    path = os.path.join(shared_folder(spark), "turnloom", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(tables_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Bytes, files and time of change of each path, or None where there is nothing."""
+    found = []
+    for path in paths:
+        where, files = _located(spark, path)
+        if files.exists(where):
+            content = files.getContentSummary(where)
+            found.append((path, content.getLength(), content.getFileCount(),
+                          files.getFileStatus(where).getModificationTime()))
+        else:
+            found.append((path, None))
+    return tuple(found)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application wrote. Results that still read them can't be used after it."""
+    where, files = _located(spark, tables_folder(spark))
+    files.delete(where, True)
