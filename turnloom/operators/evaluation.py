@@ -46,17 +46,22 @@ def evaluate(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame
     return confusion(rows, truth, predicted, *by).withColumns(scores())
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Scores of small counts are often decimals ending in 5; 1e-9 rounds those up in every engine."""
+    return F.round(value + 1e-9, digits)
+
+
 def _fold_scores(counts: DataFrame, *by: str) -> DataFrame:
     value = scores()
     n, positive = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), F.col("tp") + F.col("fn")
     return counts.select(
         *by, F.col("source_file").alias("transcript"), n.alias("n_das"), positive.alias("n_important"),
-        F.round(100.0 * positive / n, 1).alias("pct_important"),
+        rounded(100.0 * positive / n, 1).alias("pct_important"),
         (F.col("tp") + F.col("fp")).alias("n_pred_important"),
-        F.round(value["f1_important"], 4).alias("f1_important"),
-        F.round(value["f1_macro"], 4).alias("f1_macro"),
-        F.round(value["precision"], 4).alias("precision_imp"),
-        F.round(value["sensitivity"], 4).alias("recall_imp"),
+        rounded(value["f1_important"], 4).alias("f1_important"),
+        rounded(value["f1_macro"], 4).alias("f1_macro"),
+        rounded(value["precision"], 4).alias("precision_imp"),
+        rounded(value["sensitivity"], 4).alias("recall_imp"),
     )
 
 
@@ -71,7 +76,7 @@ def pooled_metrics(predictions: DataFrame, *by: str) -> DataFrame:
     cells = ("tp", "tn", "fp", "fn")
     value = scores()
     counts = confusion(predictions, "label", "pred", *by, "source_file").withColumns(
-        {"_f": F.round(value["f1_important"], 4), "_m": F.round(value["f1_macro"], 4)})
+        {"_f": rounded(value["f1_important"], 4), "_m": rounded(value["f1_macro"], 4)})
     pooled = counts.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in cells], F.avg("_f").alias("mean_fold_f1_imp"),
         F.stddev_pop("_f").alias("std_fold_f1_imp"), F.avg("_m").alias("mean_fold_f1_balanced"))

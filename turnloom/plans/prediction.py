@@ -170,9 +170,9 @@ _WEIGHTED = f"({_F1_POS} * (tp + fn) + {_F1_NEG} * (tn + fp)) / (tp + tn + fp +
 
 def _folds_sql(rows: str, by: str) -> str:
     return f"""
-      SELECT {by}, tp + tn + fp + fn AS n_das, tp + fn AS n_important, round(100.0::DOUBLE * (tp + fn) / (tp + tn + fp + fn), 1) AS pct_important,
-             tp + fp AS n_pred_important, round({_F1_POS}, 4) AS f1_important, round({_MACRO}, 4) AS f1_macro,
-             round({_PRECISION}, 4) AS precision_imp, round({_RECALL}, 4) AS recall_imp
+      SELECT {by}, tp + tn + fp + fn AS n_das, tp + fn AS n_important, round(100.0::DOUBLE * (tp + fn) / (tp + tn + fp + fn) + 1e-9, 1) AS pct_important,
+             tp + fp AS n_pred_important, round({_F1_POS} + 1e-9, 4) AS f1_important, round({_MACRO} + 1e-9, 4) AS f1_macro,
+             round({_PRECISION} + 1e-9, 4) AS precision_imp, round({_RECALL} + 1e-9, 4) AS recall_imp
       FROM ({_confusion_sql(rows, by)})"""
 
 
@@ -205,8 +205,8 @@ oracle.add_view("tried_metrics", f"""
       FROM ({_confusion_sql('tried', _KEYS)}))
     JOIN (SELECT {_KEYS}, avg(f1_important) AS mean_f, stddev_pop(f1_important) AS std_f, avg(f1_macro) AS mean_b
           FROM ({_folds_sql('tried', _KEYS + ', source_file')}) GROUP BY ALL) USING ({_KEYS})""")
-_METRICS = """round(pooled_f1_imp, 4) AS pooled_f1_imp, round(pooled_f1_balanced, 4) AS pooled_f1_balanced,
-           round(pooled_f1_weighted, 4) AS pooled_f1_weighted, round(mean_f, 6) AS mean_fold_f1_imp, round(std_f, 6) AS std_fold_f1_imp,
+_METRICS = """round(pooled_f1_imp + 1e-9, 4) AS pooled_f1_imp, round(pooled_f1_balanced + 1e-9, 4) AS pooled_f1_balanced,
+           round(pooled_f1_weighted + 1e-9, 4) AS pooled_f1_weighted, round(mean_f, 6) AS mean_fold_f1_imp, round(std_f, 6) AS std_fold_f1_imp,
            round(mean_b, 6) AS mean_fold_f1_balanced"""
 _METRIC_NAMES = ["pooled_f1_imp", "pooled_f1_balanced", "pooled_f1_weighted", "mean_fold_f1_imp",
                  "std_fold_f1_imp", "mean_fold_f1_balanced"]
@@ -214,7 +214,7 @@ _METRIC_NAMES = ["pooled_f1_imp", "pooled_f1_balanced", "pooled_f1_weighted", "m
 
 def _rounded_metrics():
     """Means of folds keep six digits: the folds' scores have four, so four would often be a tie."""
-    return [F.round(c, 4 if c.startswith("pooled") else 6).alias(c) for c in _METRIC_NAMES]
+    return [(E.rounded(F.col(c), 4) if c.startswith("pooled") else r6(c)).alias(c) for c in _METRIC_NAMES]
 
 
 def _tried(spark, sf_dir) -> DataFrame:
@@ -362,8 +362,8 @@ def parsed_responses(spark, sf_dir):
 
 
 @registered("l18_evaluation", f"""
-    SELECT name, tp, tn, fp, fn, round({_RECALL}, 4) AS sensitivity, round(CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END, 4) AS specificity,
-           round({_PRECISION}, 4) AS precision, round({_F1_POS}, 4) AS f1_important, round({_MACRO}, 4) AS f1_macro, round({_WEIGHTED}, 4) AS f1_weighted
+    SELECT name, tp, tn, fp, fn, round({_RECALL} + 1e-9, 4) AS sensitivity, round(CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END + 1e-9, 4) AS specificity,
+           round({_PRECISION} + 1e-9, 4) AS precision, round({_F1_POS} + 1e-9, 4) AS f1_important, round({_MACRO} + 1e-9, 4) AS f1_macro, round({_WEIGHTED} + 1e-9, 4) AS f1_weighted
     FROM ({_confusion_sql("(SELECT 'importance' AS name, label, pred FROM predicted UNION ALL SELECT 'quality', quality, 1 - toxic FROM labels)", "name")})""")
 def evaluation(spark, sf_dir):
     rows = _thresholded(spark, sf_dir).select(F.lit("importance").alias("name"), "label", "pred").unionByName(
@@ -371,7 +371,7 @@ def evaluation(spark, sf_dir):
             F.lit("quality").alias("name"), F.col("quality").alias("label"), (1 - F.col("toxic")).alias("pred")))
     names = ["sensitivity", "specificity", "precision", "f1_important", "f1_macro", "f1_weighted"]
     return E.evaluate(rows, "label", "pred", "name").select(
-        "name", "tp", "tn", "fp", "fn", *[r4(c).alias(c) for c in names])
+        "name", "tp", "tn", "fp", "fn", *[E.rounded(F.col(c), 4).alias(c) for c in names])
 
 
 def load_line_model():
