@@ -211,3 +211,19 @@ def test_one_long_document_among_short_ones(monkeypatch):
     own = [rng.normal(0, 1, (n, line_crf.MEASURES)) for n in count]
     line_crf._fit_chain(own, np.arange(400) % 2.0)
     assert max(sizes) <= 1 << 19
+
+
+def test_sampled_lines_are_bounded(spark, monkeypatch):
+    """Whole texts in a fixed order up to the bound, without those of more than a tenth of it."""
+    texts = [(i, "\n".join(f"{'plain words here' if i % 2 else '## $$ x'} {i} {j}" for j in range(n)))
+             for i, n in enumerate([3, 8, 5, 30, 9, 4, 200, 7, 6, 10, 8, 9, 2, 40, 6, 9, 7, 8])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(line_crf, "_fit_chain", lambda own, y: seen.append(
+        [len(x) for x in own]) or line_crf.Model(np.zeros(3 * line_crf.MEASURES), np.zeros((2, 2))))
+    for most, lines in ((100, None), (10_000, sum(t.count("\n") + 1 for _, t in texts))):
+        line_crf.fit(spark, docs, labels, F.lit(True), most=most)
+        counts = seen.pop()
+        assert max(counts) <= most / 10
+        assert sum(counts) == lines if lines else 60 < sum(counts) <= most

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import keyed, small
@@ -29,6 +29,7 @@ from turnloom.llm.labelled import logistic, sample
 from turnloom.session import write_table
 
 BOUNDS = {0: 2500, 1: 3500}
+LINES = 500_000  # of all sampled texts together; a text of more than a tenth of it is not sampled
 ROUNDS, STEPS = 3, 120
 _DIGITS, _SYMBOLS, _MARKS = b"0123456789", b"#*$%&|<>@^~\\{}[]=_+/", b"!?.,;:"
 MEASURES = 13
@@ -225,8 +226,9 @@ def _fit_chain(own: list[np.ndarray], labels: np.ndarray, ridge: float = 1.0) ->
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality",
-        bounds: dict[int, int] | None = None) -> Model:
-    """A model from the labelled texts that `usable` (over `labels`) admits."""
+        bounds: dict[int, int] | None = None, most: int = LINES) -> Model:
+    """A model from the labelled texts that `usable` (over `labels`) admits: at most `bounds[y]` of each
+    class and `most` lines in all, whole texts taken in the order of a hash of their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -238,7 +240,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column,
                 names=["key", "label", "lines", "lengths"])
 
     rows = write_table(spark, "quality_sample", sample(docs, labels, label, usable, bounds or BOUNDS))
-    found = rows.mapInArrow(run, "key long, label int, lines binary, lengths binary").toPandas()
+    made = write_table(spark, "quality_lines", rows.mapInArrow(run, "key long, label int, lines binary, lengths binary")
+                       .withColumn("h", F.xxhash64("lines")))
+    own = ["key", "label", "h"]
+    sizes = made.groupBy(*own).agg(F.sum(F.octet_length("lengths") / 4).alias("n")).where(F.col("n") * 10 <= most)
+    fits = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("key"), *own)))  # sum(bounds) rows at most
+    found = made.join(F.broadcast(fits.where(F.col("upto") <= most).select(*own)), own, "left_semi").drop("h").toPandas()
     found = found.sort_values("key", ignore_index=True)  # the same model whatever the partitions
     y = found.label.to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
