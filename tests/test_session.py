@@ -41,3 +41,25 @@ def test_clear_deletes_what_the_application_wrote(spark, tmp_path, monkeypatch):
     assert not os.path.exists(session.tables_folder(spark)) and other.is_dir()
     assert list(T._TABLES) == [("other", "x")]
     T.clear(spark)  # nothing left to delete
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {kind for kind in ("BroadcastHashJoin", "SortMergeJoin") if kind in plan}
+
+
+def test_large_written_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    large = session.write_table(spark, "large", spark.range(1000), small_rows=999)
+    small = session.write_table(spark, "small", spark.range(1000), small_rows=1000)
+    assert joins(spark.range(1 << 20).join(large.groupBy("id").count(), "id")) == {"SortMergeJoin"}
+    assert joins(spark.range(1 << 20).join(small, "id")) == {"BroadcastHashJoin"}
+    assert large.count() == 1000
+
+
+def test_written_joins_go_by_measured_sizes(spark):
+    before = [spark.conf.get(key, None) for key in (session.STATIC, session.ADAPTIVE)]
+    with session.measured_joins(spark):
+        assert joins(spark.range(1 << 20).join(spark.range(1000), "id")) == {"SortMergeJoin"}
+    assert [spark.conf.get(key, None) for key in (session.STATIC, session.ADAPTIVE)] == before
+    assert joins(spark.range(1 << 20).join(spark.range(1000), "id")) == {"BroadcastHashJoin"}

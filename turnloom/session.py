@@ -7,7 +7,11 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -78,12 +82,42 @@ def tables_folder(spark: SparkSession) -> str:
     return os.path.join(shared_folder(spark), "turnloom", spark.sparkContext.applicationId)
 
 
-def write_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+BROADCAST_ROWS = 1 << 17
+STATIC, ADAPTIVE = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Inside, sides are broadcast by the size their finished shuffles have, not by that of files.
+
+    A few MB of Parquet can be many millions of rows, and building one table of them is the driver's work.
+    """
+    limit, adaptive = spark.conf.get(STATIC), spark.conf.get(ADAPTIVE, None)
+    spark.conf.set(ADAPTIVE, limit if adaptive is None else adaptive)
+    spark.conf.set(STATIC, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATIC, limit)
+        if adaptive is None:
+            spark.conf.unset(ADAPTIVE)
+        else:
+            spark.conf.set(ADAPTIVE, adaptive)
+
+
+def write_table(spark: SparkSession, name: str, df: DataFrame, small_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write a table to the shared folder and read it back: short lineage that survives
-    executor loss, column pruning and filter pushdown for every reader."""
+    executor loss, column pruning and filter pushdown for every reader.
+
+    A table of more than `small_rows` rows asks its joins to merge, since its file size would pass for
+    one that can be broadcast.
+    """
     path = os.path.join(tables_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    with measured_joins(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return table.hint("merge") if seen.get["rows"] > small_rows else table
 
 
 def _located(spark: SparkSession, path: str):
