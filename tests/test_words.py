@@ -193,3 +193,17 @@ def test_texts_of_any_length_come_in_pieces(spark, pieces):
             want[last][1].append(w)
         assert got == sorted((s, i, k, who, len(ws[k * pieces:(k + 1) * pieces]), " ".join(ws[k * pieces:(k + 1) * pieces]))
                              for (s, i), (who, ws) in want.items() for k in range(-(-len(ws) // pieces)))
+
+
+def test_whole_text_of_many_pieces_is_one_row(spark):
+    rows = [("f", i, "S1" if i < 10 else "S2", f"w{i}") for i in range(23)] + [("g", 0, None, "w0")]
+    frame = spark.createDataFrame(rows, "source_file string, pos long, speaker string, scrubbed string")
+    found = W.whole(W.one_window(frame, piece_words=2), ["source_file"], "text").collect()
+    assert {r.source_file: r.text for r in found} == {
+        name: " ".join(w for s, _, _, w in rows if s == name) for name in "fg"} and len(found) == 2
+    turns = W.merge_speaker_turns(frame, Ordering(segment_rows=4), "scrubbed", 2)
+    got = W.whole(turns, ["source_file", "first_pos"], "scrubbed", F.first("speaker").alias("speaker"),
+                  F.sum("n_words").alias("n_words")).select("source_file", "first_pos", "speaker", "n_words", "scrubbed").collect()
+    assert sorted(map(tuple, got)) == [
+        ("f", 0, "S1", 10, " ".join(f"w{i}" for i in range(10))),
+        ("f", 10, "S2", 13, " ".join(f"w{i}" for i in range(10, 23))), ("g", 0, None, 1, "w0")]

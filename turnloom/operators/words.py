@@ -219,6 +219,12 @@ def one_window(words: DataFrame, word: str = "scrubbed", piece_words: int = PIEC
     return _joined(words.withColumn("piece", F.floor(F.col("pos") / piece_words)), ["source_file", "piece"], "pos", F.col(word))
 
 
+def whole(pieces: DataFrame, keys: Sequence[str], text: str, *more: Column) -> DataFrame:
+    """One row per text: its pieces in order, joined by a blank. The text is one value, as large as it is;
+    what moves to its task is one row per piece."""
+    return _joined(pieces, keys, "piece", F.col(text), *more).withColumnRenamed("text", text)
+
+
 def clean_token(text: str) -> str:
     """Token text without what tokenizers leave behind."""
     text = text.strip()

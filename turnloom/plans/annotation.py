@@ -78,26 +78,28 @@ def packed_windows(spark, sf_dir):
         "source_file", "window", F.size("words").cast("long").alias("n_words"), "text")
 
 
-@registered("b09_one_window", f"""
-    SELECT source_file, pos // {W.PIECE_WORDS} AS piece, string_agg(scrubbed, ' ' ORDER BY pos) AS text FROM word_rows GROUP BY ALL""")
+@registered("b09_one_window", """
+    SELECT source_file, string_agg(scrubbed, ' ' ORDER BY pos) AS text FROM word_rows GROUP BY ALL""")
 def one_window(spark, sf_dir):
-    return W.one_window(tables(spark, sf_dir).words()).select("source_file", "piece", "text")
+    pieces = W.one_window(tables(spark, sf_dir).words())
+    return W.whole(pieces, ["source_file"], "text").select("source_file", "text")
 
 
-@registered("b11_merged_turns", f"""
-    SELECT source_file, first_pos, (pos - first_pos) // {W.PIECE_WORDS} AS piece, filled AS speaker, count(*) AS n_words,
-           string_agg(word, ' ' ORDER BY pos) AS spoken_text
-    FROM (SELECT *, min(pos) OVER (PARTITION BY source_file, run) AS first_pos FROM (
+@registered("b11_merged_turns", """
+    SELECT source_file, min(pos) AS first_pos, filled AS speaker, count(*) AS n_words,
+           string_agg(word, ' ' ORDER BY pos) AS spoken_text FROM (
       SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY pos) AS run FROM (
         SELECT *, filled IS DISTINCT FROM lag(filled) OVER (PARTITION BY source_file ORDER BY pos) AS changed FROM (
           SELECT *, last_value(CASE WHEN speaker <> 'system' THEN speaker END IGNORE NULLS)
-                   OVER (PARTITION BY source_file ORDER BY pos) AS filled FROM word_rows)))) GROUP BY ALL""")
+                   OVER (PARTITION BY source_file ORDER BY pos) AS filled FROM word_rows))) GROUP BY source_file, run, filled""")
 def merged_turns(spark, sf_dir):
     """Words back to turns; words without a speaker continue the turn before them."""
     t = tables(spark, sf_dir)
     unknown = t.words().withColumn("speaker", F.when(F.col("speaker") != "system", F.col("speaker")))
-    return W.merge_speaker_turns(unknown, t.word_order()).select(
-        "source_file", "first_pos", "piece", "speaker", "n_words", "spoken_text")
+    pieces = W.merge_speaker_turns(unknown, t.word_order())
+    return W.whole(pieces, ["source_file", "first_pos"], "spoken_text", F.first("speaker").alias("speaker"),
+                   F.sum("n_words").alias("n_words")).select(
+        "source_file", "first_pos", "speaker", "n_words", "spoken_text")
 
 
 ENDINGS = {".": "Statement-non-opinion", ",": "Hedge", "?": "Wh-Question"}
