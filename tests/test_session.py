@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from tests.conftest import DATA
 from turnloom import session
 from turnloom.plans import tables as T
@@ -63,3 +65,13 @@ def test_written_joins_go_by_measured_sizes(spark):
         assert joins(spark.range(1 << 20).join(spark.range(1000), "id")) == {"SortMergeJoin"}
     assert [spark.conf.get(key, None) for key in (session.STATIC, session.ADAPTIVE)] == before
     assert joins(spark.range(1 << 20).join(spark.range(1000), "id")) == {"BroadcastHashJoin"}
+
+
+def test_tasks_of_written_tables_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    keys = (session.SHUFFLED, session.INITIAL)
+    before = [spark.conf.get(key, None) for key in keys]
+    many = session.write_table(spark, "many", spark.range(1 << 22).groupBy("id").count())
+    assert [spark.conf.get(key, None) for key in keys] == before
+    rows = [r["count"] for r in many.groupBy(F.input_file_name()).count().collect()]
+    assert sum(rows) == 1 << 22 and max(rows) <= 1 << 20

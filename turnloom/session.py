@@ -83,6 +83,8 @@ def tables_folder(spark: SparkSession) -> str:
 
 BROADCAST_ROWS = 1 << 17
 STATIC, ADAPTIVE = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+SHUFFLED, TASK_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 2 << 20
+INITIAL, SHUFFLE_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", 512
 
 
 @contextmanager
@@ -104,6 +106,27 @@ def measured_joins(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(ADAPTIVE, adaptive)
 
 
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Inside, a task reads about `TASK_BYTES` of a shuffle, in so far as keys allow it, whatever the size of the input.
+
+    Counts and labels compress to a few bytes a row, so the 64 MB Spark aims at are millions of rows, which
+    a sort or an aggregation of the task holds at their full size.
+    """
+    wanted = max(SHUFFLE_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    before = {key: spark.conf.get(key, None) for key in (SHUFFLED, INITIAL)}
+    spark.conf.set(SHUFFLED, str(TASK_BYTES))
+    spark.conf.set(INITIAL, str(wanted))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def write_table(spark: SparkSession, name: str, df: DataFrame, small_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write a table to the shared folder and read it back: short lineage that survives
     executor loss, column pruning and filter pushdown for every reader.
@@ -112,7 +135,7 @@ def write_table(spark: SparkSession, name: str, df: DataFrame, small_rows: int =
     one that can be broadcast.
     """
     path = os.path.join(tables_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    with measured_joins(spark):
+    with measured_joins(spark), small_tasks(spark):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     return table.hint("merge") if table.count() > small_rows else table  # the count reads file footers only
