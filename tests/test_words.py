@@ -207,3 +207,24 @@ def test_whole_text_of_many_pieces_is_one_row(spark):
     assert sorted(map(tuple, got)) == [
         ("f", 0, "S1", 10, " ".join(f"w{i}" for i in range(10))),
         ("f", 10, "S2", 13, " ".join(f"w{i}" for i in range(10, 23))), ("g", 0, None, 1, "w0")]
+
+
+def load_memory_scorer():
+    """Scores are the largest memory the worker had so far, in kB."""
+    import resource
+
+    return lambda texts: [
+        [{"word": w, "entity": "x", "score": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss} for w in text.split(" ")]
+        for text in texts]
+
+
+def test_scoring_holds_few_windows_at_once(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.struct(
+        (F.col("id") * 60 + i).alias("pos"), F.concat(F.lit("word"), i.cast("string")).alias("word")))
+    windows = spark.range(8000, numPartitions=1).select(
+        F.lit("a").alias("source_file"), words.alias("words")).withColumn(
+        "text", F.array_join(F.transform("words", lambda w: w["word"]), " "))
+    row = W.score_words(windows, load_memory_scorer).agg(
+        F.count("*"), F.countDistinct("pos"), F.max("raw_score") - F.min("raw_score")).first()
+    assert row[0] == row[1] == 8000 * 60
+    assert row[2] < 40 << 10

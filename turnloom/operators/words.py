@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,27 +258,28 @@ def score_words(windows: DataFrame, load_scorer: Callable[[], Scorer], batch_siz
 
     `load_scorer` runs once per task and returns a function from texts to token lists; a
     token has `word`, `entity` and `score`. Label and score of a word are those of its first
-    token. Alignment never leaves its window, so one bad window cannot shift the next.
+    token. Alignment never leaves its window, so one bad window cannot shift the next. Only the
+    `batch_size` windows that are scored together become Python objects.
     """
+    columns = pa.schema([("source_file", pa.string()), ("pos", pa.int64()), ("pred_da", pa.string()),
+                         ("raw_score", pa.float64()), ("words_prediction", pa.string())])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load_scorer()
-        for pdf in batches:
-            out = []
-            for first in range(0, len(pdf), batch_size):
-                part = pdf.iloc[first:first + batch_size]
-                for source, words, tokens in zip(
-                    part["source_file"], part["words"], scorer(list(part["text"]))
-                ):
-                    found = align([w["word"] for w in words], tokens)
-                    for word, taken in zip(words, found):
+        for batch in batches:
+            for first in range(0, batch.num_rows, batch_size):
+                out = []
+                part = batch.slice(first, batch_size).to_pylist()
+                for window, tokens in zip(part, scorer([window["text"] for window in part])):
+                    words = window["words"]
+                    for word, taken in zip(words, align([w["word"] for w in words], tokens)):
                         if taken:
-                            out.append((source, word["pos"], taken[0]["entity"], taken[0]["score"],
+                            out.append((window["source_file"], word["pos"], taken[0]["entity"], taken[0]["score"],
                                         "".join(t["word"] for t in taken)))
-            yield pd.DataFrame(
-                out, columns=["source_file", "pos", "pred_da", "raw_score", "words_prediction"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[i] for row in out], field.type) for i, field in enumerate(columns)], schema=columns)
 
-    return windows.select("source_file", "words", "text").mapInPandas(
+    return windows.select("source_file", "words", "text").mapInArrow(
         score, "source_file string, pos long, pred_da string, raw_score double, words_prediction string")
 
 
