@@ -11,6 +11,7 @@ from turnloom.functions import spectra
 from turnloom.operators import graphs as G
 from turnloom.operators import similarity as S
 from turnloom.operators.ordered import Ordering
+from turnloom.session import write_table
 
 
 def sequences(seed, n, alphabet="ABCD"):
@@ -65,6 +66,21 @@ def test_path_graphs_equal_the_sequential_fold(spark, chunk):
         assert sum(got.get(graph, {}).values()) == sum(max(0, len(s) - 1) for s in seqs)
 
 
+def test_rounds_of_path_graphs_do_not_grow_with_the_chunks(spark, monkeypatch):
+    seqs, written = sequences(1, 2000), []
+
+    def write(session, name, df):
+        written.append(name)
+        return write_table(session, name, df)
+
+    monkeypatch.setattr(G, "write_table", write)
+    rows = [("g", "f", i * 100, i * 100 + j, x) for i, labels in enumerate(seqs) for j, x in enumerate(labels)]
+    frame = spark.createDataFrame(rows, "graph_id string, source_file string, seq long, pos long, label string")
+    got = {(r.src, r.dst): r.weight for r in G.path_edges(frame, chunk=20).collect()}
+    assert got == sequential_paths(seqs)
+    assert written.count("path_walked") <= 16  # of 100 chunks
+
+
 @pytest.mark.parametrize("segment", [None, 1, 3])
 def test_alternating_visits(spark, segment):
     labels = list("ABABCABA")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import ngrams as N
 from turnloom.operators import reach
-from turnloom.operators.ordered import SEGMENT_ROWS, Ordering, carry, running_total
+from turnloom.operators.ordered import Ordering, carry, running_total
 from turnloom.session import write_table
 
 NODE_SEPARATOR = "→"
@@ -117,11 +117,11 @@ def path_edges(rows: DataFrame, chunk: int = 1000, salts: int = 16) -> DataFrame
     (source_file, seq).
 
     A sequence depends on earlier ones only through which edges exist. Sequences are numbered along
-    their graph and cut into chunks of `chunk`. Chunks are walked in parallel, each in order, from the
-    edges that were assumed to exist before it; a table says in which chunk each edge appears first. Where
-    that changes, the chunks between the old and the new first one that take the edge's reverse step are
-    walked again, until nothing changes. By induction along the chunks such a fixed point is the
-    sequential result. A graph has at most (2 * labels)^2 edges, the only state a walk holds.
+    their graph and cut into chunks of `chunk`. Of every graph the chunks up to `upto` are done; as many
+    chunks again are walked in parallel, each from the edges of the done ones. The first chunk that makes
+    a new edge is right, as are those before it, which made none; those after it are walked again with its
+    edges. So a round doubles what is done of a graph or finds a new edge of it, and a graph has at most
+    (2 * labels)^2 edges, the only state a walk holds.
     """
     spark = rows.sparkSession
     by = ["graph_id", "source_file", "seq"]
@@ -129,46 +129,33 @@ def path_edges(rows: DataFrame, chunk: int = 1000, salts: int = 16) -> DataFrame
     number = running_total(rows.select(*by).distinct(), by[:1], by[1:], name="chunk")
     rows = write_table(spark, "path_chunks", rows.join(
         number.withColumn("chunk", F.floor(F.col("chunk") / chunk)), by))
-    place = Window.partitionBy(*by, "part").orderBy("pos")
-    # steps of each chunk; a step between two parts of a long sequence is found from both parts' ends
-    cut = rows.withColumn("part", F.floor(F.col("pos") / SEGMENT_ROWS))
-    inside = cut.select("*", F.lag("label").over(place).alias("before"))
-    ends = cut.groupBy("graph_id", "chunk", *by[1:], "part").agg(
-        F.min_by("label", "pos").alias("first"), F.max_by("label", "pos").alias("last"))
-    over = Window.partitionBy(*by).orderBy("part")
-    joints = ends.select("graph_id", "chunk", F.lag("last").over(over).alias("before"), F.col("first").alias("label"))
-    steps = write_table(spark, "path_steps", inside.select("graph_id", "chunk", "before", "label").unionByName(joints)
-                        .filter("before IS NOT NULL").distinct())
-    of = lambda node: F.regexp_replace(node, "_[ab]$", "")
     none = F.lit(None).cast("string")
     salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    todo = rows.select("graph_id", "chunk").distinct()
-    firsts = spark.createDataFrame([], "graph_id string, src string, dst string, chunk long")
-    walked = spark.createDataFrame([], "graph_id string, chunk long, src string, dst string, weight long")
+    end = F.least(F.col("last"), 2 * F.col("upto") + 2)
+    edges = spark.createDataFrame([], "graph_id string, src string, dst string, weight long")
+    graphs = write_table(spark, "path_done", rows.groupBy("graph_id").agg(F.max("chunk").alias("last")).withColumn(
+        "upto", F.lit(-1).cast("long")))
     while True:
-        asked = todo.withColumn("salt", F.col("chunk") % salts)
-        before = asked.join(firsts.withColumnRenamed("chunk", "first").withColumn("salt", salt),
-                            ["graph_id", "salt"]).filter(F.col("first") < F.col("chunk"))
+        live = graphs.filter("upto < last")
+        low, high = live.agg(F.min("upto"), F.max(end)).first()
+        if low is None:
+            return edges
+        todo = live.select("graph_id", F.explode(F.sequence(F.col("upto") + 1, end)).alias("chunk"))
+        before = todo.withColumn("salt", F.col("chunk") % salts).join(edges.withColumn("salt", salt), ["graph_id", "salt"])
         given = before.select("graph_id", "chunk", none.alias("source_file"), F.lit(None).cast("long").alias("seq"),
                               F.lit(None).cast("long").alias("pos"), none.alias("label"), "src", "dst")
-        own = rows.join(todo, ["graph_id", "chunk"], "left_semi").select(*given.columns[:-2], none.alias("src"), none.alias("dst"))
+        own = rows.filter((F.col("chunk") > low) & (F.col("chunk") <= high)).join(
+            todo, ["graph_id", "chunk"], "left_semi").select(*given.columns[:-2], none.alias("src"), none.alias("dst"))
         ordered = given.unionByName(own).repartition("graph_id", "chunk").sortWithinPartitions(
             "graph_id", "chunk", F.col("source_file").asc_nulls_first(), F.col("seq").asc_nulls_first(), "pos")
-        again = ordered.mapInPandas(_walk_chunks, walked.schema)
-        walked = write_table(spark, "path_walked", walked.join(todo, ["graph_id", "chunk"], "left_anti").unionByName(again))
-        now = write_table(spark, "path_firsts", walked.groupBy("graph_id", "src", "dst").agg(F.min("chunk").alias("chunk")))
-        moved = now.withColumnRenamed("chunk", "new").join(
-            firsts.withColumnRenamed("chunk", "old"), ["graph_id", "src", "dst"], "full").filter(
-            ~F.col("new").eqNullSafe(F.col("old")))
-        far = F.lit(1 << 62)
-        spans = moved.select("graph_id", of(F.col("dst")).alias("before"), of(F.col("src")).alias("label"),
-                             F.least("old", "new").alias("low"),
-                             F.greatest(F.coalesce("old", far), F.coalesce("new", far)).alias("high"))
-        todo = write_table(spark, "path_todo", steps.join(spans, ["graph_id", "before", "label"]).filter(
-            (F.col("low") < F.col("chunk")) & (F.col("chunk") <= F.col("high"))).select("graph_id", "chunk").distinct())
-        firsts = now
-        if todo.isEmpty():
-            return walked.groupBy("graph_id", "src", "dst").agg(F.sum("weight").alias("weight"))
+        walked = write_table(spark, "path_walked", ordered.mapInPandas(
+            _walk_chunks, "graph_id string, chunk long, src string, dst string, weight long"))
+        new = walked.join(edges, ["graph_id", "src", "dst"], "left_anti").groupBy("graph_id").agg(F.min("chunk").alias("new"))
+        graphs = write_table(spark, "path_done", graphs.join(new, "graph_id", "left").select(
+            "graph_id", "last", F.coalesce("new", end).alias("upto")))
+        right = walked.join(graphs, "graph_id").filter(F.col("chunk") <= F.col("upto")).select(*edges.columns)
+        edges = write_table(spark, "path_edges", edges.unionByName(right).groupBy("graph_id", "src", "dst").agg(
+            F.sum("weight").alias("weight")))
 
 
 def pool(edges: DataFrame, pool_id: Column) -> DataFrame:
