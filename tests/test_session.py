@@ -67,6 +67,14 @@ def test_written_joins_go_by_measured_sizes(spark):
     assert joins(spark.range(1 << 20).join(spark.range(1000), "id")) == {"BroadcastHashJoin"}
 
 
+def test_sides_of_some_mb_are_not_sent(spark):
+    rows = spark.range(200_000).groupBy("id").count()
+    with session.measured_joins(spark):
+        joined = spark.range(1 << 20).join(rows, "id").agg(F.count("*"))
+        assert joined.collect()[0][0] == 200_000
+    assert joins(joined) == {"SortMergeJoin"}
+
+
 def test_tasks_of_written_tables_stay_small(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
     keys = (session.SHUFFLED, session.INITIAL)

@@ -242,10 +242,10 @@ def components(edges: DataFrame) -> DataFrame:
     strong = reach.strong(edges).groupBy("graph_id", "root").agg(F.count("*").alias("m")).groupBy("graph_id").agg(
         F.count("*").alias("n_strong"), F.max("m").alias("_s"))
     totals = reach.total_distances(edges, members)
-    return largest.join(strong, "graph_id").join(totals, "graph_id", "left").select(
+    return write_table(spark, "components", largest.join(strong, "graph_id").join(totals, "graph_id", "left").select(
         "graph_id", "n_weak", "n_strong", (F.col("_m") / F.col("_nodes")).alias("largest_weak_frac"),
         (F.col("_s") / F.col("_nodes")).alias("largest_strong_frac"),
-        (F.col("total") / (F.col("_m") * (F.col("_m") - 1))).alias("avg_shortest_path"))
+        (F.col("total") / (F.col("_m") * (F.col("_m") - 1))).alias("avg_shortest_path")))
 
 
 def top_edges(edges: DataFrame, top: int = 3) -> DataFrame:
@@ -268,7 +268,7 @@ def metrics(edges: DataFrame) -> DataFrame:
     out = sizes(edges)
     for part in (degrees(edges), clustering(edges), components(edges), top_edges(edges)):
         out = out.join(part, "graph_id")
-    return out
+    return write_table(edges.sparkSession, "graph_metrics", out)
 
 
 def heavy_edges(edges: DataFrame, quantile: float = 0.8) -> DataFrame:

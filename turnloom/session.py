@@ -81,7 +81,7 @@ def tables_folder(spark: SparkSession) -> str:
     return os.path.join(shared_folder(spark), "turnloom", spark.sparkContext.applicationId)
 
 
-BROADCAST_ROWS = 1 << 17
+BROADCAST_ROWS, BROADCAST_BYTES = 1 << 17, 1 << 20
 STATIC, ADAPTIVE = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 SHUFFLED, TASK_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 2 << 20
 INITIAL, SHUFFLE_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", 512
@@ -92,9 +92,12 @@ def measured_joins(spark: SparkSession) -> Iterator[None]:
     """Inside, sides are broadcast by the size their finished shuffles have, not by that of files.
 
     A few MB of Parquet can be many millions of rows, and building one table of them is the driver's work.
+    The table takes some three times its rows, and a plan of many joins builds its tables at once, so
+    only sides of up to `BROADCAST_BYTES` are sent.
     """
     limit, adaptive = spark.conf.get(STATIC), spark.conf.get(ADAPTIVE, None)
-    spark.conf.set(ADAPTIVE, limit if adaptive is None else adaptive)
+    most = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit if adaptive is None else adaptive))
+    spark.conf.set(ADAPTIVE, str(min(most, BROADCAST_BYTES)))
     spark.conf.set(STATIC, "-1")
     try:
         yield
