@@ -87,3 +87,12 @@ def test_messages_round_trip():
     assert x.tolist() == a.tolist() and not len(y)
     hashes = np.array([0, 1, 2**48 - 1], "<u8")
     assert runs._eight(runs._six(hashes)).tolist() == hashes.tolist()
+
+
+def test_anchors_are_dealt_evenly():
+    """An anchor is the least hash around it; buckets must not go by that, or a few get most entries."""
+    rows = [cases.words(2000, 50 + n, 5000).encode() for n in range(20)]
+    keys, no = np.arange(20), np.zeros(20, bool)
+    found = suffix_dedup._Suffixes(50).anchors(runs.Run(keys, rows, no, no, keys))
+    dealt = np.bincount(runs.bucket_of(found.hashes, 16).astype(int), minlength=16)
+    assert dealt.max() < 1.5 * dealt.mean()

@@ -26,6 +26,7 @@ from turnloom.llm.runs import Anchors, Entries, Run, pack, search, unpack
 
 WIDTH = 50
 _CHUNK = 1 << 21  # bytes of text whose grams are hashed at once
+_ANCHORS = 1 << 16  # anchors whose surroundings are held at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,6 +60,12 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes, one to one. Smallest hashes have small high bits, by which buckets are dealt out."""
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    return hashes ^ (hashes >> np.uint64(29))
+
+
 def window_minima(hashes: np.ndarray, valid: np.ndarray, count: int) -> np.ndarray:
     """Positions of the leftmost smallest hash of each window of `count`; `valid` says where windows
     start."""
@@ -109,47 +116,59 @@ class _Suffixes:
         hashes = _grams(data, self.gram)
         at = window_minima(hashes, valid, self.width - self.gram + 1)
         doc = np.searchsorted(ends, at, "right")
-        out[0].append(hashes[at])
+        out[0].append(_spread(hashes[at]))
         out[1].append(np.array(group, np.int64)[doc])
         out[2].append(at - (ends - lengths)[doc])
 
     def entries(self, run: Run, found: Anchors, buckets: np.ndarray) -> Entries:
         n, left, width = len(found.docs), self.left, self.width
+        entry, least, messages = np.zeros(n, np.int64), np.zeros(n, np.int64), {}
         if not n:
-            return Entries({}, buckets, np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return Entries(messages, buckets, entry, least)
         used = np.unique(found.docs)
         start = np.zeros(len(run.texts), np.int64)
         lengths = np.array([len(run.texts[i]) for i in used], np.int64)
         start[used] = left + np.concatenate(([0], np.cumsum(lengths + left + width)[:-1]))
         gap = bytes(left + width)
-        data = np.frombuffer(bytes(left) + b"".join(run.texts[i] + gap for i in used), np.uint8)
+        data = np.frombuffer(bytes(left) + b"".join([x for i in used for x in (run.texts[i], gap)]), np.uint8)
         size = np.zeros(len(run.texts), np.int64)
         size[used] = lengths
-        before = np.minimum(found.places, left)
-        after = np.minimum(size[found.docs] - found.places, width)
+        order = np.argsort(buckets, kind="stable")
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(buckets[order]) != 0)), n)
+        low = 0
+        while low < n:  # whole buckets, some thousand anchors at a time
+            high = int(edges[max(np.searchsorted(edges, low + _ANCHORS, "right") - 1, np.searchsorted(edges, low, "right"))])
+            part = order[low:high]
+            entry[part], least[part] = self._messages(run, found, buckets, part, data, start, size, messages)
+            low = high
+        return Entries(messages, buckets, entry, least)
+
+    def _messages(self, run: Run, found: Anchors, buckets, part, data, start, size, messages: dict[int, bytes]):
+        """Adds the messages of some whole buckets; the entry and least key of each of their anchors."""
+        n, left, width = len(part), self.left, self.width
+        docs, places = found.docs[part], found.places[part]
         # suffix, its length, then the bytes to the left from the anchor outwards and their number
         shape = np.zeros((n, width + left + 2), np.uint8)
-        at = start[found.docs] + found.places
-        for low in range(0, n, 1 << 16):
-            part = slice(low, low + (1 << 16))
-            shape[part, :width] = data[at[part, None] + np.arange(width)]
-            shape[part, width + 1:-1] = data[at[part, None] - np.arange(1, left + 1)]
-        shape[:, width], shape[:, -1] = after, before
+        at = start[docs] + places
+        shape[:, :width] = data[at[:, None] + np.arange(width)]
+        shape[:, width + 1:-1] = data[at[:, None] - np.arange(1, left + 1)]
+        shape[:, width], shape[:, -1] = np.minimum(size[docs] - places, width), np.minimum(places, left)
         whole = shape.view(f"S{shape.shape[1]}").ravel()
-        order = np.lexsort((np.argsort(np.argsort(whole, kind="stable"), kind="stable"), buckets))
-        shape, b, keys = shape[order], buckets[order], run.keys[found.docs[order]]
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(whole, kind="stable")] = np.arange(n)
+        order = np.lexsort((rank, buckets[part]))
+        shape, b, keys = shape[order], buckets[part][order], run.keys[docs[order]]
         new = np.append(True, (b[1:] != b[:-1]) | (shape[1:] != shape[:-1]).any(1))
         starts = np.flatnonzero(new)
         first, name = np.minimum.reduceat(keys, starts), np.cumsum(new) - 1
         shape, b = shape[starts], b[starts]
         edges = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        messages = {}
         for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(b)]):
             messages[int(b[i])] = self._front_coded(shape[i:j], first[i:j])
         entry, least = np.zeros(n, np.int64), np.zeros(n, np.int64)
         entry[order] = name - np.repeat(edges, np.diff(np.append(edges, len(b))))[name]
         least[order] = first[name]
-        return Entries(messages, buckets, entry, least)
+        return entry, least
 
     def _front_coded(self, shape: np.ndarray, keys: np.ndarray) -> bytes:
         suffix, width = shape[:, :self.width], self.width
@@ -199,19 +218,16 @@ class _Suffixes:
     def results(self, run: Run, found: Anchors, entries: Entries, verdicts: dict[int, bytes]) -> pa.Table:
         size = np.array([len(t) for t in run.texts], np.int64)
         ends = np.cumsum(size)
-        covered = np.zeros(int(size.sum()) + 1, np.int32)
+        begun = np.zeros(int(size.sum()), bool)  # where a string starts that an earlier document has
         if len(found.docs):
             bits = self._bits(run, found, entries, verdicts, size)
             at = (ends - size)[found.docs] + found.places
-            starts = np.concatenate([at[(bits >> np.uint64(s)) & np.uint64(1) == 1] - s
-                                     for s in range(self.left + 1)])
-            covered += np.bincount(starts, minlength=len(covered)).astype(np.int32)
-            covered -= np.bincount(starts + self.width, minlength=len(covered)).astype(np.int32)
-        covered = np.cumsum(covered[:-1]) > 0
+            for s in range(self.left + 1):
+                begun[at[(bits >> np.uint64(s)) & np.uint64(1) == 1] - s] = True
         whole = run.copy & ~run.nulls & (size >= self.width)
         kept, span_starts, span_ends, span_count = [], [], [], [0]
         for i, text in enumerate(run.texts):
-            gone = covered[ends[i] - size[i]:ends[i]]
+            gone = self._covered(begun[ends[i] - size[i]:ends[i]])
             if whole[i]:
                 kept.append(b"")
                 span_starts.append([0]), span_ends.append([size[i]])
@@ -229,6 +245,14 @@ class _Suffixes:
         return pa.table({"key": pa.array(run.keys, pa.int64(), mask=run.nulls), "n_bytes": pa.array(size),
                          "spans": spans, "kept": pa.array(kept, pa.binary())})
 
+    def _covered(self, begun: np.ndarray) -> np.ndarray:
+        """The bytes of a text that lie in one of the strings that start at `begun`."""
+        if not begun.any():
+            return begun
+        upto = np.cumsum(begun, dtype=np.int32)
+        upto[self.width:] -= upto[:-self.width].copy()
+        return upto > 0
+
     def _bits(self, run: Run, found: Anchors, entries: Entries, verdicts: dict[int, bytes], size) -> np.ndarray:
         bucket = entries.buckets
         bits = np.zeros(len(found.docs), np.uint64)
@@ -239,12 +263,13 @@ class _Suffixes:
             rows = order[i:j]
             bits[rows] = unpack(verdicts[int(b[i])], "<u8")[0][entries.entry[rows]]
         # the same context in an earlier document of the run: every string that fits
-        later = run.keys[found.docs] > entries.first
-        s = np.arange(self.left + 1)
-        fits = ((np.minimum(found.places, self.left)[:, None] >= s)
-                & ((size[found.docs] - found.places)[:, None] >= self.width - s))
-        full = (fits.astype(np.uint64) << s.astype(np.uint64)).sum(1, dtype=np.uint64)
-        return np.where(later, full, bits)
+        later = np.flatnonzero(run.keys[found.docs] > entries.first)
+        before, after = found.places[later], (size[found.docs] - found.places)[later]
+        full = np.zeros(len(later), np.uint64)
+        for s in range(self.left + 1):
+            full |= ((before >= s) & (after >= self.width - s)).astype(np.uint64) << np.uint64(s)
+        bits[later] = full
+        return bits
 
 
 def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[list[tuple[int, int, int]], list[int]]:
