@@ -7,6 +7,7 @@ import pytest
 
 from tests.llm import cases
 from turnloom.llm import compact_windows as cw
+from turnloom.llm import runs
 
 
 def words_in(text):
@@ -190,3 +191,40 @@ def test_ranges_equal_those_of_all_pairs(words, similar):
         keys = rng.integers(0, max(2, n - n // 8), n)
         want = every_pair(method, code, keys, near)
         assert searched(method, code, keys, near) == want
+
+
+def test_variants_that_share_too_little_are_not_compared():
+    """Many edited copies of a passage: bitmaps tell most pairs apart, so few are compared shingle by shingle."""
+    rng, method = np.random.default_rng(9), cw._Windows(5, 50, 0.8, 3)
+    n, wide = 400, 2 * method.reach + 1
+    near = np.repeat(rng.integers(1, 1 << 24, (1, wide), dtype=np.uint32), n, 0)
+    for row in near:
+        for at in rng.choice([i for i in range(wide) if not 36 < i < 50], 4, replace=False):
+            row[at:at + 5] = rng.integers(1, 1 << 24, len(row[at:at + 5]))
+        row[method.reach] = 7
+    code, keys = np.full(n, 3, np.uint64), np.arange(n)
+    want, compared = every_pair(method, code, keys, near), []
+    verified = method._verified
+    method._verified = lambda x, y, *more: compared.append(len(x)) or verified(x, y, *more)
+    assert searched(method, code, keys, near) == want and sum(w[0] < 127 for w in want) > n // 2
+    assert sum(compared) < 4 * n
+
+
+def test_large_buckets_are_merged_by_ranges_of_hashes(monkeypatch):
+    """The verdicts do not depend on how many rows are merged at once, nor on the order of the runs."""
+    rng, method = np.random.default_rng(11), cw._Windows(5, 12, 0.8, 3)
+    wide = 2 * method.reach + 1
+    base, parts = rng.integers(1, 1 << 24, (5, wide), dtype=np.uint32), []
+    for run in range(4):
+        code = np.sort(rng.choice(np.array([1, 2, 3, 1 << 63, (1 << 64) - 1][:run + 2], np.uint64), 30))  # not every run has every hash
+        near = base[rng.integers(0, 5, 30)]
+        near[:, :3] = rng.integers(1, 4, (30, 3))
+        row = np.concatenate((code.astype(">u8").view(np.uint8).reshape(-1, 8),
+                              near.view(np.uint8).reshape(30, -1, 4)[:, :, :3].reshape(30, -1)), 1)
+        parts.append(runs.pack(rng.integers(0, 40, 30).astype("<i8"), row))
+    whole = [runs.unpack(m, "i1", "i1", "<i8") for m in method.merge(parts)]
+    monkeypatch.setattr(cw, "_ROWS", 7)
+    for order in ([0, 1, 2, 3], [2, 0, 3, 1]):
+        for i, m in zip(order, method.merge([parts[i] for i in order])):
+            assert all((x == y).all() for x, y in zip(whole[i], runs.unpack(m, "i1", "i1", "<i8")))
+    assert sum((w[2] < 40).sum() for w in whole) > 60

@@ -19,7 +19,10 @@ windows share, no more than a few may be missing, so one of the rarest shingles
 the other document. A class of surroundings meets the earliest ones first and stops when no window
 outside the range found could be repeated, as too few of its shingles occur in any earlier document
 or none reaches as far.
-So variants of a frequent passage do not meet in all pairs, and nothing is capped.
+So variants of a frequent passage do not meet in all pairs, and nothing is capped. Before two classes are
+compared shingle by shingle, a bitmap of the earlier one's shingles, which misses none, says whether any
+window that could still add to the range may have enough of them. A bucket is searched by ranges of its
+hashes, so its rows are not all held as numbers at once.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a null text is empty; texts
 shorter than a window have no passages; an exact copy of a text is one whole passage; a null key
@@ -43,6 +46,9 @@ _CHUNK = 1 << 21
 _CLASSES = 1 << 14  # classes of equal surroundings searched at once; a larger group is searched whole
 _ANCHORS = 1 << 14  # anchors whose surroundings are held at once
 _POSTINGS = 1 << 20  # places of chosen shingles looked at at once
+_ROWS = 1 << 15  # surroundings of a bucket merged at once; those of a larger group are merged whole
+_PAIRS = 1 << 12  # pairs of classes whose bitmaps are looked at at once
+_BITS = 1 << 10  # in the bitmap of a class
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -218,27 +224,40 @@ class _Windows:
 
     def merge(self, parts: list[bytes]) -> list[bytes]:
         width = 8 + 3 * (2 * self.reach + 1)
-        runs = [unpack(p, "<i8", "u1") for p in parts]
-        keys = np.concatenate([k for k, _ in runs])
-        rows = np.concatenate([r.reshape(-1, width) for _, r in runs])
-        base = np.cumsum([0, *[len(k) for k, _ in runs]])
+        runs = [(k, r.reshape(-1, width)) for k, r in (unpack(p, "<i8", "u1") for p in parts)]
+        codes = [np.ascontiguousarray(r[:, :8]).view(">u8").ravel().astype(np.uint64) for _, r in runs]  # sorted
+        base = np.cumsum([0, *[len(c) for c in codes]])
+        low, high = np.full(base[-1], 127, np.int8), np.full(base[-1], -128, np.int8)
+        source = np.full(base[-1], np.iinfo(np.int64).max)
+        every, i = np.sort(np.concatenate(codes)), 0
+        while i < len(every):  # whole groups, some thousand rows at a time
+            j = min(i + _ROWS, len(every))
+            if j < len(every):
+                j = max(int(np.searchsorted(every, every[j])), int(np.searchsorted(every, every[i], "right")))
+            cut = [slice(np.searchsorted(c, every[i]), np.searchsorted(c, every[j - 1], "right")) for c in codes]
+            rows = np.concatenate([np.arange(len(c))[x] + n for c, x, n in zip(codes, cut, base)])
+            low[rows], high[rows], source[rows] = self._merged(
+                np.concatenate([c[x] for c, x in zip(codes, cut)]), np.concatenate([k[x] for (k, _), x in zip(runs, cut)]),
+                np.concatenate([_wide(r[x, 8:]) for (_, r), x in zip(runs, cut)]))
+            i = j
+        return [pack(low[i:j], high[i:j], source[i:j].astype("<i8")) for i, j in zip(base[:-1], base[1:])]
+
+    def _merged(self, code: np.ndarray, keys: np.ndarray, near: np.ndarray):
+        """Range and earliest source of each row of some whole groups."""
         low, high = np.full(len(keys), 127, np.int8), np.full(len(keys), -128, np.int8)
         source = np.full(len(keys), np.iinfo(np.int64).max)
-        ended = np.concatenate((rows, np.ones((len(rows), 1), np.uint8)), 1)
-        rank = np.empty(len(keys), np.int64)
-        rank[np.argsort(ended.view(f"S{width + 1}").ravel(), kind="stable")] = np.arange(len(keys))
-        order = np.lexsort((keys, rank)) if len(keys) else np.zeros(0, np.int64)
-        # equal rows have distinct ranks, so sort them by key among themselves
-        r = rows[order]
-        new = np.append(True, (r[1:] != r[:-1]).any(1))
+        digest = np.zeros(len(keys), np.uint64)
+        for i in range(near.shape[1]):
+            digest = (digest ^ near[:, i]) * _MIX
+            digest ^= digest >> np.uint64(29)
+        order = np.lexsort((keys, digest, code))
+        new = np.append(True, (code[order[1:]] != code[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]]))
+        for i in range(1, len(order), _PAIRS):  # a digest may have several surroundings
+            part = slice(i, min(i + _PAIRS, len(order)))
+            new[part] |= (near[order[part]] != near[order[part.start - 1:part.stop - 1]]).any(1)
         group = np.cumsum(new) - 1
-        order = order[np.lexsort((keys[order], group))]
-        starts = np.flatnonzero(new)
-        lead = order[starts]  # the earliest of each class of equal surroundings
-        near = np.zeros((len(lead), 2 * self.reach + 1, 4), np.uint8)
-        near[:, :, :3] = rows[lead, 8:].reshape(len(lead), -1, 3)
-        near = near.view(np.uint32)[:, :, 0]
-        code = np.ascontiguousarray(rows[lead, :8]).view(">u8").ravel().astype(np.uint64)
+        lead = order[np.flatnonzero(new)]  # the earliest of each class of equal surroundings
+        near = near[lead]
         a, b = self._extent(near)
         mine = lead[group]
         later = keys[order] > keys[mine]
@@ -246,12 +265,46 @@ class _Windows:
         rest = order[fits]
         low[rest], high[rest] = -a[group[fits]], b[group[fits]]
         source[rest] = keys[mine[fits]]
-        low[lead], high[lead], source[lead] = self._similar(code, keys[lead], near, a, b)
+        low[lead], high[lead], source[lead] = self._similar(code[lead], keys[lead], near, a, b)
         # what the first of a class has in earlier documents, the others of the class have too
         source[rest] = np.minimum(source[rest], source[mine[fits]])
         same = order[~fits]
         low[same], high[same], source[same] = (x[mine[~fits]] for x in (low, high, source))
-        return [pack(low[i:j], high[i:j], source[i:j].astype("<i8")) for i, j in zip(base[:-1], base[1:])]
+        return low, high, source
+
+    def _shared(self, group: np.ndarray, near: np.ndarray) -> tuple[int, np.ndarray]:
+        """How many shingles occur in a group more than once, and at each place the number of its shingle, or
+        how many there are if it is none of them."""
+        tagged = near if not group[-1] else (group.astype(np.uint64) << np.uint64(24))[:, None] | near
+        flat = np.sort(tagged, axis=None)
+        flat = flat[1:][flat[1:] == flat[:-1]]
+        flat = flat[np.append(True, flat[1:] != flat[:-1])[:len(flat)]]
+        flat = flat[flat & flat.dtype.type(0xFFFFFF) != 0]
+        place, ended = np.empty(near.shape, np.int32), np.append(flat, np.iinfo(flat.dtype).max)
+        for i in range(0, len(near), _PAIRS):
+            at = np.searchsorted(flat, tagged[i:i + _PAIRS])
+            place[i:i + _PAIRS] = np.where(ended[at] == tagged[i:i + _PAIRS], at, len(flat))
+        return len(flat), place
+
+    def _enough(self, held: np.ndarray) -> np.ndarray:
+        """For each window of each row: whether enough of its places are held."""
+        upto = np.zeros((len(held), held.shape[1] + 1), np.uint8)
+        np.cumsum(held, 1, np.uint8, upto[:, 1:])
+        return upto[:, self.length:] - upto[:, :-self.length] >= self.enough
+
+    def _bitmaps(self, near: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit of the shingle at each place, one that no bitmap has if it is not shared; and the bitmap of
+        each class, one after the other."""
+        bits = np.empty(near.shape, np.uint16)
+        maps = np.zeros((len(near), _BITS // 8 + 1), np.uint8)
+        for i in range(0, len(near), _PAIRS):
+            part = slice(i, i + _PAIRS)
+            bits[part] = np.where(shared[part], (near[part] * np.uint32(0x9E3779B1)) >> np.uint32(22), _BITS)
+            held = np.zeros((len(bits[part]), _BITS + 8), bool)
+            held[np.arange(len(held))[:, None], bits[part]] = True
+            held[:, _BITS:] = False
+            maps[part] = np.packbits(held, axis=1, bitorder="little")
+        return bits, maps.ravel()
 
     def _extent(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = near != 0
@@ -283,26 +336,48 @@ class _Windows:
         windows outside the range found so far matter."""
         n, length, few = len(keys), self.length, self.length - self.enough + 1
         group, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-        values, place = np.unique((group.astype(np.uint64) << np.uint64(24))[:, None] | near, return_inverse=True)
-        place = place.reshape(near.shape)
-        held = np.unique(place * n + np.arange(n)[:, None])  # each shingle once for each class
-        begin = np.searchsorted(held, np.arange(len(values) + 1) * n)
-        freq = np.diff(begin)
-        known = (keys[held[begin[:-1]] % n][place] < keys[:, None]) & (near != 0)
-        upto = np.concatenate((np.zeros((n, 1), np.int32), np.cumsum(known, 1, dtype=np.int32)), 1)
+        size, place = self._shared(group, near)  # place `size`: no other class has it
+        fits, able = np.zeros((n, length), bool), np.zeros((n, length), bool)
         w = np.arange(length)
-        able = upto[:, length:] - upto[:, :-length] >= self.enough
-        fits = (w >= self.reach - a[:, None]) & (w <= b[:, None])
+        for i in range(0, n, _PAIRS):
+            part = slice(i, i + _PAIRS)
+            fits[part] = (w >= self.reach - a[part, None]) & (w <= b[part, None])
+            able[part] = fits[part] & self._enough(place[part] < size)
+        some = able.any(1)  # the others are neither repeated nor a source
+        held = np.sort((place[some].astype(np.int64) * n + np.flatnonzero(some)[:, None]).ravel())
+        held = held[:np.searchsorted(held, size * n)]
+        held = held[np.append(True, held[1:] != held[:-1])[:len(held)]]  # each shingle once for each class
+        freq = np.append(np.bincount(held // n, minlength=size), 1)
+        begin = np.cumsum(freq[:-1]) - freq[:-1]
+        least = np.full(size + 1, np.iinfo(np.int64).max)
+        least[:-1][freq[:-1] > 0] = keys[held[begin[freq[:-1] > 0]] % n]
         before = np.concatenate((np.zeros((1, length), np.int32), np.cumsum(fits, 0, dtype=np.int32)))
-        able &= fits & (before[:-1] > before[start])  # an earlier class reaches as far
+        bits, maps = self._bitmaps(near, place < size)
+        for i in range(0, n, _PAIRS):
+            part = slice(i, i + _PAIRS)
+            able[part] &= self._enough(least[place[part]] < keys[part, None])
+            able[part] &= before[:-1][part] > before[start[part]]  # an earlier class reaches as far
+        del fits, before
         first, last = able.argmax(1), length - 1 - able[:, ::-1].argmax(1)
         some = able.any(1)
         left, right = np.full(n, length), np.full(n, -1)  # first and last repeated window so far
         source = np.full(n, np.iinfo(np.int64).max)
+
+        def may(x, y):
+            """Which pairs can make y's source earlier or its range wider, as far as bitmaps tell."""
+            out = np.zeros(len(x), bool)
+            for i in range(0, len(x), _PAIRS):
+                x1, y1 = x[i:i + _PAIRS], y[i:i + _PAIRS]
+                adds = (keys[x1] < source[y1])[:, None] | (w < left[y1, None]) | (w > right[y1, None])
+                adds &= able[y1] & (w >= self.reach - a[x1, None]) & (w <= b[x1, None])
+                adds &= self._enough(_held(maps, x1, bits[y1]))
+                hope = np.flatnonzero(adds.any(1))
+                out[i + hope] = (adds[hope] & self._enough(_held(maps, y1[hope], bits[x1[hope]]))).any(1)
+            return out
+
         from_, to = 0, 4
-        while from_ < sizes.max():
+        while from_ < sizes.max() and some.any():
             live = np.flatnonzero(some & (np.arange(n) - start > from_))
-            high = right.copy()
             new = right[live] < 0
             u = np.concatenate((first[live], right[live][~new] + 1))
             v = np.concatenate((np.minimum(left[live] - 1, last[live]), last[live][~new]))
@@ -312,7 +387,8 @@ class _Windows:
             row, u, v = (np.concatenate(x) for x in (
                 (row, row[wide]), (u, middle[wide] + 1), (np.where(wide, middle, v), v[wide])))
             row, u, v = row[u <= v], u[u <= v], v[u <= v]
-            later, want = self._rarest(row, u, v, place, freq, few, len(values))
+            later, want = self._rarest(row, u, v, place, freq, few, size + 1)
+            later, want = later[want < size], want[want < size]
             lo = np.searchsorted(held, want * n + start[later] + from_)
             many = np.searchsorted(held, want * n + np.minimum(start[later] + to, later)) - lo
             cost = np.cumsum(many)
@@ -321,26 +397,27 @@ class _Windows:
                 j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + _POSTINGS, "right")))
                 m = many[i:j]
                 x = held[np.repeat(lo[i:j] - np.cumsum(m) + m, m) + np.arange(m.sum())] % n
-                both = np.unique(np.repeat(later[i:j], m) * n + x)
+                both = np.sort(np.repeat(later[i:j], m) * n + x)
+                both = both[np.append(True, both[1:] != both[:-1])[:len(both)]]
                 y, x = both // n, both % n
                 use = (keys[x] < keys[y]) & (np.minimum(a[x], a[y]) + np.minimum(b[x], b[y]) + 1 >= length)
-                x, y = x[use], y[use]
-                # Once y has a source no later one is earlier, and only windows outside its range matter:
-                # the classes that reach furthest come first and spare the others that resemble them.
-                has, k = high[y] >= 0, 1
-                for x1, y1, begins, ends in self._verified(x[~has], y[~has], near, a, b):
-                    np.minimum.at(left, y1, begins + self.reach)
-                    np.maximum.at(right, y1, ends)
-                    np.minimum.at(source, y1, keys[x1])
-                x, y = x[has], y[has]
+                x, y, k = x[use], y[use], 1
+                # The earliest class that has a window of y is its source; once that is found only windows outside
+                # y's range matter: the classes that reach furthest come first and spare those that resemble them.
                 while len(x):
+                    early = keys[x] < source[y]
                     from_w, to_w = np.maximum(first[y], self.reach - a[x]), np.minimum(last[y], b[x])
-                    use = (from_w <= np.minimum(left[y] - 1, to_w)) | (np.maximum(right[y] + 1, from_w) <= to_w)
-                    x, y, from_w, to_w = x[use], y[use], from_w[use], to_w[use]
-                    best = np.minimum(_ranked(y, from_w), _ranked(y, -to_w)) < k
-                    for x1, y1, begins, ends in self._verified(x[best], y[best], near, a, b):
+                    use = early | (from_w <= np.minimum(left[y] - 1, to_w)) | (np.maximum(right[y] + 1, from_w) <= to_w)
+                    if k == 1:
+                        use[use] = may(x[use], y[use])
+                    x, y, from_w, to_w, early = (z[use] for z in (x, y, from_w, to_w, early))
+                    best = np.where(early, _ranked(y * 2 + early, x), np.minimum(_ranked(y, from_w), _ranked(y, -to_w))) < k
+                    x1, y1 = x[best], y[best]
+                    use = may(x1, y1) if k > 1 else slice(None)
+                    for x1, y1, begins, ends in self._verified(x1[use], y1[use], near, a, b):
                         np.minimum.at(left, y1, begins + self.reach)
                         np.maximum.at(right, y1, ends)
+                        np.minimum.at(source, y1, keys[x1])
                     x, y, k = x[~best], y[~best], 4 * k
                 i = j
             from_, to = to, 4 * to
@@ -394,9 +471,12 @@ class _Windows:
         at, a, b = _place(found.places)
         low, high = np.full(len(at), 127, np.int64), np.full(len(at), -128, np.int64)
         source = np.full(len(at), np.iinfo(np.int64).max)
-        for bucket in np.unique(entries.buckets).tolist():
-            rows = np.flatnonzero(entries.buckets == bucket)
-            lo, hi, who = unpack(verdicts[bucket], "i1", "i1", "<i8")
+        order = np.argsort(entries.buckets, kind="stable")
+        bucket = entries.buckets[order]
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+        for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
+            rows = order[i:j]
+            lo, hi, who = unpack(verdicts[int(bucket[i])], "i1", "i1", "<i8")
             e = entries.entry[rows]
             low[rows], high[rows], source[rows] = lo[e], hi[e], who[e]
         later = (run.keys[found.docs] > entries.first) & (a + b + 1 >= self.length)
@@ -445,6 +525,18 @@ class _Windows:
         return [(x, y, sorted(who)) for x, y, who in out]
 
 
+def _held(maps: np.ndarray, rows: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each row: which of some bits its bitmap has."""
+    return maps.take(rows[:, None] * (_BITS // 8 + 1) + (bits >> 3)) >> (bits & 7).astype(np.uint8) & 1
+
+
+def _wide(rows: np.ndarray) -> np.ndarray:
+    """Rows of shingles of three bytes each as numbers."""
+    out = np.zeros((len(rows), rows.shape[1] // 3, 4), np.uint8)
+    out[:, :, :3] = rows.reshape(len(out), out.shape[1], 3)
+    return out.view(np.uint32)[:, :, 0]
+
+
 def _ranked(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Rank of each value inside its group, from zero."""
     order, rank = np.lexsort((value, group)), np.empty(len(group), np.int64)
