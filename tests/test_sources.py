@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import words as W
 from turnloom.operators.ordered import Ordering
+from turnloom.plans import annotation
 from turnloom.schemas import OLD_WORD, TURN, WORD
 from turnloom.sources import readers, writers
 from turnloom.streaming import ingest
@@ -67,6 +68,63 @@ def test_splittable_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_files_numbered_whole_and_by_block(spark, tmp_path, monkeypatch):
+    """Small and large files beside each other, split by the scan; small ones are read once."""
+    (tmp_path / "small.csv").write_text("speaker,spoken_text\n" + "".join(f"S1,line {i}\n" for i in range(900)))
+    (tmp_path / "large.csv").write_text("speaker,spoken_text\n" + "".join(f"S2,line {i}\n" for i in range(2000)))
+    kinds = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        monkeypatch.setattr(readers, "WHOLE_BYTES", 15_000)
+        for multiline in (False, True):
+            rows = readers.read_transcripts(spark, str(tmp_path), TURN, multiline=multiline).select("source_file", "pos", "spoken_text")
+            assert rows.filter(F.col("spoken_text") != F.concat_ws(" ", F.lit("line"), "pos")).count() == 0
+            assert {r.source_file: r["count"] for r in rows.groupBy("source_file").count().collect()} == {"small.csv": 900, "large.csv": 2000}
+        monkeypatch.setattr(readers, "WHOLE_BYTES", 1 << 26)
+        plan = readers.read_transcripts(spark, str(tmp_path), TURN, multiline=False)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan csv") == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kinds)
+
+
+def test_folders_are_not_listed_by_a_task_each(spark, tmp_path):
+    context, cores = spark.sparkContext, spark.sparkContext.defaultParallelism
+    for i in range(max(60, 4 * cores + 20)):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "a.csv").write_text(f"speaker,spoken_text\nS1,text {i}\n")
+    before = spark.conf.get(readers.LISTING, None)
+    context.setJobGroup("listing", "listing")
+    try:
+        files = readers.listed(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * cores
+    assert spark.conf.get(readers.LISTING, None) == before
+    assert files.count() == max(60, 4 * cores + 20)
+
+
+def test_transcripts_are_read_in_batches(spark, tmp_path, monkeypatch):
+    """The driver never lists the files of all transcripts at once; every transcript is one file with all its rows."""
+    rows = [(i, f"2024-01-01 00:{i % 60:02d}:{i // 60:02d}", i % 13, "view", 50.0, '{"k": 1}') for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    most, listed = [], readers.listed
+
+    def counted(spark, path):
+        files = listed(spark, path)
+        most.append(files.filter("extension = 'csv'").count())
+        return files
+
+    monkeypatch.setattr(readers, "listed", counted)
+    monkeypatch.setattr(annotation, "FILES", 4, raising=False)
+    got = {r.transcript: (r.n_files, r.n_rows, r.last_pos) for r in annotation.file_names(spark, str(tmp_path)).collect()}
+    counts = {u: sum(r[2] == u for r in rows) for u in range(13)}
+    assert got == {f"sessionT{u % 5}_with_AC{u % 20:02d}_{u}.csv": (1, n, n - 1) for u, n in counts.items()}
+    assert sum(most) == 13 and max(most) < 13 and len(most) > 1
+
+
 def test_each_refused_file_has_its_reason(spark, folder):
     import pathlib
     base = pathlib.Path(folder)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from turnloom.plans import bridge, oracle
 from turnloom.plans.registry import registered
 from turnloom.plans.tables import tables
 from turnloom.schemas import TURN
-from turnloom.session import shared_folder
+from turnloom.session import shared_folder, write_table
 from turnloom.sources import readers, writers
 from turnloom.streaming import ingest
 
@@ -243,6 +245,7 @@ def act_texts(spark, sf_dir):
 
 # --- sources and sinks -----------------------------------------------------------------
 
+FILES = 20_000  # files of one folder, which the driver lists at once with some 6 KB each
 _FILE = StructType([StructField("transcript", StringType()), StructField("row", LongType()), *TURN.fields])
 _FILE_SQL = """
     SELECT source_file AS transcript, pos AS row, speaker, timestamp, CAST(patient AS INT) AS patient_important, patient_code,
@@ -286,13 +289,24 @@ def tsv_files(spark, sf_dir):
     SELECT source_file AS transcript, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, max(pos) AS last_pos FROM hub GROUP BY ALL""")
 def file_names(spark, sf_dir):
     """Rows know their file: written with one file per transcript, each transcript comes back under one
-    name and its rows in order."""
+    name and its rows in order. The driver lists some thousand files at once, those of a batch's folder."""
     path = folder(spark, "named")
     rows = _file_rows(spark, sf_dir).withColumn("folder", F.col("transcript"))
-    writers.write_delimited(rows.repartition("folder").sortWithinPartitions("folder", "row"), path, partition_by=["folder"])
-    read = readers.read_transcripts(spark, path, _FILE, multiline=False)
-    return read.filter(F.col("row") == F.col("pos")).groupBy("transcript").agg(
-        F.countDistinct("source_file").alias("n_files"), F.count("*").alias("n_rows"), F.max("pos").alias("last_pos"))
+    batches = max(1, math.ceil(rows.select("folder").distinct().count() / FILES))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("folder"), F.lit(batches)))
+    # by number: files, not bytes, are the work of a task here, so tasks are not to be joined by their bytes
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder")
+    writers.write_delimited(dealt.sortWithinPartitions("batch", "folder", "row"), path, partition_by=["batch", "folder"])
+
+    def found(below: str) -> DataFrame:
+        read = readers.read_transcripts(spark, below, _FILE, multiline=False)
+        return read.filter(F.col("row") == F.col("pos")).groupBy("transcript").agg(
+            F.countDistinct("source_file").alias("n_files"), F.count("*").alias("n_rows"), F.max("pos").alias("last_pos"))
+
+    if batches == 1:
+        return found(path)
+    used = sorted(r.batch for r in rows.select("batch").distinct().collect())
+    return reduce(DataFrame.unionByName, [write_table(spark, "named", found(f"{path}/batch={b}")) for b in used])
 
 
 def _mixed_folder(spark, sf_dir) -> str:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from turnloom.schemas import OLD_WORD
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 CORRUPT = "_corrupt_record"
 MAX_FILE_BYTES = 1 << 30
+WHOLE_BYTES = 1 << 26  # a larger file's rows are numbered by block, never sorted in one task
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def _options(extension: str, multiline: bool) -> dict[str, str]:
@@ -23,9 +26,25 @@ def _options(extension: str, multiline: bool) -> dict[str, str]:
     }
 
 
+@contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """Inside, some tasks for each core list the folders of a read. Spark starts a task for each folder or path, up
+    to thousands, and such a task takes longer to start than a folder takes to list."""
+    before = spark.conf.get(LISTING, None)
+    spark.conf.set(LISTING, str(min(int(before or 10_000), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(LISTING)
+        else:
+            spark.conf.set(LISTING, before)
+
+
 def listed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """path, source_file, extension and size of every file below `path`; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    with few_listings(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         "path", name.alias("source_file"),
@@ -34,7 +53,9 @@ def listed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """path and header of each file, from the block a file starts with."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(paths).select(
+    with few_listings(spark):
+        texts = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(paths)
+    lines = texts.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"), "value")
     return lines.filter("_block = 0").groupBy("path").agg(F.min_by("value", "_row").alias("header"))
@@ -83,12 +104,11 @@ def _scan(spark: SparkSession, paths: Sequence[str], extension: str, names: Sequ
     """Files of one header."""
     types = {f.name: f.dataType for f in schema.fields}
     layout = StructType([StructField(n, types.get(n, StringType())) for n in names] + [StructField(CORRUPT, StringType())])
-    rows = (
-        spark.read.schema(layout).options(**_options(extension, multiline)).csv(paths)
-        .select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
-                F.col("_metadata.file_block_start").alias("_block"),
-                F.monotonically_increasing_id().alias("_row"))
-    )
+    with few_listings(spark):
+        read = spark.read.schema(layout).options(**_options(extension, multiline)).csv(paths)
+    rows = read.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
     return rows.select(
         "_path", "source_file", "_block", "_row",
         *[(F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name)
@@ -98,20 +118,23 @@ def _scan(spark: SparkSession, paths: Sequence[str], extension: str, names: Sequ
 
 
 def read_admitted(spark: SparkSession, files: DataFrame, schema: StructType, multiline: bool = True) -> DataFrame:
-    """Rows of the files that `admitted` found good: one scan of its own files per header.
+    """Rows of the files that `admitted` found good: one scan of its own files per header, two for files of more
+    than `WHOLE_BYTES`.
 
     The driver holds the file list, as it does for any scan. Rows get `source_file`, dense `pos` in file
     order, and `_corrupt_record` where a line did not parse; columns a file lacks are null.
     """
-    good = files.filter("reason IS NULL").groupBy("extension", "columns").agg(
+    good = files.filter("reason IS NULL").groupBy("extension", "columns", (F.col("size") > WHOLE_BYTES).alias("large")).agg(
         F.sort_array(F.collect_list("path")).alias("paths"))
-    parts = [_scan(spark, r.paths, r.extension, r.columns, schema, multiline)
-             for r in good.orderBy("extension", "columns").toLocalIterator()]
+    parts: dict[bool, list[DataFrame]] = {}
+    for r in good.orderBy("extension", "columns").toLocalIterator():
+        parts.setdefault(r.large, []).append(_scan(spark, r.paths, r.extension, r.columns, schema, multiline))
     if not parts:
         empty = StructType([StructField("source_file", StringType()), *schema.fields])
         return spark.createDataFrame([], empty).withColumns(
             {CORRUPT: F.lit(None).cast("string"), "pos": F.lit(None).cast("long")})
-    return number_file_rows(reduce(DataFrame.unionByName, parts))
+    numbered = {False: number_whole_files, True: number_file_rows}
+    return reduce(DataFrame.unionByName, [numbered[large](reduce(DataFrame.unionByName, scans)) for large, scans in parts.items()])
 
 
 def read_transcripts(spark: SparkSession, path: str | Sequence[str], schema: StructType, required: Sequence[str] = (),
@@ -123,6 +146,12 @@ def read_transcripts(spark: SparkSession, path: str | Sequence[str], schema: Str
     return read_admitted(spark, files, schema, multiline)
 
 
+def number_whole_files(rows: DataFrame) -> DataFrame:
+    """Dense positions per file (`_path`), whose rows are read once and sorted together."""
+    order = Window.partitionBy("_path").orderBy("_block", "_row")
+    return rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("_path", "_block", "_row")
+
+
 def number_file_rows(rows: DataFrame) -> DataFrame:
     """Dense positions per file (`_path`) from block offset and row order inside a block."""
     counts = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"))
